@@ -3,10 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recordspark.llm import common
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordspark.llm import chat
+
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = F.lit("</s>[INST] ok [/INST]").alias("text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), probe)
+    out = chat.read_back(chat.format_trees(chat.linear_messages(rows.unionByName(own))))
+    flat = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return out.select(
+        F.col("tree_id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(flat, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordspark.llm.rules import host_rules
+
+    out = host_rules(common.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_failures", "host_verdict", "kept")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordspark.llm.urls import judge_urls
 
@@ -14,6 +40,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_chat_formatting": op2_chat_formatting,
+    "op5_quality_rules": op5_quality_rules,
     "op10_url_filters": op10_url_filters,
 }
 
@@ -40,4 +68,69 @@ select page_id, host, path, rule,
 from judged
 """
 
-ORACLE_SQL = {"op10_url_filters": _URL_SQL}
+_ESCAPED = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
+
+#: Marks of a turn: 12 + 1 + 11 characters besides role and text.
+_CHAT_SQL = f"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(24 + length(replace({_ESCAPED.format(x="role")}, chr(10), '&#10;')) + length({_ESCAPED.format(x="text")})) as bigint) as formatted_chars
+from rows group by conv_id
+"""
+
+_RULES_SQL = """
+with docs as (
+  select row_number() over () as rid, doc_id, source, coalesce(text, '') as text from documents
+), split as (
+  select rid, doc_id, source, text,
+    regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines
+  from docs
+), pos as (
+  select rid, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from (select rid, w, unnest(range(1, len(w) - 1)) as i from split)
+), rep as (
+  select rid, i from (select rid, i, count(*) over (partition by rid, a, b, c) as n from pos) where n > 1
+), cov as (
+  select rid, count(distinct i + k) as n_repeat_words from rep, (select unnest([0, 1, 2]) as k) group by rid
+), m as (
+  select rid, doc_id, source, len(w) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+    cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
+    cast(len(regexp_extract_all(text, '[A-Z]')) as bigint) as n_upper,
+    len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+    coalesce(n_repeat_words, 0) as n_repeat_words
+  from split left join cov using (rid)
+), f as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    cast(10 * n_symbols > n_words as int) + cast(10 * n_dup_lines > 3 * n_lines as int) + cast(2 * n_upper > word_chars as int)
+    + cast(word_chars < 2 * n_words as int) + cast(word_chars > 20 * n_words as int) as n_failures
+  from m
+), h as (
+  select source, count(*) as n, sum(cast(base_failed or n_failures > 0 as int)) as x from f group by source
+), t as (
+  select sum(n) as tn, sum(x) / sum(n) as mean, count(*) as th from h
+), s as (
+  select max(mean) as mean, sum(n * pow(x / n - mean, 2)) / max(tn) - max(th) * max(mean) * (1 - max(mean)) / max(tn) as extra from h, t
+), v as (
+  select source, (x + mean * k) / (n + k) as rate
+  from (select h.*, mean, case when extra > 0 then greatest(1.0, least(1e6, mean * (1 - mean) / extra - 1)) else 1e6 end as k from h, s)
+), j as (
+  select f.*, case when rate > 0.5 then 'block' when rate <= 0.02 then 'trust' else 'watch' end as host_verdict
+  from f join v on f.source is not distinct from v.source
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, cast(n_failures as bigint) as n_failures, host_verdict,
+  not base_failed and host_verdict <> 'block' and n_failures <= case when host_verdict = 'trust' then 1 else 0 end as kept
+from j
+"""
+
+ORACLE_SQL = {
+    "op2_chat_formatting": _CHAT_SQL,
+    "op5_quality_rules": _RULES_SQL,
+    "op10_url_filters": _URL_SQL,
+}
