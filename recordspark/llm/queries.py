@@ -26,6 +26,34 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordspark.llm.bpe import encode_documents
+
+    out = encode_documents(common.table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), decoded=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from recordspark.llm import token_files as files
+
+    docs = common.table(spark, sf_dir, "documents")
+    path = f"{common.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    files.write_token_files(docs, path, tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    keyed = files.find(spark, path, docs.select("doc_id"))
+    unkeyed = spark.read.parquet(f"{path}/keys").where("key is null").select("key", "shard", "record")
+    out = files.read_records(keyed.unionByName(unkeyed), path)
+    out = out.select("key", "shard", "offset", "n_tokens", "crc32").join(files.shard_starts(spark, path), "shard")
+    return out.select(F.col("key").alias("doc_id"), (F.col("base") + F.col("offset")).alias("start"), "n_tokens", F.col("crc32").alias("ids_crc32"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordspark.llm.rules import host_rules
 
@@ -41,7 +69,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op4_bpe": op4_bpe,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_files": op6_token_files,
     "op10_url_filters": op10_url_filters,
 }
 
@@ -131,6 +161,7 @@ from j
 
 ORACLE_SQL = {
     "op2_chat_formatting": _CHAT_SQL,
+    "op4_bpe": op4_bpe,
     "op5_quality_rules": _RULES_SQL,
     "op10_url_filters": _URL_SQL,
 }
