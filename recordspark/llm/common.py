@@ -100,18 +100,25 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inside = _IS_WORD[raw]
+#: Classes of bytes: blanks 0; words 1; for tokens, runs of ASCII punctuation are 2.
+WORDS = _IS_WORD.astype(np.uint8)
+TOKENS = WORDS.copy()
+TOKENS[[k for k in range(33, 127) if not chr(k).isalnum() and chr(k) != "_"]] = 2
+
+
+def _word_bounds(raw: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kind = classes[raw]
     cut = np.zeros(len(raw) + 1, dtype=bool)
     cut[offsets] = True
-    first = inside & (cut[:-1] | ~np.concatenate(([False], inside[:-1])))
-    last = inside & (cut[1:] | ~np.concatenate((inside[1:], [False])))
-    return np.flatnonzero(first), np.flatnonzero(last) + 1
+    if len(raw):
+        cut[1:-1] |= kind[1:] != kind[:-1]
+    inside = kind > 0
+    return np.flatnonzero(inside & cut[:-1]), np.flatnonzero(inside & cut[1:]) + 1
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, classes: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of every text, in order, and where each text's words begin."""
-    start, end = _word_bounds(raw, offsets)
+    start, end = _word_bounds(raw, offsets, classes)
     out = np.empty(len(start), dtype=np.uint64)
     k = 0
     while k < len(start):
@@ -144,6 +151,28 @@ def unpack(blob: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).view(dtype).ravel() if len(raw) else np.zeros(0, dtype)
 
 
+def summed(parts: DataFrame, width: int) -> np.ndarray:
+    """Element-wise sum of int64 vectors given as rows (slice, blob); the result has a fixed size."""
+    import pandas as pd
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum((unpack(b, "<i8") for b in group["blob"]), np.zeros(1, np.int64))
+        return pd.DataFrame({"slice": group["slice"].iloc[:1], "blob": [pack(total)]})
+
+    rows = parts.groupBy("slice").applyInPandas(add, "slice long, blob binary").collect()  # one row per slice
+    out = np.zeros(width, np.int64)
+    for r in rows:
+        part = unpack(r["blob"], "<i8")
+        out[r["slice"] * len(part) : (r["slice"] + 1) * len(part)] = part
+    return out
+
+
+def sliced(vector: np.ndarray, slices: int) -> pa.RecordBatch:
+    """Rows for summed()."""
+    parts = [pack(x) for x in vector.astype("<i8").reshape(slices, -1)]
+    return pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int64()), pa.array(parts, pa.binary())], names=["slice", "blob"])
+
+
 def crc_mod(value: int, modulus: int) -> int:
     return zlib.crc32(str(value).encode()) % modulus
 

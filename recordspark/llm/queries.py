@@ -26,6 +26,21 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordspark.llm.importance import resample
+
+    return resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordspark.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    out = common.held_out(F.col("doc_id"), 5, 0)
+    scored = score_toxicity(docs, fit_toxicity(docs, labels.where(~out)))
+    return scored.select("doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -69,9 +84,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe": op4_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_files": op6_token_files,
+    "op7_toxicity": op7_toxicity,
     "op10_url_filters": op10_url_filters,
 }
 
@@ -161,6 +178,7 @@ from j
 
 ORACLE_SQL = {
     "op2_chat_formatting": _CHAT_SQL,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe": op4_bpe,
     "op5_quality_rules": _RULES_SQL,
     "op10_url_filters": _URL_SQL,
