@@ -34,28 +34,28 @@ def unescape(x: Column, pairs=ESCAPES) -> Column:
 
 
 def branch_paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, node, depth) for every message on every root-to-leaf path of (tree, node, parent).
+    """(tree, leaf, node, back) for every message on every root-to-leaf path of (tree, node, parent).
 
-    A parent that is missing makes its child a root. Messages on a cycle, or hanging from one,
-    have no root and give no path. node must be unique within a tree.
+    back: steps from the leaf. A parent that is missing makes its child a root. Messages on a
+    cycle, or hanging from one, have no root and give no path. node must be unique within a tree.
+    Jump table k has the ancestor 2^k steps up, for messages that deep only, so tables shrink.
     """
     base = messages.select("tree", "node", "parent")
-    known = base.select(F.col("tree").alias("kt"), F.col("node").alias("kn"))
-    base = base.join(known, (F.col("tree") == F.col("kt")) & (F.col("parent") == F.col("kn")), "left")
-    jumps = [written(base.select("tree", "node", F.col("kn").alias("up"), F.when(F.col("kn").isNull(), 0).otherwise(1).cast("long").alias("depth")), "chat-jump")]
+    known = base.selectExpr("tree t2", "node n2")
+    jumps = [written(base.join(known, (F.col("tree") == F.col("t2")) & (F.col("parent") == F.col("n2"))).select("tree", "node", F.col("n2").alias("up")), "chat-jump")]
     size = messages.count()
-    while (last := jumps[-1]).where("up is not null").limit(1).count() and 1 << (len(jumps) - 1) <= size:
-        over = last.selectExpr("tree t2", "node n2", "up up2", "depth d2")
-        step = last.join(over, (F.col("tree") == F.col("t2")) & (F.col("up") == F.col("n2")), "left")
-        jumps.append(written(step.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")), "chat-jump"))
-    rooted = jumps[-1].where("up is null").select("tree", "node", "depth")  # the rest hangs on a cycle
-    parents = jumps[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = rooted.join(parents, ["tree", "node"], "left_anti")
-    path = leaves.select("tree", F.col("node").alias("leaf"), "node", "depth")
-    for k in reversed(range(len(jumps) - 1)):
-        jump = jumps[k].where("up is not null").selectExpr("tree t2", "node n2", "up")
+    while jumps[-1].limit(1).count() and 1 << (len(jumps) - 1) <= size:
+        last = jumps[-1]
+        over = last.selectExpr("tree t2", "node n2", "up up2")
+        jumps.append(written(last.join(over, (F.col("tree") == F.col("t2")) & (F.col("up") == F.col("n2"))).select("tree", "node", F.col("up2").alias("up")), "chat-jump"))
+    parents = jumps[0].select("tree", F.col("up").alias("node")).distinct()
+    rootless = jumps.pop().select("tree", "node")  # deeper than there are messages
+    leaves = base.select("tree", "node").join(parents, ["tree", "node"], "left_anti").join(rootless, ["tree", "node"], "left_anti")
+    path = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
+    for k in reversed(range(len(jumps))):
+        jump = jumps[k].selectExpr("tree t2", "node n2", "up")
         more = path.join(jump, (F.col("tree") == F.col("t2")) & (F.col("node") == F.col("n2")))
-        path = written(path.unionAll(more.select("tree", "leaf", F.col("up").alias("node"), F.col("depth") - (1 << k))), "chat-path")
+        path = written(path.unionAll(more.select("tree", "leaf", F.col("up").alias("node"), F.col("back") + (1 << k))), "chat-path")
     return path
 
 
@@ -74,11 +74,11 @@ def format_trees(messages: DataFrame, keep: int | None = None) -> DataFrame:
     head = F.concat(F.lit(START), escape(F.col("role"), ROLE_ESCAPES), F.lit("\n"))
     turns = turns.withColumn("head", head).withColumn("body", escape(F.col("text")))
     turns = turns.withColumn("piece", F.concat("head", "body", F.lit(END)))
-    before = Window.partitionBy("tree", "leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("tree", "leaf").orderBy(F.desc("back")).rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)) + F.length("head"))
     one = turns.groupBy("tree", "leaf").agg(
         F.first("tree_id").alias("tree_id"), F.sum("score").alias("path_score"), F.count("*").alias("n_turns"),
-        F.sort_array(F.collect_list(F.struct("depth", "piece", "start", F.length("body").cast("long").alias("size"), (F.col("role") == "assistant").alias("loss")))).alias("t"),
+        F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("place"), "piece", "start", F.length("body").cast("long").alias("size"), (F.col("role") == "assistant").alias("loss")))).alias("t"),
     )
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf"))
     one = one.withColumn("branch_rank", rank)
