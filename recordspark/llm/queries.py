@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from recordspark.llm import common
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordspark.llm.decontam import find_leaks
+
+    return find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordspark.llm import chat
 
@@ -76,6 +82,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_failures", "host_verdict", "kept")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordspark.llm.jaccard import similar_groups
+
+    return similar_groups(common.table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordspark.llm.urls import judge_urls
 
@@ -83,12 +95,14 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe": op4_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_files": op6_token_files,
     "op7_toxicity": op7_toxicity,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filters": op10_url_filters,
 }
 
