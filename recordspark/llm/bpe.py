@@ -1,9 +1,10 @@
 """BPE encoding and decoding with public tokenizer files.
 
-Most texts are encoded run by run: a run is what stands between single spaces, and as the
-pre-tokenizers in use always cut before a space that follows something else, the ids of a text are
-the ids of its runs in order. Each worker keeps the ids of runs it has seen in a bounded table and
-asks the tokenizers library only for new ones.
+Most texts are encoded run by run. A run is a stretch of letters with the space before it, or
+what stands between two such; the pre-tokenizers in use always cut there, so the ids of a text are
+the ids of its runs in order. Texts with letters outside Latin-1, control tokens or an apostrophe
+before a first letter, where that cut may fail, are cut at single spaces or not at all. Each worker
+keeps the ids of runs it has seen in a bounded table and asks the tokenizers library for new ones.
 
 Long texts go by tree concatenation: a text is halved until each piece is small, the pieces are
 dealt to all tasks and encoded there, and neighbours are joined pairwise. At each join a window of
@@ -27,7 +28,14 @@ from pyspark.sql import functions as F
 
 from recordspark.llm.common import prepare
 
-#: Runs that a worker remembers, and the longest of them.
+#: Letters of Latin-1 but for the signs that double as letters, which are foreign here.
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+RUNS = re.compile(f" ?[{LETTER}]+(?:'[{LETTER}]+)*|(?:(?! [{LETTER}])[^{LETTER}])+")
+FOREIGN = re.compile("[^\x00-\x84\x86-\x9f\xa1-\xa9\xab-\xb4\xb6-\xb9\xbb-\xff]")
+APOSTROPHE = re.compile(f"(?<![{LETTER}])'(?=[{LETTER}])")
+#: White space that ends in another blank than the space: its last blank may stand alone before a letter.
+BLANKS = re.compile(f"\\s[^\\S ](?=[{LETTER}])")
+#: Runs that a worker remembers in each of two generations, and the longest of them.
 REMEMBERED, LONGEST = 400_000, 64
 #: Texts above this many code points are cut into halves.
 PIECE_CHARS = 32_768
@@ -46,25 +54,35 @@ class Encoder:
         pre = str(self.tokenizer.pre_tokenizer)
         self.keeps_spaces = "Removed" not in pre
         self.known: dict[str, bytes] = {"": b""}
+        self.earlier: dict[str, bytes] = {}
         self.names: list[str] | None = None
+        self.control = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         #: A space after other white space may belong to one token with it.
         self.unsafe = re.compile(r"\s ")
 
+    def runs(self, text: str) -> list[str]:
+        """Stretches whose ids, one after another, are the ids of the text."""
+        if not (FOREIGN.search(text) or (self.keeps_spaces and BLANKS.search(text)) or ("'" in text and APOSTROPHE.search(text)) or any(c in text for c in self.control)):
+            return RUNS.findall(text)
+        if not self.keeps_spaces:
+            return text.split(" ")
+        if self.unsafe.search(text):
+            return [text]
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = []
-        for text in texts:
-            if not self.keeps_spaces:
-                parts.append(text.split(" "))
-            elif self.unsafe.search(text):
-                parts.append([text])
-            else:
-                first, *rest = text.split(" ")
-                parts.append([first, *[" " + x for x in rest]])
+        parts = [self.runs(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        known = self.known
-        new = list({x for p in parts for x in p if x not in known})
+            self.known, self.earlier = {"": b""}, self.known
+        known, earlier = self.known, self.earlier
+        new = []
+        for x in {x for p in parts for x in p if x not in known}:
+            if x in earlier:
+                known[x] = earlier[x]
+            else:
+                new.append(x)
         for k in range(0, len(new), 10_000):
             for x, e in zip(new[k : k + 10_000], self.tokenizer.encode_batch_fast(new[k : k + 10_000], add_special_tokens=False)):
                 known[x] = np.array(e.ids, "<u4").tobytes()

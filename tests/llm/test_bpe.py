@@ -46,6 +46,15 @@ def test_tree_concatenation_of_unsplit_text(name):
             assert join_tree(pieces, coder.spans)[1].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_runs_of_odd_texts(name):
+    coder, rng = Encoder(tokenizer_file(name)), random.Random(6)
+    signs = ["a", "B", "é", " ", "  ", "\n", "'", "'s", "1", ",", "!!", "µ", "²", "\xa0", "\x85", "\x1c", "Σ", "ß", "<|endoftext|>", "|>", "́", "the", " on"]
+    texts = ["".join(rng.choices(signs[: rng.choice([10, 14, len(signs)])], k=rng.randint(0, 30))) for _ in range(3000)]
+    for t, ids in zip(texts, coder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 5000)).view(np.uint64)
     table = token_files.PerfectHash.load(token_files.PerfectHash.build(keys).dump())
