@@ -82,6 +82,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_failures", "host_verdict", "kept")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordspark.llm.katz import score_documents
+
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", common.held_out(F.col("doc_id"), 7, 2).alias("held"))
+    return score_documents(docs, "held")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordspark.llm.jaccard import similar_groups
 
@@ -102,6 +109,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_token_files": op6_token_files,
     "op7_toxicity": op7_toxicity,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filters": op10_url_filters,
 }
