@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordspark.llm.common import prepare
+from recordspark.llm.common import fresh, prepare
 
 #: Letters of Latin-1 but for the signs that double as letters, which are foreign here.
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -187,9 +187,9 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     path is the tokenizer's file, present on every executor.
     """
     prepare(docs.sparkSession)
-    body = F.coalesce(F.col(text), F.lit("")).alias("_text")
     carried = list(dict.fromkeys((key, *keep)))
-    rows = docs.select(*carried, body)
+    body, row_no, count_, no, piece, ids_, at_ = fresh(carried, "body", "row_no", "pieces", "piece_no", "piece", "piece_ids", "piece_at")
+    rows = docs.select(*carried, F.coalesce(F.col(text), F.lit("")).alias(body))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*carried).schema)
     schema = f"{head}, n_tokens long, ids binary" + ", decoded string" * decoded
 
@@ -206,14 +206,14 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [encoder(path).spans(t) for t in batch.column("_piece").to_pylist()]
+            found = [encoder(path).spans(t) for t in batch.column(piece).to_pylist()]
             extra = [pa.array([x[0].tobytes() for x in found], pa.binary()), pa.array([np.concatenate(x[1:]).astype("<i8").tobytes() for x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "_ids", "_at"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, ids_, at_])
 
     def together(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_no")
+        group = group.sort_values(no)
         pieces = []
-        for t, ids, at in zip(group["_piece"], group["_ids"], group["_at"]):
+        for t, ids, at in zip(group[piece], group[ids_], group[at_]):
             at = np.frombuffer(at, "<i8").reshape(2, -1)
             pieces.append((t, np.frombuffer(ids, "<u4"), at[0], at[1]))
         _, ids, _, _ = join_tree(pieces, encoder(path).spans)
@@ -223,12 +223,13 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
             out["decoded"] = [encoder(path).decode(ids.astype("<u4").tobytes())]
         return out
 
-    size = F.length("_text")
+    size = F.length(body)
     short = rows.where(size <= piece_chars).mapInArrow(whole, schema)
-    count = F.expr(f"cast(power(2, ceil(log2(length(_text) / {piece_chars}))) as long)")
-    long = rows.where(size > piece_chars).withColumn("_row", F.monotonically_increasing_id()).withColumn("_n", count)
-    cut = long.select(*carried, "_row", "_text", "_n", F.explode(F.expr("sequence(0L, _n - 1)")).alias("_no"))
-    bound = lambda k: F.floor(k * F.length("_text") / F.col("_n")).cast("int")
-    cut = cut.select(*carried, "_row", "_no", F.substring(F.col("_text"), bound(F.col("_no")) + 1, bound(F.col("_no") + 1) - bound(F.col("_no"))).alias("_piece"))
-    pieces = cut.repartition("_row", "_no").mapInArrow(halves, f"{head}, _row long, _no long, _piece string, _ids binary, _at binary")
-    return short.unionByName(pieces.groupBy("_row").applyInPandas(together, schema))
+    halvings = F.ceil(F.log2(size / piece_chars))
+    long = rows.where(size > piece_chars).withColumn(row_no, F.monotonically_increasing_id()).withColumn(count_, F.pow(F.lit(2.0), halvings).cast("long"))
+    cut = long.withColumn(no, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count_) - 1)))
+    bound = lambda k: F.floor(k * F.length(body) / F.col(count_)).cast("int")
+    begin, end = bound(F.col(no)), bound(F.col(no) + 1)
+    cut = cut.select(*carried, row_no, no, F.substring(F.col(body), begin + 1, end - begin).alias(piece))
+    pieces = cut.repartition(row_no, no).mapInArrow(halves, f"{head}, `{row_no}` long, `{no}` long, `{piece}` string, `{ids_}` binary, `{at_}` binary")
+    return short.unionByName(pieces.groupBy(row_no).applyInPandas(together, schema))

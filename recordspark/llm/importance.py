@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordspark.llm.common import TOKENS, mix, prepare, sliced, summed, text_buffer, word_hashes, written
+from recordspark.llm.common import TOKENS, fresh, mix, prepare, sliced, summed, text_buffer, word_hashes, written
 
 #: Labelled rows of the wanted class that the target model is fitted to, at most.
 FIT_ROWS = 20_000
@@ -106,20 +106,23 @@ def fit_importance(docs: DataFrame, labels: DataFrame, text: str = "text", key:
 
 
 def weigh(docs: DataFrame, model: Importance, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = (), above: float | None = None) -> DataFrame:
-    """keep columns, log_weight and sample_key of every row; with above, of rows whose key reaches it."""
+    """keep columns, log_weight and sample_key of every row; with above, keep columns of rows whose key reaches it."""
     prepare(docs.sparkSession)
-    rows = docs.select(*keep, F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    id_name, text_name = fresh(list(keep), "id", "body")
+    rows = docs.select(*keep, F.col(key).cast("long").alias(id_name), F.col(text).alias(text_name))
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weights = model.log_weights(*text_buffer(batch.column(n + 1)))
             keys = model.keys(weights, batch.column(n).fill_null(0).to_numpy(zero_copy_only=False))
-            out = pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(weights), pa.array(keys)], names=[*keep, "log_weight", "sample_key"])
-            yield out if above is None else out.filter(pa.array(keys >= above))
+            if above is None:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(weights), pa.array(keys)], names=[*keep, "log_weight", "sample_key"])
+            else:
+                yield batch.select(list(range(n))).filter(pa.array(keys >= above))
 
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:n])
-    return rows.mapInArrow(run, f"{head}log_weight double, sample_key double")
+    head = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:n]]
+    return rows.mapInArrow(run, ", ".join(head + ["log_weight double", "sample_key double"] * (above is None)))
 
 
 def kth_largest(values: DataFrame, k: int, bins: int = 4096, small: int = 10_000) -> float:
@@ -175,4 +178,4 @@ def keep_sampled(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
     """The documents that the sampling keeps, with all their columns: no join, texts pass through the scoring."""
     model = fit_importance(docs, labels, text, key)
     _, least = sample_threshold(docs, model, text, key)
-    return weigh(docs, model, text, key, keep=tuple(docs.columns), above=least).select(*docs.columns)
+    return weigh(docs, model, text, key, keep=tuple(docs.columns), above=least)

@@ -128,7 +128,7 @@ with parts as (
          when ('.' || host) like '%.org' and path like '/fr/%' then 'org/fr/'
          when ('.' || host) like '%.net' and path like '/%' then 'net/' end as rule,
     (select min(k) from (select unnest(range(12)) k) s where
-       contains('.' || host || path, '.' || (['ads-track','adult-x','casino','cheap-pills','free-bets','spam-farm'])[k // 2 + 1] || (['.', '-'])[k % 2 + 1])) as w
+       contains('.' || host, '.' || (['ads-track','adult-x','casino','cheap-pills','free-bets','spam-farm'])[k // 2 + 1] || (['.', '-'])[k % 2 + 1])) as w
   from parts
 )
 select page_id, host, path, rule,

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordspark.llm.common import prepare
+from recordspark.llm.common import fresh, prepare
 
 #: Labelled rows that terms and weights are learned from, at most, and terms kept.
 FIT_ROWS, MAX_TERMS = 20_000, 400
@@ -168,7 +168,7 @@ class Toxicity:
 def _labelled(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, rows: int) -> DataFrame:
     best = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
     chosen = best.orderBy(F.xxhash64(key), key).limit(rows)
-    return docs.select(key, F.col(text).alias("_text")).join(F.broadcast(chosen), key).select("_text", "_y")
+    return docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(chosen), key).select("_text", "_y")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Toxicity:
@@ -240,13 +240,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, text: str = "text", keep: tuple[str, ...] = ("doc_id",), below: float | None = None) -> DataFrame:
-    """keep columns, score, n_terms and terms (distinct, sorted) of every row; with below, of rows that score less.
+    """keep columns, score, n_terms and terms (distinct, sorted) of every row; with below, keep columns of rows that score less.
 
     Null and empty texts score as texts without hits; repeated rows score alike; an empty table
     gives no rows.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    rows = docs.select(*keep, F.col(text).alias(fresh(list(keep), "body")[0]))
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,14 +257,16 @@ def score_toxicity(docs: DataFrame, model: Toxicity, text: str = "text", keep: t
                 scores.append(model.score(x))
                 counts.append(len(found))
                 terms.append(found)
-            out = pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(terms, pa.list_(pa.string()))], names=[*keep, "score", "n_terms", "terms"])
-            yield out if below is None else out.filter(pa.array(np.array(scores, float) < below))
+            if below is None:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(terms, pa.list_(pa.string()))], names=[*keep, "score", "n_terms", "terms"])
+            else:
+                yield batch.select(list(range(n))).filter(pa.array(np.array(scores, float) < below))
 
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:n])
-    return rows.mapInArrow(run, f"{head}score double, n_terms long, terms array<string>")
+    head = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:n]]
+    return rows.mapInArrow(run, ", ".join(head + ["score double", "n_terms long", "terms array<string>"] * (below is None)))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, below: float = 0.5) -> DataFrame:
     """The documents that score less, with all their columns."""
     model = fit_toxicity(docs, labels)
-    return score_toxicity(docs, model, keep=tuple(docs.columns), below=below).select(*docs.columns)
+    return score_toxicity(docs, model, keep=tuple(docs.columns), below=below)

@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """`action` (allow or block) for what `glob` matches; `name` is reported; longer `name`s win."""
+    """`action` (allow or block) for what `glob` matches; `name` is reported; longer `name`s win.
+
+    Globs see `.host#path`: neither part can hold a `#`, so it keeps them apart.
+    """
 
     name: str
     glob: str
@@ -29,7 +32,7 @@ class Rule:
 def host_rule(name: str, action: str) -> Rule:
     """`example.net/en/`: the host and its subdomains, paths that start with `/en/`."""
     host, _, path = name.partition("/")
-    return Rule(name, f"*.{host}/{path}*", action)
+    return Rule(name, f"*.{host}#/{path}*", action)
 
 
 #: The four host rules of the query, as the task states them.
@@ -41,7 +44,7 @@ HOST_RULES = (
 )
 #: Words of unwanted hosts: bounded by a dot, a hyphen or the path.
 HOST_WORDS = ("ads-track", "adult-x", "casino", "cheap-pills", "free-bets", "spam-farm")
-WORD_RULES = tuple(Rule(f"word:{w}", f"*.{w}{tail}*", "block") for w in HOST_WORDS for tail in (".", "-"))
+WORD_RULES = tuple(Rule(f"word:{w}", f"*.{w}{tail}*#*", "block") for w in HOST_WORDS for tail in (".", "-"))
 
 
 class ShiftAnd:
@@ -131,7 +134,7 @@ def judge_urls(pages: DataFrame, rules=HOST_RULES, fallback=WORD_RULES, key: str
         automaton = ShiftAnd(globs)
         for batch in batches:
             host, path = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            hit = automaton.match([f".{h}{p}" if h else "" for h, p in zip(host, path)])
+            hit = automaton.match([f".{h}#{p}" if h else "" for h, p in zip(host, path)])
             name, verdict, word = [], [], []
             for row in hit:
                 k = next((i for i in range(len(ranked)) if row[i]), None)
