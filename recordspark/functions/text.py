@@ -56,13 +56,15 @@ def author_key(x: Column) -> Column:
     return F.when(F.size(key) >= 2, F.array_join(key, " "))
 
 
-def _digit(x: Column, k: Column | int) -> Column:
-    return F.substring(x, k, F.lit(1) if isinstance(k, Column) else 1).try_cast("int")
+def _weighted(x: Column, weight) -> Column:
+    """Sum of digit times weight(place from 0); X counts 10."""
+    value = lambda c, i: F.when(c == "X", 10).otherwise(c.try_cast("int")) * weight(i)
+    return F.aggregate(F.transform(F.split(x, ""), value), F.lit(0), lambda t, v: t + v)
 
 
 def isbn13_check(first12: Column) -> Column:
     """Check digit of twelve digits: weights 1 and 3 in turn."""
-    total = sum((_digit(first12, k + 1) * (3 if k % 2 else 1) for k in range(12)), F.lit(0))
+    total = _weighted(F.substring(first12, 1, 12), lambda i: F.when(i % 2 == 0, 1).otherwise(3))
     return ((10 - total % 10) % 10).cast("string")
 
 
@@ -70,8 +72,6 @@ def canonical_isbn(x: Column) -> Column:
     """ISBN-13 of a valid ISBN-13 (978 or 979) or ISBN-10 (X as last digit only); null otherwise."""
     raw = F.upper(F.regexp_replace(x, "[^0-9Xx]", ""))
     full = F.when(raw.rlike("^97[89][0-9]{10}$") & (isbn13_check(raw) == F.substring(raw, 13, 1)), raw)
-    last = F.when(F.substring(raw, 10, 1) == "X", 10).otherwise(_digit(raw, 10))
-    total = sum((_digit(raw, k + 1) * (10 - k) for k in range(9)), F.lit(0)) + last
     base = F.concat(F.lit("978"), F.substring(raw, 1, 9))
-    short = F.when(raw.rlike("^[0-9]{9}[0-9X]$") & (total % 11 == 0), F.concat(base, isbn13_check(base)))
+    short = F.when(raw.rlike("^[0-9]{9}[0-9X]$") & (_weighted(raw, lambda i: 10 - i) % 11 == 0), F.concat(base, isbn13_check(base)))
     return F.coalesce(full, short)
