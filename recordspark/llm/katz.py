@@ -28,7 +28,7 @@ from recordspark.llm.common import mix, pack, prepare, text_buffer, unpack, word
 #: Counts up to this are discounted.
 K = 5
 #: Tokens of a block, and of all blocks for each part of the count tables.
-BLOCK_TOKENS, PART_TOKENS = 3_000_000, 6_000_000
+BLOCK_TOKENS, PART_TOKENS = 1_500_000, 3_000_000
 #: The end of a text, a token like any other, and what stands before its first token.
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 
