@@ -173,7 +173,7 @@ REVIEWED = "select c_custkey as hash, case when c_custkey % 3 = 0 then concat(lo
 @query(
     "ag3_learn_corrections",
     f"""with a as (select hash, 'title' as field, title as o from ({AUTO.replace("{customer}", "customer")}) union all select hash, 'city', city from ({AUTO.replace("{customer}", "customer")})), r as (select hash, 'title' as field, title as n, seen_at from ({REVIEWED.replace("{customer}", "customer")}) x(hash, title, city, seen_at) union all select hash, 'city', city, seen_at from ({REVIEWED.replace("{customer}", "customer")}) x(hash, title, city, seen_at)),
-      j as (select field, {NORM.format(x="o")} as wrong, hash, n, at from a join r using (hash, field) where trim(o) <> '' and trim(n) <> '' and {NORM.format(x="o")} <> {NORM.format(x="n")})
+      j as (select field, {NORM.format(x="o")} as wrong, hash, n, seen_at from a join r using (hash, field) where trim(o) <> '' and trim(n) <> '' and {NORM.format(x="o")} <> {NORM.format(x="n")})
       select field, wrong, count(distinct hash) as n_items, count(distinct n) as n_forms, max(seen_at) as last_seen, count(distinct hash) >= 3 as recommended from j group by field, wrong""",
 )
 def ag3(spark, sf):
