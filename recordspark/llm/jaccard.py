@@ -32,6 +32,8 @@ SKETCH, SLICES = 1 << 20, 16
 LIST_BLOCK, GROUP_ELEMENTS = 2048, 2_000_000
 #: Largest size that subsets may be enumerated for, and the most subsets of one set.
 LIGHT_MOST, SUBSETS_MOST = 40, 4096
+#: Sets above LARGE elements have EXTRA (of den) of their elements as additional entries: see extra_entries.
+LARGE, EXTRA = 800, 3
 #: Cost of a list entry against one enumerated subset: it is shuffled, and compared in its list.
 LIST_COST = 4
 
@@ -41,6 +43,16 @@ def shared_needed(a, b, num: int, den: int):
     return -(-num * (a + b) // (num + den))
 
 
+def extra_entries(n):
+    """Entries l of a set of size n beyond its first list entry, plus one.
+
+    If the first n - ceil(t n) + l elements of two sets that link are looked at, they share l of
+    them. So a large set, fewer of whose entries than that are met in any other set, links with
+    nothing: it is dropped before lists are compared, where its parity vector would tell little.
+    """
+    return np.where(n > LARGE, -(-EXTRA * n // 100), 1)
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of all texts, sorted within each, and where each text's begin."""
     h, first = word_hashes(raw, offsets)
@@ -122,7 +134,7 @@ def boundary(info: DataFrame, num: int, den: int) -> int:
 
 
 def entries(docs: DataFrame, text: str, key: str, words: int, rarity: np.ndarray, most: int, num: int, den: int) -> DataFrame:
-    """Rows (kind, k1, k2, id): 0 list entry (k1 element), 1/2/3 subset (equal sizes, smaller side, larger side), 4 same set as k1 in the task."""
+    """Rows (kind, k1, k2, id): 0 list entry (k1 element), 5 additional entry, 1/2/3 subset (equal sizes, smaller side, larger side), 4 same set as k1 in the task."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null")
 
     def subsets(set_: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
@@ -160,16 +172,14 @@ def entries(docs: DataFrame, text: str, key: str, words: int, rarity: np.ndarray
             rank = np.arange(len(grams)) - np.repeat(first[:-1], n)
             heavy = fresh & (n * den >= num * (most + 1))
             length = n - -(-num * n // den) + 1
-            use = heavy[of] & (rank < length[of])
-            g, o = grams[order][use], of[use]
-            small = len(kinds)
+            use = heavy[of] & (rank < (length + extra_entries(n) - 1)[of])
+            g, o, more = grams[order][use], of[use], (rank >= length[of])[use]
             columns = [
-                pa.array(np.concatenate((np.array(kinds, np.int64), np.zeros(len(g), np.int64)))),
+                pa.array(np.concatenate((np.array(kinds, np.int64), np.where(more, 5, 0)))),
                 pa.array(np.concatenate((np.array(k1, np.int64), g.view(np.int64)))),
                 pa.array(np.concatenate((np.array(k2, np.int64), np.zeros(len(g), np.int64)))),
                 pa.array(np.concatenate((np.array(own, np.int64), ids[o]))),
             ]
-            assert len(columns[0]) == small + len(g)
             yield pa.RecordBatch.from_arrays(columns, names=["kind", "k1", "k2", "id"])
 
     return written(rows.mapInArrow(run, "kind long, k1 long, k2 long, id long"), "jaccard-entries")
@@ -227,8 +237,11 @@ def list_edges(lists: DataFrame, info: DataFrame, num: int, den: int) -> DataFra
     """(a, b): a spanning forest, list by list, of sets near enough to be compared in full."""
     from pyspark.sql import Window
 
-    many = lists.withColumn("c", F.count("*").over(Window.partitionBy("k1"))).where("c > 1")
-    many = many.join(info.where("n > 0").dropDuplicates(["id"]), "id")
+    many = written(lists.withColumn("c", F.count("*").over(Window.partitionBy("k1"))).where("c > 1"), "jaccard-lists")
+    least = F.ceil(F.lit(num) * F.col("n") / den)
+    needed = F.when(least > LARGE, F.ceil(F.lit(EXTRA) * least / 100)).otherwise(1)
+    able = many.groupBy("id").agg(F.count("*").alias("met")).join(info.where("n > 0").dropDuplicates(["id"]), "id").where(F.col("met") >= needed)
+    many = many.where("kind = 0").join(able, "id")
     blocks = F.expr(f"cast(ceil(c / {LIST_BLOCK}) as int)")
     many = many.withColumn("nb", blocks).withColumn("blk", F.expr("pmod(xxhash64(id), nb)"))
     dealt = many.select("k1", "id", "n", "parity", "blk", F.explode(F.expr("sequence(0, nb - 1)")).alias("o"))
@@ -317,7 +330,7 @@ def links(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     info, rarity = describe(docs, text, key, words)
     most = boundary(info, num, den)
     found = entries(docs, text, key, words, rarity, most, num, den)
-    near = written(list_edges(found.where("kind = 0").select("k1", "id"), info, num, den), "jaccard-near")
+    near = written(list_edges(found.where("kind in (0, 5)").select("kind", "k1", "id"), info, num, den), "jaccard-near")
     groups = components(near, "jaccard-groups")
     full = set_edges(docs, text, key, words, groups, info, num, den)
     same = found.where("kind = 4").selectExpr("k1 a", "id b")

@@ -58,6 +58,8 @@ def corpus(seed):
 def test_groups_equal_all_pairs(spark, seed, most, monkeypatch):
     if most is not None:
         monkeypatch.setattr(jaccard, "boundary", lambda *a: most)
+    if seed == 2:
+        monkeypatch.setattr(jaccard, "LARGE", 30)
     if seed == 3:
         monkeypatch.setattr(jaccard, "GROUP_ELEMENTS", 500)
     rows = corpus(seed)
