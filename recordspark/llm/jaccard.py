@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from recordspark.llm.common import components, mix, prepare, sliced, summed, text_buffer, word_hashes, written
 
 #: Counters of the frequency sketch that orders elements; slices it is summed in.
-SKETCH, SLICES = 1 << 20, 16
+SKETCH, SLICES = 1 << 22, 16
 #: Sets of a list, and elements of a component, that one task compares at a time.
 LIST_BLOCK, GROUP_ELEMENTS = 2048, 2_000_000
+#: Edges that a task remembers so as not to repeat them.
+SEEN_EDGES = 300_000
 #: Largest size that subsets may be enumerated for, and the most subsets of one set.
 LIGHT_MOST, SUBSETS_MOST = 40, 4096
 #: Sets above LARGE elements have EXTRA (of den) of their elements as additional entries: see extra_entries.
@@ -100,7 +102,7 @@ def describe(docs: DataFrame, text: str, key: str, words: int) -> tuple[DataFram
         names = ["id", "n", "parity", "slice", "blob"]
         for batch in batches:
             grams, first = shingle_sets(*text_buffer(batch.column(1)), words)
-            total += np.bincount((grams >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
+            total += np.bincount((grams >> np.uint64(42)).astype(np.int64), minlength=SKETCH)
             n, none = batch.num_rows, pa.nulls(batch.num_rows, pa.int64())
             bits = pa.array([x.tobytes() for x in parity(grams, first)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), bits, none, pa.nulls(n, pa.binary())], names=names)
@@ -109,8 +111,7 @@ def describe(docs: DataFrame, text: str, key: str, words: int) -> tuple[DataFram
 
     out = written(rows.mapInArrow(run, "id long, n long, parity binary, slice long, blob binary"), "jaccard-sets")
     counts = summed(out.where("slice is not null").select("slice", "blob"), SKETCH)
-    usual = 4 * max(4.0, counts.sum() / SKETCH)
-    rarity = np.floor(np.log2(np.maximum(1, counts / usual))).astype(np.uint8)
+    rarity = np.minimum(255, np.floor(8 * np.log2(1 + counts))).astype(np.uint8)
     return out.where("slice is null").select("id", "n", "parity"), rarity
 
 
@@ -168,7 +169,7 @@ def entries(docs: DataFrame, text: str, key: str, words: int, rarity: np.ndarray
                     for kind, x, y in subsets(grams[first[d] : first[d + 1]], int(n[d])):
                         kinds.append(kind), k1.append(x), k2.append(y), own.append(int(ids[d]))
             of = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((grams, rarity[(grams >> np.uint64(44)).astype(np.int64)], of))
+            order = np.lexsort((grams, rarity[(grams >> np.uint64(42)).astype(np.int64)], of))
             rank = np.arange(len(grams)) - np.repeat(first[:-1], n)
             heavy = fresh & (n * den >= num * (most + 1))
             length = n - -(-num * n // den) + 1
@@ -248,6 +249,15 @@ def list_edges(lists: DataFrame, info: DataFrame, num: int, den: int) -> DataFra
     dealt = dealt.withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")).drop("blk", "o")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+
+        def unseen(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            if len(seen) > SEEN_EDGES:
+                seen.clear()
+            new = [p for p in pairs if p not in seen]
+            seen.update(new)
+            return _edge_batch([a for a, _ in new], [b for _, b in new])
+
         for table in _whole_groups(batches, ["k1", "i", "j"]):
             ids, n = table["id"].to_numpy(), table["n"].to_numpy()
             bits = np.frombuffer(b"".join(table["parity"].to_pylist()), "<u8").reshape(-1, 4)
@@ -271,12 +281,12 @@ def list_edges(lists: DataFrame, info: DataFrame, num: int, den: int) -> DataFra
                 x = x[near(x, x + d)]
                 a.append(ids[x]), b.append(ids[x + d])
             pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0)
-            yield _edge_batch(pairs[:, 0], pairs[:, 1])
+            yield unseen([tuple(p) for p in pairs.tolist()])
             for g in np.flatnonzero(size > 8):
                 s, c = int(start[g]), int(size[g])
                 everyone = np.arange(s, s + c)
                 edges = _forest(c, lambda x: near(np.array([s + x]), everyone))
-                yield _edge_batch([ids[s + x] for x, _ in edges], [ids[s + y] for _, y in edges])
+                yield unseen([(int(ids[s + x]), int(ids[s + y])) for x, y in edges])
 
     together = dealt.repartition("k1", "i", "j").sortWithinPartitions("k1", "i", "j", "id")
     return together.mapInArrow(run, "a long, b long")
