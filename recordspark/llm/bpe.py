@@ -26,21 +26,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordspark.llm.common import fresh, prepare
+from recordspark.llm.common import CHUNK, OTHER_VALUES, VALUES, fresh, mix, powers, prepare
 
 #: Letters of Latin-1 but for the signs that double as letters, which are foreign here.
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-RUNS = re.compile(f" ?[{LETTER}]+(?:'[{LETTER}]+)*|(?:(?! [{LETTER}])[^{LETTER}])+")
 FOREIGN = re.compile("[^\x00-\x84\x86-\x9f\xa1-\xa9\xab-\xb4\xb6-\xb9\xbb-\xff]")
 APOSTROPHE = re.compile(f"(?<![{LETTER}])'(?=[{LETTER}])")
 #: White space that ends in another blank than the space: its last blank may stand alone before a letter.
 BLANKS = re.compile(f"\\s[^\\S ](?=[{LETTER}])")
-#: Runs that a worker remembers in each of two generations, and the longest of them.
+#: Runs that a worker remembers in each of two generations, and the longest of them in bytes.
 REMEMBERED, LONGEST = 400_000, 64
+#: Bytes of letters in the UTF-8 of Latin-1: A-Z, a-z, and after 0xC3 all but the signs of times and division.
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 #: Texts above this many code points are cut into halves.
 PIECE_CHARS = 32_768
 
 
+def run_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where runs begin: a stretch of letters (apostrophes between letters too) with one space before it, and what lies between."""
+    letter = np.zeros(len(raw) + 2, bool)  # a blank on either side
+    inner = letter[1:-1]
+    inner[:] = _ASCII_LETTER[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+    inner[lead] = inner[lead + 1] = True
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    mark = np.flatnonzero(raw == 39)
+    mark = mark[letter[mark] & letter[mark + 2] & ~edge[mark] & ~edge[mark + 1]]
+    inner[mark] = True
+    first = inner & (~letter[:-2] | edge[:-1])
+    space = raw == 32
+    opens = np.zeros(len(raw), bool)
+    opens[:-1] = space[:-1] & first[1:] & ~edge[1:-1]
+    after = ~inner & letter[:-2]
+    start = opens | after | edge[:-1]
+    start[1:] |= first[1:] & ~opens[:-1]
+    start[:1] = True
+    return np.flatnonzero(start)
+
+
+def run_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of every run."""
+    h1, h2 = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
+    k = 0
+    while k < len(start):
+        stop = max(k + 1, int(np.searchsorted(end, start[k] + CHUNK, side="right")))
+        a, b = int(start[k]), int(end[stop - 1])
+        up, down = powers(b - a + 1)
+        s, e = start[k:stop] - a, end[k:stop] - a
+        for out, values in ((h1, VALUES), (h2, OTHER_VALUES)):
+            total = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(values[raw[a:b]] * up[: b - a], out=total[1:])
+            out[k:stop] = (total[e] - total[s]) * down[s]
+        k = stop
+    size = (end - start).astype(np.uint64)
+    return mix(h1 + size), h2 ^ size
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them without added special tokens."""
 
@@ -53,45 +97,90 @@ class Encoder:
         self.tokenizer.no_truncation()
         pre = str(self.tokenizer.pre_tokenizer)
         self.keeps_spaces = "Removed" not in pre
-        self.known: dict[str, bytes] = {"": b""}
-        self.earlier: dict[str, bytes] = {}
+        self.known: dict[int, tuple[bytes, int]] = {}
+        self.earlier: dict[int, tuple[bytes, int]] = {}
         self.names: list[str] | None = None
         self.control = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        parting = [(k, t.content.encode()) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.parting = parting[0] if parting else None
         #: A space after other white space may belong to one token with it.
         self.unsafe = re.compile(r"\s ")
 
-    def runs(self, text: str) -> list[str]:
-        """Stretches whose ids, one after another, are the ids of the text."""
-        if not (FOREIGN.search(text) or (self.keeps_spaces and BLANKS.search(text)) or ("'" in text and APOSTROPHE.search(text)) or any(c in text for c in self.control)):
-            return RUNS.findall(text)
+    def simple(self, text: str) -> bool:
+        """Runs may be cut at letters."""
+        return not (FOREIGN.search(text) or (self.keeps_spaces and BLANKS.search(text)) or ("'" in text and APOSTROPHE.search(text)) or any(c in text for c in self.control))
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text that is cut at single spaces or not at all."""
         if not self.keeps_spaces:
-            return text.split(" ")
-        if self.unsafe.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            parts = [x for x in text.split(" ") if x]
+        elif self.unsafe.search(text):
+            parts = [text]
+        else:
+            first, *rest = text.split(" ")
+            parts = [x for x in (first, *[" " + x for x in rest]) if x]
+        new = list(dict.fromkeys(parts))
+        ids = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+        return b"".join([ids[x] for x in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = [self.runs(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known, self.earlier = {"": b""}, self.known
-        known, earlier = self.known, self.earlier
-        new = []
-        for x in {x for p in parts for x in p if x not in known}:
-            if x in earlier:
-                known[x] = earlier[x]
-            else:
-                new.append(x)
-        for k in range(0, len(new), 10_000):
-            for x, e in zip(new[k : k + 10_000], self.tokenizer.encode_batch_fast(new[k : k + 10_000], add_special_tokens=False)):
-                known[x] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([known[x] for x in p]) for p in parts]
-        for x in new:
-            if len(x) > LONGEST:
-                del known[x]
+        out: list[bytes | None] = [None if self.simple(t) else self.plain(t) for t in texts]
+        easy = [k for k, x in enumerate(out) if x is None]
+        if easy:
+            for k, ids in zip(easy, self._by_runs([texts[k].encode() for k in easy])):
+                out[k] = ids
         return out
 
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each run: many at once with a control token between, which parts texts before anything else happens."""
+        if self.parting is None:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        number, mark = self.parting
+        out: list[bytes] = []
+        for a in range(0, len(words), 2000):
+            part = words[a : a + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([mark.join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == number)
+            assert len(cut) == len(part) - 1
+            every, begin = ids.tobytes(), [0, *((cut + 1) * 4).tolist()]
+            out += [every[x:y] for x, y in zip(begin, [*(cut * 4).tolist(), len(every)])]
+        return out
+
+    def _by_runs(self, texts: list[bytes]) -> list[bytes]:
+        """All runs of the texts are hashed together; each distinct one is looked up once and its ids dealt to its places."""
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        start = run_starts(raw, offsets)
+        if not len(start):
+            return [b""] * len(texts)
+        end = np.append(start[1:], len(raw))
+        h1, h2 = run_hashes(raw, start, end)
+        distinct, first, place = np.unique(h1, return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED:
+            self.known, self.earlier = {}, self.known
+        known, earlier, second = self.known, self.earlier, h2[first].tolist()
+        ids: list[bytes | None] = []
+        for key, other, have in zip(distinct.tolist(), second, map(known.get, distinct.tolist())):
+            if have is None and key in earlier:
+                have = known[key] = earlier[key]
+            ids.append(have[0] if have is not None and have[1] == other else None)
+        new = [k for k, x in enumerate(ids) if x is None]
+        whole = raw.tobytes()
+        words = [whole[start[f] : end[f]] for f in first[new].tolist()]
+        for k, w, own in zip(new, words, self._each(words)):
+            ids[k] = own
+            if len(w) <= LONGEST:
+                known[int(distinct[k])] = (own, second[k])
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.array([len(x) for x in ids]) // 4
+        begin = np.cumsum(size) - size
+        count = size[place]
+        upto = np.concatenate(([0], np.cumsum(count)))
+        dealt = flat[np.repeat(begin[place] - upto[:-1], count) + np.arange(upto[-1])]
+        cut = upto[np.searchsorted(start, offsets)]
+        return [dealt[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and where each token begins and ends in the text."""
         e = self.tokenizer.encode(text, add_special_tokens=False)

@@ -82,11 +82,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+OTHER_VALUES = mix(VALUES + np.uint64(0x632BE59BD9B4E019))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = max(CHUNK, 1 << (n - 1).bit_length())
     if size not in _POWERS:
         up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, _INVERSE, dtype=np.uint64)
@@ -135,10 +136,10 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, classe
     while k < len(start):
         stop = max(k + 1, int(np.searchsorted(end, start[k] + CHUNK, side="right")))
         a, b = int(start[k]), int(end[stop - 1])
-        up, down = _powers(b - a + 1)
+        up, down = powers(b - a + 1)
         part = raw[a:b]
         total = np.zeros(b - a + 1, dtype=np.uint64)
-        np.cumsum(_VALUE[_LOWER[part] if lower else part] * up[: b - a], out=total[1:])
+        np.cumsum(VALUES[_LOWER[part] if lower else part] * up[: b - a], out=total[1:])
         s, e = start[k:stop] - a, end[k:stop] - a
         out[k:stop] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
         k = stop
