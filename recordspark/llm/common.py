@@ -52,7 +52,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written as a table in the shared folder and read again: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -204,7 +204,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         both = e.unionAll(e.selectExpr("v u", "u v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
         # large star: every larger neighbour hangs on the smallest one
-        large = both.join(low, "u").where("v > u").selectExpr("v u", "m v").where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").selectExpr("v u", "m v").where("u <> v")
         # small star: the smaller neighbours and the node itself hang on the smallest one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").selectExpr("v u", "m v").where("u <> v").unionAll(least.selectExpr("u", "m v")).distinct()

@@ -98,14 +98,18 @@ def describe(docs: DataFrame, text: str, key: str, words: int) -> tuple[DataFram
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total, slots = np.zeros(SKETCH, np.int64), [np.zeros(0, np.uint32)]
         names = ["id", "n", "parity", "slice", "blob"]
         for batch in batches:
             grams, first = shingle_sets(*text_buffer(batch.column(1)), words)
-            total += np.bincount((grams >> np.uint64(42)).astype(np.int64), minlength=SKETCH)
+            slots.append((grams >> np.uint64(42)).astype(np.uint32))
+            if sum(map(len, slots)) > SKETCH // 4:
+                total += np.bincount(np.concatenate(slots), minlength=SKETCH)
+                slots = []
             n, none = batch.num_rows, pa.nulls(batch.num_rows, pa.int64())
             bits = pa.array([x.tobytes() for x in parity(grams, first)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), bits, none, pa.nulls(n, pa.binary())], names=names)
+        total += np.bincount(np.concatenate([*slots, np.zeros(0, np.uint32)]), minlength=SKETCH)
         part = sliced(total, SLICES)
         yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), *part.columns], names=names)
 
