@@ -220,3 +220,12 @@ PERIODS = "select * from (values (1, 1992, 1993, 'first'), (2, 1993, 1995, 'seco
 @query("lk19_period_lookup", f"with i as (select o_orderkey as issue_id, cast(year(o_orderdate) as int) as year from orders) select issue_id, year, (select arg_min(holder, ord) from ({PERIODS}) where year between first_year and last_year) as holder from i")
 def lk19(spark, sf):
     return L.period_lookup(table(spark, sf, "orders").select(F.col("o_orderkey").alias("issue_id"), F.year("o_orderdate").alias("year")), spark.sql(PERIODS))
+
+
+@query("lk4_confirm_duplicates")
+def lk4(spark, sf):
+    from recordspark.operators.confirm import confirm_duplicates
+
+    d = table(spark, sf, "documents")
+    pairs = L.near_duplicate_candidates(L.text_signature(d)).select("a", "b").persist()  # read five times
+    return confirm_duplicates(pairs, d)

@@ -129,3 +129,17 @@ def test_learned_tables(spark):
     rows = spark.createDataFrame([("Casa A", "X"), ("casa a!", "X"), ("B", "Y"), ("K", "Z")], "publisher string, city string")
     known = spark.createDataFrame([("k", "Q")], "key string, city string")
     assert sorted(map(tuple, A.learn_publisher_city(rows, known).collect())) == [("casa a", "X", 2, "media"), ("k", "Q", 1, "conhecida")]
+
+
+def test_confirm_duplicates_equals_plain(spark):
+    from difflib import SequenceMatcher
+
+    from recordspark.operators.confirm import confirm_duplicates
+
+    base = ["w%d" % k for k in range(200)]
+    texts = {1: base, 2: base, 3: [*base[:-5], "x", "y", "z", "u", "v"], 4: base[::-1], 5: base[:150]}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    pairs = [(1, 2), (1, 3), (2, 3), (1, 4), (1, 5)]
+    got = {r.b: (r.a, round(r.ratio, 9), r.verdict) for r in confirm_duplicates(spark.createDataFrame(pairs, "a long, b long"), docs).collect()}
+    ratio = lambda a, b: round(SequenceMatcher(None, texts[b], texts[a]).ratio(), 9)
+    assert got == {2: (1, 1.0, "confirmed"), 3: (1, ratio(1, 3), "review")}
