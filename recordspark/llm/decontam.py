@@ -42,11 +42,12 @@ def qgrams(points: np.ndarray) -> np.ndarray:
     return np.ndarray((len(folded) - Q + 1,), "<u8", folded, strides=(1,)).copy()
 
 
-def banded_edits(item: np.ndarray, text: np.ndarray, low: int, high: int, fixed_end: int | None = None) -> tuple[int, int]:
+def banded_edits(item: np.ndarray, text: np.ndarray, low: int, high: int, fixed_end: int | None = None, most: int | None = None) -> tuple[int, int]:
     """Fewest edits that turn the item into a stretch of text, and where that stretch ends.
 
     Only diagonals low..high count; the stretch may begin on any of them, or only at fixed_end's
-    diagonal if given. Of equal results the first end is taken.
+    diagonal if given. Of equal results the first end is taken. The least cost never falls from one
+    character to the next, so once it exceeds most the search ends with that cost.
     """
     width = high - low + 1
     step = np.arange(width)
@@ -62,6 +63,8 @@ def banded_edits(item: np.ndarray, text: np.ndarray, low: int, high: int, fixed_
         best = cost + (padded[i : i + width] != c)
         best[:-1] = np.minimum(best[:-1], cost[1:] + 1)
         cost = np.minimum.accumulate(best - step) + step
+        if most is not None and i % 8 == 7 and cost.min() > most:
+            break
     k = int(np.argmin(cost))
     return int(cost[k]), int(at[k]) + len(item)
 
@@ -123,6 +126,12 @@ class ItemIndex:
         total = shared + follows
         pair = seen // span
         good = total >= self.bound[pair % len(self.ids)]
+        # repeated text meets the same place of an item again and again: places count once in a strip
+        strips = np.unique(np.concatenate((seen[good], seen[good] + 1)))
+        near = np.isin(code, strips)
+        once = np.unique(np.stack((code[near], self.place[entry][near])), axis=1)[0]
+        places = np.searchsorted(once, seen + 2, side="left") - np.searchsorted(once, seen, side="left")
+        good &= places >= self.bound[pair % len(self.ids)]
         best: dict[tuple[int, int], tuple[int, int, int, int, int, int]] = {}
         for c, count in zip(seen[good].tolist(), total[good].tolist()):
             d, i = divmod(c // span, len(self.ids))
@@ -136,7 +145,7 @@ class ItemIndex:
                 start = max(0, a) + exact // 4
                 best[d, i] = (d, i, 0, start, start + len(self.points[i]), count)
                 continue
-            edits, end = banded_edits(self.points[i], points[d], a - k, a + 2 * w - 1 + k)
+            edits, end = banded_edits(self.points[i], points[d], a - k, a + 2 * w - 1 + k, most=k)
             if edits <= k and ((d, i) not in best or edits < best[d, i][2]):
                 back = points[d][:end][::-1]
                 start = end - banded_edits(self.points[i][::-1], back, -k - 1, k + 1, fixed_end=0)[1]
