@@ -94,7 +94,7 @@ class ItemIndex:
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
         """(text number, item number, edits, start, end, shared q-grams) of every item found in a text, best stretch each."""
-        if not len(self.keys):
+        if not len(self.keys) or not texts:
             return []
         points = [code_points(t) for t in texts]
         sizes = np.array([len(p) for p in points])

@@ -61,3 +61,8 @@ def test_band_at_edges():
     a = code_points("abcdefghij")
     assert banded_edits(a, code_points("abcdefghij"), -2, 2) == (0, 10)
     assert banded_edits(a, code_points("xxabcdefghi"), 0, 4)[0] == 1
+
+
+def test_texts_without_hits():
+    index = ItemIndex([(1, "the quick brown fox jumps over the lazy dog again and again")])
+    assert index.search(["nothing here at all to see in this text", "", "x"]) == index.search([""]) == index.search([]) == []
