@@ -200,8 +200,6 @@ from j
 
 ORACLE_SQL = {
     "op2_chat_formatting": _CHAT_SQL,
-    "op3_quality_classifier": op3_quality_classifier,
-    "op4_bpe": op4_bpe,
     "op5_quality_rules": _RULES_SQL,
     "op10_url_filters": _URL_SQL,
 }
