@@ -2,8 +2,9 @@
 
 Terms come from a seed list and from labelled rows: words and word beginnings that are far more
 frequent in toxic than in clean rows. A word that is no term is run through the product of the
-trie with the Levenshtein automaton of one edit; states are made when first met and kept, so most
-words die after two or three table look-ups. Every hit is weighed by the words around it: in
+trie with the Levenshtein automaton of one edit (two neighbours that changed places count as one);
+states are made when first met and kept, so most words die after two or three table look-ups. Digits
+belong to words, so `id1ot` is one edit from a term; the letters beside them are looked up as well. Every hit is weighed by the words around it: in
 quotation marks or beside a reporting word it counts less, addressed to someone it counts more.
 A logistic model over a few sums turns that into a score.
 """
@@ -33,16 +34,24 @@ WINDOW, QUOTED, ADDRESSED = 5, 0.25, 1.5
 STEMS = (4, 5, 6)
 #: Edits for terms of this length on; shorter terms must match exactly.
 EDITS, FUZZY_FROM = 1, 5
-WORD = re.compile(r"[^\W\d_]+")
+#: A near form seen in clean rows is innocent unless it is this much more frequent in toxic ones.
+NEAR_LIFT = 2.0
+#: Words hold a letter; starting only where no word goes on keeps long numbers linear.
+WORD = re.compile(r"(?<![^\W_])\d*+[^\W\d_][^\W_]*")
+LETTERS = re.compile(r"[^\W\d_]+")
 REMEMBERED = 400_000
 FEATURES = 6
 
 
 class FuzzyTrie:
-    """Words within EDITS of a term: the trie intersected with the Levenshtein automaton, made lazily deterministic."""
+    """Words within EDITS of a term: the trie intersected with the Levenshtein automaton, made lazily deterministic.
 
-    def __init__(self, terms: list[str], edits: int = EDITS):
-        self.edits, self.children, self.ends = edits, [{}], [None]
+    A state maps nodes to costs. With swaps, neighbours that changed places are one edit (optimal
+    string alignment): (node, c) waits for c, the first of the two, to arrive at node.
+    """
+
+    def __init__(self, terms: list[str], edits: int = EDITS, swaps: bool = False):
+        self.edits, self.swaps, self.children, self.ends = edits, swaps, [{}], [None]
         for term in terms:
             node = 0
             for c in term:
@@ -53,12 +62,12 @@ class FuzzyTrie:
                 node = self.children[node][c]
             self.ends[node] = term
         self.states: dict[frozenset, int] = {frozenset(): 0}
-        self.content: list[dict[int, int]] = [{}]
+        self.content: list[dict] = [{}]
         self.moves: list[dict[str, int]] = [{}]
         self.start = self._number(self._skips({0: 0}))
 
-    def _skips(self, state: dict[int, int]) -> dict[int, int]:
-        todo = list(state)
+    def _skips(self, state: dict) -> dict:
+        todo = [node for node in state if isinstance(node, int)]
         while todo:
             node = todo.pop()
             for child in self.children[node].values():
@@ -68,7 +77,7 @@ class FuzzyTrie:
                     todo.append(child)
         return state
 
-    def _number(self, state: dict[int, int]) -> int:
+    def _number(self, state: dict) -> int:
         key = frozenset(state.items())
         if key not in self.states:
             self.states[key] = len(self.content)
@@ -77,8 +86,17 @@ class FuzzyTrie:
         return self.states[key]
 
     def _move(self, number: int, c: str) -> int:
-        out: dict[int, int] = {}
+        out: dict = {}
         for node, cost in self.content[number].items():
+            if not isinstance(node, int):
+                if node[1] == c and cost < out.get(node[0], self.edits + 1):
+                    out[node[0]] = cost
+                continue
+            if self.swaps and cost < self.edits:
+                for ch, child in self.children[node].items():
+                    if ch != c and c in self.children[child]:
+                        both = self.children[child][c], ch
+                        out[both] = min(cost + 1, out.get(both, self.edits))
             options = [(child, cost + (ch != c)) for ch, child in self.children[node].items()]
             for child, total in (*options, (node, cost + 1)):
                 if total <= self.edits and total < out.get(child, self.edits + 1):
@@ -94,23 +112,43 @@ class FuzzyTrie:
             state = moves[c] if c in moves else self._move(state, c)
             if not state:
                 return None
-        found = [(cost, self.ends[node]) for node, cost in self.content[state].items() if self.ends[node]]
+        found = [(cost, self.ends[node]) for node, cost in self.content[state].items() if isinstance(node, int) and self.ends[node]]
         return min(found)[1] if found else None
 
 
+def pieces(word: str) -> list[str]:
+    """The runs of letters of a word with digits; none of a word without."""
+    return LETTERS.findall(word) if any(c.isdecimal() for c in word) else []
+
+
+def vocabulary(text: str | None) -> set[str]:
+    """The distinct words of a text and the pieces of those with digits."""
+    words = set(WORD.findall((text or "").lower()))
+    return words.union(*map(pieces, words))
+
+
+def tallied(tally: Counter) -> Iterator[pa.RecordBatch]:
+    """Counts of (kind, term, y) as batches."""
+    items = list(tally.items())
+    for a in range(0, len(items), 20_000):
+        part = items[a : a + 20_000]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in part], pa.string()), pa.array([x[0][1] for x in part], pa.string()), pa.array([x[0][2] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64())], names=["kind", "term", "y", "n"])
+
+
 @dataclass
 class Toxicity:
-    """terms and stems with their weights; innocent: near forms seen in clean text; weights of the features."""
+    """terms and stems with their weights; innocent: near forms as frequent in clean text; weights of the features; swaps as in FuzzyTrie."""
 
     terms: dict[str, float]
     stems: dict[str, float]
     innocent: frozenset[str]
     weights: np.ndarray
+    swaps: bool = False
     _known: dict = field(default_factory=dict, repr=False, compare=False)
     _trie: FuzzyTrie | None = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
-        return {"terms": self.terms, "stems": self.stems, "innocent": self.innocent, "weights": self.weights, "_known": {}, "_trie": None}
+        return {"terms": self.terms, "stems": self.stems, "innocent": self.innocent, "weights": self.weights, "swaps": self.swaps, "_known": {}, "_trie": None}
 
     def look(self, word: str) -> tuple[str, float, bool] | None:
         """Term, weight and whether it is misspelled."""
@@ -121,12 +159,23 @@ class Toxicity:
                 return word[:k] + "*", self.stems[word[:k]], False
         if len(word) >= FUZZY_FROM - 1 and word not in self.innocent:
             if self._trie is None:
-                self._trie = FuzzyTrie([t for t in self.terms if len(t) >= FUZZY_FROM])
+                self._trie = FuzzyTrie([t for t in self.terms if len(t) >= FUZZY_FROM], swaps=self.swaps)
             near = self._trie.match(word)
-            if near and near[0] == word[0]:
+            if near:
                 return near, self.terms[near], True
         return None
 
+    def found(self, word: str) -> list[tuple[str, float, bool]]:
+        """What a word counts as: itself, or, if it has digits, first the terms that its letters spell."""
+        whole = self.look(word)
+        parts = pieces(word)
+        if parts and word not in self.terms:
+            hits = [x for x in map(self.look, parts) if x]
+            right = [x for x in hits if not x[2]]
+            if right or not whole:
+                return right or hits
+        return [whole] if whole else []
+
     def hits(self, text: str) -> tuple[list[tuple[int, str, float, bool, float]], int]:
         """(place, term, weight, misspelled, context factor) of every hit, and the number of words."""
         if len(self._known) > REMEMBERED:
@@ -135,8 +184,8 @@ class Toxicity:
         words = WORD.findall(text.lower())
         for w in set(words):
             if w not in known:
-                known[w] = self.look(w)
-        places = [k for k, w in enumerate(words) if known[w] is not None]
+                known[w] = self.found(w)
+        places = [k for k, w in enumerate(words) if known[w]]
         spans = None
         for k in places:
             around = words[max(0, k - WINDOW) : k] + words[k + 1 : k + 1 + WINDOW]
@@ -149,7 +198,7 @@ class Toxicity:
             a, b = spans[k]
             if (a and low[a - 1] in QUOTES and low[b : b + 1] in QUOTES and low[b : b + 1]) or not REPORTING.isdisjoint(around):
                 factor = QUOTED
-            out.append((k, *known[words[k]], factor))
+            out.extend((k, *x, factor) for x in known[words[k]])
         return out, len(words)
 
     def features(self, text: str | None) -> tuple[np.ndarray, list[str]]:
@@ -174,45 +223,61 @@ def _labelled(docs: DataFrame, labels: DataFrame, text: str, key: str, label: st
 def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Toxicity:
     """Terms and weights from at most fit_rows rows of labels, chosen by hash of their ids.
 
-    Counting terms is one aggregation with partial sums; what reaches the driver is at most
-    20 * MAX_TERMS candidate terms and FEATURES numbers per row. Without labelled rows of both
+    Counting terms is one aggregation with partial sums, counting near forms of the chosen terms
+    another; what reaches the driver is at most 20 * MAX_TERMS near forms and FEATURES numbers per row. Without labelled rows of both
     classes the seed terms are used with fixed weights.
     """
     prepare(docs.sparkSession)
     rows = _labelled(docs, labels, text, key, label, fit_rows)
-    start = Toxicity({t: 1.0 for t in SEED_TERMS}, {}, frozenset(), np.array([-2.0, 2.0, 0.0, 0.5, 0.0, 0.0]))
+    start = Toxicity({t: 1.0 for t in SEED_TERMS}, {}, frozenset(), np.array([-2.0, 2.0, 0.0, 0.5, 0.0, 0.0]), swaps=True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: Counter = Counter()
         kinds: Counter = Counter()
         for batch in batches:
             for body, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(WORD.findall((body or "").lower()))
-                found = {("w", w) for w in words if len(w) >= 4} | {("s", w[:k]) for w in words for k in STEMS if len(w) > k}
-                found |= {("n", w) for w in words if w not in start.terms and start.look(w)}
+                words = vocabulary(body)
+                found = {("w", w) for w in words if len(w) >= 4} | {("s", w[:k]) for w in words for k in STEMS if len(w) > k and not w[:k].isdecimal()}
                 kinds[y] += 1
                 tally.update((k, w, y) for k, w in found)
         tally.update({("", "", y): n for y, n in kinds.items()})
-        items = list(tally.items())
-        for a in range(0, len(items), 20_000):
-            part = items[a : a + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in part], pa.string()), pa.array([x[0][1] for x in part], pa.string()), pa.array([x[0][2] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64())], names=["kind", "term", "y", "n"])
-
-    counted = rows.mapInArrow(count, "kind string, term string, y long, n long").groupBy("kind", "term").agg(
-        F.coalesce(F.sum(F.expr("if(y = 1, n, 0)")), F.lit(0)).alias("bad"), F.coalesce(F.sum(F.expr("if(y = 1, 0, n)")), F.lit(0)).alias("good")
-    )
-    counted = counted.where("bad >= 3 or kind = '' or (kind = 'n' and good > 0)")
+        yield from tallied(tally)
+
+    def classes(f) -> DataFrame:
+        return rows.mapInArrow(f, "kind string, term string, y long, n long").groupBy("kind", "term").agg(
+            F.coalesce(F.sum(F.expr("if(y = 1, n, 0)")), F.lit(0)).alias("bad"), F.coalesce(F.sum(F.expr("if(y = 1, 0, n)")), F.lit(0)).alias("good")
+        )
+
+    counted = classes(count).where("bad >= 3 or kind = ''")
     n = counted.where("kind = ''").first()
     if n is None or not n["bad"] or not n["good"]:
         return start
     lift = (F.col("bad") / n["bad"]) / ((F.col("good") + 0.5) / n["good"])
     least = max(3, round(0.01 * n["bad"]))
-    top = counted.where(f"kind <> '' and bad >= {least}").withColumn("lift", lift).where("lift >= 4 and kind <> 'n'").orderBy(F.desc("lift"), "kind", "term").limit(MAX_TERMS)
+    top = counted.where(f"kind <> '' and bad >= {least}").withColumn("lift", lift).where("lift >= 4").orderBy(F.desc("lift"), "kind", "term").limit(MAX_TERMS)
     terms, stems = dict(start.terms), {}
     for r in top.collect():
         (terms if r["kind"] == "w" else stems)[r["term"]] = float(min(1.0, np.log(r["lift"]) / 6))
-    innocent = counted.where("kind = 'n' and good > 0").orderBy(F.desc("good"), "term").limit(20 * MAX_TERMS).collect()
-    model = Toxicity(terms, stems, frozenset(r["term"] for r in innocent), start.weights)
+    model = Toxicity(terms, stems, frozenset(), start.weights, swaps=True)
+
+    def count_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally: Counter = Counter()
+        known: dict[str, bool] = {}
+        for batch in batches:
+            for body, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for w in vocabulary(body):
+                    if w not in known:
+                        hit = model.look(w)
+                        known[w] = hit is not None and hit[2]
+                    if known[w]:
+                        tally["n", w, y] += 1
+        yield from tallied(tally)
+
+    near = classes(count_near).where(F.col("good") > 0).where(lift < NEAR_LIFT)
+    innocent = near.orderBy(F.desc("good"), "term").limit(20 * MAX_TERMS).collect()
+    model.innocent = frozenset(r["term"] for r in innocent)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

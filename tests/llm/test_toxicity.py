@@ -55,3 +55,40 @@ def test_held_out(spark):
     assert sum((r.score >= 0.5) == (r.doc_id % 3 == 0) for r in got if r.doc_id is not None and 300 <= r.doc_id < 600) >= 290
     assert all(0 <= r.score < 0.5 for r in got if r.doc_id in (900, 901, 902))
     assert score_toxicity(docs.limit(0), fit_toxicity(docs, labels.limit(0))).count() == 0
+
+
+def test_swaps_equal_optimal_alignment():
+    def aligned(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = random.Random(5)
+    for reach in (0, 1, 2):
+        terms = sorted({"".join(rng.choices("abc", k=rng.randint(1, 6))) for _ in range(12)})
+        trie = FuzzyTrie(terms, reach, swaps=True)
+        for _ in range(600):
+            word = "".join(rng.choices("abcd", k=rng.randint(0, 7)))
+            near = min((aligned(word, t), t) for t in terms)
+            assert trie.match(word) == (near[1] if near[0] <= reach else None), (word, terms)
+
+
+def test_common_misspellings_count():
+    m = Toxicity({t: 1.0 for t in SEED_TERMS}, {}, frozenset(), None, swaps=True)
+    for word, term in [("id1ot", "idiot"), ("1diot", "idiot"), ("m0ron", "moron"), ("stup1d", "stupid"), ("diot", "idiot"), ("xdiot", "idiot"), ("idoit", "idiot")]:
+        assert [h[1:4] for h in m.hits(f"such an {word} here")[0]] == [(term, 1.0, True)], word
+    assert [h[1:4] for h in m.hits("idiot2024 99moron")[0]] == [("idiot", 1.0, False), ("moron", 1.0, False)]
+    assert m.hits("in 2024 of 12345 and b2b") == ([], 4)
+
+
+def test_innocence_is_judged_by_lift(spark):
+    bad = ["you idiott scum grobling"] * 40 + ["you grobing clown"] * 40
+    clean = ["the river runs by"] * 76 + ["he wrote idiott once", "he wrote grobing once", "a closer look", "a closer mill"]
+    rows = [(k, t, int(k < 80)) for k, t in enumerate([*bad, *clean])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = fit_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert "idiott" not in m.innocent and "closer" in m.innocent
