@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordspark.functions import text as T
-from recordspark.operators.linkage import SAMPLE_WORDS
 
 CONFIRM, SURE = 0.94, 0.99
 
@@ -24,13 +23,10 @@ def confirm_duplicates(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """b (the newer), a (its best match), ratio, verdict (confirmed from 0.99, else review) of pairs that reach 0.94.
 
     pairs: a, b. Word counts bound the ratio first (2 * common words / all words), by joins and
-    sums; only pairs that can reach 0.94 are compared in sequence, in Arrow batches.
+    sums; only pairs that can reach 0.94 are compared in sequence, whole, in Arrow batches.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     w = docs.select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w")).join(ids, "doc_id")
-    third = SAMPLE_WORDS // 3
-    middle = F.slice("w", F.floor(F.size("w") / 2).cast("int") - third // 2 + 1, F.lit(third))
-    w = w.withColumn("w", F.when(F.size("w") > SAMPLE_WORDS, F.concat(F.slice("w", 1, third), middle, F.slice("w", -third, third))).otherwise(F.col("w")))
     n = w.select("doc_id", F.explode("w").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("c"))
     size = w.select("doc_id", F.size("w").alias("n"))
     common = pairs.join(n.withColumnRenamed("doc_id", "a").withColumnRenamed("c", "ca"), "a").join(n.withColumnRenamed("doc_id", "b").withColumnRenamed("c", "cb"), ["b", "word"])

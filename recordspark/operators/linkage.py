@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from recordspark.functions import text as T
 
-#: Near duplicates: word ratio, Hamming distance, shortest text with a signature, words compared of long texts.
-WORD_RATIO, MAX_HAMMING, LEAST_WORDS, SAMPLE_WORDS = 0.82, 10, 120, 30_000
+#: Near duplicates: word ratio, Hamming distance, shortest text with a signature.
+WORD_RATIO, MAX_HAMMING, LEAST_WORDS = 0.82, 10, 120
 NGRAM = 5
 #: SimHash blocks: 64 bits in 12 blocks; a distance of at most 10 leaves at least two of them equal.
 BLOCKS = 12
@@ -28,16 +28,12 @@ def exact_duplicates(items: DataFrame, content: str = "text", order: str = "doc_
 
 
 def text_signature(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, text_hash, simhash (16 hex digits, null under 120 words) of the sampled word stream.
+    """doc_id, n_words, text_hash, simhash (16 hex digits, null under 120 words) of the whole word stream.
 
-    Texts over 30 000 words are compared by 10 000 from the start, the middle and the end. Words
-    are exploded with their four followers, hashed (first 64 bits of MD5) and each bit's majority is
+    Words are exploded with their four followers, hashed (first 64 bits of MD5) and each bit's majority is
     one conditional sum, combined before the shuffle.
     """
-    third = SAMPLE_WORDS // 3
     w = docs.select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w"))
-    middle = F.slice("w", F.floor(F.size("w") / 2).cast("int") - third // 2 + 1, F.lit(third))
-    w = w.withColumn("w", F.when(F.size("w") > SAMPLE_WORDS, F.concat(F.slice("w", 1, third), middle, F.slice("w", -third, third))).otherwise(F.col("w")))
     base = w.select("doc_id", F.size("w").alias("n_words"), F.sha2(F.array_join("w", " "), 256).alias("text_hash"))
     long = w.where(F.size("w") >= LEAST_WORDS)
     gram = F.expr(f"explode(transform(sequence(1, size(w) - {NGRAM - 1}), i -> array_join(slice(w, i, {NGRAM}), ' ')))")

@@ -143,3 +143,19 @@ def test_confirm_duplicates_equals_plain(spark):
     got = {r.b: (r.a, round(r.ratio, 9), r.verdict) for r in confirm_duplicates(spark.createDataFrame(pairs, "a long, b long"), docs).collect()}
     ratio = lambda a, b: round(SequenceMatcher(None, texts[b], texts[a]).ratio(), 9)
     assert got == {2: (1, 1.0, "confirmed"), 3: (1, ratio(1, 3), "review")}
+
+
+def test_long_texts_are_compared_whole(spark):
+    from difflib import SequenceMatcher
+
+    from recordspark.operators.confirm import confirm_duplicates
+
+    base = ["w%d" % k for k in range(40_000)]
+    other = [*base[:11_000], *["x%d" % k for k in range(1_500)], *base[12_500:]]  # differs outside of start, middle and end
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(base * 2))], "doc_id long, text string")
+    sig = {r.doc_id: r for r in L.text_signature(docs).collect()}
+    assert [sig[k].n_words for k in (1, 2, 3)] == [40_000, 40_000, 80_000]
+    assert len({sig[k].text_hash for k in (1, 2, 3)}) == 3
+    got = confirm_duplicates(spark.createDataFrame([(1, 2)], "a long, b long"), docs).collect()
+    want = SequenceMatcher(None, other, base).ratio()
+    assert [(r.a, r.b, r.verdict) for r in got] == [(1, 2, "review")] and got[0].ratio == pytest.approx(want)
