@@ -145,6 +145,15 @@ def test_confirm_duplicates_equals_plain(spark):
     assert got == {2: (1, 1.0, "confirmed"), 3: (1, ratio(1, 3), "review")}
 
 
+def test_isbns_set_apart_by_blanks(spark):
+    texts = ["ref 972 662 905 5 end", "9 7 2 6 6 2 9 0 5 5", "978 972 662 905 4", "12 345 678"]
+    lines = spark.createDataFrame(list(enumerate(texts)), "doc_id long, line string")
+    got = {r.doc_id: r.isbn13 for r in X.extract_isbns(lines).collect()}
+    plain = lambda d, s: sum(int(c) * w for c, w in zip(d, s))
+    assert plain("9726629055", range(10, 0, -1)) % 11 == 0 and plain("9789726629054", [1, 3] * 7) % 10 == 0
+    assert got == {0: "9789726629054", 1: "9789726629054", 2: "9789726629054"}
+
+
 def test_long_texts_are_compared_whole(spark):
     from difflib import SequenceMatcher
 
