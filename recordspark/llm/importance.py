@@ -1,11 +1,15 @@
 """Quality classifier by importance resampling: hashed n-gram models of target and raw text.
 
-A document's log weight is the sum, over its hashed n-grams, of log(target share / raw share). The
-raw model counts all documents; the target model is fitted to at most FIT_ROWS labelled rows.
+A document's n-gram weight is the mean, over its hashed n-grams, of log(target share / raw share).
+The raw model counts all documents; the target model is fitted to at most FIT_ROWS labelled rows.
 Besides one- and two-token n-grams there are marks for a token that returns after one or two
-places and for a trigram that the text already had, so repetition has its own buckets. Documents
-are sampled without replacement by Gumbel top-k: log weight / temperature + Gumbel noise, the k
-largest stay. The k-th largest key is found exactly from histograms, never by a global sort.
+places and for a trigram that the text already had, so repetition has its own buckets. n-grams of
+one text are far from independent, so the weight is calibrated: a logistic line, fitted to labelled
+rows that the target model has not seen, maps it to log odds of being wanted, and these are the
+importance weights. Documents are sampled without replacement by Gumbel top-k: log weight /
+temperature + Gumbel noise, the k largest stay. At temperature 1 that is sampling by the weights
+themselves: clear cases stay or go, doubtful ones are drawn. The k-th largest key is found exactly
+from histograms, never by a global sort.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from recordspark.llm.common import TOKENS, fresh, mix, prepare, sliced, summed, text_buffer, word_hashes, written
 
-#: Labelled rows of the wanted class that the target model is fitted to, at most.
+#: Labelled rows that the target model, and as many again that the calibration, is fitted to at most.
 FIT_ROWS = 20_000
 BUCKETS = 1 << 16
 #: Marks: repeat after one place, after two, trigram seen before, trigram new.
@@ -29,6 +33,8 @@ MARKS = 4
 #: Pseudo-counts of the raw model that the target model starts from.
 PRIOR_COUNTS = 2 * BUCKETS
 SLICES = 16
+#: n-grams that a short text is thought to have besides its own, all of weight 0; spreads from the median beyond which weights are cut.
+SHORT, WIDEST = 20, 30.0
 
 
 def ngram_buckets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,37 +78,78 @@ def count_buckets(texts: DataFrame) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Importance:
-    """ratio: log(target share / raw share) by bucket; prior: log odds of the wanted class among labels."""
+    """ratio: log(target share / raw share) by bucket; middle, spread: of the mean ratios of labelled rows; line: calibration in them."""
 
     ratio: np.ndarray
-    prior: float
-    temperature: float = 0.1
+    middle: float = 0.0
+    spread: float = 1.0
+    line: tuple[float, float] = (0.0, 1.0)
+    temperature: float = 1.0
     seed: int = 17
 
-    def log_weights(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def means(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         bucket, doc = ngram_buckets(raw, offsets)
-        return np.bincount(doc, weights=self.ratio[bucket], minlength=len(offsets) - 1)[: len(offsets) - 1]
+        texts = len(offsets) - 1
+        n = np.bincount(doc, minlength=texts)[:texts]
+        return np.bincount(doc, weights=self.ratio[bucket], minlength=texts)[:texts] / (n + SHORT)
+
+    def log_weights(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        x = np.clip((self.means(raw, offsets) - self.middle) / self.spread, -WIDEST, WIDEST)
+        return self.line[0] + self.line[1] * x
 
     def keys(self, weights: np.ndarray, ids: np.ndarray) -> np.ndarray:
         u = ((mix(ids.astype(np.int64).view(np.uint64) ^ mix(np.array([self.seed], np.uint64))) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
         return weights / self.temperature - np.log(-np.log(u))
 
 
-def fit_importance(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", wanted: int = 1, fit_rows: int = FIT_ROWS) -> Importance:
-    """The model from all documents and at most fit_rows labelled ones, chosen by hash of their ids.
+def calibrated(means: np.ndarray, wanted: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> tuple[float, float, tuple[float, float]]:
+    """Median, spread and logistic line of the means; targets are drawn in by one row of each class, as if none were sure."""
+    middle = float(np.median(means))
+    spread = float(np.median(np.abs(means - middle))) or 1.0
+    x = np.stack((np.ones(len(means)), np.clip((means - middle) / spread, -WIDEST, WIDEST)), axis=1)
+    order = np.lexsort((wanted, x[:, 1]))  # a fixed order, so that runs agree
+    x, wanted = x[order], wanted[order]
+    good, bad = int(wanted.sum()), int((~wanted).sum())
+    y = np.where(wanted, (good + 1) / (good + 2), 1 / (bad + 2))
+    penalty, w = np.diag([1e-9, ridge]), np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.clip(np.linalg.solve((x.T * (p * (1 - p))) @ x + penalty, x.T @ (y - p) - penalty @ w), -2, 2)
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return middle, spread, (float(w[0]), float(w[1]))
+
+
+def fit_importance(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", wanted: int = 1, fit_rows: int = FIT_ROWS, temperature: float = 1.0) -> Importance:
+    """The model from all documents and at most 2 * fit_rows labelled ones, chosen by hash of their ids.
 
-    Without labelled rows of the wanted class, or without text, every weight is 0. A document
+    Half of the labelled rows make the target model, the other half the calibration; both halves are
+    told apart by hash. Without labelled rows of the wanted class, or without text, all n-gram weights
+    are 0; without calibration rows of both classes the log weight is the log odds among all labels. A document
     with several labels counts as wanted if any is.
     """
     prepare(docs.sparkSession)
     best = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max((F.col(label) == wanted).cast("int")).alias("_y"))
     good, every = best.agg(F.coalesce(F.sum("_y"), F.lit(0)), F.count("*")).first()
-    chosen = best.where("_y = 1").select(key).orderBy(F.xxhash64(key), key).limit(fit_rows)
+    half = F.pmod(F.xxhash64(F.lit("half"), key), F.lit(2))
+    first = lambda rows: rows.orderBy(F.xxhash64(key), key).limit(fit_rows)
     raw = count_buckets(docs.select(text)).astype(float)
-    target = count_buckets(docs.join(F.broadcast(chosen), key, "left_semi").select(text)).astype(float)
+    target = count_buckets(docs.join(F.broadcast(first(best.where((half == 0) & (F.col("_y") == 1)).select(key))), key, "left_semi").select(text)).astype(float)
     share = (raw + 1) / (raw.sum() + BUCKETS)
     ratio = np.log((target + PRIOR_COUNTS * share) / (target.sum() + PRIOR_COUNTS) / share)
-    return Importance(ratio, math.log((good + 1) / (every - good + 1)))
+    plain = Importance(ratio)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(plain.means(*text_buffer(batch.column(0)))), batch.column(1)], names=["m", "y"])
+
+    judged = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(first(best.where(half == 1))), key).select("_text", "_y")
+    rows = judged.mapInArrow(measure, "m double, y int").collect()  # fit_rows labels at most
+    y = np.array([r["y"] for r in rows], bool)
+    if y.all() or not y.any():
+        return Importance(ratio, line=(math.log((good + 1) / (every - good + 1)), 0.0), temperature=temperature)
+    return Importance(ratio, *calibrated(np.array([r["m"] for r in rows]), y), temperature)
 
 
 def weigh(docs: DataFrame, model: Importance, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = (), above: float | None = None) -> DataFrame:
@@ -152,30 +199,35 @@ def kth_largest(values: DataFrame, k: int, bins: int = 4096, small: int = 10_000
     return low
 
 
-def sample_threshold(docs: DataFrame, model: Importance, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, float]:
+def sample_threshold(docs: DataFrame, model: Importance, text: str = "text", key: str = "doc_id", k: int | None = None) -> tuple[DataFrame, float]:
     """All rows' weights as a written table, and the least key that stays.
 
-    k is the number of documents whose odds of being wanted (log weight plus prior) exceed even;
-    rows whose key equals the k-th largest all stay.
+    k: how many documents to draw; None draws as many as are expected to be wanted, the sum of
+    the probabilities that the log weights stand for. Rows whose key equals the k-th largest all stay.
     """
     scored = written(weigh(docs, model, text, key, keep=(key,)), "importance")
-    k = scored.where(F.col("log_weight") + model.prior > 0).count()
+    if k is None:
+        expected = scored.agg(F.coalesce(F.sum(1 / (1 + F.exp(-F.col("log_weight")))), F.lit(0.0))).first()[0]
+        k = round(expected)
     return scored, kth_largest(scored.select("sample_key"), k)
 
 
-def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", k: int | None = None, temperature: float = 1.0) -> DataFrame:
     """One row per document: key, log_weight, sample_key, kept.
 
-    Null or empty texts have weight 0; repeated rows have equal keys and stay or go together; a
-    null id draws the noise of id 0; an empty table gives no rows; other columns are ignored.
+    Null or empty texts have no n-grams and the weight of a mean of 0; repeated rows have equal keys and
+    stay or go together; a null id draws the noise of id 0; an empty table gives no rows; other columns are ignored.
     """
-    model = fit_importance(docs, labels, text, key)
-    scored, least = sample_threshold(docs, model, text, key)
+    model = fit_importance(docs, labels, text, key, temperature=temperature)
+    scored, least = sample_threshold(docs, model, text, key, k)
     return scored.withColumn("kept", F.col("sample_key") >= least)
 
 
-def keep_sampled(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents that the sampling keeps, with all their columns: no join, texts pass through the scoring."""
-    model = fit_importance(docs, labels, text, key)
-    _, least = sample_threshold(docs, model, text, key)
+def keep_sampled(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", k: int | None = None, temperature: float = 1.0) -> DataFrame:
+    """The documents that the sampling keeps, with all their columns: no join, texts pass through the scoring.
+
+    Nulls, ties, repeated rows and empty tables are as in resample: null ids and null texts are sampled too.
+    """
+    model = fit_importance(docs, labels, text, key, temperature=temperature)
+    _, least = sample_threshold(docs, model, text, key, k)
     return weigh(docs, model, text, key, keep=tuple(docs.columns), above=least)
