@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch sent to Python: a few MB of text, so that a worker's memory stays bounded.
-BATCH_ROWS = 512
+#: Rows and bytes per Arrow batch sent to Python, so that a worker's memory stays bounded; one longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 20
 
@@ -20,8 +22,11 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches: documents may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Small Arrow batches: documents may be long. These two settings of the session stay lowered afterwards, as results are lazy."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        have = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if not (have and have.isdigit() and 0 < int(have) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,20 +45,37 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the cluster names none."""
+    """The folder all executors share, as the session names it; a new local one only where driver and executors are one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written as a table in the shared folder and read again: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that written() gave and nothing reads any more."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def held_out(doc_id, modulus: int, rest: int):
@@ -163,17 +185,28 @@ def unpack(blob: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).view(dtype).ravel() if len(raw) else np.zeros(0, dtype)
 
 
+#: Vectors that one group of summed() adds; so many to the third power of tasks can take part.
+FAN_IN = 64
+
+
 def summed(parts: DataFrame, width: int) -> np.ndarray:
-    """Element-wise sum of int64 vectors given as rows (slice, blob); the result has a fixed size."""
+    """Element-wise sum of int64 vectors given as rows (slice, blob), as a tree of three levels: no group has more than FAN_IN tasks' vectors.
+
+    The result has a fixed size, and one row per slice comes to the driver.
+    """
     import pandas as pd
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum((unpack(b, "<i8") for b in group["blob"]), np.zeros(1, np.int64))
-        return pd.DataFrame({"slice": group["slice"].iloc[:1], "blob": [pack(total)]})
-
-    rows = parts.groupBy("slice").applyInPandas(add, "slice long, blob binary").collect()  # one row per slice
+        total = np.zeros(1, np.int64)
+        for blob in group["blob"]:
+            total = total + unpack(blob, "<i8")
+        return pd.DataFrame({"slice": group["slice"].iloc[:1], "g": group["g"].iloc[:1], "blob": [pack(total)]})
+
+    rows = parts.withColumn("g", F.spark_partition_id().cast("long"))
+    for fan in (FAN_IN, FAN_IN, 1 << 40):
+        rows = rows.withColumn("g", F.floor(F.col("g") / fan)).groupBy("slice", "g").applyInPandas(add, "slice long, g long, blob binary")
     out = np.zeros(width, np.int64)
-    for r in rows:
+    for r in rows.collect():
         part = unpack(r["blob"], "<i8")
         out[r["slice"] * len(part) : (r["slice"] + 1) * len(part)] = part
     return out
@@ -189,28 +222,72 @@ def crc_mod(value: int, modulus: int) -> int:
     return zlib.crc32(str(value).encode()) % modulus
 
 
+#: A node with more than one in HOT of all edge ends is hot; so there are fewer than HOT hot nodes.
+HOT = 1000
+#: Edges that a task contracts at a time.
+CONTRACT = 1_000_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the same components as (a, b), u > v: each task joins its edges to stars around their smallest nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            pairs = [(x, t) for x in root if (t := top(x)) != x]
+            root.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                root.setdefault(a, a), root.setdefault(b, b)
+                a, b = top(a), top(b)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+            if len(root) > CONTRACT:
+                yield stars()
+        yield stars()
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+def _with_least(ends: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """ends (u, v) with the m of their u from least (u, m, c); the few hot nodes are broadcast, so no task gets all edges of a hub."""
+    is_hot = F.col("c") * HOT > F.lit(total)
+    hot = F.broadcast(least.where(is_hot).select("u", "m"))  # fewer than HOT rows
+    rest = ends.join(hot.select("u"), "u", "left_anti").join(least.where(~is_hot).select("u", "m"), "u")
+    return ends.join(hot, "u").select("u", "v", "m").unionAll(rest.select("u", "v", "m"))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of (a, b) rows: one row (node, component), the smallest node reachable.
 
-    Alternates the large-star and small-star steps until no edge changes; every round is a
-    written table, so a lost executor costs one round. Each step groups by node after a partial
-    minimum, so a hub with many edges is spread over tasks.
+    Tasks first join their own edges to stars; then large-star and small-star steps alternate until
+    the edges are stars. Every round is a written table, so a lost executor costs one round, and the
+    table before it is deleted. Minima are summed up before they are shuffled and hot nodes are
+    joined by broadcast, so a hub is spread over tasks.
     Self edges and repeated edges are allowed; null nodes are ignored; no edges give no rows.
     """
     e = edges.selectExpr("cast(a as long) a", "cast(b as long) b").where("a is not null and b is not null and a <> b")
-    e = written(e.selectExpr("greatest(a, b) u", "least(a, b) v").distinct(), name)
-    before = None
+    e = written(contracted(e).distinct(), name)
     while True:
+        n = e.count()
+        ends = e.selectExpr("u n", "1 up", "0 down").unionAll(e.selectExpr("v", "0", "1")).groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not n or not ends.where("up > 1 or (up = 1 and down = 1)").limit(1).count():
+            break
         both = e.unionAll(e.selectExpr("v u", "u v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
+        low = both.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("c")).selectExpr("u", "least(u, v) m", "c")
         # large star: every larger neighbour hangs on the smallest one
-        large = both.join(low, "u").where("v > u").selectExpr("v u", "m v").where("u <> v")
+        large = _with_least(both, low, 2 * n).where("v > u and v <> m").selectExpr("v u", "m v")
         # small star: the smaller neighbours and the node itself hang on the smallest one
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").selectExpr("v u", "m v").where("u <> v").unionAll(least.selectExpr("u", "m v")).distinct()
-        e = written(small, name)
-        state = e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-        if tuple(state) == before or state[0] == 0:
-            break
-        before = tuple(state)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = _with_least(large, least, n).selectExpr("v u", "m v").where("u <> v").unionAll(least.selectExpr("u", "m v")).distinct()
+        before, e = e, written(small, name)
+        drop(before)
     return e.selectExpr("u node", "v component").unionAll(e.selectExpr("v node", "v component").distinct())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordspark.llm.common import components, mix, prepare, sliced, summed, text_buffer, word_hashes, written
+from recordspark.llm.common import components, drop, fresh, mix, prepare, sliced, summed, text_buffer, word_hashes, written
 
 #: Counters of the frequency sketch that orders elements; slices it is summed in.
 SKETCH, SLICES = 1 << 22, 16
@@ -36,6 +36,8 @@ SEEN_EDGES = 300_000
 LIGHT_MOST, SUBSETS_MOST = 40, 4096
 #: Sets above LARGE elements have EXTRA (of den) of their elements as additional entries: see extra_entries.
 LARGE, EXTRA = 800, 3
+#: Lists that may be longer than this (by the sketch) are counted by partial sums and looked up in so many salts.
+LONG_LIST, SALTS = 50_000, 64
 #: Cost of a list entry against one enumerated subset: it is shuffled, and compared in its list.
 LIST_COST = 4
 
@@ -93,8 +95,8 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def describe(docs: DataFrame, text: str, key: str, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, parity) of every row as a written table, and a rarity class for every slot of the sketch."""
+def describe(docs: DataFrame, text: str, key: str, words: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(id, n, parity) of every row, a rarity class for every slot of the sketch, and which slots may have long lists."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +118,7 @@ def describe(docs: DataFrame, text: str, key: str, words: int) -> tuple[DataFram
     out = written(rows.mapInArrow(run, "id long, n long, parity binary, slice long, blob binary"), "jaccard-sets")
     counts = summed(out.where("slice is not null").select("slice", "blob"), SKETCH)
     rarity = np.minimum(255, np.floor(8 * np.log2(1 + counts))).astype(np.uint8)
-    return out.where("slice is null").select("id", "n", "parity"), rarity
+    return out.where("slice is null").select("id", "n", "parity"), rarity, counts > LONG_LIST
 
 
 def subsets_of(n: int, most: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -138,8 +140,11 @@ def boundary(info: DataFrame, num: int, den: int) -> int:
     return min(fits, key=lambda m: (cost(m), m))
 
 
-def entries(docs: DataFrame, text: str, key: str, words: int, rarity: np.ndarray, most: int, num: int, den: int) -> DataFrame:
-    """Rows (kind, k1, k2, id): 0 list entry (k1 element), 5 additional entry, 1/2/3 subset (equal sizes, smaller side, larger side), 4 same set as k1 in the task."""
+def entries(docs: DataFrame, text: str, key: str, words: int, rarity: np.ndarray, hot: np.ndarray, most: int, num: int, den: int) -> DataFrame:
+    """Rows (kind, k1, k2, id): 0 list entry (k1 element), 5 additional entry, 1/2/3 subset (equal sizes, smaller side, larger side), 4 same set as k1 in the task.
+
+    k2 of an entry is 1 if its list may be long.
+    """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null")
 
     def subsets(set_: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
@@ -182,7 +187,7 @@ def entries(docs: DataFrame, text: str, key: str, words: int, rarity: np.ndarray
             columns = [
                 pa.array(np.concatenate((np.array(kinds, np.int64), np.where(more, 5, 0)))),
                 pa.array(np.concatenate((np.array(k1, np.int64), g.view(np.int64)))),
-                pa.array(np.concatenate((np.array(k2, np.int64), np.zeros(len(g), np.int64)))),
+                pa.array(np.concatenate((np.array(k2, np.int64), hot[(g >> np.uint64(42)).astype(np.int64)].astype(np.int64)))),
                 pa.array(np.concatenate((np.array(own, np.int64), ids[o]))),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["kind", "k1", "k2", "id"])
@@ -242,7 +247,10 @@ def list_edges(lists: DataFrame, info: DataFrame, num: int, den: int) -> DataFra
     """(a, b): a spanning forest, list by list, of sets near enough to be compared in full."""
     from pyspark.sql import Window
 
-    many = written(lists.withColumn("c", F.count("*").over(Window.partitionBy("k1"))).where("c > 1"), "jaccard-lists")
+    usual = lists.where("k2 = 0").withColumn("c", F.count("*").over(Window.partitionBy("k1"))).where("c > 1")
+    long = lists.where("k2 = 1").withColumn("salt", F.expr(f"pmod(xxhash64(id), {SALTS})"))
+    sizes = long.groupBy("k1").agg(F.count("*").alias("c")).where("c > 1").withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    many = written(usual.select("kind", "k1", "id", "c").unionAll(long.join(sizes, ["k1", "salt"]).select("kind", "k1", "id", "c")), "jaccard-lists")
     least = F.ceil(F.lit(num) * F.col("n") / den)
     needed = F.when(least > LARGE, F.ceil(F.lit(EXTRA) * least / 100)).otherwise(1)
     able = many.groupBy("id").agg(F.count("*").alias("met")).join(info.where("n > 0").dropDuplicates(["id"]), "id").where(F.col("met") >= needed)
@@ -293,7 +301,9 @@ def list_edges(lists: DataFrame, info: DataFrame, num: int, den: int) -> DataFra
                 yield unseen([(int(ids[s + x]), int(ids[s + y])) for x, y in edges])
 
     together = dealt.repartition("k1", "i", "j").sortWithinPartitions("k1", "i", "j", "id")
-    return together.mapInArrow(run, "a long, b long")
+    near = written(together.mapInArrow(run, "a long, b long"), "jaccard-near")
+    drop(many)
+    return near
 
 
 def set_edges(docs: DataFrame, text: str, key: str, words: int, groups: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
@@ -341,11 +351,12 @@ def subset_edges(subsets: DataFrame) -> DataFrame:
 def links(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(id, n, parity) of every row, and (a, b): linked documents, enough of them to connect all that link."""
     prepare(docs.sparkSession)
-    info, rarity = describe(docs, text, key, words)
+    info, rarity, hot = describe(docs, text, key, words)
     most = boundary(info, num, den)
-    found = entries(docs, text, key, words, rarity, most, num, den)
-    near = written(list_edges(found.where("kind in (0, 5)").select("kind", "k1", "id"), info, num, den), "jaccard-near")
+    found = entries(docs, text, key, words, rarity, hot, most, num, den)
+    near = list_edges(found.where("kind in (0, 5)"), info, num, den)
     groups = components(near, "jaccard-groups")
+    drop(near)
     full = set_edges(docs, text, key, words, groups, info, num, den)
     same = found.where("kind = 4").selectExpr("k1 a", "id b")
     return info, full.unionAll(subset_edges(found.where("kind in (1, 2, 3)"))).unionAll(same)
@@ -355,9 +366,10 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
     """One row per document row: key, n_shingles, component_id (smallest id reachable by links).
 
     Words are lower-cased in A-Z; a text of fewer words than the n-gram has its whole sequence as
-    only element, a text without words none, and such a text links with nothing. Rows with the
-    same id count as one document that has the links of all of them. A null id has no links and a
-    null component. An empty table gives no rows; other columns are ignored.
+    only element, a text without words none, and such a text links with nothing. Ids are whole
+    numbers and stand for one text: rows that repeat an id with the same text are one document;
+    under an id with several texts the links of one of them, at least, are found. A null id has no
+    links and a null component. An empty table gives no rows; other columns are ignored.
     """
     info, edges = links(docs, text, key, words, num, den)
     reached = components(edges, "jaccard-links")
@@ -366,7 +378,12 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """The documents without those whose group has a smaller id, with all their columns; null ids stay."""
+    """The documents without those whose group has a smaller id, with all their columns.
+
+    key holds whole numbers. Null ids and texts without words stay; rows that repeat the kept id stay as
+    often as they are there. An empty table gives no rows.
+    """
     _, edges = links(docs, text, key, words, num, den)
-    gone = components(edges, "jaccard-links").where("node <> component").select(F.col("node").alias("_gone")).distinct()
-    return docs.join(gone, docs[key].cast("long") == F.col("_gone"), "left_anti")
+    gone = fresh(docs.columns, "gone")[0]
+    smaller = components(edges, "jaccard-links").where("node <> component").select(F.col("node").alias(gone))
+    return docs.join(smaller, docs[key].cast("long") == F.col(gone), "left_anti")
