@@ -320,5 +320,6 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     bound = lambda k: F.floor(k * F.length(body) / F.col(count_)).cast("int")
     begin, end = bound(F.col(no)), bound(F.col(no) + 1)
     cut = cut.select(*carried, row_no, no, F.substring(F.col(body), begin + 1, end - begin).alias(piece))
-    pieces = cut.repartition(row_no, no).mapInArrow(halves, f"{head}, `{row_no}` long, `{no}` long, `{piece}` string, `{ids_}` binary, `{at_}` binary")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number: pieces are small but take long
+    pieces = cut.repartition(tasks, row_no, no).mapInArrow(halves, f"{head}, `{row_no}` long, `{no}` long, `{piece}` string, `{ids_}` binary, `{at_}` binary")
     return short.unionByName(pieces.groupBy(row_no).applyInPandas(together, schema))

@@ -63,13 +63,21 @@ def format_trees(messages: DataFrame, keep: int | None = None) -> DataFrame:
     """One row per chosen root-to-leaf path: tree_id, leaf_id, branch_rank, path_score, n_turns, formatted, loss_spans.
 
     messages: tree_id, node_id, parent_id, role, text, score. Within a tree, branches are ranked
-    by the sum of scores (null: 0), then by leaf id; keep: how many of each tree (None: all).
-    Null roles and texts are empty; null tree ids form one tree. loss_spans are (start, length) in
+    by the sum of scores (null: 0), then by leaf id; keep: how many of each tree (None: all). Ranks come
+    from narrow rows; only the chosen branches are joined with their texts.
+    Null roles and texts are empty; null tree ids form one tree; messages without node id are left out; of messages with
+    the same node id in a tree one stays (least parent, role, text and score). loss_spans are (start, length) in
     code points of formatted, one for each assistant message. An empty table gives no rows.
     """
     tree = F.concat(F.when(F.col("tree_id").isNull(), "n").otherwise("v"), F.coalesce(F.col("tree_id").cast("string"), F.lit("")))
-    m = messages.select(tree.alias("tree"), F.col("node_id").alias("node"), F.col("parent_id").alias("parent"), "tree_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    m = messages.where("node_id is not null").select(tree.alias("tree"), F.col("node_id").alias("node"), F.struct(F.col("parent_id").alias("parent"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), "tree_id").alias("m"))
+    m = m.groupBy("tree", "node").agg(F.min("m").alias("m")).select("tree", "node", "m.*")
     path = branch_paths(m)
+    scored = path.join(m.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("path_score"))
+    ranked = scored.withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))
+    if keep is not None:
+        ranked = ranked.where(F.col("branch_rank") <= keep)
+        path = path.join(ranked.select("tree", "leaf"), ["tree", "leaf"], "left_semi")
     turns = path.join(m, ["tree", "node"])
     head = F.concat(F.lit(START), escape(F.col("role"), ROLE_ESCAPES), F.lit("\n"))
     turns = turns.withColumn("head", head).withColumn("body", escape(F.col("text")))
@@ -77,13 +85,10 @@ def format_trees(messages: DataFrame, keep: int | None = None) -> DataFrame:
     before = Window.partitionBy("tree", "leaf").orderBy(F.desc("back")).rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)) + F.length("head"))
     one = turns.groupBy("tree", "leaf").agg(
-        F.first("tree_id").alias("tree_id"), F.sum("score").alias("path_score"), F.count("*").alias("n_turns"),
+        F.first("tree_id").alias("tree_id"), F.count("*").alias("n_turns"),
         F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("place"), "piece", "start", F.length("body").cast("long").alias("size"), (F.col("role") == "assistant").alias("loss")))).alias("t"),
     )
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf"))
-    one = one.withColumn("branch_rank", rank)
-    if keep is not None:
-        one = one.where(F.col("branch_rank") <= keep)
+    one = one.join(ranked, ["tree", "leaf"])
     return one.select(
         "tree_id", F.col("leaf").alias("leaf_id"), "branch_rank", "path_score", "n_turns",
         F.array_join(F.transform("t", lambda x: x.piece), "").alias("formatted"),

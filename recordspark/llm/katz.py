@@ -34,23 +34,37 @@ END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
-    """d_0..d_K from counts of counts n[1..K+1]: Katz's formula for the largest range in which it is sound.
+    """d_0..d_K from counts of counts n[1..K+1], by Katz's formula over Good-Turing estimates.
 
-    Where no range is (small or odd samples) half a count is taken off each.
+    If the plain estimates (r + 1) n[r + 1] / n[r] make it unsound (an empty n[r], or a d outside
+    0..1), all n[r] are smoothed first: a line through log n[r] over log r, falling faster than 1 / r.
+    With one n[r] or none above zero there is no line: half a count is taken off each.
     """
-    d = np.ones(K + 1)
-    for k in range(K, 0, -1):
-        if (n[1 : k + 2] > 0).all():
-            r = np.arange(1, k + 1)
-            common = (k + 1) * n[k + 1] / n[1]
-            own = (r + 1) * n[2 : k + 2] / (r * n[1 : k + 1])
-            if common < 1 and ((x := (own - common) / (1 - common)) > 0).all() and (x <= 1).all():
-                d[1 : k + 1] = x
-                return d
-    d[1:] = 1 - 0.5 / np.arange(1, K + 1)
+    d, r = np.ones(K + 1), np.arange(1, K + 2)
+    n = n[1 : K + 2].astype(float)
+    if not (n > 0).all() or not _katz(n, d):
+        some = n > 0
+        if some.sum() < 2:
+            d[1:] = 1 - 0.5 / r[:K]
+            return d
+        x, y = np.log(r[some]), np.log(n[some])
+        slope = min(float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()), -1.1)
+        _katz(r.astype(float) ** slope, d)
     return d
 
 
+def _katz(n: np.ndarray, d: np.ndarray) -> bool:
+    """Sets d[1..K] from n[1..K+1] if the formula is sound."""
+    r = np.arange(1, K + 1)
+    common = (K + 1) * n[K] / n[0]
+    own = (r + 1) * n[1:] / (r * n[:-1])
+    x = (own - common) / (1 - common) if common < 1 else np.zeros(K)
+    sound = bool((x > 0).all() and (x <= 1).all())
+    if sound:
+        d[1:] = x
+    return sound
+
+
 @dataclass(frozen=True)
 class Unigrams:
     """n_tokens N and n_types V of the training text, discounts and the scale that leaves some mass for new words."""

@@ -71,7 +71,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = files.find(spark, path, docs.select("doc_id"))
     unkeyed = spark.read.parquet(f"{path}/keys").where("key is null").select("key", "shard", "record")
     out = files.read_records(keyed.unionByName(unkeyed), path)
-    out = out.select("key", "shard", "offset", "n_tokens", "crc32").join(files.shard_starts(spark, path), "shard")
+    starts = F.broadcast(files.shard_starts(spark, path))  # one row per shard file
+    out = out.select("key", "shard", "offset", "n_tokens", "crc32").join(starts, "shard")
     return out.select(F.col("key").alias("doc_id"), (F.col("base") + F.col("offset")).alias("start"), "n_tokens", F.col("crc32").alias("ids_crc32"))
 
 

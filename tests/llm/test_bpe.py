@@ -55,22 +55,59 @@ def test_runs_of_odd_texts(name):
         assert np.frombuffer(ids, "<u4").tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
-def test_perfect_hash_is_minimal():
-    keys = np.unique(np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 5000)).view(np.uint64)
-    table = token_files.PerfectHash.load(token_files.PerfectHash.build(keys).dump())
-    assert sorted(table.slots(keys)) == list(range(len(keys)))
-    assert len(token_files.PerfectHash.load(token_files.PerfectHash.build(keys[:0]).dump()).slots(keys)) == len(keys)
-
-
-def test_token_files(spark, tmp_path):
-    rows = [(5, "five"), (None, "none"), (2, None), (2, "two two"), (-3, "x" * 5000), (9, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash"))
+@pytest.mark.parametrize("n", [0, 1, 511, 5000])
+def test_perfect_hash_is_minimal(n):
+    keys = np.unique(np.random.default_rng(0).integers(-(2**63), 2**63 - 1, n)).view(np.uint64)
+    part = token_files.IndexPart(token_files.index_bytes(keys, np.ones(n), np.arange(n) * 3))
+    assert sorted(part.slots(keys)) == list(range(n))
+    own, slot = part.find(keys)
+    assert own.tolist() == list(range(n)) and slot["place"].tolist() == [k * 3 for k in range(n)]
+    assert len(part.find(keys + np.uint64(1))[0]) <= 1
+
+
+def test_token_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "PART_KEYS", 40)
+    rng = random.Random(4)
+    rows = [(5, "five"), (None, "none"), (None, "null key"), (2, None), (2, "two two"), (-3, "x" * 5000), (9, "")]
+    rows += [(k, " ".join(rng.choices(["alpha", "Beta!", "12"], k=rng.randint(0, 20)))) for k in range(100, 300)] + [(7, "copy %d" % k) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).repartition(5)
     path = f"file://{tmp_path}/t"
     token_files.write_token_files(docs, path, tokenizer_file("byte_bpe_50k.json"), 2)
-    keyed = token_files.find(spark, path, spark.createDataFrame([(5,), (2,), (-3,), (9,), (77,)], "k long"))
-    got = sorted((r.key, r.n_tokens, r.crc32) for r in token_files.read_records(keyed, path).collect())
-    _, want = plain("byte_bpe_50k.json", [t for _, t in rows])
-    want = sorted((k, len(i) + 1, zlib.crc32(np.array([*i, 2], "<u4").tobytes())) for (k, _), i in zip(rows, want) if k is not None)
-    assert got == want
+    _, ids = plain("byte_bpe_50k.json", [t for _, t in rows])
+    blobs = [np.array([*i, 2], "<u4").tobytes() for i in ids]
+    want = sorted((k, len(b) // 4, zlib.crc32(b)) for (k, _), b in zip(rows, blobs) if k is not None)
+    for asked in ([k for k, _ in rows if k is not None] + [77], [5, 7, 150, 77, -1]):
+        keyed = token_files.find(spark, path, spark.createDataFrame([(k,) for k in asked] + [(None,)], "k long"))
+        got = token_files.read_records(keyed, path).join(token_files.shard_starts(spark, path), "shard").collect()
+        assert sorted((r.key, r.n_tokens, r.crc32) for r in got) == [w for w in want if w[0] in asked]
+        # starts: ids of all records before, in ascending key order, null keys first
+        sizes = sorted((-(10**9) if k is None else k, len(b) // 4) for (k, _), b in zip(rows, blobs))
+        for r in got:
+            low = sum(n for k, n in sizes if k < r.key)
+            assert low <= r.base + r.offset <= low + sum(n for k, n in sizes if k == r.key) - r.n_tokens
+            if r.key not in (2, 7):
+                assert r.base + r.offset == low
+    reader = token_files.TokenFiles(path)
+    for (k, _), b in zip(rows, blobs):
+        if k is not None:
+            assert b in [x.tobytes() for x in reader.get(k)]
+    assert len(reader.get(7)) == 60 and reader.get(77) == []
     token_files.write_token_files(docs.limit(0), f"{path}0", tokenizer_file("byte_bpe_50k.json"), 2)
     assert token_files.find(spark, f"{path}0", docs.select("doc_id")).count() == 0
+    assert token_files.TokenFiles(f"{path}0").get(5) == []
+
+
+def test_lookup_reads_constant_bytes(tmp_path):
+    most = []
+    for n in (1000, 100_000):
+        keys = np.arange(n, dtype=np.int64).view(np.uint64)
+        (tmp_path / f"{n}.mph").write_bytes(token_files.index_bytes(keys, np.ones(n), np.arange(n)))
+        file = token_files._file(f"file://{tmp_path}/{n}.mph")
+        part = token_files.IndexPart(file[0].open_input_file(file[1]))
+        spent = []
+        for k in range(0, n, n // 200):
+            had = part.bytes_read
+            assert part.find(keys[k : k + 1])[1]["place"].tolist() == [k]
+            spent.append(part.bytes_read - had)
+        most.append(sum(spent) / len(spent))
+    assert all(x < 3 * 72 + 16 for x in most) and abs(most[0] - most[1]) < 40

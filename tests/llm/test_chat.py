@@ -55,3 +55,9 @@ def test_empty_and_repeated_rows(spark):
     out = chat.read_back(chat.format_trees(chat.linear_messages(rows))).collect()
     assert [(t.role, t.text) for t in out[0].turns] == [("assistant", ""), ("user", "a"), ("user", "a")]
     assert chat.format_trees(chat.linear_messages(rows.limit(0))).count() == 0
+
+
+def test_repeated_and_missing_nodes(spark):
+    rows = [(1, 1, None, "user", "b", 1.0, ""), (1, 1, None, "user", "a", 5.0, ""), (1, 2, 1, "assistant", "c", 1.0, ""), (1, 2, 1, "assistant", "c", 1.0, ""), (1, None, 2, "user", "no id", 9.0, "")]
+    out = chat.read_back(chat.format_trees(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert [(r.leaf_id, r.path_score, [t.text for t in r.turns]) for r in out] == [(2, 6.0, ["a", "c"])]

@@ -77,3 +77,14 @@ def test_empty_and_untrained(spark):
     docs = spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, h boolean")
     assert [r.score for r in score_documents(docs, "h").collect()] == [0.0]
     assert score_documents(docs.limit(0), "h").count() == 0
+
+
+def test_discounts():
+    r = np.arange(1, K + 1)
+    n = np.array([0, 1000, 400, 180, 110, 70, 50])  # sound: Katz's formula as it stands
+    own, common = (r + 1) * n[2:] / (r * n[1:-1]), (K + 1) * n[K + 1] / n[1]
+    assert discounts(n)[1:].tolist() == pytest.approx(((own - common) / (1 - common)).tolist())
+    for odd in ([0, 100, 90, 0, 40, 30, 20], [0, 5, 50, 3, 9, 1, 7], [0, 3, 2, 0, 0, 0, 0], [0, 10**6, 1, 1, 1, 1, 1]):
+        d = discounts(np.array(odd))
+        assert d[0] == 1 and (d[1:] > 0).all() and (d[1:] <= 1).all() and (np.diff(d[1:]) >= 0).all(), odd
+    assert discounts(np.zeros(K + 2)).tolist() == discounts(np.array([0, 7, 0, 0, 0, 0, 0])).tolist() == [1, *(1 - 0.5 / r)]
