@@ -3,7 +3,9 @@
 A benchmark item of m characters that stands in a document with at most k edits shares at least
 m - q + 1 - k q character q-grams with it, all on k + 1 neighbouring diagonals (document place
 minus item place). Shared q-grams are counted in overlapping bands of diagonals; bands that reach
-the bound are verified by a banded alignment of the whole item. Documents stream past the item
+the bound are verified by a banded alignment of the whole item. q is 8 for items for which the bound stays
+positive at the full edit budget, 5 or the item's length for shorter ones. q-grams that many items
+have are left out where the bound, lowered by them, still tells enough. Documents stream past the item
 index, texts are never shuffled; items come in blocks of bounded size, one pass for each.
 """
 
@@ -19,8 +21,12 @@ from pyspark.sql import functions as F
 
 from recordspark.llm.common import prepare
 
-#: Length of q-grams, share of an item's characters that may be edited, characters in a block of items.
-Q, EDIT_SHARE, BLOCK_CHARS = 8, 0.1, 4_000_000
+#: Longest q-grams, those of short items, share of an item's characters that may be edited, characters in a block of items.
+Q, SHORT_Q, EDIT_SHARE, BLOCK_CHARS = 8, 5, 0.1, 4_000_000
+#: A q-gram with more places than this in a block of items is frequent; what an item's bound must keep without its frequent ones.
+FREQUENT, KEEP_BOUND = 64, 8
+#: Text places hashed, and shared places held, at a time.
+WINDOW, HELD = 2_000_000, 1_000_000
 _OUTSIDE = np.uint32(0xFFFFFFFF)
 
 
@@ -34,12 +40,14 @@ def code_points(text: str) -> np.ndarray:
     return out
 
 
-def qgrams(points: np.ndarray) -> np.ndarray:
-    """One number per place: eight characters, each folded to a byte (equal q-grams stay equal)."""
-    folded = np.ascontiguousarray((points ^ (points >> 8) * np.uint32(29) ^ (points >> 16)).astype(np.uint8))
-    if len(folded) < Q:
+def qgrams(points: np.ndarray, q: int = Q) -> np.ndarray:
+    """One number per place: q characters, at most eight, each folded to a byte (equal q-grams stay equal)."""
+    folded = (points ^ (points >> 8) * np.uint32(29) ^ (points >> 16)).astype(np.uint8)
+    places = len(folded) - q + 1
+    if places <= 0:
         return np.zeros(0, np.uint64)
-    return np.ndarray((len(folded) - Q + 1,), "<u8", folded, strides=(1,)).copy()
+    folded = np.concatenate((folded, np.zeros(8 - q, np.uint8)))
+    return np.ndarray((places,), "<u8", folded, strides=(1,)) & np.uint64((1 << 8 * q) - 1)
 
 
 def banded_edits(item: np.ndarray, text: np.ndarray, low: int, high: int, fixed_end: int | None = None, most: int | None = None) -> tuple[int, int]:
@@ -69,22 +77,55 @@ def banded_edits(item: np.ndarray, text: np.ndarray, low: int, high: int, fixed_
     return int(cost[k]), int(at[k]) + len(item)
 
 
-class ItemIndex:
-    """Places of every q-gram of a block of items, with a bit table in front."""
+def gram_size(m: int, edit_share: float) -> int:
+    """The q of an item of m characters: the longest of 8 and 5 whose bound is positive at the full budget, else as long as fits."""
+    k = int(edit_share * m)
+    return next((q for q in (Q, SHORT_Q) if m - q + 1 - k * q > 0), max(1, m // (k + 1)))
+
+
+def _word(c: int) -> bool:
+    return chr(c).isalnum()
 
-    BITS = 22
+
+class ItemIndex:
+    """A block of items, sorted into one q-gram index for each q."""
 
     def __init__(self, items: list[tuple[int, str]], edit_share: float = EDIT_SHARE):
-        kept = [(k, code_points(t)) for k, t in items if t and len(t) >= Q]
+        kept = [(k, code_points(t)) for k, t in items if t]
         self.ids = [k for k, _ in kept]
         self.points = [p for _, p in kept]
-        self.edits = np.array([min(int(edit_share * len(p)), (len(p) - Q) // Q) for p in self.points], np.int64)
-        self.bound = np.array([len(p) - Q + 1 for p in self.points], np.int64) - self.edits * Q
-        grams = [qgrams(p) for p in self.points]
-        every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(every, kind="stable")
-        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order] if grams else np.zeros(0, np.int64)
-        self.place = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else np.zeros(0, np.int64)
+        self.edits = np.array([int(edit_share * len(p)) for p in self.points], np.int64)
+        sizes = np.array([gram_size(len(p), edit_share) for p in self.points], np.int64)
+        self.indexes = [GramIndex(self, np.flatnonzero(sizes == q), int(q)) for q in np.unique(sizes)]
+
+    def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
+        """(text number, item number, edits, start, end, shared q-grams) of every item found in a text, best stretch each."""
+        points = [code_points(t) for t in texts]
+        return sorted(hit for index in self.indexes for hit in index.search(points)) if points else []
+
+
+class GramIndex:
+    """Places of every q-gram of some items of one q, with a bit table in front."""
+
+    BITS = 22
+
+    def __init__(self, whole: ItemIndex, numbers: np.ndarray, q: int):
+        self.q, self.numbers, self.points = q, numbers, [whole.points[k] for k in numbers]
+        self.edits = whole.edits[numbers]
+        self.longest = max(len(p) for p in self.points)
+        grams = [qgrams(p, q) for p in self.points]
+        self.bound = np.array([len(g) for g in grams], np.int64) - self.edits * q
+        every = np.concatenate(grams)
+        item = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams])
+        _, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
+        frequent = count[inverse] > FREQUENT
+        lost = np.bincount(item[frequent], minlength=len(grams))
+        able = self.bound - lost >= KEEP_BOUND
+        self.bound = np.where(able, self.bound - lost, self.bound)
+        used = ~(frequent & able[item])
+        order = np.flatnonzero(used)[np.argsort(every[used], kind="stable")]
+        self.item, self.place = item[order], place[order]
         self.keys, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
         self.bits = np.zeros(1 << self.BITS, bool)
         self.bits[self._hash(self.keys)] = True
@@ -92,65 +133,102 @@ class ItemIndex:
     def _hash(self, grams: np.ndarray) -> np.ndarray:
         return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
 
-    def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
-        """(text number, item number, edits, start, end, shared q-grams) of every item found in a text, best stretch each."""
-        if not len(self.keys) or not texts:
-            return []
-        points = [code_points(t) for t in texts]
+    def _meetings(self, points: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place in it, key) wherever a q-gram of a text is one of the items'."""
         sizes = np.array([len(p) for p in points])
         gap = np.zeros(1, "<u4")
-        flat = np.concatenate([x for p in points for x in (p, gap)]) if points else gap
+        flat = np.concatenate([x for p in points for x in (p, gap)])
         begin = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
-        grams = qgrams(flat)
-        at = np.flatnonzero(self.bits[self._hash(grams)])
-        key = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
-        same = self.keys[key] == grams[at]
-        at, key = at[same], key[same]
+        found = [(np.zeros(0, np.int64),) * 2]
+        for s in range(0, len(flat), WINDOW):
+            grams = qgrams(flat[s : s + WINDOW + self.q - 1], self.q)
+            at = np.flatnonzero(self.bits[self._hash(grams)])
+            key = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
+            same = self.keys[key] == grams[at]
+            found.append((at[same] + s, key[same]))
+        at, key = (np.concatenate(x) for x in zip(*found))
         doc = np.searchsorted(begin, at, side="right") - 1
-        inside = at + Q <= begin[doc] + sizes[doc]
-        at, key, doc = at[inside], key[inside], doc[inside]
+        inside = at + self.q <= begin[doc] + sizes[doc]
+        return doc[inside], (at - begin[doc])[inside], key[inside]
+
+    def _entries(self, doc: np.ndarray, at: np.ndarray, key: np.ndarray, low: int, span: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(code of text, item and strip; place in the item) of all meetings, about HELD at a time."""
         n = self.count[key]
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        entry = np.repeat(self.first[key], n) + nth
-        item, doc = self.item[entry], np.repeat(doc, n)
-        diagonal = np.repeat(at, n) - begin[doc] - self.place[entry]
-        width = self.edits[item] + 1
-        band = diagonal // width
-        low = int(band.min()) - 1 if len(band) else 0
-        span = int(band.max()) - low + 2 if len(band) else 1
-        code = (doc * len(self.ids) + item) * span + (band - low)
-        seen, shared = np.unique(code, return_counts=True)
-        # a band is two strips wide: strip b with strip b + 1; they lie side by side in seen
-        follows = np.zeros(len(seen), np.int64)
-        follows[:-1] = np.where(seen[1:] == seen[:-1] + 1, shared[1:], 0)
-        total = shared + follows
-        pair = seen // span
-        good = total >= self.bound[pair % len(self.ids)]
+        upto = np.cumsum(n)
+        cut = 0
+        while cut < len(n):
+            stop = max(cut + 1, int(np.searchsorted(upto, (upto[cut - 1] if cut else 0) + HELD, side="right")))
+            k = n[cut:stop]
+            nth = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            entry = np.repeat(self.first[key[cut:stop]], k) + nth
+            item, place = self.item[entry].astype(np.int64), self.place[entry].astype(np.int64)
+            strip = (np.repeat(at[cut:stop], k) - place) // (self.edits[item] + 1) - low
+            yield (np.repeat(doc[cut:stop], k) * len(self.points) + item) * span + strip, place
+            cut = stop
+
+    def search(self, points: list[np.ndarray]) -> list[tuple[int, int, int, int, int, int]]:
+        if not len(self.keys):
+            return []
+        doc, at, key = self._meetings(points)
+        if not len(doc):
+            return []
+        low, span = -self.longest - 2, max(len(p) for p in points) + self.longest + 4
+        seen, shared = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for code, _ in self._entries(doc, at, key, low, span):
+            own, count = np.unique(code, return_counts=True)
+            seen, place = np.unique(np.concatenate((seen, own)), return_inverse=True)
+            shared = np.bincount(place, weights=np.concatenate((shared, count)), minlength=len(seen)).astype(np.int64)
+        # a band is two strips wide: strip b with strip b + 1, so a band may begin one strip before any that is seen
+        bands = np.unique(np.concatenate((seen, seen - 1)))
+        total = self._of(seen, shared, bands) + self._of(seen, shared, bands + 1)
+        bound = self.bound[bands // span % len(self.points)]
+        good = total >= bound
+        bands, total, bound = bands[good], total[good], bound[good]
+        if not len(bands):
+            return []
         # repeated text meets the same place of an item again and again: places count once in a strip
-        strips = np.unique(np.concatenate((seen[good], seen[good] + 1)))
-        near = np.isin(code, strips)
-        once = np.unique(np.stack((code[near], self.place[entry][near])), axis=1)[0]
-        places = np.searchsorted(once, seen + 2, side="left") - np.searchsorted(once, seen, side="left")
-        good &= places >= self.bound[pair % len(self.ids)]
+        strips = np.unique(np.concatenate((bands, bands + 1)))
+        width = self.longest + 1
+        once = np.zeros(0, np.int64)
+        for code, place in self._entries(doc, at, key, low, span):
+            which = np.minimum(np.searchsorted(strips, code), len(strips) - 1)
+            near = strips[which] == code
+            once = np.union1d(once, which[near] * width + place[near])
+        strip, count = np.unique(once // width, return_counts=True)
+        places = self._of(strips[strip], count, bands) + self._of(strips[strip], count, bands + 1)
         best: dict[tuple[int, int], tuple[int, int, int, int, int, int]] = {}
-        for c, count in zip(seen[good].tolist(), total[good].tolist()):
-            d, i = divmod(c // span, len(self.ids))
-            k, w = int(self.edits[i]), int(self.edits[i]) + 1
-            a = (c % span + low) * w
-            if (d, i) in best and best[d, i][2] == 0:
-                continue
-            part = points[d][max(0, a) : max(0, a + 2 * w) + len(self.points[i])].tobytes()
-            exact = part.find(self.points[i].tobytes())
-            if exact >= 0 and exact % 4 == 0:
-                start = max(0, a) + exact // 4
-                best[d, i] = (d, i, 0, start, start + len(self.points[i]), count)
-                continue
-            edits, end = banded_edits(self.points[i], points[d], a - k, a + 2 * w - 1 + k, most=k)
-            if edits <= k and ((d, i) not in best or edits < best[d, i][2]):
-                back = points[d][:end][::-1]
-                start = end - banded_edits(self.points[i][::-1], back, -k - 1, k + 1, fixed_end=0)[1]
-                best[d, i] = (d, i, edits, max(0, start), end, count)
-        return sorted(best.values())
+        for c, count in zip(bands[places >= bound].tolist(), total[places >= bound].tolist()):
+            d, i = divmod(c // span, len(self.points))
+            if (d, i) not in best or best[d, i][2]:
+                hit = self._verify(points[d], i, (c % span + low) * (int(self.edits[i]) + 1))
+                if hit and ((d, i) not in best or hit[0] < best[d, i][2]):
+                    best[d, i] = (d, int(self.numbers[i]), *hit, count)
+        return list(best.values())
+
+    @staticmethod
+    def _of(sorted_codes: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(sorted_codes, wanted), len(sorted_codes) - 1)
+        return np.where(sorted_codes[at] == wanted, values[at], 0)
+
+    def _verify(self, text: np.ndarray, i: int, a: int) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the item in the band that begins at diagonal a, if within its budget."""
+        item, k = self.points[i], int(self.edits[i])
+        part = text[max(0, a) : max(0, a + 2 * (k + 1)) + len(item)].tobytes()
+        exact = part.find(item.tobytes())
+        while exact >= 0 and exact % 4:
+            exact = part.find(item.tobytes(), exact + 1)
+        if exact >= 0:
+            start = max(0, a) + exact // 4
+            end = start + len(item)
+            within = (start and _word(text[start - 1]) and _word(text[start])) or (end < len(text) and _word(text[end]) and _word(text[end - 1]))
+            return None if len(item) < Q and within else (0, start, end)
+        if not k:
+            return None
+        edits, end = banded_edits(item, text, a - k, a + 2 * (k + 1) - 1 + k, most=k)
+        if edits > k:
+            return None
+        start = end - banded_edits(item[::-1], text[:end][::-1], -k - 1, k + 1, fixed_end=0)[1]
+        return edits, max(0, start), end
 
 
 _INDEX: dict[str, ItemIndex] = {}
@@ -158,13 +236,14 @@ _INDEX: dict[str, ItemIndex] = {}
 
 def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> list:
     """Broadcasts of (name, items), each of about block_chars characters at most, by hash of the item."""
-    items = benchmark.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.length("t") >= Q)
+    items = benchmark.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.length("t") > 0)
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_chars))
     spark = benchmark.sparkSession
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).collect()
-        yield spark.sparkContext.broadcast((uuid.uuid4().hex, sorted((r["k"] if r["k"] is not None else -1, r["t"]) for r in rows)))
+        found = sorted(((r["k"], r["t"]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, found))
 
 
 def _index(block, edit_share: float) -> ItemIndex:
@@ -179,9 +258,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """One row per document row and item found in it: key, item_id, edits, start, end, shared_qgrams.
 
     start and end are code points of the document. Case and kinds of white space do not count. An
-    item has edit_share of its characters as budget, less where the q-gram bound would fall below
-    one; items under Q characters, empty or null never match, nor do null texts. Repeated rows
-    give repeated rows, equal items one row each; empty tables give none; other columns are ignored.
+    item has edit_share of its characters as budget; one of less than 8 characters must stand there
+    as it is, not within a longer word. Empty and null items never match, nor do null texts; an item
+    without id is reported with a null item_id. Repeated rows give repeated rows, equal items one row
+    each; empty tables give none; other columns are ignored.
     """
     prepare(docs.sparkSession)
     rows = docs.select(key, F.col(text).alias("_text"))
@@ -203,7 +283,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", edit_share: float = EDIT_SHARE) -> DataFrame:
-    """The documents in which no item is found, with all their columns; texts only pass through."""
+    """The documents in which no item is found, with all their columns; texts only pass through.
+
+    What is found is as in find_leaks: null texts stay, repeated rows stay or go together, an empty
+    benchmark removes nothing.
+    """
     prepare(docs.sparkSession)
     columns = docs.columns
     for block in item_blocks(benchmark):
