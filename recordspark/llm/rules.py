@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordspark.llm.common import WORD, written
+from recordspark.llm.common import WORD, fresh, written
 
 #: Symbols that count against a text.
 SYMBOLS = "[#*$%&|<>]"
@@ -26,24 +26,25 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     one text. Null hosts form one group, reported as null. Repeated rows stay repeated.
     """
     body = F.coalesce(F.col(text), F.lit(""))
+    w, lines, s, p = fresh([key, "host"], "w", "lines", "s", "p")
     a = docs.select(
         F.col(key), F.col(host).alias("host"),
-        F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("w"),
-        F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD)).alias("lines"),
+        F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias(w),
+        F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD)).alias(lines),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.regexp_count(body, F.lit("[A-Z]")).cast("long").alias("n_upper"),
     )
     b = a.select(
         key, "host", "n_symbols", "n_upper",
-        F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr("sort_array(transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> struct(xxhash64(x, w[i + 1], w[i + 2]) h, i)))").alias("s"),
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.expr(f"sort_array(transform(slice({w}, 1, greatest(size({w}) - 2, 0)), (x, i) -> struct(xxhash64(x, {w}[i + 1], {w}[i + 2]) h, i)))").alias(s),
     )
-    c = b.withColumn("p", F.expr("sort_array(transform(filter(s, (x, k) -> get(s, k - 1).h <=> x.h or get(s, k + 1).h <=> x.h), x -> x.i))"))
-    covered = F.expr("aggregate(transform(p, (x, k) -> least(3, coalesce(get(p, k + 1) - x, 3))), 0L, (t, x) -> t + x)")
-    d = c.withColumn("n_repeat_words", covered).drop("s", "p")
+    c = b.withColumn(p, F.expr(f"sort_array(transform(filter({s}, (x, k) -> get({s}, k - 1).h <=> x.h or get({s}, k + 1).h <=> x.h), x -> x.i))"))
+    covered = F.expr(f"aggregate(transform({p}, (x, k) -> least(3, coalesce(get({p}, k + 1) - x, 3))), 0L, (t, x) -> t + x)")
+    d = c.withColumn("n_repeat_words", covered).drop(s, p)
     return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 

@@ -4,14 +4,17 @@ Terms come from a seed list and from labelled rows: words and word beginnings th
 frequent in toxic than in clean rows. A word that is no term is run through the product of the
 trie with the Levenshtein automaton of one edit (two neighbours that changed places count as one);
 states are made when first met and kept, so most words die after two or three table look-ups. Digits
-belong to words, so `id1ot` is one edit from a term; the letters beside them are looked up as well. Every hit is weighed by the words around it: in
-quotation marks or beside a reporting word it counts less, addressed to someone it counts more.
+belong to words, so `id1ot` is one edit from a term; the letters beside them are looked up as well.
+Every hit is weighed by the words around it: within quotation marks or beside a reporting word it
+counts less, addressed to someone it counts more. Reporting and addressing words are a short English list
+and, for any language, what stands far more often beside hits in clean or in toxic labelled rows.
 A logistic model over a few sums turns that into a score.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,19 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordspark.llm.common import fresh, prepare
+from recordspark.llm.common import drop, fresh, prepare, written
 
-#: Labelled rows that terms and weights are learned from, at most, and terms kept.
-FIT_ROWS, MAX_TERMS = 20_000, 400
+#: Labelled rows that terms, contexts and weights are learned from, at most; what is learned has no bound of its own.
+FIT_ROWS = 20_000
 SEED_TERMS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 REPORTING = frozenset("called calls phrase quote quoted said says term word words wrote writes".split())
 ADDRESS = frozenset("you your you're u ur".split())
 QUOTES = frozenset("\"'“”„‘’«»`")
+#: A quotation of several words, within one line.
+QUOTATION = re.compile("\"[^\"\n]{1,400}\"|[“„][^“”\n]{1,400}[“”]|«[^«»\n]{1,400}»|»[^«»\n]{1,400}«")
 #: Words on either side of a hit that tell its context; weights of quoted and addressed hits.
 WINDOW, QUOTED, ADDRESSED = 5, 0.25, 1.5
 STEMS = (4, 5, 6)
 #: Edits for terms of this length on; shorter terms must match exactly.
 EDITS, FUZZY_FROM = 1, 5
+#: A word beside hits in this many rows of one class tells a context if it is this much more frequent there than in the other.
+CONTEXT_ROWS, CONTEXT_LIFT = 5, 4.0
 #: A near form seen in clean rows is innocent unless it is this much more frequent in toxic ones.
 NEAR_LIFT = 2.0
 #: Words hold a letter; starting only where no word goes on keeps long numbers linear.
@@ -137,18 +144,20 @@ def tallied(tally: Counter) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Toxicity:
-    """terms and stems with their weights; innocent: near forms as frequent in clean text; weights of the features; swaps as in FuzzyTrie."""
+    """terms and stems with their weights; innocent: near forms as frequent in clean text; weights of the features; swaps as in FuzzyTrie; context words."""
 
     terms: dict[str, float]
     stems: dict[str, float]
     innocent: frozenset[str]
     weights: np.ndarray
     swaps: bool = False
+    reporting: frozenset[str] = REPORTING
+    address: frozenset[str] = ADDRESS
     _known: dict = field(default_factory=dict, repr=False, compare=False)
     _trie: FuzzyTrie | None = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
-        return {"terms": self.terms, "stems": self.stems, "innocent": self.innocent, "weights": self.weights, "swaps": self.swaps, "_known": {}, "_trie": None}
+        return self.__dict__ | {"_known": {}, "_trie": None}
 
     def look(self, word: str) -> tuple[str, float, bool] | None:
         """Term, weight and whether it is misspelled."""
@@ -176,29 +185,32 @@ class Toxicity:
                 return right or hits
         return [whole] if whole else []
 
-    def hits(self, text: str) -> tuple[list[tuple[int, str, float, bool, float]], int]:
-        """(place, term, weight, misspelled, context factor) of every hit, and the number of words."""
+    def places(self, words: list[str]) -> list[int]:
+        """Where the words that count stand."""
         if len(self._known) > REMEMBERED:
             self._known.clear()
-        known, out = self._known, []
-        words = WORD.findall(text.lower())
+        known = self._known
         for w in set(words):
             if w not in known:
                 known[w] = self.found(w)
-        places = [k for k, w in enumerate(words) if known[w]]
-        spans = None
+        return [k for k, w in enumerate(words) if known[w]]
+
+    def hits(self, text: str) -> tuple[list[tuple[int, str, float, bool, float]], int]:
+        """(place, term, weight, misspelled, context factor) of every hit, and the number of words."""
+        low, out = text.lower(), []
+        words = WORD.findall(low)
+        places = self.places(words)
+        if places:
+            spans = [m.span() for m in WORD.finditer(low)]
+            quotations = [m.span() for m in QUOTATION.finditer(low)]
+            starts = [a for a, _ in quotations]
         for k in places:
             around = words[max(0, k - WINDOW) : k] + words[k + 1 : k + 1 + WINDOW]
-            factor = 1.0
-            if not ADDRESS.isdisjoint(around):
-                factor = ADDRESSED
-            if spans is None:
-                spans = [m.span() for m in WORD.finditer(text.lower())]
-                low = text.lower()
             a, b = spans[k]
-            if (a and low[a - 1] in QUOTES and low[b : b + 1] in QUOTES and low[b : b + 1]) or not REPORTING.isdisjoint(around):
-                factor = QUOTED
-            out.extend((k, *x, factor) for x in known[words[k]])
+            q = bisect_right(starts, a) - 1
+            quoted = (q >= 0 and b <= quotations[q][1]) or (a and low[a - 1] in QUOTES and b < len(low) and low[b] in QUOTES)
+            factor = QUOTED if quoted or not self.reporting.isdisjoint(around) else ADDRESSED if not self.address.isdisjoint(around) else 1.0
+            out.extend((k, *x, factor) for x in self._known[words[k]])
         return out, len(words)
 
     def features(self, text: str | None) -> tuple[np.ndarray, list[str]]:
@@ -223,24 +235,23 @@ def _labelled(docs: DataFrame, labels: DataFrame, text: str, key: str, label: st
 def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Toxicity:
     """Terms and weights from at most fit_rows rows of labels, chosen by hash of their ids.
 
-    Counting terms is one aggregation with partial sums, counting near forms of the chosen terms
-    another; what reaches the driver is at most 20 * MAX_TERMS near forms and FEATURES numbers per row. Without labelled rows of both
+    The chosen rows are written once. Counting terms is one aggregation with partial sums, counting near forms of the
+    chosen terms and the words beside hits another. What reaches the driver is bounded by the labelled
+    rows: words that a hundredth of the toxic ones have, words that recur beside hits, and FEATURES numbers per row. Without labelled rows of both
     classes the seed terms are used with fixed weights.
     """
     prepare(docs.sparkSession)
-    rows = _labelled(docs, labels, text, key, label, fit_rows)
-    start = Toxicity({t: 1.0 for t in SEED_TERMS}, {}, frozenset(), np.array([-2.0, 2.0, 0.0, 0.5, 0.0, 0.0]), swaps=True)
+    rows = written(_labelled(docs, labels, text, key, label, fit_rows), "toxicity-labelled")
+    model = Toxicity({t: 1.0 for t in SEED_TERMS}, {}, frozenset(), np.array([-2.0, 2.0, 0.0, 0.5, 0.0, 0.0]), swaps=True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: Counter = Counter()
-        kinds: Counter = Counter()
         for batch in batches:
             for body, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = vocabulary(body)
                 found = {("w", w) for w in words if len(w) >= 4} | {("s", w[:k]) for w in words for k in STEMS if len(w) > k and not w[:k].isdecimal()}
-                kinds[y] += 1
+                tally["", "", y] += 1
                 tally.update((k, w, y) for k, w in found)
-        tally.update({("", "", y): n for y, n in kinds.items()})
         yield from tallied(tally)
 
     def classes(f) -> DataFrame:
@@ -248,43 +259,49 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
             F.coalesce(F.sum(F.expr("if(y = 1, n, 0)")), F.lit(0)).alias("bad"), F.coalesce(F.sum(F.expr("if(y = 1, 0, n)")), F.lit(0)).alias("good")
         )
 
-    counted = classes(count).where("bad >= 3 or kind = ''")
+    counted = written(classes(count).where("bad >= 3 or kind = ''"), "toxicity-terms")
     n = counted.where("kind = ''").first()
     if n is None or not n["bad"] or not n["good"]:
-        return start
+        drop(rows, counted)
+        return model
     lift = (F.col("bad") / n["bad"]) / ((F.col("good") + 0.5) / n["good"])
     least = max(3, round(0.01 * n["bad"]))
-    top = counted.where(f"kind <> '' and bad >= {least}").withColumn("lift", lift).where("lift >= 4").orderBy(F.desc("lift"), "kind", "term").limit(MAX_TERMS)
-    terms, stems = dict(start.terms), {}
-    for r in top.collect():
-        (terms if r["kind"] == "w" else stems)[r["term"]] = float(min(1.0, np.log(r["lift"]) / 6))
-    model = Toxicity(terms, stems, frozenset(), start.weights, swaps=True)
+    for r in counted.where(f"kind <> '' and bad >= {least}").withColumn("lift", lift).where("lift >= 4").collect():
+        (model.terms if r["kind"] == "w" else model.stems)[r["term"]] = float(min(1.0, np.log(r["lift"]) / 6))
+    drop(counted)
 
     def count_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: Counter = Counter()
-        known: dict[str, bool] = {}
         for batch in batches:
             for body, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(known) > REMEMBERED:
-                    known.clear()
                 for w in vocabulary(body):
-                    if w not in known:
-                        hit = model.look(w)
-                        known[w] = hit is not None and hit[2]
-                    if known[w]:
+                    hit = model.look(w) if w not in model.terms else None
+                    if hit and hit[2]:
                         tally["n", w, y] += 1
+                words = WORD.findall((body or "").lower())
+                places = [k for k in model.places(words) if words[k] in model.terms]
+                beside = {w for k in places for w in words[max(0, k - WINDOW) : k] + words[k + 1 : k + 1 + WINDOW] if w not in model.terms}
+                tally.update(("c", w, y) for w in beside)
+                tally["hit", "", y] += bool(places)
         yield from tallied(tally)
 
-    near = classes(count_near).where(F.col("good") > 0).where(lift < NEAR_LIFT)
-    innocent = near.orderBy(F.desc("good"), "term").limit(20 * MAX_TERMS).collect()
-    model.innocent = frozenset(r["term"] for r in innocent)
+    beside = written(classes(count_near), "toxicity-contexts")
+    hit = beside.where("kind = 'hit'").first()
+    hit_lift = ((F.col("bad") + 0.5) / (hit["bad"] + 0.5)) / ((F.col("good") + 0.5) / (hit["good"] + 0.5))
+    words = beside.where(f"kind = 'c' and greatest(good, bad) >= {CONTEXT_ROWS}").withColumn("lift", hit_lift)
+    model.reporting |= {r["term"] for r in words.where(f"good >= {CONTEXT_ROWS} and lift <= 1 / {CONTEXT_LIFT}").collect()}
+    model.address |= {r["term"] for r in words.where(f"bad >= {CONTEXT_ROWS} and lift >= {CONTEXT_LIFT}").collect()}
+    model.innocent = frozenset(r["term"] for r in beside.where("kind = 'n' and good > 0").where(lift < NEAR_LIFT).collect())
+    model._known.clear()
+    drop(beside)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xs = [model.features(t)[0].tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    data = rows.mapInArrow(measure, "x array<double>, y int").collect()  # fit_rows rows at most
+    data = rows.mapInArrow(measure, "x array<double>, y int").collect()  # fit_rows labels at most
+    drop(rows)
     model.weights = logistic(np.array([r["x"] for r in data]), np.array([r["y"] for r in data], float))
     return model
 
@@ -332,6 +349,10 @@ def score_toxicity(docs: DataFrame, model: Toxicity, text: str = "text", keep: t
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, below: float = 0.5) -> DataFrame:
-    """The documents that score less, with all their columns."""
+    """The documents that score less, with all their columns.
+
+    Null and empty texts score as texts without hits and stay unless that alone reaches the bound;
+    null ids stay like others; an empty table gives no rows; without labels the seed terms decide.
+    """
     model = fit_toxicity(docs, labels)
     return score_toxicity(docs, model, keep=tuple(docs.columns), below=below)

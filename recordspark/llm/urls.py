@@ -42,11 +42,24 @@ HOST_RULES = (
     host_rule("example.com/de/", "block"),
     host_rule("org/fr/", "allow"),
 )
-#: Words of unwanted hosts: bounded by a dot, a hyphen or the path.
+#: Production fallback, for URLs without a host rule: words of unwanted hosts, bounded by a dot, a hyphen or the path.
+#: Callers give their own list, or a table of rules by rules_from().
 HOST_WORDS = ("ads-track", "adult-x", "casino", "cheap-pills", "free-bets", "spam-farm")
 WORD_RULES = tuple(Rule(f"word:{w}", f"*.{w}{tail}*#*", "block") for w in HOST_WORDS for tail in (".", "-"))
 
 
+#: Rules that rules_from() takes at most, and 64-bit words of automaton state that a step works on.
+MOST_RULES, STATE_WORDS = 100_000, 1 << 17
+
+
+def rules_from(table: DataFrame) -> tuple[Rule, ...]:
+    """Rules from a table (name, glob, action), in order of name and glob; more than MOST_RULES are refused, rows with a null are left out."""
+    rows = table.select("name", "glob", "action").dropna().distinct().orderBy("name", "glob", "action").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return tuple(Rule(*r) for r in rows)
+
+
 class ShiftAnd:
     """Glob rules (`*` any run, `?` one character, others literal), all simulated together.
 
@@ -87,9 +100,12 @@ class ShiftAnd:
         return out
 
     def match(self, texts: list[str]) -> np.ndarray:
-        """Booleans, texts by rules."""
-        if not texts:
-            return np.zeros((0, len(self.accept)), bool)
+        """Booleans, texts by rules; so many texts at a time that their state stays small."""
+        rows = max(1, STATE_WORDS // self.words)
+        parts = [self._match(texts[k : k + rows]) for k in range(0, len(texts), rows)]
+        return np.concatenate([np.zeros((0, len(self.accept)), bool), *parts])
+
+    def _match(self, texts: list[str]) -> np.ndarray:
         lengths = np.array([len(t) for t in texts])
         order = np.argsort(-lengths, kind="stable")
         flat = np.array([self.row.get(c, 0) for k in order for c in texts[k]], np.int32)
@@ -103,8 +119,8 @@ class ShiftAnd:
             moved[:, 1:] |= now[:, :-1] >> top
             state[:live] = (moved & self.table[flat[begin[:live] + pos]]) | (now & self.stay)
         out = np.empty((len(texts), len(self.accept)), bool)
-        for k, b in enumerate(self.accept):
-            out[order, k] = (state[:, b // 64] >> np.uint64(b % 64)) & one != 0
+        bits = np.array(self.accept, np.int64)
+        out[order] = (state[:, bits // 64] >> (bits % 64).astype(np.uint64)) & one != 0
         return out
 
 
@@ -136,9 +152,10 @@ def judge_urls(pages: DataFrame, rules=HOST_RULES, fallback=WORD_RULES, key: str
             host, path = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             hit = automaton.match([f".{h}#{p}" if h else "" for h, p in zip(host, path)])
             name, verdict, word = [], [], []
-            for row in hit:
-                k = next((i for i in range(len(ranked)) if row[i]), None)
-                w = next((r for i, r in enumerate(fallback) if row[len(ranked) + i]), None)
+            own, rest = hit[:, : len(ranked)], hit[:, len(ranked) :]
+            first = [(int(a.argmax()) if a.any() else None, int(b.argmax()) if b.any() else None) for a, b in zip(own, rest)]
+            for k, w in first:
+                w = None if w is None else fallback[w]
                 name.append(None if k is None else ranked[k].name)
                 word.append(w and w.name)
                 verdict.append(ranked[k].action if k is not None else w.action if w else "allow")

@@ -43,3 +43,8 @@ def test_hosts(spark):
     assert all(not r.kept for r in out if r.host == "bad")
     assert sum(r.kept for r in out if r.host == "good") == 90
     assert host_rules(docs.limit(0)).count() == 0
+
+
+def test_key_named_like_an_inner_column(spark):
+    docs = spark.createDataFrame([(1, "a b c a b c"), (2, None)], "w long, text string").withColumn("source", F.lit("s"))
+    assert {r.w: r.n_repeat_words for r in measure(docs, key="w").collect()} == {1: 6, 2: 0}

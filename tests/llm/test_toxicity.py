@@ -1,5 +1,6 @@
 """Toxicity: the automaton against edit distances, contexts, and held-out accuracy."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -34,6 +35,10 @@ def test_context():
     assert factor("what an idiot he is") == [1.0]
     assert factor("you idiot") == [1.5]
     assert factor('they wrote "idiot" there') == [0.25] == factor("the word idiot")
+    assert factor('on the sign: "such a big idiot lives here", and then idiot') == [0.25, 1.0]
+    assert factor("«ein idiot war er» idiot") == [0.25, 1.0] == factor("„ein idiot war er“ idiot")
+    german = Toxicity({"idiot": 1.0}, {}, frozenset(), None, reporting=frozenset(["sagte"]), address=frozenset(["du"]))
+    assert [h[4] for t in ("er sagte idiot", "du idiot", "idiot") for h in german.hits(t)[0]] == [0.25, 1.5, 1.0]
     assert [h[1:4] for h in m.hits("such an idoit, idiott")[0]] == [("idiot", 1.0, True)]
 
 
@@ -92,3 +97,43 @@ def test_innocence_is_judged_by_lift(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     m = fit_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
     assert "idiott" not in m.innocent and "closer" in m.innocent
+
+
+def test_learned_model_equals_plain_version(spark):
+    rng = random.Random(8)
+    words = ["fluss", "mühle", "wiese", "stein", "garten", "wolke"]
+    rows = []
+    for k in range(400):
+        body = rng.choices(words, k=20)
+        if k % 4 == 0:
+            body[5:5] = ["du", rng.choice(["grobian", "grobjan", "lump", "lumpen", "idiot"])]
+        elif k % 10 == 1:
+            body[5:5] = ["sagte", rng.choice(["grobian", "idiot"])]
+        rows.append((k, " ".join(body), int(k % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    m = fit_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    sets = [(set(t.split()), y) for _, t, y in rows]
+    bad, good = sum(y for _, y in sets), sum(1 - y for _, y in sets)
+
+    def lift(has):
+        b, g = sum(1 for s, y in sets if y and has(s)), sum(1 for s, y in sets if not y and has(s))
+        return b, g, b / bad / ((g + 0.5) / good)
+
+    every = {w for s, _ in sets for w in s}
+    terms = {w: lift(lambda s, w=w: w in s) for w in every if len(w) >= 4}
+    terms = {w: min(1.0, math.log(x) / 6) for w, (b, _, x) in terms.items() if b >= 3 and x >= 4}
+    stems = {w[:k] for w in every for k in (4, 5, 6) if len(w) > k}
+    stems = {p: lift(lambda s, p=p: any(w.startswith(p) and len(w) > len(p) for w in s)) for p in stems}
+    stems = {p: min(1.0, math.log(x) / 6) for p, (b, _, x) in stems.items() if b >= 3 and x >= 4}
+    assert {t: round(w, 9) for t, w in m.terms.items()} == {t: round(w, 9) for t, w in ({t: 1.0 for t in SEED_TERMS} | terms).items()}
+    assert {t: round(w, 9) for t, w in m.stems.items()} == {t: round(w, 9) for t, w in stems.items()}
+    assert "sagte" in m.reporting and "du" in m.address and not {"fluss", "stein"} & (m.reporting | m.address)
+    factor = {t: m.hits(t)[0][0][4] for t in ("er sagte idiot", "du idiot")}
+    assert factor == {"er sagte idiot": 0.25, "du idiot": 1.5}
+    for _, t, _ in rows[:40]:
+        hits = [(x, f) for k, w in enumerate(t.split()) for x in m.found(w) for f in [0.25 if m.reporting & set(t.split()[max(0, k - 5) : k + 6]) - {w} else 1.5 if m.address & set(t.split()[max(0, k - 5) : k + 6]) - {w} else 1.0]]
+        exact, fuzzy = (sum(x[1] * f for x, f in hits if x[2] == bad) for bad in (False, True))
+        want = [1, math.log1p(exact), math.log1p(1000 * exact / (len(t.split()) + 20)), math.log1p(fuzzy), math.log1p(len({x[0] for x, _ in hits})), max([x[1] * f for x, f in hits], default=0)]
+        x = m.features(t)[0].tolist()
+        assert [round(v, 9) for v in x] == [round(v, 9) for v in want]
+        assert m.score(m.features(t)[0]) == 1 / (1 + math.exp(-min(30, max(-30, sum(a * b for a, b in zip(x, m.weights))))))

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from recordspark.llm.urls import ShiftAnd, judge_urls
+from recordspark.llm.urls import HOST_RULES, ShiftAnd, judge_urls, rules_from
 
 
 def test_globs_equal_fnmatch():
@@ -35,3 +35,18 @@ def test_odd_urls(spark):
     assert got[11] == ("a:", "//b.net/", None, "allow")
     assert got[12][2:] == ("net/", "block")
     assert judge_urls(pages.limit(0)).count() == 0
+
+
+def test_ten_thousand_globs_from_a_table(spark):
+    rng = random.Random(6)
+    host = lambda: "".join(rng.choices("abcdefg", k=rng.randint(2, 5)))
+    globs = sorted({f"*.{host()}.{rng.choice(['com', '*', 'c?m'])}#*{rng.choice(['', '/' + host() + '*'])}" for _ in range(16_000)})[:10_000]
+    table = spark.createDataFrame([(f"r{k:05d}", g, rng.choice(["block", "allow"])) for k, g in enumerate(globs)] + [(None, "x", "block")], "name string, glob string, action string")
+    rules = rules_from(table)
+    assert len(rules) == 10_000
+    urls = [f"http://{host()}.{host()}.com/{host()}" for _ in range(60)] + ["http://x.com/"] * 3
+    got = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), HOST_RULES, rules).collect()
+    for r in got:
+        subject = f".{r.host}#{r.path}"
+        first = next((x for x in rules if fnmatch.fnmatchcase(subject, x.glob)), None)
+        assert (r.word_rule, r.verdict) == ((first.name, first.action) if first else (None, "allow")), subject
