@@ -18,49 +18,98 @@ def _word_like(p: Column) -> Column:
     return (F.length(s) >= 3) & (letters / F.length(s) > 0.7) & s.rlike(f"[{VOWELS}]") & ~s.rlike(CONSONANT_RUN)
 
 
+def _measured(pages: DataFrame) -> DataFrame:
+    """Pages with their text, lines, and the counts and score of page_quality; one projection after the other, no join."""
+    text = F.coalesce("text", F.lit(""))
+    t = pages.select("doc_id", "page_no", text.alias("text"), F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)).alias("tok"))
+    t = t.withColumn("cand", F.filter("tok", lambda p: (F.length(p) > 2) & p.rlike(r"\p{L}")))
+    t = t.select("doc_id", "page_no", "text", F.size("tok").alias("n_tokens"), F.size("cand").alias("n_candidates"), F.size(F.filter("cand", _word_like)).alias("n_good"), F.size(F.filter("tok", lambda p: p.rlike(r"^\p{L}{1,2}$"))).alias("n_short"))
+    penalty = F.greatest(F.lit(0.0), F.col("n_short") / F.col("n_tokens") - 0.22)
+    score = F.when((F.col("n_tokens") >= 40) & (F.col("n_candidates") >= 20), F.greatest(F.lit(0.0), F.col("n_good") / F.col("n_candidates") - penalty)).otherwise(0.0)
+    return t.withColumn("score", score)
+
+
 def page_quality(pages: DataFrame) -> DataFrame:
     """doc_id, page_no, n_tokens, n_candidates, n_good, n_short, score (0 to 1, not rounded) of every page.
 
     Pages under 40 tokens or 20 candidate words score 0; more than 22 % tokens of one or two letters lower the score.
     """
-    t = pages.withColumn("tok", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0)))
-    t = t.withColumn("cand", F.filter("tok", lambda p: (F.length(p) > 2) & p.rlike(r"\p{L}")))
-    t = t.select("doc_id", "page_no", F.size("tok").alias("n_tokens"), F.size("cand").alias("n_candidates"), F.size(F.filter("cand", _word_like)).alias("n_good"), F.size(F.filter("tok", lambda p: p.rlike(r"^\p{L}{1,2}$"))).alias("n_short"))
-    penalty = F.greatest(F.lit(0.0), F.col("n_short") / F.col("n_tokens") - 0.22)
-    score = F.when((F.col("n_tokens") >= 40) & (F.col("n_candidates") >= 20), F.greatest(F.lit(0.0), F.col("n_good") / F.col("n_candidates") - penalty)).otherwise(0.0)
-    return t.withColumn("score", score)
+    return _measured(pages).drop("text")
+
+
+#: Dashes that page numbers and references are written with; all count as the plain hyphen.
+DASHES = "‐‑‒–—―"
+
+
+def _leader(line: Column) -> Column:
+    """What stands between a line's words and the page number at its end, the number being digits and at most one letter: dots, gap or nothing."""
+    number = F.regexp_extract(line, "[0-9]+[A-Za-z]?$", 0)
+    head = F.substring(line, F.lit(1), F.length(line) - F.length(number))
+    words = F.rtrim(head)
+    dots, gap = F.endswith(words, F.lit("...")), F.length(head) - F.length(words) >= 3
+    return F.when(number == "", "nothing").when(dots, "dots").when(gap, "gap").otherwise("nothing")
+
+
+def _is_link(line: Column) -> Column:
+    """A number reference of digits, blanks and punctuation, then only link marks `[<<]`, commas between them."""
+    parts = F.split(line, r"\[\s*<<\s*\]")
+    first, rest = F.get(parts, F.lit(0)), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return (F.size(parts) > 1) & (first != "") & (F.translate(first, "0123456789 \t.,;:()-" + DASHES, "") == "") & F.forall(rest, lambda p: F.trim(p).isin("", ","))
+
+
+def _is_reference(line: Column) -> Column:
+    """Chapter (and verses) on the left, page numbers on the right, apart by a blank or a dash.
+
+    The line is cut at its blanks, each side at dashes and commas; every piece is tested by itself.
+    """
+    tidy = F.regexp_replace(F.regexp_replace(F.translate(line, DASHES, "-" * len(DASHES)), r"\s*([-,])\s*", "$1"), r"\s+", " ")
+    sides = F.split(tidy, " ")
+    pieces = lambda x: F.split(x, "[-,]")
+    marks = lambda x: F.regexp_replace(x, "[^-,]", "")
+    page = lambda p: p.rlike("^[0-9]{1,4}(n[0-9]+)?$")
+    chapter = lambda p: p.rlike("^[0-9]{1,3}([:.][0-9]{1,3})?$")
+    small = lambda p: p.rlike("^[0-9]{1,3}$")
+    with_verse = lambda p: p.rlike("[:.]")
+    left, right = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
+    head, tail = F.get(pieces(left), F.lit(0)), F.get(pieces(left), F.lit(1))
+    joined = marks(left)
+    apart = (F.size(sides) == 2) & chapter(head) & ((joined == "") | ((joined == "-") & small(tail)) | ((joined == ",") & with_verse(head) & small(tail))) & F.forall(pieces(right), page)
+    rest = F.slice(pieces(left), F.lit(2), F.greatest(F.size(pieces(left)) - 1, F.lit(0)))
+    dashed = (F.size(sides) == 1) & chapter(head) & (F.startswith(joined, F.lit("-")) | (F.startswith(joined, F.lit(",-")) & with_verse(head) & small(tail))) & F.forall(rest, page)
+    return F.coalesce(apart | dashed, F.lit(False))
 
 
 def page_class(pages: DataFrame) -> DataFrame:
     """doc_id, page_no, n_chars, score, legible, class: texto_bom, texto_fraco, texto_curto or sem_texto.
 
     Contents pages, reference indexes and clean short pages count as legible whatever their score.
+    Every row gives a row: null ids and repeated pages stay as they are.
     """
-    text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    count = lambda rule: F.size(F.filter("lines", lambda x: x.rlike(rule)))
-    p = pages.select("doc_id", "page_no", text.alias("text"), lines.alias("lines"), F.length(F.regexp_replace(text, r"\s+", "")).alias("n_chars"))
-    p = p.withColumns({
-        "n_lines": F.size("lines"),
-        "n_words": F.size(F.regexp_extract_all("text", F.lit(r"\p{L}{3,}"), F.lit(0))),
-        "letters": F.length(F.regexp_replace("text", r"[^\p{L}]", "")),
-        "broken": F.length("text") - F.length(F.replace("text", F.lit("�"), F.lit(""))),
-        "dotted": count(r"\.{3,}\s*\d+[A-Za-z]?\s*$"),
-        "indexed": count(r"(\.{3,}|\s{3,})\s*\d+[A-Za-z]?\s*$"),
-        "linked": count(r"^[\d\s.,;:()\-]+(\[\s*<<\s*\]\s*,?\s*)+$"),
-        "referred": count(r"^\s*\d{1,3}([:.]\d{1,3}([-,]\d{1,3})?|\s*-\s*\d{1,3})?(\s*-\s*|\s+)\d{1,4}(n\d+)?(\s*[-,]\s*\d{1,4}(n\d+)?)*\s*$"),
-    })
-    sound = F.col("broken") / F.greatest(F.lit(1), F.length("text")) < 0.002
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    p = _measured(pages).withColumn("lines", lines)
+    p = p.withColumn("leaders", F.transform("lines", _leader))
+    kind = lambda *names: F.size(F.filter("leaders", lambda x: x.isin(*names)))
+    digits_first = F.filter("lines", lambda x: x.rlike(r"^[\d\s.,;:()\-" + DASHES + "]"))
+    p = p.withColumn("numbered", digits_first).select(
+        "doc_id", "page_no", "score", F.length("text").alias("length"), F.size("lines").alias("n_lines"),
+        F.length(F.regexp_replace("text", r"\s+", "")).alias("n_chars"),
+        F.size(F.regexp_extract_all("text", F.lit(r"\p{L}{3,}"), F.lit(0))).alias("n_words"),
+        F.length(F.regexp_replace("text", r"[^\p{L}]", "")).alias("letters"),
+        (F.length("text") - F.length(F.replace("text", F.lit("\ufffd"), F.lit("")))).alias("broken"),
+        kind("dots").alias("dotted"), kind("dots", "gap").alias("indexed"),
+        F.size(F.filter("numbered", _is_link)).alias("linked"), F.size(F.filter("numbered", _is_reference)).alias("referred"),
+        F.exists("lines", lambda x: F.lower(x).isin("sumario", "sumário", "indice", "índice")).alias("headed"),
+    )
+    sound = F.col("broken") / F.greatest(F.lit(1), F.col("length")) < 0.002
     clean = (F.col("n_chars") > 0) & (F.col("letters") / F.greatest(F.lit(1), F.col("n_chars")) >= 0.30) & sound
-    contents = F.expr(r"exists(lines, x -> lower(x) rlike '^(sum[aá]rio|[ií]ndice)$')") & (F.col("indexed") >= 5) & sound
+    contents = F.col("headed") & (F.col("indexed") >= 5) & sound
     of_lines = lambda n, least, share: (F.col(n) >= least) & (F.col(n) / F.greatest(F.lit(1), F.col("n_lines")) >= share)
     index = (F.col("n_lines") >= 6) & sound & (of_lines("linked", 8, 0.55) | of_lines("dotted", 4, 0.35) | of_lines("referred", 8, 0.55))
-    legible = contents | index | ((F.col("n_words") >= 25) & clean) | ((F.col("n_chars") >= MIN_PAGE_CHARS) & (F.col("n_words") >= 8) & (F.col("n_lines") >= 3) & clean)
-    p = p.select("doc_id", "page_no", "n_chars", index.alias("index"), legible.alias("legible"))
-    p = p.join(page_quality(pages).select("doc_id", "page_no", "score"), ["doc_id", "page_no"])
+    short = (F.col("n_chars") >= MIN_PAGE_CHARS) & (F.col("n_words") >= 8) & (F.col("n_lines") >= 3) & clean
+    p = p.withColumn("index", index).withColumn("legible", contents | F.col("index") | ((F.col("n_words") >= 25) & clean) | short)
     rated = (F.col("n_chars") >= MIN_PAGE_CHARS) | F.col("index")
-    kind = F.when(rated & ((F.col("score") >= PAGE_SCORE) | F.col("legible")), "texto_bom").when(rated, "texto_fraco").when(F.col("n_chars") > 0, "texto_curto").otherwise("sem_texto")
-    return p.select("doc_id", "page_no", "n_chars", "score", "legible", kind.alias("class"))
+    kind_of = F.when(rated & ((F.col("score") >= PAGE_SCORE) | F.col("legible")), "texto_bom").when(rated, "texto_fraco").when(F.col("n_chars") > 0, "texto_curto").otherwise("sem_texto")
+    return p.select("doc_id", "page_no", "n_chars", "score", "legible", kind_of.alias("class"))
 
 
 def document_quality(classes: DataFrame, neutral: str | None = None) -> DataFrame:
@@ -105,17 +154,41 @@ def accept_new_version(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("doc_id", reason.isNull().alias("accepted"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 
+def printed_numbers(pages: DataFrame) -> DataFrame:
+    """doc_id, sheet, printed, stamped of the pages on which a page number is found.
+
+    A layout tool's stamp (`name.indd 12`, the last on the page) comes first; else the last line
+    that is only a number among the first and last four lines. Years on the first four sheets and
+    numbers far beyond the number of pages are no page numbers.
+    """
+    n = pages.groupBy("doc_id").agg(F.count("*").alias("n"))
+    stamp = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?i)\.indd\s+([0-9]{1,4})\b"), F.lit(1))
+    ls = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    p = pages.select("doc_id", F.col("page_no").alias("sheet"), stamp.alias("stamp"), ls.alias("ls")).join(n, "doc_id")
+    edge = F.concat(F.slice("ls", F.lit(1), F.lit(4)), F.slice("ls", F.greatest(F.size("ls") - 3, F.lit(1)), F.lit(4)))
+    alone = F.transform(F.filter(edge, lambda x: x.rlike("^[0-9]{1,4}$")), lambda x: x.cast("int"))
+    far = lambda v: ((F.col("sheet") <= 4) & (v.between(1450, 2099) | (v > F.greatest(F.lit(50), F.col("n"))))) | (v > F.greatest(F.col("n") * 2, F.lit(2000)))
+    p = p.withColumn("alone", F.filter(alone, lambda v: ~far(v)))
+    stamped = F.size("stamp") > 0
+    printed = F.when(stamped, F.element_at("stamp", -1).cast("int")).when(F.size("alone") > 0, F.element_at("alone", -1))
+    return p.select("doc_id", "sheet", printed.alias("printed"), stamped.alias("stamped")).where("printed is not null")
+
+
 def page_sequence_gaps(numbers: DataFrame) -> DataFrame:
-    """Documents with page numbers printed (doc_id, sheet, printed): n_seen, gap (a jump above one), late_start.
+    """Documents with page numbers (doc_id, sheet, printed, stamped): n_seen, gap_from, gap_to, late_start, partial.
 
-    late_start: the first printed number of at least 5 stands on one of the first 4 sheets and is 4 or more ahead of it. Fewer than 3 numbers tell nothing.
+    gap: the first jump above one between neighbours that a layout tool stamped. late_start: the first
+    number above one, at least 5, stands on one of the first 4 sheets and is 4 or more ahead of
+    it. Fewer than 3 numbers tell nothing.
     """
     order = Window.partitionBy("doc_id").orderBy("sheet")
-    d = numbers.withColumn("jump", F.col("printed") - F.lag("printed").over(order))
-    useful = F.when(F.col("printed") >= 5, F.struct("sheet", "printed"))
-    d = d.groupBy("doc_id").agg(F.count("*").alias("n_seen"), F.max(F.coalesce(F.col("jump") > 1, F.lit(False))).alias("gap"), F.min(useful).alias("first"))
-    late = (F.col("first.sheet") <= 4) & (F.col("first.printed") - F.col("first.sheet") >= 4)
-    return d.where("n_seen >= 3").select("doc_id", "n_seen", "gap", F.coalesce(late, F.lit(False)).alias("late_start"))
+    d = numbers.withColumn("before", F.lag("printed").over(order)).withColumn("both", F.col("stamped") & F.lag("stamped").over(order))
+    jump = F.when(F.col("both") & (F.col("printed") - F.col("before") > 1), F.struct("sheet", "before", "printed"))
+    useful = F.when(F.col("printed") > 1, F.struct("sheet", "printed"))
+    d = d.groupBy("doc_id").agg(F.count("*").alias("n_seen"), F.min(jump).alias("gap"), F.min(useful).alias("first"))
+    late = F.coalesce((F.col("first.sheet") <= 4) & (F.col("first.printed") >= 5) & (F.col("first.printed") - F.col("first.sheet") >= 4), F.lit(False))
+    out = d.where("n_seen >= 3").select("doc_id", "n_seen", F.col("gap.before").alias("gap_from"), F.col("gap.printed").alias("gap_to"), late.alias("late_start"))
+    return out.withColumn("partial", F.col("gap_from").isNotNull() | F.col("late_start"))
 
 
 def pagination_check(records: DataFrame, editions: DataFrame) -> DataFrame:
@@ -126,12 +199,30 @@ def pagination_check(records: DataFrame, editions: DataFrame) -> DataFrame:
     return j.select("rec_id", "file_pages", "edition_pages", verdict.alias("verdict"))
 
 
-def provenance_flags(docs: DataFrame) -> DataFrame:
-    """doc_id, machine_translated, site_capture, shared_copy: literal marks, or one host on three lines that are only a URL."""
+#: Literal marks of where a file comes from, by kind. Fixed values.
+PROVENANCE_MARKS = {
+    "machine_translated": r"machine\s+translated\s+by\s+google|traduzido\s+automaticamente\s+pelo\s+google",
+    "site_navigation": r"<-\s*previous\s+first\s+next\s*->|previous\s*\|\s*first\s*\|\s*next",
+    "shared_copy": r"scribd\.com|baixado\s+(?:do|em)\s+scribd",
+    "non_commercial": r"c[oó]pia\s+(?:digital\s+)?n[aã]o\s+comercial|non[- ]commercial\s+(?:digital\s+)?copy",
+}
+#: What a published book says of itself. Fixed values.
+PUBLISHING_SIGNALS = r"\bisbn\b|\bcopyright\b|[©℗]|dados\s+(?:internacionais\s+)?de\s+cataloga[çc][aã]o|ficha\s+catalogr[aá]fica"
+
+
+def provenance_flags(docs: DataFrame, isbn: str | None = None) -> DataFrame:
+    """doc_id, machine_translated, site_capture, shared_copy, non_commercial, derived; with isbn: what of it stays.
+
+    A site capture has a site's navigation line, or three lines that are only a URL of one host and no
+    publishing signals. Derived copies (machine translations, captures, non-commercial copies) do not
+    keep the ISBN of their source.
+    """
     text = F.lower(F.coalesce("text", F.lit("")))
-    lines = docs.select("doc_id", F.explode(F.split(text, "\n")).alias("line"))
-    host = F.regexp_extract(F.trim("line"), r"^https?://([^/\s]+)\S*$", 1)
-    most = lines.select("doc_id", host.alias("host")).where("host <> ''").groupBy("doc_id", "host").count().groupBy("doc_id").agg(F.max("count").alias("same_host"))
-    flags = docs.select("doc_id", text.contains("machine translat").alias("machine_translated"), text.contains("retrieved from").alias("marked"), text.rlike(r"apache license|creative commons|all rights reserved").alias("shared_copy"))
-    j = flags.join(most, "doc_id", "left")
-    return j.select("doc_id", "machine_translated", (F.col("marked") | (F.coalesce("same_host", F.lit(0)) >= 3)).alias("site_capture"), "shared_copy")
+    flags = docs.select("doc_id", *([F.col(isbn).alias("isbn")] if isbn else []), *[text.rlike(rule).alias(name) for name, rule in PROVENANCE_MARKS.items()], text.rlike(PUBLISHING_SIGNALS).alias("signals"), F.split(text, "\n").alias("ls"))
+    hosts = F.filter(F.transform("ls", lambda x: F.regexp_extract(F.trim(x), r"^https?://([^/\s]+)\S*$", 1)), lambda h: h != "")
+    flags = flags.withColumn("hosts", F.sort_array(hosts)).drop("ls")
+    three = F.exists(F.transform("hosts", lambda h, i: h == F.get("hosts", i + 2)), lambda x: F.coalesce(x, F.lit(False)))
+    out = flags.withColumn("site_capture", F.col("site_navigation") | (three & ~F.col("signals")))
+    out = out.withColumn("derived", F.col("machine_translated") | F.col("site_capture") | F.col("non_commercial"))
+    kept = [F.when(~F.col("derived"), F.col("isbn")).alias("isbn")] if isbn else []
+    return out.select("doc_id", "machine_translated", "site_capture", "shared_copy", "non_commercial", "derived", *kept)

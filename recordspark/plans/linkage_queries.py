@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordspark.operators import linkage as L
-from recordspark.plans.registry import query, table
+from recordspark.plans.registry import query, run, table
 
 NORM = "array_to_string(regexp_extract_all(strip_accents(lower({x})), '[a-z0-9]+'), ' ')"
 WORDS = "regexp_extract_all(strip_accents(lower({x})), '[a-z0-9]+')"
 
 
-def run(spark, sf, sql: str, *names: str):
-    """Spark SQL over given tables: fixtures that both engines derive with the same text."""
-    return spark.sql(sql.format(**{n: "{" + n + "}" for n in names}), **{n: table(spark, sf, n) for n in names})
-
-
 @query(
     "lk1_exact_duplicates",
     """with h as (select doc_id, sha256(coalesce(text, '')) as hash from documents), f as (select *, min(doc_id) over (partition by hash) as o from h)

@@ -24,3 +24,8 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """Spark SQL over given tables: fixtures that both engines derive with the same text."""
+    return spark.sql(sql.format(**{n: "{" + n + "}" for n in names}), **{n: table(spark, sf_dir, n) for n in names})

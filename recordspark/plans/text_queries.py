@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordspark.operators import quality as Q
-from recordspark.plans.registry import query, table
+from recordspark.plans.registry import query, run, table
 from recordspark.sources import pages as P
 
 #: Every five lines are a page.
@@ -28,19 +28,30 @@ TOKENS = f"""{PAGES}, tk as (
   from qn
 )"""
 
+#: Lines are told apart by pieces: the number at the end and what stands before it, link marks, the two sides of a reference.
 CLASSES = f"""{TOKENS}, ln as (
-  select doc_id, page_no, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as lines,
-    length(regexp_replace(text, '\\s+', '', 'g')) as n_chars from pg
+  select doc_id, page_no, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as lines from pg
+), dash as (
+  select *, list_transform(lines, lambda x: regexp_extract(x, '[0-9]+[A-Za-z]?$')) as nums from ln
+), lead as (
+  select *, list_transform(range(1, len(lines) + 1), lambda i: lines[i][1 : length(lines[i]) - length(nums[i])]) as heads,
+    list_transform(lines, lambda x: regexp_split_to_array(x, '\\[\\s*<<\\s*\\]')) as marks,
+    list_transform(lines, lambda x: string_split(regexp_replace(regexp_replace(translate(x, '‐‑‒–—―', '------'), '\\s*([-,])\\s*', '\\1', 'g'), '\\s+', ' ', 'g'), ' ')) as sides
+  from dash
 ), lc as (
-  select doc_id, page_no, text, n_chars, len(lines) as n_lines,
+  select doc_id, page_no, text, len(lines) as n_lines, length(regexp_replace(text, '\\s+', '', 'g')) as n_chars,
     len(regexp_extract_all(text, '\\p{{L}}{{3,}}')) as n_words, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) as letters,
     length(text) - length(replace(text, chr(65533), '')) as broken,
-    len(list_filter(lines, lambda x: regexp_matches(x, '\\.{{3,}}\\s*\\d+[A-Za-z]?\\s*$'))) as dotted,
-    len(list_filter(lines, lambda x: regexp_matches(x, '(\\.{{3,}}|\\s{{3,}})\\s*\\d+[A-Za-z]?\\s*$'))) as indexed,
-    len(list_filter(lines, lambda x: regexp_matches(x, '^[\\d\\s.,;:()\\-]+(\\[\\s*<<\\s*\\]\\s*,?\\s*)+$'))) as linked,
-    len(list_filter(lines, lambda x: regexp_matches(x, '^\\s*\\d{{1,3}}([:.]\\d{{1,3}}([-,]\\d{{1,3}})?|\\s*-\\s*\\d{{1,3}})?(\\s*-\\s*|\\s+)\\d{{1,4}}(n\\d+)?(\\s*[-,]\\s*\\d{{1,4}}(n\\d+)?)*\\s*$'))) as referred,
-    len(list_filter(lines, lambda x: regexp_matches(lower(x), '^(sum[aá]rio|[ií]ndice)$'))) > 0 as headed
-  from ln
+    len(list_filter(range(1, len(lines) + 1), lambda i: nums[i] <> '' and ends_with(rtrim(heads[i]), '...'))) as dotted,
+    len(list_filter(range(1, len(lines) + 1), lambda i: nums[i] <> '' and (ends_with(rtrim(heads[i]), '...') or length(heads[i]) - length(rtrim(heads[i])) >= 3))) as indexed,
+    len(list_filter(marks, lambda m: len(m) > 1 and m[1] <> '' and translate(m[1], '0123456789 .,;:()-‐‑‒–—―' || chr(9), '') = '' and len(list_filter(m[2:], lambda y: trim(y) not in ('', ','))) = 0)) as linked,
+    len(list_filter(sides, lambda z: case len(z)
+      when 1 then regexp_matches(z[1], '^[0-9]{{1,3}}([:.][0-9]{{1,3}})?[-,]') and len(list_filter(regexp_split_to_array(z[1], '[-,]')[2:], lambda y: not regexp_full_match(y, '[0-9]{{1,4}}(n[0-9]+)?'))) = 0
+        and (regexp_matches(z[1], '^[^-,]+-') or regexp_matches(z[1], '^[0-9]+[:.][0-9]+,[0-9]{{1,3}}-'))
+      when 2 then regexp_full_match(z[1], '[0-9]{{1,3}}|[0-9]{{1,3}}-[0-9]{{1,3}}|[0-9]{{1,3}}[:.][0-9]{{1,3}}|[0-9]{{1,3}}[:.][0-9]{{1,3}}[-,][0-9]{{1,3}}') and len(list_filter(regexp_split_to_array(z[2], '[-,]'), lambda y: not regexp_full_match(y, '[0-9]{{1,4}}(n[0-9]+)?'))) = 0
+      else false end)) as referred,
+    len(list_filter(lines, lambda x: lower(x) in ('sumario', 'sumário', 'indice', 'índice'))) > 0 as headed
+  from lead
 ), lf as (
   select *, broken / greatest(1, length(text)) < 0.002 as sound from lc
 ), lg as (
@@ -137,16 +148,21 @@ def qg5(spark, sf):
     return Q.accept_new_version(old, new)
 
 
+#: Every second document has its page numbers printed as last lines, every fifth a layout tool's stamps with a missing page, every seventh a year.
+NUMBERED = """select doc_id, page_no, concat(text, case when doc_id % 2 = 0 then concat(chr(10), cast(page_no + doc_id % 6 as string)) when doc_id % 5 = 0 then concat(chr(10), 'body.indd   ', cast(page_no + case when page_no > 4 then 1 else 0 end as string)) when doc_id % 7 = 0 then concat(chr(10), '1998') else '' end) as text from {pg}"""
+
+
 @query(
     "qg6_page_sequence_gaps",
-    f"""with {PAGES}, nm as (select doc_id, page_no as sheet, page_no + doc_id % 6 + cast(page_no > 4 and doc_id % 3 = 0 as int) as printed from pg),
-      j as (select *, printed - lag(printed) over (partition by doc_id order by sheet) as jump from nm),
-      f as (select doc_id, count(*) as n_seen, bool_or(coalesce(jump > 1, false)) as gap, min(case when printed >= 5 then sheet end) as fs, min(case when printed >= 5 then printed end) as fp from j group by doc_id)
-      select doc_id, n_seen, gap, coalesce(fs <= 4 and fp - fs >= 4, false) as late_start from f where n_seen >= 3""",
+    f"""with {PAGES}, np as ({NUMBERED.replace("{pg}", "pg")}), ls as (select doc_id, page_no as sheet, count(*) over (partition by doc_id) as n, regexp_extract_all(text, '(?i)\\.indd\\s+([0-9]{{1,4}})\\b', 1) as stamp, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) as ls from np),
+      al as (select *, list_filter(list_transform(list_filter(ls[1:4] || ls[greatest(len(ls) - 3, 1):], lambda x: regexp_full_match(x, '[0-9]{{1,4}}')), lambda x: cast(x as int)), lambda v: not ((sheet <= 4 and (v between 1450 and 2099 or v > greatest(50, n))) or v > greatest(n * 2, 2000))) as alone from ls),
+      nm as (select doc_id, sheet, len(stamp) > 0 as stamped, case when len(stamp) > 0 then cast(stamp[-1] as int) else alone[-1] end as printed from al),
+      j as (select *, lag(printed) over o as before, stamped and lag(stamped) over o as both_ from nm where printed is not null window o as (partition by doc_id order by sheet)),
+      f as (select doc_id, count(*) as n_seen, min(case when both_ and printed - before > 1 then struct_pack(s := sheet, b := before, p := printed) end) as gap, min(case when printed > 1 then struct_pack(s := sheet, p := printed) end) as first from j group by doc_id)
+      select doc_id, n_seen, gap.b as gap_from, gap.p as gap_to, coalesce(first.s <= 4 and first.p >= 5 and first.p - first.s >= 4, false) as late_start, gap is not null or coalesce(first.s <= 4 and first.p >= 5 and first.p - first.s >= 4, false) as partial from f where n_seen >= 3""",
 )
 def qg6(spark, sf):
-    numbers = doc_pages(spark, sf).selectExpr("doc_id", "page_no sheet", "page_no + doc_id % 6 + cast(page_no > 4 and doc_id % 3 = 0 as int) printed")
-    return Q.page_sequence_gaps(numbers)
+    return Q.page_sequence_gaps(Q.printed_numbers(spark.sql(NUMBERED, pg=doc_pages(spark, sf))))
 
 
 @query(
@@ -161,12 +177,17 @@ def qg7(spark, sf):
     return Q.pagination_check(rec, editions)
 
 
+#: Marks planted by rules on the id; the rest is the documents' own text.
+MARKED = """select doc_id, concat(text, case when doc_id % 11 = 0 then concat(chr(10), 'Traduzido automaticamente pelo Google') when doc_id % 11 = 1 then concat(chr(10), 'Previous | First | Next') when doc_id % 11 = 2 then concat(chr(10), 'Baixado do Scribd') when doc_id % 11 = 3 then concat(chr(10), 'Cópia digital não comercial') when doc_id % 11 = 4 then concat(chr(10), 'http://site.org/a', chr(10), 'https://Site.org/b?x', chr(10), ' http://site.org/ ', case when doc_id % 2 = 0 then concat(chr(10), '© 1999') else '' end) else '' end) as text, concat('i', cast(doc_id as string)) as isbn from {documents}"""
+
+
 @query(
     "qg8_provenance_flags",
-    """with d as (select doc_id, lower(coalesce(text, '')) as t from documents),
-      u as (select doc_id, unnest(string_split(t, chr(10))) as line from d),
-      h as (select doc_id, max(n) as same_host from (select doc_id, regexp_extract(trim(line), '^https?://([^/\\s]+)\\S*$', 1) as host, count(*) as n from u group by all) where host <> '' group by doc_id)
-      select doc_id, contains(t, 'machine translat') as machine_translated, contains(t, 'retrieved from') or coalesce(same_host, 0) >= 3 as site_capture, regexp_matches(t, 'apache license|creative commons|all rights reserved') as shared_copy from d left join h using (doc_id)""",
+    f"""with d as (select doc_id, isbn, lower(coalesce(text, '')) as t from ({MARKED.replace("{documents}", "documents")})),
+      h as (select doc_id, max(n) as same_host from (select doc_id, regexp_extract(trim(line), '^https?://([^/\\s]+)\\S*$', 1) as host, count(*) as n from (select doc_id, unnest(string_split(t, chr(10))) as line from d) group by all) where host <> '' group by doc_id),
+      f as (select doc_id, isbn, contains(t, 'machine translated by google') or contains(t, 'traduzido automaticamente pelo google') as machine_translated, regexp_matches(t, 'previous ?\\| ?first ?\\| ?next|<- ?previous +first +next ?->') or (coalesce(same_host, 0) >= 3 and not regexp_matches(t, '\\bisbn\\b|\\bcopyright\\b|©|℗|catalogação|catalogacao|ficha catalogr')) as site_capture,
+        regexp_matches(t, 'scribd\\.com|baixado (do|em) scribd') as shared_copy, regexp_matches(t, 'c[oó]pia (digital )?n[aã]o comercial|non[- ]commercial (digital )?copy') as non_commercial from d left join h using (doc_id))
+      select doc_id, machine_translated, site_capture, shared_copy, non_commercial, machine_translated or site_capture or non_commercial as derived, case when not (machine_translated or site_capture or non_commercial) then isbn end as isbn from f""",
 )
 def qg8(spark, sf):
-    return Q.provenance_flags(table(spark, sf, "documents"))
+    return Q.provenance_flags(run(spark, sf, MARKED, "documents"), isbn="isbn")
