@@ -6,73 +6,111 @@ from pyspark.sql import functions as F
 
 from recordspark.operators import extract as X
 from recordspark.operators import learn as A
-from recordspark.plans.linkage_queries import BOOKS, CANON, CONFIRMED, NORM, WORDS, _check, duck, run
-from recordspark.plans.registry import query, table
+from recordspark.plans.linkage_queries import BOOKS, CANON, CONFIRMED, NORM, WORDS, _check, duck
+from recordspark.plans.registry import query, run, table
 from recordspark.plans.text_queries import PAGES, doc_pages
 from recordspark.sources.pages import explode_lines
 
-#: Lines with planted ISBN-13 (every 3rd right, others by chance wrong) and ISBN-10 numbers.
-ISBN_LINES = f"""select rec_id % 500 as doc_id, case when rec_id % 4 = 0 then concat('ISBN ', substr(isbn, 1, 3), '-', substr(isbn, 4)) else concat('see ', isbn, ' and 12345') end as line from ({BOOKS}) union all select rec_id % 500, concat('isbn: ', isbn) from ({CONFIRMED})"""
+#: Pages of the documents; the first two get a line with the number of the part that has the document's id, in five forms.
+ISBN_PAGES = f"""select doc_id, page_no, concat(text, coalesce(concat(chr(10), case doc_id % 5 when 0 then concat('ISBN ', substr(isbn, 1, 3), '-', substr(isbn, 4), ' (pdf)') when 1 then concat('ISBN: ', isbn, ' vol. ', cast(1 + doc_id % 3 as string), ' brochura') when 2 then concat('see ', isbn, ' and 12345')
+  when 3 then concat('Copyright 2001 Casa Nova', chr(10), 'capa dura ', substr(isbn, 1, 3), ' ', substr(isbn, 4, 4), ' ', substr(isbn, 8)) else concat('numbers ', isbn, ' and ', coalesce(ten, '1234567890')) end), '')) as text
+  from {{pg}} left join ({BOOKS}) b on b.rec_id = doc_id and page_no <= 2 left join (select rec_id - 1000000 as ten_id, isbn as ten from ({CONFIRMED}) where rec_id < 2000000) t on ten_id = doc_id and page_no <= 2"""
+_PAGES = f"{PAGES}, ip as ({duck(ISBN_PAGES).replace('{pg}', 'pg')}), il as (select doc_id, page_no, ls, i as line_no, ls[i] as line, regexp_matches(lower(text), '{X.CREDIT_PAGE}') as credit, concat_ws(' ', case when i > 1 then ls[i - 1] end, ls[i], ls[i + 1]) as around from (select doc_id, page_no, text, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from ip))"
+_TEN_OK = f"({' + '.join(f'cast(substr(isbn, {k + 1}, 1) as int) * {10 - k}' for k in range(9))} + case when substr(isbn, 10, 1) = 'X' then 10 else cast(substr(isbn, 10, 1) as int) end) % 11 = 0"
+#: Candidates as rows: 13 digits first, then 10 in the rest of the line; the first place on a page stays.
+_CANDS = f"""{_PAGES}, fd as (select *, unnest(list_distinct(regexp_extract_all(line, '\\b97[89][- ]?(?:[0-9][- ]?){{9}}[0-9]\\b') || regexp_extract_all(regexp_replace(line, '\\b97[89][- ]?(?:[0-9][- ]?){{9}}[0-9]\\b', ' ', 'g'), '\\b(?:[0-9][- ]?){{9}}[0-9Xx]\\b'))) as raw from il),
+  fi as (select *, upper(regexp_replace(raw, '[^0-9Xx]', '', 'g')) as isbn, instr(line, raw) as place from fd), fc as (select *, {CANON} as isbn13 from fi where length(isbn) = 13 or (length(isbn) = 10 and {_TEN_OK})),
+  ff as (select *, case when regexp_matches(lower(line), 'pdf\\b') then 'pdf' when regexp_matches(lower(line), 'epub|mobi|kindle|ebook|eletr|electr') then 'digital' when regexp_matches(lower(line), 'brochura|paperback|r[uú]stica|bolsillo|\\btp\\b') then 'brochura' when regexp_matches(lower(line), 'capa dura|tapa dura|hardcover|\\btela\\b') then 'capa dura' else '' end as format,
+    trim(concat_ws(' ', trim(substr(line, greatest(1, place - 50), least(50, place - 1))), trim(substr(line, place + length(raw), 40)))) as label, regexp_extract(line, '{X.VOLUME_RULE}', 1) as volume, row_number() over (partition by doc_id, page_no, isbn13 order by line_no, place, isbn) as rn from fc where isbn13 is not null),
+  cd as (select doc_id, page_no, cast(line_no as int) as line_no, isbn13, isbn, label, format, volume, credit, credit or format <> '' or regexp_matches(lower(around), '{X.EDITORIAL_WORDS}') as anchored from ff where rn = 1)"""
 
 
-@query(
-    "ex1_extract_isbns",
-    f"""with l as ({duck(ISBN_LINES)}), f as (select doc_id, contains(upper(line), 'ISBN') as labelled, unnest(list_distinct(regexp_extract_all(line, '\\b97[89][- ]?(?:[0-9][- ]?){{9}}[0-9]\\b') || regexp_extract_all(regexp_replace(line, '\\b97[89][- ]?(?:[0-9][- ]?){{9}}[0-9]\\b', ' ', 'g'), '\\b(?:[0-9][- ]?){{9}}[0-9Xx]\\b'))) as raw from l),
-      d as (select doc_id, labelled, upper(regexp_replace(raw, '[^0-9Xx]', '', 'g')) as isbn from f), c as (select doc_id, labelled, {CANON} as isbn13 from d where length(isbn) = 13 or (length(isbn) = 10 and ({" + ".join(f"cast(substr(isbn, {k + 1}, 1) as int) * {10 - k}" for k in range(9))} + case when substr(isbn, 10, 1) = 'X' then 10 else cast(substr(isbn, 10, 1) as int) end) % 11 = 0))
-      select doc_id, isbn13, count(*) as n_lines, bool_or(labelled) as labelled from c where isbn13 is not null group by all""",
-)
+def isbn_pages(spark, sf):
+    return spark.sql(ISBN_PAGES.replace("{{pg}}", "{pg}"), pg=doc_pages(spark, sf), part=table(spark, sf, "part"))
+
+
+@query("ex1_extract_isbns", f"with {_CANDS} select * from cd")
 def ex1(spark, sf):
-    return X.extract_isbns(run(spark, sf, ISBN_LINES, "part"))
+    return X.extract_isbns(isbn_pages(spark, sf))
 
 
 @query(
     "ex2_suspect_isbns",
-    f"""with b as (select rec_id, isbn as raw from ({duck(BOOKS)}) where rec_id % 7 = 0), x as (select rec_id, raw, place, substr(raw, 1, place - 1) || digit || substr(raw, place + 1) as corrected from b, (select unnest(range(1, 14)) as place), (select unnest(range(10)) as digit))
-      select rec_id, raw, cast(place as int) as place, corrected from x where corrected <> raw and corrected like '97%' and substr(corrected, 3, 1) in ('8', '9') and {_check('corrected')} = substr(corrected, 13, 1)""",
+    f"""with {_PAGES}, an as (select distinct doc_id, page_no, upper(regexp_replace(unnest(regexp_extract_all(line, '(?i)ISBN[^0-9]{{0,12}}([0-9][0-9\\s\\-–—]{{7,20}}[0-9Xx])', 1)), '[^0-9Xx]', '', 'g')) as raw from il),
+      bd as (select * from an where (length(raw) = 13 and (raw not like '97%' or substr(raw, 3, 1) not in ('8', '9') or {_check('raw')} <> substr(raw, 13, 1))) or (length(raw) = 10 and not ({_TEN_OK.replace('isbn', 'raw')}))),
+      ch as (select doc_id, page_no, raw, place, substr(raw, 1, place - 1) || digit || substr(raw, place + 1) as isbn from bd, (select unnest(range(1, 14)) as place), (select unnest(string_split('0,1,2,3,4,5,6,7,8,9,X', ',')) as digit) where place <= length(raw) and (digit <> 'X' or place = 10)),
+      ok as (select doc_id, page_no, raw, cast(place as int) as place, isbn as corrected from ch where isbn <> raw and case when length(isbn) = 13 then not contains(isbn, 'X') and isbn like '97%' and substr(isbn, 3, 1) in ('8', '9') and try_cast({_check('isbn').replace('cast(', 'try_cast(')} as int) = try_cast(substr(isbn, 13, 1) as int) else {_TEN_OK} end)
+      select bd.*, place, corrected from bd left join ok using (doc_id, page_no, raw)""",
 )
 def ex2(spark, sf):
-    return X.suspect_isbns(run(spark, sf, BOOKS, "part").where("rec_id % 7 = 0").selectExpr("rec_id", "isbn raw"))
+    return X.suspect_isbns(isbn_pages(spark, sf))
 
 
-_ORIGINS = ", ".join(f"'{o}'" for o in X.ISBN_ORIGINS)
-ISBN_CANDS = f"select rec_id % 300 as doc_id, isbn, element_at(array({_ORIGINS}), cast(rec_id % 7 as int) + 1) as origin from ({BOOKS}) union all select rec_id % 300, isbn, 'credit' from ({CONFIRMED})"
+#: Files: a volume for every second document, a year for every third; barcodes and OPF packages for a few.
+ISBN_FILES = "select doc_id, case when doc_id % 2 = 0 then cast(1 + doc_id % 3 as string) end as file_volume, case when doc_id % 3 = 0 then 1950 + doc_id % 90 end as year from {documents}"
+MORE_ISBNS = f"select rec_id as doc_id, 0 as page_no, 0 as line_no, isbn as isbn13, isbn, case when rec_id % 2 = 0 then 'barcode' else 'opf' end as origin, '' as format, '' as volume, false as credit, true as anchored from ({BOOKS}) where rec_id % 13 = 1 and rec_id % 7 <> 0"
 
 
 @query(
     "ex3_choose_isbn",
-    f"""with k as (select rec_id % 300 as doc_id, isbn, [{_ORIGINS}][rec_id % 7 + 1] as origin from ({duck(BOOKS)}) union all select rec_id % 300, isbn, 'credit' from ({duck(CONFIRMED)})), c as (select doc_id, isbn, origin, {CANON} as isbn13 from k),
-      r as (select *, row_number() over (partition by doc_id order by list_position([{_ORIGINS}], origin), length(isbn) <> 13, isbn13) as rn from c where isbn13 is not null) select doc_id, isbn13, origin from r where rn = 1""",
+    f"""with {_CANDS}, k as (select doc_id, page_no, line_no, isbn13, isbn, 'page' as origin, format, volume, credit, anchored from cd union all select * from ({duck(MORE_ISBNS)})), fl as ({duck(ISBN_FILES).replace('{documents}', 'documents')}),
+      pl as (select k.*, file_volume, case origin when 'barcode' then 1 when 'opf' then 2 else case when not anchored then 9 else 3 end end as stage, max(case when origin = 'page' and anchored and credit then 1 else 0 end) over (partition by doc_id) as has_credit from k join fl using (doc_id)),
+      rk as (select *, case when stage <> 3 then 0 when has_credit = 1 and not credit then 99 when volume = file_volume then 1 when format = 'brochura' then 2 when format not in ('pdf', 'digital') then 3 else 5 end as tier from pl),
+      bs as (select *, row_number() over (partition by doc_id order by stage, tier, case length(isbn) when 13 then 0 else 1 end, page_no, line_no, isbn13, isbn) as rn from rk)
+      select fl.doc_id, case when stage < 9 then isbn end as isbn, case when stage < 9 then isbn13 end as isbn13,
+        case when stage is null then case when year < 1970 then 'none: before 1970' else 'none: not found' end when stage = 9 then 'none: no bibliographic label' when stage = 1 then 'barcode' when stage = 2 then 'opf'
+          else case tier when 1 then 'volume' when 2 then 'paperback' when 3 then 'print' else 'only' end || case when tier in (3, 5) and length(isbn) <> 13 and year < 2007 then ' (before 2007)' else '' end end as reason
+      from fl left join (select * from bs where rn = 1) b using (doc_id)""",
 )
 def ex3(spark, sf):
-    return X.choose_isbn(run(spark, sf, ISBN_CANDS, "part"))
+    from pyspark.sql.functions import lit
+
+    found = X.extract_isbns(isbn_pages(spark, sf)).withColumn("origin", lit("page"))
+    more = run(spark, sf, MORE_ISBNS, "part")
+    return X.choose_isbn(found.select(more.columns).unionByName(more), run(spark, sf, ISBN_FILES, "documents"))
 
 
-@query("ex4_isbn_equivalence", f"with k as (select isbn from ({duck(BOOKS)}) union all select isbn from ({duck(CONFIRMED)})) select isbn13, count(distinct isbn) as n_forms, count(*) as n_records from (select isbn, {CANON} as isbn13 from k) where isbn13 is not null group by 1")
+#: Every fifth number begins with a Brazilian registration group.
+IDS = f"select isbn from ({BOOKS}) union all select isbn from ({CONFIRMED}) union all select concat(b, {_check('b')}) from (select concat(case when p_partkey % 2 = 0 then '97885' else '97865' end, lpad(cast(p_partkey as string), 7, '0')) as b from {{part}} where p_partkey % 5 = 0)"
+_EQUAL = f"eq as (select isbn13, count(distinct isbn) as n_forms, count(*) as n_records, isbn13 like '97885%' or isbn13 like '97865%' as brazil from (select isbn, {CANON} as isbn13 from ({duck(IDS)})) where isbn13 is not null group by 1)"
+
+
+@query("ex4_isbn_equivalence", f"with {_EQUAL} select * from eq")
 def ex4(spark, sf):
-    return X.isbn_equivalence(run(spark, sf, BOOKS, "part").select("isbn").unionAll(run(spark, sf, CONFIRMED, "part").select("isbn")))
+    return X.isbn_equivalence(run(spark, sf, IDS, "part"))
+
+
+@query("ex4_isbn_groups", f"with {_EQUAL} select case when brazil then isbn13[4:5] else 'other' end as registration, count(*) as n_editions, cast(sum(n_records) as bigint) as n_records from eq group by 1")
+def ex4_groups(spark, sf):
+    return X.isbn_groups(X.isbn_equivalence(run(spark, sf, IDS, "part")))
 
 
-DOI_DOCS = "select doc_id, concat(text, case when doc_id % 4 = 0 then concat(' (doi 10.', cast(1000 + doc_id % 90 as string), '/Abc‑', cast(doc_id % 7 as string), ').') else '' end, case when doc_id % 8 = 0 then concat(' 10.', cast(1000 + doc_id % 90 as string), '/abc-', cast(doc_id % 7 as string), ';') else '' end) as text from {documents}"
+DOI_DOCS = "select doc_id, concat(text, case when doc_id % 4 = 0 then concat(' (doi 10.', cast(1000 + doc_id % 90 as string), '/Abc—', cast(doc_id % 7 as string), ').') else '' end, case when doc_id % 8 = 0 then concat(' 10.', cast(1000 + doc_id % 90 as string), '/abc-', cast(doc_id % 7 as string), ';é 10.1234/a#b') else '' end) as text from {documents}"
 
 
-@query("ex5_extract_dois", f"with d as ({DOI_DOCS.replace('{documents}', 'documents')}) select distinct doc_id, regexp_replace(x, '[.,;:)\\]]+$', '') as doi from (select doc_id, unnest(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[‐-—]', '-', 'g'), '\\b10\\.[0-9]{{4,9}}/[^\\s\"<>]+')) as x from d)")
+@query("ex5_extract_dois", f"with d as ({DOI_DOCS.replace('{documents}', 'documents')}) select distinct doc_id, regexp_replace(x, '[.,;)]+$', '') as doi from (select doc_id, unnest(regexp_extract_all(replace(replace(lower(coalesce(text, '')), '–', '-'), '—', '-'), '10\\.[0-9]{{4,9}}/[-._;()/:a-z0-9]+')) as x from d)")
 def ex5(spark, sf):
     return X.extract_dois(run(spark, sf, DOI_DOCS, "documents"))
 
 
-#: Every fourth document gets a line with a year, half of them beside an anchor, some beside an excluded word.
-YEAR_DOCS = "select doc_id, concat(case when doc_id % 4 = 0 then concat('Seen in ', cast(1900 + doc_id % 120 as string), chr(10)) else '' end, case when doc_id % 8 = 0 then concat('Published here', chr(10)) when doc_id % 12 = 0 then concat('Copyright, born early', chr(10)) else '' end, text) as text from {documents}"
+#: Lines planted by rules on the id: anchored years, birth years, excluded words, edition phrases, © before an ISBN, Roman numerals.
+YEAR_DOCS = "select doc_id, concat(case doc_id % 8 when 0 then concat('Seen in ', cast(1900 + doc_id % 120 as string), chr(10), 'Published here', chr(10)) when 1 then concat('Silva, Ana, 1962-', chr(10), 'Copyright ', cast(1960 + doc_id % 60 as string), chr(10)) when 2 then concat('Bible edition ', cast(1900 + doc_id % 120 as string), chr(10)) when 3 then concat('First edição: ', cast(1980 + doc_id % 40 as string), chr(10)) when 4 then concat('© 1990 A', chr(10), 'x', chr(10), '© ', cast(1991 + doc_id % 30 as string), ' B', chr(10), 'ISBN 1', chr(10), '© 2020', chr(10)) when 5 then concat('© MCM', case when doc_id % 2 = 0 then 'XCIV' else 'LXXX' end, chr(10)) else '' end, text) as text from {documents}"
 
 
 @query(
     "ex6_publication_year",
-    f"""with d as ({YEAR_DOCS.replace('{documents}', 'documents')}), l as (select doc_id, i as line_no, ls[i] as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') as ls from d))),
-      c as (select *, lower(concat_ws(' ', lag(line) over w, line, lead(line) over w)) as around, regexp_extract(' ' || line || ' ', '[^0-9]((?:1[5-9]|20)[0-9]{{2}})[^0-9]', 1) as year from l window w as (partition by doc_id order by line_no)),
-      k as (select *, row_number() over (partition by doc_id order by line_no) as rn from c where year <> '' and regexp_matches(around, 'licen[cs]|version|copyright|©|edition|published') and not regexp_matches(around, '\\bborn\\b|\\bdied\\b'))
-      select doc_id, cast(year as int) as year, cast(line_no as int) as line_no from k where rn = 1""",
+    f"""with d as (select doc_id, coalesce(text, '') as text from ({YEAR_DOCS.replace('{documents}', 'documents')})), e as (select doc_id, coalesce({', '.join(f"nullif(regexp_extract(lower(text), '{p}', 1), '')" for p in X.EDITION_YEARS)}) as edition, regexp_extract(text, '(?i)(?:copyright|©)\\s+([MDCLXVI]{{6,12}})\\b', 1) as numeral from d),
+      l as (select doc_id, i, ls[i] as line, concat_ws(' ', case when i > 1 then ls[i - 1] end, ls[i], ls[i + 1]) as around from (select doc_id, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from d)),
+      g as (select *, regexp_matches(lower(around), '{X.YEAR_EXCLUDED}') as out, min(case when regexp_matches(line, '(?i)\\bISBN\\b') then i end) over (partition by doc_id) as isbn_at from l),
+      c as (select doc_id, max(struct_pack(i := i, y := regexp_extract_all(lower(line), '(?:©|copyright)\\s*((?:19|20)[0-9]{{2}})', 1)[-1])).y as credit from g where i < isbn_at and not out and regexp_matches(lower(line), '(?:©|copyright)\\s*(?:19|20)[0-9]{{2}}') group by doc_id),
+      y as (select doc_id, i, list_filter(list_transform(regexp_extract_all(' ' || regexp_replace(regexp_replace(around, ',\\s*[0-9]{{4}}\\s*[-–]', ' ', 'g'), '([^0-9])', '\\1 ', 'g') || ' ', '[^0-9]((?:1[6-9]|20)[0-9]{{2}})[^0-9]', 1), lambda v: cast(v as int)), lambda v: v <= year(current_date)) as ys from g where not out and regexp_matches(lower(around), '{X.YEAR_ANCHORS}')),
+      a as (select doc_id, min(struct_pack(i := i, y := ys[1])).y as anchored from y where len(ys) > 0 group by doc_id),
+      r as (select doc_id, case when numeral <> '' then list_sum(list_transform(range(1, length(numeral) + 1), lambda k: case when v[k] < list_max(v[k + 1:]) then -v[k] else v[k] end)) end as roman from (select doc_id, numeral, list_transform(string_split(upper(numeral), ''), lambda x: case x when 'I' then 1 when 'V' then 5 when 'X' then 10 when 'L' then 50 when 'C' then 100 when 'D' then 500 when 'M' then 1000 else 0 end) as v from e)),
+      j as (select doc_id, cast(edition as int) as edition, cast(credit as int) as credit, anchored, case when roman between 1500 and year(current_date) then cast(roman as int) end as roman from e left join c using (doc_id) left join a using (doc_id) left join r using (doc_id))
+      select doc_id, coalesce(edition, credit, anchored, roman) as year, case when edition is not null then 'edition' when credit is not null then 'credit' when anchored is not null then 'anchored' else 'roman' end as how from j where coalesce(edition, credit, anchored, roman) is not null""",
 )
 def ex6(spark, sf):
-    return X.publication_year(explode_lines(run(spark, sf, YEAR_DOCS, "documents")))
+    return X.publication_year(run(spark, sf, YEAR_DOCS, "documents"))
 
 
 _reads = " union all ".join(f"select doc_id, '{f}' as field, '{s}' as source, trim(regexp_extract(text, '{p}', 1)) as value, {r} as rank from documents" for f, s, p, r in X.CARD_RULES)
@@ -83,12 +121,20 @@ def ex7(spark, sf):
     return X.catalog_card_fields(table(spark, sf, "documents"))
 
 
-CODES = "select p_partkey as rec_id, case when p_partkey % 6 = 0 then '' else concat(cast(20 + p_size as string), '.', cast(p_partkey % 9 as string)) end as cdu, case when p_partkey % 5 = 0 then '813' else '' end as ddc from {part}"
+#: Documents with a planted classification line, in the spellings that scanned cards have.
+CLASSIFIED = "select doc_id, concat(text, chr(10), case {{case}} else '' end) as text from {documents}".replace("{{case}}", "doc_id % 14 " + " ".join(f"when {k} then '{c}'" for k, c in enumerate(["CDU 27-1", "C D U: 22", "CDU 27(091)", "CDU–27-4", "CDD 230.1", "cdu 28", "CDU 27.36", "CDU 27-23", "CDU 37", "CDU 2", "CDU 279", "CDU: 29-3"])))
 
 
-@query("ex8_map_classification", f"select rec_id, coalesce(nullif(ddc, ''), case {' '.join(f'''when starts_with(cdu, '{a}') then '{b}' ''' for a, b in X.CDU_TO_DDC)} end) as ddc from ({duck(CODES)})")
+@query(
+    "ex8_map_classification",
+    f"""with d as (select doc_id, coalesce(text, '') as t from ({CLASSIFIED.replace("{documents}", "documents")})), x as (select doc_id as rec_id, upper(replace(regexp_extract(t, '(?i)\\b(C\\s*D\\s*[DU])\\s*[-:–—]?\\s*([0-9]{{1,3}}(?:[.\\s-][0-9]+)*(?:\\([0-9]+\\))?)', 1), ' ', '')) as label, trim(regexp_extract(t, '(?i)\\b(C\\s*D\\s*[DU])\\s*[-:–—]?\\s*([0-9]{{1,3}}(?:[.\\s-][0-9]+)*(?:\\([0-9]+\\))?)', 2)) as code from d),
+      g as (select *, case when label = 'CDU' then case when regexp_matches(code, '^27([-:.]?1|\\(1\\)|/1)') then '230' when regexp_matches(code, '^27[-:.]?2') then '220' when regexp_matches(code, '^27[-:.]?31') then '241' when regexp_matches(code, '^27[-:.]?36') then '248' when regexp_matches(code, '^27[-:.]?4') then '240' when regexp_matches(code, '^27[-:.]?5') then '250' when regexp_matches(code, '^27[-:.]?7') then '260' when regexp_matches(code, '^27([-:.]?9|\\(091\\))') then '270' when code like '27%' then '230'
+        when regexp_matches(code, '^22([^0-9]|$)') then '220' when regexp_matches(code, '^23([^0-9]|$)') then '230' when regexp_matches(code, '^28([^0-9]|$)') then '297' when regexp_matches(code, '^29([^0-9]|$)') then '290' when regexp_matches(code, '^2([^0-9]|$)') then '200' end end as guess from x where label <> '')
+      select rec_id, case when label = 'CDD' then code else guess end as ddc, label <> 'CDD' and guess is not null as suggested, label || ' ' || code as original from g""",
+)
 def ex8(spark, sf):
-    return X.map_classification(run(spark, sf, CODES, "part"))
+    found = X.extract_classification(run(spark, sf, CLASSIFIED, "documents"))
+    return X.map_classification(found.select(F.col("doc_id").alias("rec_id"), F.expr("if(label = 'CDD', code, '')").alias("ddc"), F.concat_ws(" ", "label", "code").alias("original")))
 
 
 FILES = "select p_partkey as file_id, concat(lpad(cast(p_partkey as string), 4, '0'), '_', replace(p_name, ' ', '_'), case when p_partkey % 3 = 0 then concat(' vol. ', cast(p_size as string)) else '' end, case when p_partkey % 2 = 0 then concat(' - ', p_brand) else concat(' by ', p_type) end, case when p_partkey % 4 = 0 then concat(' (', cast(1950 + p_size as string), ')') else '' end, case when p_partkey % 5 = 0 then ' copy (2)' else '' end, '.pdf') as name from {part}"
@@ -117,17 +163,30 @@ def ex10(spark, sf):
     return X.split_title(run(spark, sf, TITLES, "part"))
 
 
+#: Names of suppliers and customers planted as lines, some with honorifics, degrees, digits or addresses.
+PERSON_DOCS = "select doc_id, concat(case doc_id % 7 when 0 then concat('Dr. Ana Silva', chr(10)) when 1 then concat('Maria de Souza', chr(10), 'Igreja Nova Vida', chr(10)) when 2 then concat('Rui Costa 1999', chr(10)) when 3 then concat('JOSE', chr(10), 'Lia Reis PhD', chr(10)) when 4 then concat('Edited by Ana Luz', chr(10)) else '' end, text) as text from {documents}"
+_person = {n: getattr(X, n).replace("'", "''") for n in ("HONORIFIC", "DEGREE", "INSTITUTION", "ROLE", "NO_PERSON")}
+
+
 @query(
     "ex11_best_person_line",
-    """with l as (select doc_id, i as line_no, ls[i] as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') as ls from documents))),
-      s as (select *, len(string_split_regex(trim(line), '\\s+')) as n, lower(line) as low from l),
-      p as (select doc_id, line_no, line, case when regexp_matches(low, '^(dr|prof|rev|sir|mrs?|ms)\\.? ') then 100 else 0 end + case when n between 2 and 4 then 20 else 0 end - case when n = 1 then 15 else 0 end + case when regexp_matches(low, '\\b(phd|msc|ba)\\b') then 40 else 0 end
-        - case when regexp_matches(low, '\\b(university|institute|church|press|ltd)\\b') then 60 else 0 end - case when regexp_matches(low, '\\b(editor|translator|version|license|licensed)\\b') then 50 else 0 end
-        - case when regexp_matches(line, '\\b[A-Z]{3,}\\b') then 60 else 0 end - case when n > 6 then 30 else 0 end + case when regexp_matches(line, '^(\\p{Lu}\\p{Ll}+ ?)+\\.?$') then 15 else 0 end as score from s)
-      select doc_id, line, score from (select *, row_number() over (partition by doc_id order by score desc, line_no) as rn from p where score >= 15) where rn = 1""",
+    f"""with d as ({PERSON_DOCS.replace("{documents}", "documents")}), l as (select doc_id, i as line_no, trim(ls[i]) as t from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') as ls from d))),
+      s as (select *, string_split_regex(t, '\\s+') as ws, regexp_replace(t, '[^\\p{{L}}]', '', 'g') as letters, regexp_matches(t, '{_person["HONORIFIC"]}') as titled from l),
+      p as (select *, case when regexp_matches(t, '[0-9@]') or contains(lower(t), 'www.') or regexp_matches(t, '{_person["NO_PERSON"]}') then -100 else case when titled then 100 else 0 end + case when len(ws) between 2 and 4 then 20 when len(ws) = 1 then -15 when len(ws) > 6 then -30 else 0 end + case when regexp_matches(t, '{_person["DEGREE"]}') then 40 else 0 end
+        - case when regexp_matches(t, '{_person["INSTITUTION"]}') then 60 else 0 end - case when regexp_matches(t, '{_person["ROLE"]}') then 50 else 0 end - case when length(letters) between 1 and 6 and t = upper(t) then 60 else 0 end
+        + case when len(ws) >= 2 and len(list_filter(ws, lambda w: not regexp_matches(w, '^\\p{{Lu}}') and lower(w) not in ('de', 'del', 'da', 'dos', 'van', 'von', 'la', 'le', 'y', 'e'))) = 0 then 15 else 0 end end as score from s)
+      select doc_id, t as line, score from (select *, row_number() over (partition by doc_id order by not titled, case when titled then 0 else -score end, line_no) as rn from p where score >= 15 or titled) where rn = 1""",
 )
 def ex11(spark, sf):
-    return X.best_person_line(explode_lines(table(spark, sf, "documents")))
+    return X.best_person_line(explode_lines(run(spark, sf, PERSON_DOCS, "documents")))
+
+
+AUTHORED = "select p_partkey as rec_id, case when p_partkey % 3 = 0 then p_name when p_partkey % 3 = 1 then split_part(p_name, ' ', 1) else p_brand end as author, p_name as title, case when p_partkey % 2 = 0 then 'nome do arquivo' else 'cip' end as origin from {part}"
+
+
+@query("ex11_author_in_title", f"with w as (select rec_id, origin, author, list_distinct(list_filter({WORDS.format(x='author')}, lambda x: length(x) > 2)) as a, list_distinct(list_filter({WORDS.format(x='title')}, lambda x: length(x) > 2)) as t from ({duck(AUTHORED)})) select rec_id, len(a) > 0 and len(list_intersect(a, t)) = len(a) and origin = 'nome do arquivo' as fragment from w")
+def ex11_fragment(spark, sf):
+    return X.author_in_title(run(spark, sf, AUTHORED, "part"))
 
 
 @query(

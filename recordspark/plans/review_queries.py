@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordspark.operators import review as R
-from recordspark.plans.linkage_queries import NORM, run
-from recordspark.plans.registry import query, table
+from recordspark.plans.linkage_queries import NORM
+from recordspark.plans.registry import query, run, table
 from recordspark.plans.workflow_queries import duck
 from recordspark.sources.pages import catalogue_report, explode_lines, labelled_fields
 
