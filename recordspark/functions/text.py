@@ -56,6 +56,18 @@ def author_key(x: Column) -> Column:
     return F.when(F.size(key) >= 2, F.array_join(key, " "))
 
 
+def author_keys(x: Column) -> Column:
+    """Author keys of all co-authors, parted by `;`, `&`, `e`, `y` or `and`."""
+    parts = F.split(F.coalesce(x, F.lit("")), r"(?i)\s*;\s*|\s+(?:&|e|y|and)\s+")
+    return F.array_distinct(F.array_compact(F.transform(parts, author_key)))
+
+
+def main_title(x: Column) -> Column:
+    """What stands before the first colon, or dash between blanks; all of it if nothing does."""
+    first = F.trim(F.get(F.split(x, r"\s*:\s+|\s+[–—-]\s+", 2), F.lit(0)))
+    return F.when(first == "", x).otherwise(first)
+
+
 def _weighted(x: Column, weight) -> Column:
     """Sum of digit times weight(place from 0); X counts 10."""
     value = lambda c, i: F.when(c == "X", 10).otherwise(c.try_cast("int")) * weight(i)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,28 +14,85 @@ from recordspark.functions import text as T
 CONFIRM, SURE = 0.94, 0.99
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2 * matching words / all words, of the new text against the existing one (not symmetric)."""
-    return pd.Series([SequenceMatcher(None, x.split(" "), y.split(" ")).ratio() for x, y in zip(a, b)], dtype="float64")
+class _Reach:
+    """How far two sequences stay equal from any two places on: hashes of prefixes and a search by halves."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.n, self.m = len(a), len(b)
+        size = max(self.n, self.m) + 1
+        up = np.full(size, self.BASE, np.uint64)
+        up[0] = 1
+        self.up = np.multiply.accumulate(up)
+        self.a, self.b = self._prefixes(a), self._prefixes(b)
+
+    def _prefixes(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * self.up[: len(x)], dtype=np.uint64)))
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        low, high = np.zeros(len(i), np.int64), np.minimum(self.n - i, self.m - j)
+        top = self.n + self.m
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            left = (self.a[i + mid] - self.a[i]) * self.up[np.clip(j - i, 0, None)]
+            right = (self.b[j + mid] - self.b[j]) * self.up[np.clip(i - j, 0, None)]
+            same = (left == right) & (mid <= top)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        return low
+
+
+def common_length(a: list[str], b: list[str], most: int) -> int:
+    """Length of the longest common subsequence if at most `most` words are added or left out, else -1.
+
+    The greedy search by number of changes d: for every diagonal the farthest place that d changes
+    reach, all diagonals at once. The work grows with the changes, not with the product of lengths.
+    """
+    n, m = len(a), len(b)
+    number = {w: k for k, w in enumerate(dict.fromkeys(a + b))}
+    code = lambda x: (np.array([number[w] for w in x], np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
+    reach = _Reach(code(a), code(b))
+    if abs(n - m) > most:
+        return -1
+    far = np.full(2 * most + 3, -1, np.int64)  # farthest place in a on diagonal k - most - 1
+    middle = most + 1
+    far[middle + 1] = 0
+    for d in range(most + 1):
+        k = np.arange(-d, d + 1, 2)
+        down = (k == -d) | ((k != d) & (far[middle + k - 1] < far[middle + k + 1]))
+        x = np.where(down, far[middle + k + 1], far[middle + k - 1] + 1)
+        y = x - k
+        inside = (x >= 0) & (y >= 0) & (x <= n) & (y <= m)
+        x[inside] += reach(x[inside], y[inside])
+        far[middle + k] = np.where(inside, x, -(1 << 40))
+        at = n - m
+        if abs(at) <= d and (at - d) % 2 == 0 and far[middle + at] >= n:
+            return (n + m - d) // 2
+    return -1
 
 
 def confirm_duplicates(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """b (the newer), a (its best match), ratio, verdict (confirmed from 0.99, else review) of pairs that reach 0.94.
 
-    pairs: a, b. Word counts bound the ratio first (2 * common words / all words), by joins and
-    sums; only pairs that can reach 0.94 are compared in sequence, whole, in Arrow batches.
+    pairs: a, b. ratio: twice the longest common subsequence of the two word streams over all words, of whole texts.
+    Lengths bound it first, in the join; the search stops at the number of changes that 0.94
+    allows. Pairs are read once, and a text meets only the pairs that its length can serve.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    w = docs.select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w")).join(ids, "doc_id")
-    n = w.select("doc_id", F.explode("w").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("c"))
-    size = w.select("doc_id", F.size("w").alias("n"))
-    common = pairs.join(n.withColumnRenamed("doc_id", "a").withColumnRenamed("c", "ca"), "a").join(n.withColumnRenamed("doc_id", "b").withColumnRenamed("c", "cb"), ["b", "word"])
-    common = common.groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("common"))
-    common = common.join(size.selectExpr("doc_id a", "n na"), "a").join(size.selectExpr("doc_id b", "n nb"), "b")
-    able = common.where(2 * F.col("common") >= CONFIRM * (F.col("na") + F.col("nb"))).select("a", "b")
-    text = w.select("doc_id", F.array_join("w", " ").alias("t"))
-    both = able.join(text.selectExpr("doc_id a", "t ta"), "a").join(text.selectExpr("doc_id b", "t tb"), "b")
-    r = both.select("a", "b", sequence_ratio("tb", "ta").alias("ratio")).where(F.col("ratio") >= CONFIRM)
+    w = docs.select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w")).select("doc_id", F.size("w").alias("n"), F.array_join("w", " ").alias("t"))
+    both = pairs.select("a", "b").join(w.selectExpr("doc_id a", "n na", "t ta"), "a").join(w.selectExpr("doc_id b", "n nb", "t tb"), "b")
+    able = both.where(2 * F.least("na", "nb") >= CONFIRM * (F.col("na") + F.col("nb")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ratios = []
+            for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
+                x, y = ta.split(), tb.split()
+                total = len(x) + len(y)
+                found = common_length(x, y, int(round((1 - CONFIRM) * total, 9)))
+                ratios.append(2 * found / total if total and found >= 0 else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ratios, pa.float64())], names=["a", "b", "ratio"])
+
+    kind = able.schema["a"].dataType.simpleString()
+    r = able.select("a", "b", "ta", "tb").mapInArrow(compare, f"a {kind}, b {kind}, ratio double").where(F.col("ratio") >= CONFIRM)
     best = r.groupBy("b").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "a")).alias("m"))
     return best.select("b", F.col("m.a").alias("a"), (-F.col("m.r")).alias("ratio"), F.when(-F.col("m.r") >= SURE, "confirmed").otherwise("review").alias("verdict"))

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from hashlib import md5
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordspark.functions import text as T
@@ -10,8 +16,8 @@ from recordspark.functions import text as T
 #: Near duplicates: word ratio, Hamming distance, shortest text with a signature.
 WORD_RATIO, MAX_HAMMING, LEAST_WORDS = 0.82, 10, 120
 NGRAM = 5
-#: SimHash blocks: 64 bits in 12 blocks; a distance of at most 10 leaves at least two of them equal.
-BLOCKS = 12
+#: SimHash blocks: 64 bits in 13 blocks; a distance of at most 10 leaves at least three of them equal.
+BLOCKS, EQUAL = 13, 3
 
 
 def exact_duplicates(items: DataFrame, content: str = "text", order: str = "doc_id") -> DataFrame:
@@ -30,43 +36,55 @@ def exact_duplicates(items: DataFrame, content: str = "text", order: str = "doc_
 def text_signature(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, text_hash, simhash (16 hex digits, null under 120 words) of the whole word stream.
 
-    Words are exploded with their four followers, hashed (first 64 bits of MD5) and each bit's majority is
-    one conditional sum, combined before the shuffle.
+    Each 5-word shingle is hashed (first 64 bits of MD5); a bit is set if it is so in at least half of
+    them. One pass over Arrow batches, without a shuffle; shingles are hashed a block at a time.
     """
-    w = docs.select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w"))
-    base = w.select("doc_id", F.size("w").alias("n_words"), F.sha2(F.array_join("w", " "), 256).alias("text_hash"))
-    long = w.where(F.size("w") >= LEAST_WORDS)
-    gram = F.expr(f"explode(transform(sequence(1, size(w) - {NGRAM - 1}), i -> array_join(slice(w, i, {NGRAM}), ' ')))")
-    hashed = long.select("doc_id", gram.alias("g")).select("doc_id", F.md5("g").alias("m"))
-    halves = hashed.select("doc_id", F.conv(F.substring("m", 1, 8), 16, 10).cast("long").alias("hi"), F.conv(F.substring("m", 9, 8), 16, 10).cast("long").alias("lo"))
-    bit = lambda c, k: F.sum(F.shiftright(F.col(c), k).bitwiseAND(F.lit(1)) * 2 - 1)
-    sums = halves.groupBy("doc_id").agg(*[bit(c, k).alias(f"{c}{k}") for c in ("hi", "lo") for k in range(32)])
-    packed = lambda c: sum((F.when(F.col(f"{c}{k}") >= 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(32)), F.lit(0).cast("long"))
-    sig = sums.select("doc_id", F.lower(F.concat(F.lpad(F.hex(packed("hi")), 8, "0"), F.lpad(F.hex(packed("lo")), 8, "0"))).alias("simhash"))
-    return base.join(sig, "doc_id", "left")
+    words = T.words(F.coalesce("text", F.lit("")))
+    w = docs.select("doc_id", F.size(words).alias("n_words"), F.array_join(words, " ").alias("body"))
+    w = w.select("doc_id", "n_words", F.sha2("body", 256).alias("text_hash"), F.when(F.col("n_words") >= LEAST_WORDS, F.col("body")).alias("body"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = [None if t is None else _simhash(t.split(" ")) for t in batch.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(signs, pa.string())], names=["doc_id", "n_words", "text_hash", "simhash"])
+
+    kind = w.schema["doc_id"].dataType.simpleString()
+    return w.mapInArrow(sign, f"doc_id {kind}, n_words int, text_hash string, simhash string")
+
+
+def _simhash(words: list[str], block: int = 50_000) -> str:
+    ones, n = np.zeros(64, np.int64), len(words) - NGRAM + 1
+    for k in range(0, n, block):
+        raw = b"".join([md5(" ".join(words[i : i + NGRAM]).encode()).digest()[:8] for i in range(k, min(k + block, n))])
+        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits((2 * ones >= n)).tobytes().hex()
 
 
 def near_duplicate_candidates(signatures: DataFrame) -> DataFrame:
     """Pairs (a < b) of different texts with a word ratio of at least 0.82 and a SimHash distance of at most 10.
 
-    Equal texts are one representative (the smallest id). A pair that close has two of its twelve
-    blocks equal, so representatives meet by an equi-join on pairs of blocks and a length bucket;
-    nothing is capped and no cross join is made.
+    Equal texts are one representative (the smallest id). A pair that close has three of its 13
+    blocks equal, so representatives meet by an equi-join on triples of blocks (about 15 bits) and a
+    length bucket, the shorter text looking in its own and the next one; nothing is capped and no cross join is made.
     """
     s = signatures.where("simhash is not null").groupBy("text_hash").agg(F.min("doc_id").alias("id"), F.first("n_words").alias("n"), F.first("simhash").alias("sim"))
-    value = lambda a: F.conv(F.substring("sim", a, 8), 16, 10).cast("long")
-    s = s.select("id", "n", value(1).alias("hi"), value(9).alias("lo"), F.floor(F.log("n") / F.log(F.lit(1 / WORD_RATIO)) + 1e-9).cast("int").alias("bucket"))
-    bits = F.concat(F.lpad(F.bin("hi"), 32, "0"), F.lpad(F.bin("lo"), 32, "0"))
+    half = lambda a: F.conv(F.substring("sim", a, 8), 16, 10).cast("long")
+    s = s.select("id", "n", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("sim"), F.floor(F.log("n") / F.log(F.lit(1 / WORD_RATIO)) + 1e-9).cast("int").alias("bucket"))
     cuts = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
-    parts = [F.concat(F.lit(f"{k}:"), F.substring(bits, cuts[k] + 1, cuts[k + 1] - cuts[k])) for k in range(BLOCKS)]
-    keys = F.array(*[F.concat_ws("|", parts[i], parts[j]) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)])
-    keyed = s.withColumn("key", F.explode(keys))
-    left = keyed.withColumn("near", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    r = keyed.select(F.col("key"), F.col("bucket").alias("near"), *[F.col(c).alias(f"r_{c}") for c in ("id", "n", "hi", "lo")])
-    j = left.join(r, ["key", "near"]).where("id < r_id")
-    apart = F.bit_count(F.col("hi").bitwiseXOR(F.col("r_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("r_lo")))
+    part = lambda k: F.shiftrightunsigned("sim", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
+    keys = []
+    for number, chosen in enumerate(combinations(range(BLOCKS), EQUAL)):
+        key = F.lit(number).cast("long")
+        for k in chosen:
+            key = F.shiftleft(key, 5).bitwiseOR(part(k))
+        keys.append(key)
+    keyed = s.withColumn("key", F.explode(F.array(*keys)))
+    left = keyed.withColumn("near", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
+    r = keyed.select("key", F.col("bucket").alias("near"), *[F.col(c).alias(f"r_{c}") for c in ("id", "n", "sim")])
+    j = left.join(r, ["key", "near"]).where("id <> r_id and (bucket < near or id < r_id)")
+    apart = F.bit_count(F.col("sim").bitwiseXOR(F.col("r_sim")))
     j = j.withColumn("distance", apart).where((F.least("n", "r_n") / F.greatest("n", "r_n") >= WORD_RATIO) & (F.col("distance") <= MAX_HAMMING))
-    return j.select(F.col("id").alias("a"), F.col("r_id").alias("b"), "distance").distinct()
+    return j.select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b"), "distance").distinct()
 
 
 def link_by_identifier(pending: DataFrame, confirmed: DataFrame) -> DataFrame:
@@ -78,45 +96,102 @@ def link_by_identifier(pending: DataFrame, confirmed: DataFrame) -> DataFrame:
     return j.groupBy("rec_id", "isbn13").agg(best.alias("m")).select("rec_id", "isbn13", F.col("m.c_rec").alias("linked_rec"), F.col("m.remote_id").alias("remote_id"))
 
 
+def _first_two(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias(f"{prefix}n"), F.min("o_id").alias(f"{prefix}lo"), F.max("o_id").alias(f"{prefix}hi"))
+
+
 def link_by_title_author(a: DataFrame, b: DataFrame) -> DataFrame:
-    """rec_id, other_id, class: titulo_autor (equal title, one match only, an author in common, ISBN not different) or titulo.
+    """rec_id, other_id, class of rows whose normal title has exactly one match in b (never itself, ISBN not different).
 
-    Rows: rec_id, title, author, isbn. A different ISBN is another edition and gives no link.
+    Rows: rec_id, title, author, isbn. class: isbn (the same), titulo_autor (an author with the same
+    words) or aproximado. Matches are counted by title, and by title and ISBN, before anything is
+    joined: a title with k copies costs k rows, not k squared. Ids are unique within a and b.
     """
-    norm = lambda d, p: d.select(F.col("rec_id").alias(f"{p}id"), T.normal(F.col("title")).alias("t"), T.author_key(F.col("author")).alias(f"{p}author"), T.canonical_isbn(F.col("isbn")).alias(f"{p}isbn")).where("t <> ''")
-    j = norm(a, "").join(norm(b, "o_"), "t").where("id <> o_id and not coalesce(isbn <> o_isbn, false)")
-    one = j.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("o_id", "author", "o_author")).alias("m")).where("n = 1")
-    same = F.coalesce(F.col("m.author") == F.col("m.o_author"), F.lit(False))
-    return one.select(F.col("id").alias("rec_id"), F.col("m.o_id").alias("other_id"), F.when(same, "titulo_autor").otherwise("titulo").alias("class"))
+    norm = lambda d, p: d.select(F.col("rec_id").alias(f"{p}id"), T.normal(F.col("title")).alias("t"), T.author_keys(F.col("author")).alias(f"{p}authors"), T.canonical_isbn(F.col("isbn")).alias(f"{p}isbn")).where("t <> ''")
+    x, o = norm(a, ""), norm(b, "o_")
+    every = _first_two(o, ["t"], "e_")
+    open_ = _first_two(o.where("o_isbn is null"), ["t"], "n_")
+    same = _first_two(o.where("o_isbn is not null").withColumnRenamed("o_isbn", "isbn"), ["t", "isbn"], "s_")
+    j = x.join(every, "t").join(open_, "t", "left").join(same, ["t", "isbn"], "left")
+    pick = lambda f, c: F.when(F.col("isbn").isNull(), F.col(f"e_{c}")).otherwise(f(F.col(f"n_{c}"), F.col(f"s_{c}")))
+    plus = lambda u, v: F.coalesce(u, F.lit(0)) + F.coalesce(v, F.lit(0))
+    j = j.select("id", "authors", "isbn", pick(plus, "n").alias("n"), pick(F.least, "lo").alias("lo"), pick(F.greatest, "hi").alias("hi"))
+    own = (F.col("lo") == F.col("id")) | (F.col("hi") == F.col("id"))
+    other = F.when(F.col("n") == 1, F.when(~own, F.col("lo"))).when((F.col("n") == 2) & own, F.when(F.col("lo") == F.col("id"), F.col("hi")).otherwise(F.col("lo")))
+    one = j.withColumn("o_id", other).where("o_id is not null").join(o.select("o_id", "o_authors", "o_isbn"), "o_id")
+    kind = F.when(F.col("isbn") == F.col("o_isbn"), "isbn").when(F.arrays_overlap("authors", "o_authors"), "titulo_autor").otherwise("aproximado")
+    return one.select(F.col("id").alias("rec_id"), F.col("o_id").alias("other_id"), kind.alias("class"))
+
+
+#: A title similarity below this says another work; a pair needs the second to be approved.
+POSSIBLE, SIMILAR = 0.60, 0.68
 
 
 def score_matches(targets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Scored pairs that share an ISBN or a distinctive title word (four letters or more).
+    """Scored pairs that share an ISBN or have a title similarity of at least 0.60.
+
+    Rows: id (target_id, cand_id), title, author, isbn, year, pages, edition, volume. Returns target_id,
+    cand_id, title_sim, author_ok, isbn_exact, score, blocked, approved, confirmations, rejections (lists of reasons).
 
-    Rows: id (target_id, cand_id), title, author, isbn, year, pages, edition, volume. Returns
-    target_id, cand_id, title_sim, author_sim, score, blocked, approved.
+    A similarity of 0.60 needs 0.60 / 0.95 of the shorter title's words, so the pair shares one of the
+    first words of the shorter title, rarest first, that are left when one less than so many are
+    taken away: only these meet all words of the other side, and frequent words meet nothing.
     """
-    prep = lambda d, k, p: d.select(F.col(k), T.words(F.col("title")).alias(f"{p}tw"), T.words(F.col("author")).alias(f"{p}aw"), T.canonical_isbn(F.col("isbn")).alias(f"{p}isbn"), *[F.col(c).alias(f"{p}{c}") for c in ("year", "pages", "edition", "volume")])
+    def prep(d: DataFrame, k: str, p: str) -> DataFrame:
+        surname = F.when(F.contains("author", F.lit(",")), F.substring_index("author", ",", 1)).otherwise(F.element_at(F.split(F.trim("author"), r"\s+"), -1))
+        fields = [F.col(c).alias(f"{p}{c}") for c in ("year", "pages", "edition", "volume")]
+        return d.select(F.col(k), F.array_distinct(T.words(T.main_title(F.col("title")))).alias(f"{p}w"), T.normal(surname).alias(f"{p}surname"), T.normal(F.col("author")).alias(f"{p}author"), T.canonical_isbn(F.col("isbn")).alias(f"{p}isbn"), *fields)
+
     t, c = prep(targets, "target_id", "t_"), prep(candidates, "cand_id", "c_")
-    keys = lambda d, k, p: d.select(k, F.explode(F.array_distinct(F.concat(F.filter(f"{p}tw", lambda w: F.length(w) >= 4), F.array_compact(F.array(F.concat(F.lit("isbn:"), f"{p}isbn")))))).alias("key"))
-    pairs = keys(t, "target_id", "t_").join(keys(c, "cand_id", "c_"), "key").select("target_id", "cand_id").distinct()
-    j = pairs.join(t, "target_id").join(c, "cand_id")
+    words = lambda d, k, p: d.select(F.col(k).alias("id"), F.size(f"{p}w").alias("size"), F.explode(f"{p}w").alias("word"))
+    tw, cw = words(t, "target_id", "t_"), words(c, "cand_id", "c_")
+    often = tw.select("word").unionAll(cw.select("word")).groupBy("word").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("id").orderBy("often", "word")
+    needed = F.ceil(F.col("size") * (POSSIBLE / 0.95) - 1e-9)
+    ranked = lambda d: d.join(often, "word").withColumn("rank", F.row_number().over(order)).withColumn("first", F.col("rank") <= F.col("size") - needed + 1)
+    rt, rc = ranked(tw), ranked(cw)
+    meet = lambda x, y: x.select(F.col("id").alias("target_id"), F.col("size").alias("ts"), "word").join(y.select(F.col("id").alias("cand_id"), F.col("size").alias("cs"), "word"), "word")
+    pairs = meet(rt.where("first"), rc).where("ts <= cs").unionAll(meet(rt, rc.where("first")).where("ts > cs")).select("target_id", "cand_id")
+    by_isbn = t.where("t_isbn is not null").select("target_id", F.col("t_isbn").alias("i")).join(c.select("cand_id", F.col("c_isbn").alias("i")), "i").select("target_id", "cand_id")
+    j = pairs.unionAll(by_isbn).distinct().join(t, "target_id").join(c, "cand_id")
     agree = lambda x: F.coalesce(F.col(f"t_{x}") == F.col(f"c_{x}"), F.lit(False))
     differ = lambda x: F.coalesce(F.col(f"t_{x}") != F.col(f"c_{x}"), F.lit(False))
-    j = j.withColumn("title_sim", T.title_similarity(F.col("t_tw"), F.col("c_tw"))).withColumn("author_sim", T.author_overlap(F.col("t_aw"), F.col("c_aw")))
-    close = F.coalesce(F.abs(F.col("t_pages") - F.col("c_pages")) <= 0.12 * F.col("t_pages"), F.lit(False))
     flag = lambda x, v: F.when(x, v).otherwise(0.0)
-    score = 0.52 * F.col("title_sim") + 0.38 * F.col("author_sim") + flag(F.col("title_sim") >= 0.90, 0.04) + flag(agree("year"), 0.08) + flag(close, 0.06) + 0.03 * (agree("edition").cast("int") + agree("volume").cast("int"))
-    score = F.least(F.lit(1.15), score)
-    j = j.withColumn("score", F.when(agree("isbn"), F.greatest(F.lit(1.0), score)).otherwise(score)).withColumn("same_isbn", agree("isbn"))
-    j = j.withColumn("blocked", differ("isbn") | differ("edition") | differ("volume"))
-    ok = ~F.col("blocked") & (F.col("same_isbn") | ((F.col("score") >= 0.72) & (F.col("title_sim") >= 0.6)))
-    return j.select("target_id", "cand_id", "title_sim", "author_sim", "score", "blocked", ok.alias("approved"))
-
-
-def best_match(scored: DataFrame) -> DataFrame:
-    """The highest approved candidate of each target (ties: smallest id)."""
-    return scored.where("approved").groupBy("target_id").agg(F.min_by("cand_id", F.struct(-F.col("score"), "cand_id")).alias("cand_id"), F.max("score").alias("score"))
+    j = j.withColumn("title_sim", T.title_similarity(F.col("t_w"), F.col("c_w"))).withColumn("isbn_exact", agree("isbn")).where((F.col("title_sim") >= POSSIBLE) | F.col("isbn_exact"))
+    author = (F.col("t_surname") != "") & F.contains("c_author", F.col("t_surname"))
+    close = F.coalesce(F.abs(F.col("t_pages") - F.col("c_pages")) / F.greatest("t_pages", "c_pages") <= 0.12, F.lit(False))
+    j = j.withColumns({"author_ok": F.coalesce(author, F.lit(False)), "close": close, "no_author": F.coalesce("t_surname", F.lit("")) == ""})
+    points = 0.52 * F.col("title_sim") + flag(F.col("author_ok"), 0.38) + flag(F.col("title_sim") >= 0.90, 0.04) + flag(agree("year"), 0.08) + flag(F.col("close"), 0.06) + 0.03 * (agree("edition").cast("int") + agree("volume").cast("int"))
+    points = F.when(F.col("isbn_exact"), F.greatest(F.lit(1.0), points)).otherwise(points)
+    j = j.withColumn("score", F.round(F.least(F.lit(1.15), points), 3)).withColumn("blocked", differ("isbn") | differ("edition") | differ("volume"))
+    ok = ~F.col("blocked") & (F.col("isbn_exact") | ((F.col("title_sim") >= SIMILAR) & (F.col("author_ok") | F.col("no_author")) & (F.col("score") >= SIMILAR)))
+    j = j.withColumn("approved", ok)
+    said = lambda *rules: F.array_join(F.array_compact(F.array(*[F.when(r, m) for r, m in rules])), "; ")
+    equal = F.array_sort("t_w") == F.array_sort("c_w")
+    confirmations = said((F.col("isbn_exact"), "isbn"), (equal, "title"), (~equal & (F.col("title_sim") >= SIMILAR), "title cut or other subtitle"), (F.col("author_ok"), "author"), (agree("edition"), "edition"), (agree("volume"), "volume"), (agree("year"), "year"), (F.col("close"), "pages"))
+    other_title, no_title, has_author = F.col("title_sim") < SIMILAR, F.size("c_w") == 0, F.coalesce("c_author", F.lit("")) != ""
+    reasons = (other_title & ~no_title, "other title"), (other_title & no_title, "no title"), (~F.col("author_ok") & ~F.col("no_author") & has_author, "author not found"), (~F.col("author_ok") & ~F.col("no_author") & ~has_author, "no author")
+    clean = ~(other_title | (~F.col("author_ok") & ~F.col("no_author")))
+    weak = ~F.col("approved") & ~F.col("blocked")
+    rejections = said(*reasons, (weak, "not enough"), (differ("isbn"), "other isbn"), (differ("edition"), "other edition"), (differ("volume"), "other volume"))
+    return j.select("target_id", "cand_id", "title_sim", "author_ok", "isbn_exact", "score", "blocked", "approved", confirmations.alias("confirmations"), F.when(F.col("approved") & clean, "").otherwise(rejections).alias("rejections"))
+
+
+def best_match(scored: DataFrame, targets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """target_id, cand_id, score, reliable: the highest approved candidate of each target (ties: smallest id).
+
+    reliable: no other candidate scores higher; a target with a confirmed ISBN is matched by it; and
+    without the ISBN, the candidate names the edition and the volume if the target does. targets: target_id, isbn,
+    isbn_confirmed, edition, volume; candidates: cand_id, edition, volume.
+    """
+    best = scored.groupBy("target_id").agg(
+        F.min_by(F.struct("cand_id", "score", "isbn_exact"), F.when(F.col("approved"), F.struct(-F.col("score"), "cand_id"))).alias("m"), F.max("score").alias("top"), F.max("approved").alias("any")
+    ).where("any")
+    j = best.select("target_id", "m.*", "top").join(targets.select("target_id", F.col("isbn").isNotNull().alias("has_isbn"), "isbn_confirmed", F.col("edition").alias("t_edition"), F.col("volume").alias("t_volume")), "target_id")
+    j = j.join(candidates.select("cand_id", "edition", "volume"), "cand_id")
+    named = lambda f: F.col(f"t_{f}").isNull() | F.col(f).isNotNull()
+    reliable = (F.col("score") >= F.col("top")) & ~(F.col("has_isbn") & F.col("isbn_confirmed") & ~F.col("isbn_exact")) & (F.col("isbn_exact") | (named("edition") & named("volume")))
+    return j.select("target_id", "cand_id", "score", reliable.alias("reliable"))
 
 
 def listing_consensus(listings: DataFrame, fields: list[str], least: int = 2, share: float = 0.60) -> DataFrame:
@@ -152,44 +227,76 @@ PROFILES = {
 def match_with_margin(pairs: DataFrame, profile: str) -> DataFrame:
     """rec_id, cand_id, score, accepted: the best pair of a record if it meets the profile and leads the next by the margin.
 
-    Rows: rec_id, cand_id, title_sim, author_sim. A sole candidate needs no margin.
+    Rows: rec_id, cand_id, title_sim, author_sim, same_doi, type_ok, meta. A sole candidate needs no margin, nor
+    (books) one whose rival has the same metadata. Articles with the same DOI need nothing else;
+    academic works of another type do not count.
     """
     p = PROFILES[profile]
-    s = pairs.withColumn("score", p["w_title"] * F.col("title_sim") + p["w_author"] * F.col("author_sim"))
-    s = s.where((F.col("title_sim") >= p["title"]) & (F.col("author_sim") >= p["author"]) & (F.col("score") >= p["score"]))
+    doi = F.coalesce("same_doi", F.lit(False)) if profile == "articles" else F.lit(False)
+    fits = F.coalesce("type_ok", F.lit(False)) if profile == "academic" else F.lit(True)
+    score = p["w_title"] * F.col("title_sim") + p["w_author"] * F.col("author_sim")
+    s = pairs.withColumn("doi", doi).withColumn("score", F.when(F.col("doi"), 1.0).otherwise(score))
+    s = s.where(fits & (F.col("doi") | ((F.col("title_sim") >= p["title"]) & (F.col("author_sim") >= p["author"]) & (F.col("score") >= p["score"]))))
     w = Window.partitionBy("rec_id").orderBy(F.desc("score"), "cand_id")
-    s = s.withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where("rn = 1")
-    return s.select("rec_id", "cand_id", "score", F.coalesce(F.col("score") - F.col("next") >= p["margin"], F.lit(True)).alias("accepted"))
+    s = s.withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).withColumn("rival", F.lead("meta").over(w)).where("rn = 1")
+    equal = F.coalesce(F.col("rival") == F.col("meta"), F.lit(False)) if profile == "books" else F.lit(False)
+    accepted = F.col("next").isNull() | (F.col("score") - F.col("next") >= p["margin"]) | equal | F.col("doi")
+    return s.select("rec_id", "cand_id", "score", accepted.alias("accepted"))
+
+
+#: Common places of publication, and beginnings of place names. Fixed values.
+CITIES = "sao paulo|rio de janeiro|curitiba|belo horizonte|brasilia|goiania|campinas|santos|recife|salvador|fortaleza|porto alegre|belem|londrina|niteroi|petropolis|vicosa|wheaton|grand rapids|nashville|chicago|new york|london|oxford|cambridge|leicester|downers grove|philadelphia|boston|miami|barcelona|madrid|viladecavalls|buenos aires|bogota|lisboa|paris|geneva|genebra".split("|")
+CITY_BEGINNINGS = "sao|santo|santa|new|rio|belo|grand|downers|buenos|porto".split("|")
+GENERIC_HOUSES = ("editora", "editorial", "edicoes", "publicacoes", "ltda", "brasil")
+
+
+def looks_like_city(x: Column) -> Column:
+    n = T.normal(x)
+    return F.coalesce(n.isin(*CITIES) | (F.substring_index(n, " ", 1).isin(*CITY_BEGINNINGS) & F.contains(n, F.lit(" ")) & ~n.rlike("[0-9]")), F.lit(False))
 
 
 def publisher_city_lookup(records: DataFrame, table: DataFrame) -> DataFrame:
-    """rec_id, city, how: by the publisher's normal form, else by token overlap (two common words, Jaccard 0.72, best).
+    """rec_id, publisher, city, how: own, swapped, publisher (by its normal form), similar (two strong words, Jaccard 0.72, best) or none.
 
-    Rows: rec_id, publisher, city; table: publisher, city. A city already known stays.
+    Rows: rec_id, publisher, city; table: publisher, city. A place in the publisher's field changes
+    places with a publisher in the city's, or moves there if that is empty. A city already known
+    stays. Two names that alike share one of the first strong words, rarest first, so only those meet.
     """
-    r = records.select("rec_id", T.normal(F.col("publisher")).alias("key"), T.words(F.col("publisher")).alias("w"), F.nullif("city", F.lit("")).alias("own"))
-    t = table.groupBy(T.normal(F.col("publisher")).alias("key")).agg(F.min("city").alias("found"))
+    blank = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    house, city = blank("publisher"), blank("city")
+    turned = looks_like_city(house) & (city.isNull() | ~looks_like_city(city))
+    r = records.select("rec_id", F.when(turned, city).otherwise(house).alias("publisher"), F.when(turned, house).otherwise(city).alias("own"), turned.alias("turned"))
+    strong = lambda x: F.array_distinct(F.filter(x, lambda w: (F.length(w) > 2) & ~w.isin(*GENERIC_HOUSES)))
+    r = r.withColumn("key", F.coalesce(T.normal(F.col("publisher")), F.lit("")))
+    t = table.groupBy(T.normal(F.col("publisher")).alias("key")).agg(F.min("city").alias("found")).where("key <> ''")
     j = r.join(t, "key", "left")
-    tokens = lambda d, *c: d.select(*c, F.array_distinct("w").alias("w"), F.explode(F.array_distinct(F.filter("w", lambda x: F.length(x) >= 4))).alias("tok"))
-    open_ = tokens(j.where("found is null and own is null"), "rec_id")
-    known = tokens(t.withColumn("w", F.split("key", " ")).withColumnRenamed("key", "tkey"), "tkey", "found").withColumnRenamed("w", "tw")
-    pairs = open_.join(known, "tok").groupBy("rec_id", "tkey").agg(F.count("*").alias("common"), F.first("found").alias("city2"), F.first(T.jaccard(F.col("w"), F.col("tw"))).alias("sim"))
-    near = pairs.where("common >= 2 and sim >= 0.72").groupBy("rec_id").agg(F.min_by("city2", F.struct(-F.col("sim"), "tkey")).alias("city2"))
+    open_ = j.where("found is null and own is null").select("rec_id", strong(F.split("key", " ")).alias("w")).where(F.size("w") >= 2)
+    known = t.select(F.col("key").alias("tkey"), F.col("found").alias("city2"), F.array_distinct(F.filter(F.split("key", " "), lambda w: F.length(w) > 2)).alias("tw"))
+    held = known.select("tkey", "city2", "tw", F.explode("tw").alias("tok"))
+    often = held.groupBy("tok").agg(F.count("*").alias("often"))
+    asked = open_.select("rec_id", "w", F.explode("w").alias("tok")).join(often, "tok")
+    rank = F.row_number().over(Window.partitionBy("rec_id").orderBy("often", "tok"))
+    left = F.size("w") - F.ceil(0.72 * F.size("w") - 1e-9) + 1
+    pairs = asked.withColumn("rank", rank).where(F.col("rank") <= left).join(held, "tok").select("rec_id", "tkey", "city2", T.jaccard(F.col("w"), F.col("tw")).alias("sim"))
+    near = pairs.where("sim >= 0.72").groupBy("rec_id").agg(F.min_by("city2", F.struct(-F.col("sim"), "tkey")).alias("city2"))
     out = j.join(near, "rec_id", "left")
-    how = F.when(F.col("own").isNotNull(), "own").when(F.col("found").isNotNull(), "publisher").when(F.col("city2").isNotNull(), "similar").otherwise("none")
-    return out.select("rec_id", F.coalesce("own", "found", "city2").alias("city"), how.alias("how"))
+    how = F.when(F.col("turned"), "swapped").when(F.col("own").isNotNull(), "own").when(F.col("found").isNotNull(), "publisher").when(F.col("city2").isNotNull(), "similar").otherwise("none")
+    return out.select("rec_id", "publisher", F.coalesce("own", "found", "city2").alias("city"), how.alias("how"))
 
 
 def noise_match(values: DataFrame, dictionary: DataFrame) -> DataFrame:
     """value_id, reason of the first dictionary row (ord) that a value equals, starts with or contains.
 
-    dictionary: ord, text, mode (exato, prefixo, contem), reason. Its size is fixed by the reviewers
-    who keep it; Spark broadcasts it only under its size threshold.
+    dictionary: ord, text, mode (exato, prefixo, contem), reason. Equal texts and beginnings of three
+    letters or more meet by an equi-join; what a value may contain anywhere is compared with every value, and is for
+    reviewers to keep short.
     """
     v = values.select("value_id", T.normal(F.col("value")).alias("v"))
     d = dictionary.select("ord", T.normal(F.col("text")).alias("n"), "mode", "reason")
-    hit = ((F.col("mode") == "exato") & (F.col("v") == F.col("n"))) | ((F.col("mode") == "prefixo") & F.col("v").startswith(F.col("n"))) | ((F.col("mode") == "contem") & F.col("v").contains(F.col("n")))
-    return v.join(d, hit).groupBy("value_id").agg(F.min_by("reason", "ord").alias("reason"))
+    exact = v.join(d.where("mode = 'exato'"), F.col("v") == F.col("n"))
+    begins = v.join(d.where("mode = 'prefixo' and length(n) >= 3"), F.substring("v", 1, 3) == F.substring("n", 1, 3)).where(F.startswith("v", F.col("n")))
+    rest = v.join(d.where("mode = 'contem' or (mode = 'prefixo' and length(n) < 3)"), ((F.col("mode") == "contem") & F.contains("v", F.col("n"))) | ((F.col("mode") == "prefixo") & F.startswith("v", F.col("n"))))
+    return exact.unionByName(begins).unionByName(rest).groupBy("value_id").agg(F.min_by("reason", "ord").alias("reason"))
 
 
 def repair_truncated_names(names: DataFrame, docs: DataFrame) -> DataFrame:
@@ -208,7 +315,8 @@ def find_existing_issue(new: DataFrame, held: DataFrame) -> DataFrame:
     """new_id, held_id, how: same target, else same year and name, else same year and number (first by id)."""
     joins = []
     for rank, (how, keys) in enumerate([("target", ["target"]), ("name", ["year", "name"]), ("number", ["year", "number"])]):
-        joins.append(new.join(held, keys).select("new_id", "held_id", F.lit(how).alias("how"), F.lit(rank).alias("rank")))
+        first = held.groupBy(*keys).agg(F.min("held_id").alias("held_id"))  # one row per key: no pairs of copies
+        joins.append(new.join(first, keys).select("new_id", "held_id", F.lit(how).alias("how"), F.lit(rank).alias("rank")))
     every = joins[0].unionAll(joins[1]).unionAll(joins[2])
     return every.groupBy("new_id").agg(F.min(F.struct("rank", "held_id", "how")).alias("m")).select("new_id", "m.held_id", "m.how")
 
