@@ -22,8 +22,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Tables whose rows are long texts: work on them should not be bound to the row groups of one file.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. A table of texts that is one file, which as few tasks read as it has row groups, is dealt out to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXTS and len(df.inputFiles()) == 1:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
