@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordspark.functions import text as T
+from recordspark.operators.alerts import plausible_title, title_alerts
+
 
 def fuse_fields(evidence: DataFrame, priority: DataFrame) -> DataFrame:
     """rec_id, field, value, source: the value of the source with the best rank for the record's type (ties: smallest value).
@@ -93,3 +96,76 @@ def rank_isbn_sources(candidates: DataFrame, bonus: dict[str, int]) -> DataFrame
     extra = F.coalesce(F.create_map(*[F.lit(x) for kv in bonus.items() for x in kv])[F.col("source")], F.lit(0))
     c = candidates.withColumn("weight", sum(filled, F.lit(0)) + extra)
     return c.groupBy("isbn").agg(F.min(F.struct((-F.col("weight")).alias("w"), "source")).alias("m")).select("isbn", "m.source", (-F.col("m.w")).alias("weight"))
+
+
+#: Words that tell nothing of a title, and origins that a longer file name may complete. Fixed values.
+WEAK_WORDS = "a as o os um uma uns umas de da das do dos e em no na nos nas por para com sem ao aos the of and for in to by with el la los las un una del y".split()
+COMPLETED = ("cover", "first page", "pdf metadata", "cover over ocr")
+PROSE = ("paragraph", "continued", "cut off", "sentence", "rights notice")
+
+
+def strong_words(x: Column) -> Column:
+    """Words of more than two letters that are no filler and no number."""
+    return F.filter(T.words(F.coalesce(x, F.lit(""))), lambda w: (F.length(w) > 2) & ~w.isin(*WEAK_WORDS) & ~w.rlike("^[0-9]+$"))
+
+
+def title_alike(a: Column, b: Column) -> Column:
+    """The larger of the share of common words (three letters or more) and 1 - edit distance / longer length, of normal forms."""
+    na, nb = T.normal(F.coalesce(a, F.lit(""))), T.normal(F.coalesce(b, F.lit("")))
+    long = lambda x: F.array_distinct(F.filter(F.split(x, " "), lambda w: F.length(w) > 2))
+    edits = 1 - F.levenshtein(na, nb) / F.greatest(F.length(na), F.length(nb))
+    return F.when((na == "") | (nb == ""), 0.0).otherwise(F.greatest(T.jaccard(long(na), long(nb)), edits))
+
+
+def fuse_title(records: DataFrame) -> DataFrame:
+    """rec_id, title, origin, subtitle, original_title, from_other_language: which of a record's titles it gets, and where it came from.
+
+    records: rec_id, title, title_origin (local), api_title, api_subtitle, api_author, exact_isbn, by_title_author,
+    national (agency by exact ISBN), trade_high, trade_isbn (a trade listing of high confidence, with confirmed ISBN),
+    cover_visual, cover_title, pdf_title, copyright_title, first_page_title, file_title.
+    The external title wins with an exact ISBN, or if it is alike (0.68) or the local one is defective and
+    its source is sure; else it is kept as the original title. Then come cover, PDF metadata, copyright line and
+    first page where the local title is missing or implausible; a longer file name with 75 % of the
+    strong words completes a weak origin; prose gives way to the file name.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    names = ("title", "title_origin", "api_title", "api_subtitle", "api_author", "cover_visual", "cover_title", "pdf_title", "copyright_title", "first_page_title", "file_title")
+    r = records.select("rec_id", *[blank(c).alias(c) for c in names], *[flag(c).alias(c) for c in ("exact_isbn", "by_title_author", "national", "trade_high", "trade_isbn")])
+    ok = {c: plausible_title(F.col(c)) for c in ("title", "api_title", "cover_visual", "cover_title", "file_title")}
+    r = r.withColumns({f"ok_{c}": v for c, v in ok.items()})
+    rules = dict(title_alerts(F.col("title"), F.col("api_author")))
+    r = r.withColumns({"alike": title_alike(F.col("title"), F.col("api_title")) >= 0.68, "repeats": F.coalesce(rules["author in title"], F.lit(False)), "faulty": (F.col("title_origin") == "file name") | ~F.col("ok_title")})
+    asked = (F.col("api_title") != "") & ((F.col("title") != "") | F.col("exact_isbn"))
+    external = (
+        F.when(F.col("exact_isbn") & F.col("ok_api_title"), "exact isbn").when(F.col("by_title_author") & (F.col("alike") | F.col("faulty")) & F.col("ok_api_title"), "title and author")
+        .when(F.col("national") & ~F.col("ok_title") & F.col("ok_api_title"), "national agency").when(F.col("trade_high") & F.col("faulty") & F.col("ok_api_title"), "trade listing").when(F.col("alike") | (F.col("trade_isbn") & F.col("repeats")), "api")
+    )
+    r = r.withColumn("take", F.when(asked, external))
+    took = F.col("take").isNotNull()
+    r = r.select("*", F.when(took, F.col("api_title")).otherwise(F.col("title")).alias("t1"), F.coalesce("take", "title_origin").alias("o1"), F.when(took, F.col("api_subtitle")).otherwise("").alias("subtitle"), F.when(asked & ~took, F.col("api_title")).otherwise("").alias("original"))
+    good1 = F.when(took, F.col("ok_api_title")).otherwise(F.col("ok_title"))
+    step2 = (
+        F.when((F.col("cover_visual") != "") & F.col("ok_cover_visual") & ~good1, F.struct(F.col("cover_visual").alias("t"), F.lit("visual title").alias("o")))
+        .when((F.col("t1") != "") & F.col("ok_cover_title") & ~good1, F.struct(F.col("cover_title").alias("t"), F.lit("cover over ocr").alias("o")))
+        .when((F.col("t1") == "") & (F.col("pdf_title") != ""), F.struct(F.col("pdf_title").alias("t"), F.lit("pdf metadata").alias("o")))
+        .when((F.col("t1") == "") & (F.col("cover_title") != ""), F.struct(F.col("cover_title").alias("t"), F.lit("cover").alias("o")))
+        .otherwise(F.struct(F.col("t1").alias("t"), F.col("o1").alias("o")))
+    )
+    r = r.withColumn("s2", step2)
+    short = F.size(F.split(F.col("s2.t"), r"\s+")) < 2
+    pick = lambda c, o: F.struct(F.col(c).alias("t"), F.lit(o).alias("o"))
+    step3 = F.when(((F.col("s2.t") == "") | short) & (F.col("copyright_title") != ""), pick("copyright_title", "copyright line")).when((F.col("s2.t") == "") & (F.col("first_page_title") != ""), pick("first_page_title", "first page")).when((F.col("s2.t") == "") & (F.col("api_title") != ""), pick("api_title", "api, other language?")).otherwise(F.col("s2"))
+    r = r.withColumn("s3", step3)
+    foreign = (F.col("s3.o") == "api, other language?") & ~F.col("exact_isbn")
+    have, wide = strong_words(F.col("s3.t")), strong_words(F.col("file_title"))
+    held = F.size(F.filter(have, lambda w: F.array_contains(wide, w)))
+    longer = (F.size(have) >= 2) & (F.size(wide) > F.size(have)) & (held >= 2) & (held / F.greatest(F.lit(1), F.size(have)) >= 0.75)
+    complete = F.col("s3.o").isin(*COMPLETED) & F.col("ok_file_title") & longer
+    prose = dict(title_alerts(F.col("s3.t"), F.lit("")))
+    is_prose = F.lit(False)
+    for name in PROSE:
+        is_prose = is_prose | F.coalesce(prose[name], F.lit(False))
+    final = F.when(complete, F.struct(F.col("file_title").alias("t"), F.concat(F.col("s3.o"), F.lit(", completed by file name")).alias("o"))).when(is_prose & F.col("ok_file_title"), pick("file_title", "file name over prose")).otherwise(F.col("s3"))
+    r = r.withColumn("s4", final).withColumn("foreign", foreign)
+    return r.select("rec_id", F.col("s4.t").alias("title"), F.when(F.col("s4.t") == "", "").otherwise(F.col("s4.o")).alias("origin"), "subtitle", F.when(F.col("s3.o") == "api, other language?", "").otherwise(F.col("original")).alias("original_title"), F.col("foreign").alias("from_other_language"))

@@ -151,14 +151,14 @@ RECORD_SCHEMA = (
 )
 
 
-def read_sharded_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Records of a store of JSON files, by prefix of their hash or nested otherwise, and the files that hold none (file, reason).
+def read_sharded_records(spark: SparkSession, path: str, one_per_file: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Records of a store of JSON files, nested as deep as they may be, and what holds none (file, reason: no json or no hash).
 
-    One record may fill a file or, as write_sharded_records writes them, a line. Files that are no JSON
-    or hold no hash are counted, not fatal.
+    one_per_file: a record fills a file; else, as write_sharded_records writes them, a line. Bad
+    files are reported, not fatal.
     """
     schema = RECORD_SCHEMA + ", _corrupt_record string"
-    base = spark.read.schema(schema).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", True)
+    base = spark.read.schema(schema).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", one_per_file)
     rows = base.json(path).withColumn("file", F.col("_metadata.file_path"))
     good = rows.where("hash_sha256 is not null and _corrupt_record is null").drop("_corrupt_record")
     reason = F.when(F.col("_corrupt_record").isNotNull(), "no json").otherwise("no hash")
