@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Stop words by language, in the order that decides ties. Fixed values.
+from recordspark.functions import text as T
+
+#: Stop words and phrases by language, in the order that decides ties. Fixed values.
 LANGUAGE_WORDS = {
     "por": "não são também português edição tradução direitos para uma que com por dos das".split(),
     "spa": "edición traducción derechos reservados español para una que con por los las del".split(),
-    "fre": "traduction français édition pour une dans avec des les du par".split(),
-    "eng": "the and with for from this".split(),
-    "ger": "und der die das nicht mit von ein eine".split(),
+    "fre": ["tous droits", *"traduction français édition pour une dans avec des les du par".split()],
+    "eng": ["all rights reserved", "published by", "translated by", *"the and with for from this".split()],
 }
 DEFAULT_TOPIC = "fé e vida cristã"
 
 
 def detect_language(docs: DataFrame, profiles: dict[str, list[str]] = LANGUAGE_WORDS) -> DataFrame:
-    """doc_id, detected, hits: the language with most stop words (ties: first listed), empty without any.
+    """doc_id, detected, hits: the language with most stop words and phrases (ties: first listed), empty without any.
 
-    Words are counted by an equi-join with the small word list; the join side has a fixed size.
+    Words are counted by an equi-join with the small word list, whose size the profiles fix; a phrase
+    is looked for as it stands, its words parted by one blank. A caller's profiles may add languages.
     """
-    rows = [(k, lang, w) for k, (lang, ws) in enumerate(profiles.items()) for w in ws]
-    table = docs.sparkSession.createDataFrame(rows, "rank int, detected string, word string")
-    w = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("word"))
+    items = [(k, lang, w) for k, (lang, ws) in enumerate(profiles.items()) for w in ws]
+    low = F.lower(F.coalesce("text", F.lit("")))
+    phrases = [i for i in items if " " in i[2]]
+    marks = [F.struct(F.lit(k).alias("rank"), F.lit(lang).alias("detected"), F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){w}(?![\p{{L}}\p{{N}}_])")).cast("long").alias("hits")) for k, lang, w in phrases]
+    table = docs.sparkSession.createDataFrame([i for i in items if " " not in i[2]], "rank int, detected string, word string")
+    w = docs.select("doc_id", F.explode(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("word"))
     n = w.join(F.broadcast(table), "word").groupBy("doc_id", "rank", "detected").agg(F.count("*").alias("hits"))
+    if marks:
+        n = n.unionByName(docs.select("doc_id", F.explode(F.array(*marks)).alias("x")).select("doc_id", "x.*").where("hits > 0"))
+    n = n.groupBy("doc_id", "rank", "detected").agg(F.sum("hits").alias("hits"))
     top = n.groupBy("doc_id").agg(F.min_by(F.struct("detected", "hits"), F.struct(-F.col("hits"), "rank")).alias("m"))
     return docs.select("doc_id").join(top, "doc_id", "left").select("doc_id", F.coalesce("m.detected", F.lit("")).alias("detected"), F.coalesce("m.hits", F.lit(0)).alias("hits"))
 
@@ -133,37 +141,45 @@ def progress_totals(progress: DataFrame) -> DataFrame:
     )
 
 
-#: (type, patterns that all must be found, patterns of which none may): first match wins. A caller's table may replace it.
-TYPE_RULES = (
-    ("lista", (r"\|.*\|.*\|",), ()),
-    ("documento", (r"licen[cs]", r"version|2\.0|rights"), ()),
-    ("correspondência", (r"@[a-z0-9.-]+\.[a-z]{2,}",), (r"licen[cs]",)),
-    ("artigo", (r"(?m)^by \p{L}",), ()),
+#: Signals of a kind of material, in plain form; and what makes a package of an article. Fixed values.
+TYPE_SIGNALS = (
+    ("livro", r"\b(?:isbn|ficha catalografica|cdd|cdu|copyright)\b"),
+    ("revista/artigo", r"\b(?:revista|magazine|journal|periodico|boletim)\b"),
+    ("artigo/acadêmico", r"\b(?:resumo|abstract|palavras-chave|keywords)\b"),
+    ("tese/dissertação", r"\b(?:tese|dissertacao|monografia|orientador|banca examinadora)\b"),
+    ("documento/apostila", r"\b(?:plano de aula|aula\s+[0-9]+|licao\s+[0-9]+|slides?|powerpoint)\b"),
+    ("documento/sermão", r"\b(?:sermao|pregacao|estudo biblico|celula)\b"),
 )
-
-
-def classify_document(docs: DataFrame, rules=TYPE_RULES, default: str = "livro") -> DataFrame:
-    """doc_id, type, rule (place of the rule that decided, null for the default)."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    hit = []
-    for all_of, none_of in ((r[1], r[2]) for r in rules):
-        test = F.lit(True)
-        for p in all_of:
-            test = test & low.rlike(p)
-        for p in none_of:
-            test = test & ~low.rlike(p)
-        hit.append(test)
-    kind, rule = F.lit(default), F.lit(None).cast("int")
-    for k in reversed(range(len(rules))):
-        kind, rule = F.when(hit[k], rules[k][0]).otherwise(kind), F.when(hit[k], k).otherwise(rule)
-    return docs.select("doc_id", kind.alias("type"), rule.alias("rule"))
+ACADEMIC_SIGNALS = (
+    ("doi", r"10\.[0-9]{4,9}/[-._;()/:a-z0-9]"),
+    ("abstract", r"\b(?:abstract|resumo)\b"),
+    ("keywords", r"\b(?:keywords?|palavras[ -]chave)\b"),
+    ("references", r"\b(?:references|referencias bibliograficas|bibliografia)\b"),
+    ("issn", r"\bissn\s*[0-9]{4}\s*[- ]?\s*[0-9]{3}[0-9x]\b"),
+)
+ACADEMIC_TYPES, JOURNAL_TYPES, DOCUMENT_TYPES = ("artigo", "tese", "dissertação", "trabalho acadêmico"), ("revista", "periódico", "boletim", "jornal"), ("documento", "apostila", "sermão", "trecho", "apresentação", "opúsculo")
 
 
 def type_signals(docs: DataFrame) -> DataFrame:
-    """doc_id, has_url, has_isbn, has_doi, has_email, academic (a DOI or an ISBN with a URL)."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    d = docs.select("doc_id", low.rlike(r"https?://").alias("has_url"), low.rlike(r"97[89][0-9-]{10,14}").alias("has_isbn"), low.rlike(r"\b10\.[0-9]{4,9}/").alias("has_doi"), low.rlike(r"[a-z0-9._-]+@[a-z0-9.-]+").alias("has_email"))
-    return d.withColumn("academic", F.col("has_doi") | (F.col("has_isbn") & F.col("has_url")))
+    """doc_id, signals, contradictions, academic (signals of an article), consult, becomes_article.
+
+    docs: doc_id, text, type, isbn, n_pages (0: unknown). An article's package is a DOI with an abstract, keywords,
+    references or an ISSN, of at most 100 pages; documents and handouts are worth a look at three signals.
+    """
+    low = T.plain(F.coalesce("text", F.lit("")))
+    said = lambda rules, text: F.array_compact(F.array(*[F.when(text.rlike(p), n) for n, p in rules]))
+    d = docs.select("doc_id", F.coalesce("type", F.lit("livro")).alias("type"), "isbn", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), low.alias("low"))
+    d = d.select("*", said(TYPE_SIGNALS, F.col("low")).alias("s"), said(ACADEMIC_SIGNALS, F.col("low")).alias("a"))
+    d = d.withColumn("s", F.when((F.size("s") == 0) & (F.coalesce("isbn", F.lit("")) != ""), F.array(F.lit("livro"))).otherwise(F.col("s")))
+    has = lambda word: F.exists("s", lambda x: F.contains(x, F.lit(word)))
+    against = F.array_compact(F.array(
+        F.when((F.col("type") == "livro") & (has("documento") | has("artigo") | has("tese")), "book with signs of other material"),
+        F.when(F.col("type").isin(*DOCUMENT_TYPES) & F.array_contains("s", "livro"), "document with signs of a published book"),
+        F.when(F.col("type").isin(*JOURNAL_TYPES) & has("artigo"), "whole issue or single article"),
+    ))
+    package = F.array_contains("a", "doi") & (F.size("a") >= 2) & (F.col("n_pages") <= 100)
+    many = F.col("type").isin("documento", "apostila") & (F.size("a") >= 3)
+    return d.select("doc_id", F.array_join("s", "; ").alias("signals"), F.array_join(against, "; ").alias("contradictions"), F.array_join("a", "; ").alias("academic"), (F.col("type").isin(*ACADEMIC_TYPES) | package | many).alias("consult"), package.alias("becomes_article"))
 
 
 def issue_records(files: DataFrame, first_year: int = 1952) -> DataFrame:

@@ -4,26 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recordspark.operators import classify as C
 from recordspark.operators import mining as M
 from recordspark.plans.registry import query, run, table
 from recordspark.plans.text_queries import PAGES, doc_pages
 
-_values = ", ".join(f"({k}, '{lang}', '{w}')" for k, (lang, ws) in enumerate(M.LANGUAGE_WORDS.items()) for w in ws)
-LANGUAGE = f"""lw as (select * from (values {_values}) as t(rank, detected, word)),
-  dw as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+')) as word from documents),
-  dn as (select doc_id, rank, detected, count(*) as hits from dw join lw using (word) group by all),
-  dl as (select documents.doc_id, lang, coalesce(detected, '') as detected, coalesce(hits, 0) as hits from documents left join (select *, row_number() over (partition by doc_id order by hits desc, rank) as rn from dn) x on x.doc_id = documents.doc_id and rn = 1)"""
+#: The library's profiles and German, which the given texts have.
+PROFILES = M.LANGUAGE_WORDS | {"ger": "und der die das nicht mit von ein eine".split()}
+_values = ", ".join(f"({k}, '{lang}', '{w}')" for k, (lang, ws) in enumerate(PROFILES.items()) for w in ws)
+LANG_DOCS = "select doc_id, lang, concat(text, case doc_id % 9 when 0 then ' All rights reserved. Published by X, published by Y' when 1 then ' Tous droits réservés' else '' end) as text from {documents}"
+LANGUAGE = f"""ld as ({LANG_DOCS.replace("{documents}", "documents")}), lw as (select * from (values {_values}) as t(rank, detected, word)),
+  dw as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+')) as word from ld),
+  ph as (select doc_id, rank, detected, len(list_filter(range(1, len(ws) - len(pw) + 2), lambda i: ws[i : i + len(pw) - 1] = pw)) as hits from (select doc_id, ' ' || lower(coalesce(text, '')) || ' ' as low, regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_ ]+') as parts from ld) x,
+    (select rank, detected, word, string_split(word, ' ') as pw from lw where contains(word, ' ')) y, (select 1) z, lateral (select string_split(array_to_string(parts, ' | '), ' ') as ws)),
+  dn as (select doc_id, rank, detected, sum(hits) as hits from (select doc_id, rank, detected, count(*) as hits from dw join lw using (word) group by all union all select doc_id, rank, detected, hits from ph where hits > 0) group by all),
+  dl as (select ld.doc_id, lang, coalesce(detected, '') as detected, cast(coalesce(hits, 0) as bigint) as hits from ld left join (select *, row_number() over (partition by doc_id order by hits desc, rank) as rn from dn) x on x.doc_id = ld.doc_id and rn = 1)"""
 
 
 @query("mi1_detect_language", f"with {LANGUAGE} select doc_id, detected, hits from dl")
 def mi1(spark, sf):
-    return M.detect_language(table(spark, sf, "documents"))
+    return M.detect_language(run(spark, sf, LANG_DOCS, "documents"), PROFILES)
 
 
 @query("mi1_language_confusion", f"with {LANGUAGE} select lang, detected, count(*) as n from dl group by all")
 def mi1_confusion(spark, sf):
-    d = table(spark, sf, "documents")
-    return M.language_confusion(M.detect_language(d), d.select("doc_id", "lang"))
+    d = run(spark, sf, LANG_DOCS, "documents")
+    return M.language_confusion(M.detect_language(d, PROFILES), d.select("doc_id", "lang"))
 
 
 #: Frequent fragments of the texts as keywords.
@@ -114,23 +120,51 @@ def mi7(spark, sf):
     return M.progress_totals(M.mining_progress(i, i.where("issue_id % 3 = 0"), i.where("issue_id % 5 = 0")))
 
 
+#: Texts planted on the first page of documents, one for most rows of the rule table; the others keep their own pages.
+_MARKS = ["Manual de Metodologia", "Tese apresentada à faculdade", "Dissertação apresentada", "E-book disponibilizado, totalmente gratuito, faça uma doação", "Professor: Ana, apostila do Professor: Rui", "Voluntários da igreja", "Revista do Aluno, publicação e distribuição, lição 1", "Manual Institucional", "LAB | sessão\nConferência Norte 2019", "Plano de aula apostilado", "Tema: fé\nsermão", "Discente: Ana", "Universidade X\nDocente: Rui", "Faculdade Y, ementa", "imprimir | fechar", "Por Ana Luz | 3 meses atrás", "Revista Z, resumo, volume 3", "Revista Z, ISSN 1234-5678", "Este livro é de uso pessoal; proibida a revenda; consentimento do autor", "12\nA CASA DE ANA LUZ", "com permissão do autor Ana", "Resumo de tudo", "Manual de vida, igreja", "Série de estudos da igreja", "Regimento interno da paróquia", "ISBN 1, Editora: X, manual de fé, igreja", "Aula 1 - a\nAula 2 - b\nAula 3 - c\nAula 4 - d", "Sumário\nUm texto longo ..... 3\nOutro texto longo ..... 7\nMais um texto ..... 9", "este artigo trata de tudo\nResumo: x"]
+TYPE_PAGES = "select doc_id, page_no, case when page_no = 1 then concat(case doc_id % 40 " + " ".join(f"when {k} then concat('{m.replace(chr(10), "', chr(10), '")}', chr(10))" for k, m in enumerate(_MARKS)) + " else '' end, text) else text end as text from {pg}"
+TYPE_FILES = "select doc_id, case when doc_id % 6 = 0 then 'x_apostila.pdf' when doc_id % 7 = 0 then 'aula 03.pdf' else concat('f', cast(doc_id as string), '.pdf') end as name, case doc_id % 10 when 0 then 'Microsoft PowerPoint' when 1 then 'Microsoft Word' else '' end as producer, case when doc_id % 3 = 0 then 'Acta' end as periodical, doc_id % 20 = 0 as approved, doc_id % 4 = 1 as isbn_confirmed, doc_id % 2 = 1 as external, cast(doc_id % 100 as int) as n_pages from {documents}"
+
+
+def _rule_sql(r) -> str:
+    q = lambda p: p.replace("'", "''")
+    tests = [f"regexp_matches({s}, '{q(p)}')" for s, p in r.all_of] + [f"not regexp_matches({s}, '{q(p)}')" for s, p in r.none_of] + [f"len(regexp_extract_all({s}, '{q(p)}')) >= {n}" for s, p, n in r.counts]
+    tests += [f"n_text between {r.pages[0]} and {r.pages[1]}"] if r.pages else []
+    tests += [f"short_share >= {r.short_share}::double"] if r.short_share else []
+    return " and ".join(tests)
+
+
+_SCOPE = lambda c: f"coalesce(string_agg(text, chr(10) order by page_no) filter ({c}), '')"
+TYPE_SCOPES = f"""{PAGES}, tp as ({TYPE_PAGES.replace("{pg}", "pg")}), tn as (select *, max(page_no) over (partition by doc_id) as n from tp),
+  ts as (select doc_id, count(*) filter (trim(text) <> '') as n_text, coalesce(count(*) filter (trim(text) <> '' and length(regexp_replace(trim(text), '\\s+', ' ', 'g')) < 700) / nullif(count(*) filter (trim(text) <> ''), 0), 0.0) as short_share, {_SCOPE("page_no <= 1")} as page1, {_SCOPE("page_no <= 3")} as first3, {_SCOPE("page_no <= 10")} as first10, {_SCOPE("page_no <= 12")} as first12, {_SCOPE("page_no > n - 3")} as last3 from tn group by doc_id)"""
+
+
 @query(
     "mi8_classify_document",
-    """with d as (select doc_id, lower(coalesce(text, '')) as t from documents), h as (select doc_id, case when regexp_matches(t, '\\|.*\\|.*\\|') then 0 when regexp_matches(t, 'licen[cs]') and regexp_matches(t, 'version|2\\.0|rights') then 1
-      when regexp_matches(t, '@[a-z0-9.-]+\\.[a-z]{2,}') and not regexp_matches(t, 'licen[cs]') then 2 when regexp_matches(t, '(?m)^by \\p{L}') then 3 end as rule from d)
-      select doc_id, case rule when 0 then 'lista' when 1 then 'documento' when 2 then 'correspondência' when 3 then 'artigo' else 'livro' end as type, rule from h""",
+    f"""with {TYPE_SCOPES}, tf as ({TYPE_FILES.replace("{documents}", "documents")}), sc as (select doc_id, n_text, short_share, {", ".join(f"strip_accents(lower({c})) as {c}" for c in ("page1", "first3", "first10", "first12", "last3"))}, strip_accents(lower(substr(first10, 1, 2500))) as head, strip_accents(lower(first3 || chr(10) || last3)) as edges, lower(name) as name, lower(producer) as producer, lower(coalesce(periodical, '')) as periodical, approved, isbn_confirmed, external, n_pages from ts join tf using (doc_id)),
+      rl as (select *, case {" ".join(f"when {_rule_sql(r)} then {k}" for k, r in enumerate(C.TYPE_RULES))} else -1 end as k from sc),
+      ty as (select *, case when k < 0 then 'livro' else [{", ".join(f"'{r.type}'" for r in C.TYPE_RULES)}][k + 1] end as found, case when k >= 0 then [{", ".join(str(r.number) for r in C.TYPE_RULES)}][k + 1] end as rule from rl),
+      fo as (select *, case when not approved and contains(producer, 'powerpoint') then 'apresentação' when not approved and found = 'documento' and rule in (23, 24) and isbn_confirmed and external and n_pages >= 40 then 'livro' end as forced_type from ty)
+      select doc_id, coalesce(forced_type, found) as type, rule, forced_type is not null as forced from fo""",
 )
 def mi8(spark, sf):
-    return M.classify_document(table(spark, sf, "documents"))
+    return C.classify_document(spark.sql(TYPE_PAGES, pg=doc_pages(spark, sf)), run(spark, sf, TYPE_FILES, "documents"))
+
+
+#: Documents with planted words of several kinds of material.
+SIGNAL_DOCS = "select doc_id, concat(text, case doc_id % 8 when 0 then ' ISBN 12, copyright' when 1 then ' Revista X, resumo e palavras-chave, 10.1234/abc, ISSN 1234-5678' when 2 then ' Tese, orientador' when 3 then ' plano de aula, Lição 4' when 4 then ' sermão' when 5 then ' doi 10.5555/x.y references' else '' end) as text, case doc_id % 5 when 0 then 'livro' when 1 then 'documento' when 2 then 'revista' when 3 then 'artigo' end as type, case when doc_id % 3 = 0 then '978' end as isbn, cast(doc_id % 150 as int) as n_pages from {documents}"
 
 
 @query(
     "mi9_type_signals",
-    """with d as (select doc_id, lower(coalesce(text, '')) as t from documents), s as (select doc_id, regexp_matches(t, 'https?://') as has_url, regexp_matches(t, '97[89][0-9-]{10,14}') as has_isbn, regexp_matches(t, '\\b10\\.[0-9]{4,9}/') as has_doi, regexp_matches(t, '[a-z0-9._-]+@[a-z0-9.-]+') as has_email from d)
-      select *, has_doi or (has_isbn and has_url) as academic from s""",
+    f"""with d as (select doc_id, coalesce(type, 'livro') as type, isbn, n_pages, strip_accents(lower(coalesce(text, ''))) as t from ({SIGNAL_DOCS.replace("{documents}", "documents")})),
+      s0 as (select *, list_filter([{", ".join(f"case when regexp_matches(t, '{p}') then '{n}' end" for n, p in M.TYPE_SIGNALS)}], lambda x: x is not null) as s1, list_filter([{", ".join(f"case when regexp_matches(t, '{p}') then '{n}' end" for n, p in M.ACADEMIC_SIGNALS)}], lambda x: x is not null) as a from d),
+      s as (select *, case when len(s1) = 0 and isbn <> '' then ['livro'] else s1 end as s from s0), j as (select *, array_to_string(s, '; ') as joined, list_contains(a, 'doi') and len(a) >= 2 and n_pages <= 100 as package from s)
+      select doc_id, joined as signals, concat_ws('; ', case when type = 'livro' and regexp_matches(joined, 'documento|artigo|tese') then 'book with signs of other material' end, case when type in ('documento', 'apostila') and list_contains(s, 'livro') then 'document with signs of a published book' end, case when type = 'revista' and contains(joined, 'artigo') then 'whole issue or single article' end) as contradictions,
+        array_to_string(a, '; ') as academic, type = 'artigo' or package or (type in ('documento', 'apostila') and len(a) >= 3) as consult, package as becomes_article from j""",
 )
 def mi9(spark, sf):
-    return M.type_signals(table(spark, sf, "documents"))
+    return M.type_signals(run(spark, sf, SIGNAL_DOCS, "documents"))
 
 
 FILES = "select o_orderkey as file_id, case when o_orderkey % 11 = 0 then concat('Voice_', cast(o_orderkey as string)) else concat('Voice-', cast(year(o_orderdate) as string), '-', lpad(cast(o_custkey % 14 as string), 2, '0'), case when o_orderkey % 3 = 0 then concat('-v', cast(o_orderkey % 50 as string)) else '' end, '.pdf') end as name from {orders}"

@@ -53,7 +53,8 @@ def payload_rows(spark, sf):
     name = "parts_" + uuid.uuid4().hex
     table(spark, sf, "part").createOrReplaceTempView(name)
     try:
-        return spark.sql(PAYLOADS.replace("{part}", name))
+        # an exchange: the payloads are built once, not once for each source
+        return spark.sql(PAYLOADS.replace("{part}", name)).repartition(spark.sparkContext.defaultParallelism, "query_id")
     finally:
         spark.catalog.dropTempView(name)
 
