@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from recordspark.operators import extract as X
 from recordspark.operators import learn as A
+from recordspark.operators.scopes import CARD_HEADER, CREDIT_WORDS
 from recordspark.plans.linkage_queries import BOOKS, CANON, CONFIRMED, NORM, WORDS, _check, duck
 from recordspark.plans.registry import query, run, table
 from recordspark.plans.text_queries import PAGES, doc_pages
 from recordspark.sources.pages import explode_lines
 
 #: Pages of the documents; the first two get a line with the number of the part that has the document's id, in five forms.
-ISBN_PAGES = f"""select doc_id, page_no, concat(text, coalesce(concat(chr(10), case doc_id % 5 when 0 then concat('ISBN ', substr(isbn, 1, 3), '-', substr(isbn, 4), ' (pdf)') when 1 then concat('ISBN: ', isbn, ' vol. ', cast(1 + doc_id % 3 as string), ' brochura') when 2 then concat('see ', isbn, ' and 12345')
-  when 3 then concat('Copyright 2001 Casa Nova', chr(10), 'capa dura ', substr(isbn, 1, 3), ' ', substr(isbn, 4, 4), ' ', substr(isbn, 8)) else concat('numbers ', isbn, ' and ', coalesce(ten, '1234567890')) end), '')) as text
+ISBN_PAGES = f"""select doc_id, page_no, concat(text, case when isbn is null then '' else concat(chr(10), case doc_id % 5 when 0 then concat('ISBN ', substr(isbn, 1, 3), '-', substr(isbn, 4), ' (pdf)') when 1 then concat('ISBN: ', isbn, ' vol. ', cast(1 + doc_id % 3 as string), ' brochura') when 2 then concat('see ', isbn, ' and 12345')
+  when 3 then concat('Copyright 2001 Casa Nova', chr(10), 'capa dura ', substr(isbn, 1, 3), ' ', substr(isbn, 4, 4), ' ', substr(isbn, 8)) else concat('numbers ', isbn, ' and ', coalesce(ten, '1234567890')) end) end) as text
   from {{pg}} left join ({BOOKS}) b on b.rec_id = doc_id and page_no <= 2 left join (select rec_id - 1000000 as ten_id, isbn as ten from ({CONFIRMED}) where rec_id < 2000000) t on ten_id = doc_id and page_no <= 2"""
 _PAGES = f"{PAGES}, ip as ({duck(ISBN_PAGES).replace('{pg}', 'pg')}), il as (select doc_id, page_no, ls, i as line_no, ls[i] as line, regexp_matches(lower(text), '{X.CREDIT_PAGE}') as credit, concat_ws(' ', case when i > 1 then ls[i - 1] end, ls[i], ls[i + 1]) as around from (select doc_id, page_no, text, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from ip))"
 _TEN_OK = f"({' + '.join(f'cast(substr(isbn, {k + 1}, 1) as int) * {10 - k}' for k in range(9))} + case when substr(isbn, 10, 1) = 'X' then 10 else cast(substr(isbn, 10, 1) as int) end) % 11 = 0"
@@ -113,12 +114,32 @@ def ex6(spark, sf):
     return X.publication_year(run(spark, sf, YEAR_DOCS, "documents"))
 
 
-_reads = " union all ".join(f"select doc_id, '{f}' as field, '{s}' as source, trim(regexp_extract(text, '{p}', 1)) as value, {r} as rank from documents" for f, s, p, r in X.CARD_RULES)
+#: Pages of documents with planted cards, sheets and credit lines; the first page of each begins with one.
+_PLANTS = ["Title: The Long Road\nAuthor(s): Luz, Ana\nPublisher: House Press\nYear: 1999", "Copyright © 2001 Editora Nova\nTradução: Rui de Souza\n2ª edição\nSão Paulo", "Ficha catalográfica\nLuz, Ana, 1950-\nA casa verde / Ana Luz. – Lisboa : Editora Mar, 1988.\n210 p.\nISBN 978-85-1234-567-8\nCDD 230.1", "Tese apresentada à\nUniversidade de Faro\n2010", "Série Pequenos Guias\nPor Ana Luz\nISSN 1234-5678 http://site.org/a", "© 1998 Ana Luz\nPublished by House of Words", "Catalogação interna da publicação\nDisciplina: Grego\nProfessor: Rui Reis", "12 de março de 2004\nwww.site.org", "Luz, Ana\n120 p.\nISBN 85 123 4567 8\nCDU 27"]
+CARD_PAGES = "select doc_id, page_no, case when page_no = 1 then concat(case doc_id % 12 " + " ".join(f"when {k} then concat('{m.replace(chr(10), "', chr(10), '")}', chr(10))" for k, m in enumerate(_PLANTS)) + " else '' end, text) else text end as text from {pg}"
+_q = lambda x: x.replace("'", "''")
+_scope = lambda c: f"coalesce(string_agg(text, chr(10) order by page_no) filter ({c}), '')"
+_ranks: dict = {}
 
 
-@query("ex7_catalog_card_fields", f"select * from ({_reads}) where value <> ''")
+def _read(r) -> str:
+    _ranks[r.field, r.source] = _ranks.get((r.field, r.source), 0) + 1
+    value = f"rtrim(trim(regexp_extract({r.scope}, '{_q(r.pattern)}', 1)), ' .,;:')"
+    tests = ["value <> ''"] + ([f"needed"] if r.needs else []) + ([f"regexp_matches(value, '{_q(r.shape)}')"] if r.shape else [])
+    return f"select doc_id, '{r.field}' as field, '{r.source}' as source, value, {_ranks[r.field, r.source]} as rank from (select doc_id, {value} as value" + (f", regexp_matches({r.scope}, '{_q(r.needs)}') as needed" if r.needs else "") + f" from sc) where {' and '.join(tests)}"
+
+
+@query(
+    "ex7_catalog_card_fields",
+    f"""with {PAGES}, cp as ({CARD_PAGES.replace("{pg}", "pg")}), cn as (select *, max(page_no) over (partition by doc_id) as n from cp),
+      s0 as (select doc_id, {_scope("page_no <= 1")} as page1, {_scope("page_no <= 3")} as first3, {_scope("page_no <= 10")} as first10, {_scope("page_no <= 12")} as first12, {_scope("page_no > n - 3")} as last3, {_scope(f"(page_no <= 12 or page_no > n - 3) and regexp_matches(strip_accents(lower(text)), '{CREDIT_WORDS}')")} as credit from cn group by doc_id),
+      s1 as (select *, strip_accents(lower(first12)) as low, regexp_extract(strip_accents(lower(first12)), '{CARD_HEADER}') as head from s0),
+      sc as (select *, first3 || chr(10) || last3 as edges, case when head <> '' then substr(first12, instr(low, head) + length(head), 2600) else '' end as card from s1),
+      rd as ({" union all ".join(_read(r) for r in X.CARD_RULES)})
+      select doc_id, field, source, arg_min(value, rank) as value, min(rank) as rank from rd group by doc_id, field, source""",
+)
 def ex7(spark, sf):
-    return X.catalog_card_fields(table(spark, sf, "documents"))
+    return X.catalog_card_fields(spark.sql(CARD_PAGES, pg=doc_pages(spark, sf)))
 
 
 #: Documents with a planted classification line, in the spellings that scanned cards have.
@@ -137,27 +158,37 @@ def ex8(spark, sf):
     return X.map_classification(found.select(F.col("doc_id").alias("rec_id"), F.expr("if(label = 'CDD', code, '')").alias("ddc"), F.concat_ws(" ", "label", "code").alias("original")))
 
 
-FILES = "select p_partkey as file_id, concat(lpad(cast(p_partkey as string), 4, '0'), '_', replace(p_name, ' ', '_'), case when p_partkey % 3 = 0 then concat(' vol. ', cast(p_size as string)) else '' end, case when p_partkey % 2 = 0 then concat(' - ', p_brand) else concat(' by ', p_type) end, case when p_partkey % 4 = 0 then concat(' (', cast(1950 + p_size as string), ')') else '' end, case when p_partkey % 5 = 0 then ' copy (2)' else '' end, '.pdf') as name from {part}"
+FILES = "select p_partkey as file_id, case p_partkey % 7 when 0 then concat(split_part(p_name, ' ', 1), '-', cast(1950 + p_size as string), '-0', cast(1 + p_partkey % 9 as string), case when p_partkey % 2 = 0 then concat('-v', cast(p_size as string)) else '' end, '.pdf') when 1 then concat(p_name, ' vol. ', cast(p_size as string), ' no. ', cast(p_partkey % 12 as string), ' ', cast(1950 + p_size as string), '.pdf') when 2 then concat('The ', p_name, ' ', case p_partkey % 3 when 0 then 'March' when 1 then 'setembro' else 'Dez' end, ' ', cast(1950 + p_size as string), '.pdf') else concat(lpad(cast(p_partkey as string), 4, '0'), '_', replace(p_name, ' ', '_'), case when p_partkey % 3 = 0 then concat(' vol. ', cast(p_size as string)) else '' end, case when p_partkey % 2 = 0 then concat(' - ', p_brand) else concat(' by ', p_type) end, case when p_partkey % 4 = 0 then concat(' (', cast(1950 + p_size as string), ')') else '' end, case when p_partkey % 5 = 0 then ' copy (2)' else '' end, '.pdf') end as name from {part}"
+_issue = lambda k, i: f"nullif(regexp_extract({'low' if k == 'C' else 's'}, '{_q(X.ISSUE_RULES[k])}', {i}), '')"
 
 
 @query(
     "ex9_filename_fields",
-    f"""with a as (select file_id, regexp_replace(name, '(?i)\\.(pdf|epub|docx?|txt)$', '') as s from ({duck(FILES)})), b as (select file_id, trim(replace(regexp_replace(regexp_replace(s, '(?i)(\\s*\\(\\d{{1,2}}\\)|[ _-]+(copy|scan|ocr|final))+$', ''), '^\\d{{3,}}[_ -]+', ''), '_', ' ')) as s from a),
-      c as (select file_id, s, trim(regexp_replace(s, '(?i)\\s*\\((?:1[5-9]|20)[0-9]{{2}}\\)|\\s*\\bvol\\.? ?[0-9]+', '', 'g')) as body from b), d as (select *, regexp_extract(body, '^(.*?)(?:\\s+-\\s+|\\s+by\\s+)(.*)$', 1) as t, regexp_extract(body, '^(.*?)(?:\\s+-\\s+|\\s+by\\s+)(.*)$', 2) as u, regexp_matches(body, '\\s+-\\s+|\\s+by\\s+') as two from c)
-      select file_id, trim(case when two then t else body end) as title, case when two then trim(u) end as author, cast(nullif(regexp_extract(s, '(?i)\\bvol\\.? ?([0-9]+)', 1), '') as int) as volume, cast(nullif(regexp_extract(s, '\\(((?:1[5-9]|20)[0-9]{{2}})\\)', 1), '') as int) as year from d""",
+    f"""with a as (select file_id, regexp_replace(name, '(?i)\\.(pdf|epub|docx?|txt|jpe?g)$', '') as s from ({duck(FILES)})), b as (select file_id, trim(replace(regexp_replace(regexp_replace(s, '(?i)(\\s*\\(\\d{{1,2}}\\)|[ _-]+(copy|copia|scan|scanned|ocr|final|compressed))+$', ''), '^\\d{{3,}}[_ -]+', ''), '_', ' ')) as s from a),
+      i as (select *, strip_accents(lower(s)) as low from b), k as (select *, case when {_issue("A", 1)} is not null then 'A' when {_issue("B", 1)} is not null then 'B' when {_issue("C", 1)} is not null then 'C' end as p from i),
+      c as (select *, trim(regexp_replace(s, '(?i)\\s*\\((?:1[5-9]|20)[0-9]{{2}}\\)|\\s*\\b(?:vol\\.?|tomo|v\\.) ?[0-9]+', '', 'g')) as body from k), d as (select *, regexp_extract(body, '^(.*?)(?:\\s+-\\s+|\\s+by\\s+)(.*)$', 1) as t, regexp_extract(body, '^(.*?)(?:\\s+-\\s+|\\s+by\\s+)(.*)$', 2) as u, regexp_matches(body, '\\s+-\\s+|\\s+by\\s+') as two from c)
+      select file_id, trim(case p when 'A' then {_issue("A", 1)} when 'B' then {_issue("B", 1)} when 'C' then substr(s, 1, length({_issue("C", 1)})) else case when two then t else body end end) as title, case when p is null and two then trim(u) end as author,
+        cast(case when p is null then nullif(regexp_extract(s, '(?i)\\b(?:vol\\.?|tomo|v\\.) ?([0-9]+)', 1), '') when p = 'A' then {_issue("A", 4)} when p = 'B' then {_issue("B", 2)} end as int) as volume, cast(case when p is null then nullif(regexp_extract(s, '\\(((?:1[5-9]|20)[0-9]{{2}})\\)', 1), '') when p = 'A' then {_issue("A", 2)} when p = 'B' then {_issue("B", 4)} else {_issue("C", 3)} end as int) as year,
+        p as issue_pattern, case p when 'A' then cast({_issue("A", 3)} as int) when 'C' then case when {_issue("C", 2)} = 'march' then 3 when {_issue("C", 2)} = 'setembro' then 9 else 12 end end as month, case when p = 'B' then cast({_issue("B", 3)} as int) end as number from d""",
 )
 def ex9(spark, sf):
     return X.filename_fields(run(spark, sf, FILES, "part"))
 
 
-TITLES = "select p_partkey as rec_id, concat(p_name, case when p_partkey % 2 = 0 then concat(': ', p_type) when p_partkey % 3 = 0 then concat(' ', p_name) else '' end, case when p_partkey % 5 = 0 then ', 2nd edition' else '' end) as title from {part}"
+TITLES = "select p_partkey as rec_id, concat(case when p_partkey % 7 = 0 then 'Ana de Luz - ' else '' end, p_name, case when p_partkey % 2 = 0 then concat(': ', p_type) when p_partkey % 3 = 0 then concat(' ', p_name) else '' end, case when p_partkey % 5 = 0 then ', 2nd edition' when p_partkey % 11 = 0 then ' by Rui Reis' when p_partkey % 13 = 0 then ', Ana de Luz' when p_partkey % 17 = 0 then ' 12' else '' end) as title, case when p_partkey % 4 <> 1 then 'Ana de Luz' end as author from {part}"
+_tidy = lambda x: f"trim(trim({x}), ' .,:;-_|')"
 
 
 @query(
     "ex10_split_title",
-    f"""with t as (select rec_id, cast(nullif(regexp_extract(title, '(?i)\\b([0-9]+)(?:st|nd|rd|th|ª)\\s*(?:ed\\.|edition|edição)', 1), '') as int) as edition, trim(regexp_replace(title, '(?i)[,;]?\\s*\\b[0-9]+(?:st|nd|rd|th|ª)\\s*(?:ed\\.|edition|edição)', '', 'g')) as b from ({duck(TITLES)})),
-      h as (select rec_id, edition, case when length(b) % 2 = 1 and substr(b, 1, length(b) // 2) || ' ' || substr(b, 1, length(b) // 2) = b then substr(b, 1, length(b) // 2) else b end as b from t)
-      select rec_id, trim(string_split_regex(b, ': | - ')[1]) as main, trim(nullif(substr(b, length(string_split_regex(b, ': | - ')[1]) + 1), '')[case when contains(substr(b, length(string_split_regex(b, ': | - ')[1]) + 1, 3), ' - ') then 4 else 3 end:]) as subtitle, edition from h""",
+    f"""with t as (select rec_id, coalesce(author, '') as author, cast(nullif(regexp_extract(title, '(?i)\\b([0-9]+)(?:st|nd|rd|th|ª)\\s*(?:ed\\.|edition|edição)', 1), '') as int) as edition, {_tidy("regexp_replace(title, '(?i)[,;]?\\s*\\b[0-9]+(?:st|nd|rd|th|ª)\\s*(?:ed\\.|edition|edição)', '', 'g')")} as b from ({duck(TITLES)})),
+      u as (select rec_id, author, edition, {_tidy("regexp_replace(b, '(?i),?\\s+(?:by|por)\\s+\\p{Lu}[\\p{L}''. -]{2,89}$|\\s+(?:by|por)$', '')")} as b from t),
+      v as (select rec_id, edition, {_tidy("case when author <> '' and ends_with(lower(b), lower(author)) and length(b) > length(author) then substr(b, 1, length(b) - length(author)) when author <> '' and starts_with(lower(b), lower(author)) and length(b) > length(author) then substr(b, length(author) + 1) else b end")} as b from u),
+      h as (select rec_id, edition, case when length(b) % 2 = 1 and substr(b, 1, length(b) // 2) || ' ' || substr(b, 1, length(b) // 2) = b then substr(b, 1, length(b) // 2) else b end as b from v),
+      g as (select rec_id, edition, {_tidy("regexp_replace(b, '(\\p{L})[ _-]+[0-9]{1,3}$', '\\1')")} as b from h),
+      s as (select *, string_split_regex(b, ': | [-–—] ')[1] as first, regexp_extract_all(b, '[\\p{{L}}0-9]+') as ws from g),
+      k as (select rec_id, string_agg(w, ' ' order by i) as key_words from (select *, row_number() over (partition by rec_id order by length(w) desc, i) as rn from (select rec_id, i, ws[i] as w from (select rec_id, ws, unnest(range(1, len(ws) + 1)) as i from s)) where length(w) >= 4 and strip_accents(lower(w)) not in ({", ".join(f"'{w}'" for w in X.COMMON_WORDS)})) where rn <= 6 group by rec_id)
+      select rec_id, trim(first) as main, trim(case when length(b) > length(first) then substr(b, length(first) + case when substr(b, length(first) + 1, 2) = ': ' then 3 else 4 end) end) as subtitle, edition, coalesce(key_words, '') as key_words from s left join k using (rec_id)""",
 )
 def ex10(spark, sf):
     return X.split_title(run(spark, sf, TITLES, "part"))
@@ -189,13 +220,21 @@ def ex11_fragment(spark, sf):
     return X.author_in_title(run(spark, sf, AUTHORED, "part"))
 
 
+REVIEWED_PAGES = ISBN_PAGES.replace("concat(text, case when isbn", "concat(text, case when (doc_id + page_no) % 9 = 0 then concat(chr(10), 'Sumário') when (doc_id + page_no) % 9 = 1 then concat(chr(10), 'Abstract: x') when (doc_id + page_no) % 9 = 2 then ' ficha catalográfica' else '' end, case when isbn")
+_REVIEWED = _PAGES.replace(duck(ISBN_PAGES).replace("{pg}", "pg"), duck(REVIEWED_PAGES).replace("{pg}", "pg"))
+
+
 @query(
     "ex13_review_pages",
-    f"""with {PAGES}, m as (select doc_id, page_no, case when page_no <= 3 then 'first pages' when regexp_matches(lower(text), 'catalog|licen[cs]') then 'card' when regexp_matches(lower(text), 'isbn|97[89]') then 'isbn' when regexp_matches(lower(text), 'version|rights|©') then 'credits' when regexp_matches(lower(text), 'contents|\\|') then 'contents' end as mark, substr(text, 1, 900) as snippet from pg)
-      select doc_id, page_no, mark, snippet from (select *, row_number() over (partition by doc_id order by page_no > 3, page_no) as rn from m where mark is not null) where rn <= 10""",
+    f"""with {_CANDS.replace(_PAGES, _REVIEWED)}, m as (select doc_id, page_no, text, case when page_no <= 3 then 'first pages' {" ".join(f"when regexp_matches(strip_accents(lower(text)), '{_q(p)}') then '{n}'" for n, p in X.REVIEW_MARKS)} end as mark from ip),
+      r as (select * from (select *, row_number() over (partition by doc_id order by page_no > 3, page_no) as rn from m where mark is not null) where rn <= 10),
+      an as (select distinct doc_id, page_no, upper(regexp_replace(unnest(regexp_extract_all(line, '(?i)ISBN[^0-9]{{0,12}}([0-9][0-9\\s\\-–—]{{7,20}}[0-9Xx])', 1)), '[^0-9Xx]', '', 'g')) as isbn from il),
+      bd as (select doc_id, page_no, string_agg(isbn, ', ' order by isbn) as suspects from an where (length(isbn) = 13 and (isbn not like '97%' or substr(isbn, 3, 1) not in ('8', '9') or {_check('isbn')} <> substr(isbn, 13, 1))) or (length(isbn) = 10 and not ({_TEN_OK})) group by all),
+      gd as (select doc_id, page_no, string_agg(distinct isbn13, ', ' order by isbn13) as isbns from cd group by all)
+      select doc_id, page_no, mark, substr(text, 1, 900) as snippet, coalesce(isbns, '') as isbns, coalesce(suspects, '') as suspects from r left join gd using (doc_id, page_no) left join bd using (doc_id, page_no)""",
 )
 def ex13(spark, sf):
-    return X.review_pages(doc_pages(spark, sf))
+    return X.review_pages(spark.sql(REVIEWED_PAGES, pg=doc_pages(spark, sf), part=table(spark, sf, "part")))
 
 
 SELLERS = "select s_name as publisher, n_name as city, l_orderkey from {lineitem} join {supplier} on l_suppkey = s_suppkey join {nation} on n_nationkey = (s_nationkey + cast(l_orderkey % 5 = 0 as int)) % 25"
