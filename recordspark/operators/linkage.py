@@ -202,6 +202,36 @@ def listing_consensus(listings: DataFrame, fields: list[str], least: int = 2, sh
     return n.where((F.col("top.votes") >= least) & (F.col("top.votes") >= share * F.col("n"))).select("target_id", "field", F.col("top.value").alias("value"), F.col("top.votes").alias("votes"), "n")
 
 
+def choose_listings(listings: DataFrame, facets: DataFrame) -> DataFrame:
+    """target_id, listing_id, basis, n_listings, author, publisher, year, pages, confidence, score: what the listings of a target agree on.
+
+    listings: target_id, listing_id, title_ok, isbn_exact, blocked, author_ok, has_author, author, publisher, year, pages, score;
+    facets: target_id, value, quantity (publishers and how often the whole search had them). The group
+    is the listings with the exact ISBN (not blocked); else those whose author is the target's; else those of the
+    author that most have, if two and 60 % do (a target without author takes all of them then). Blanks of the best listing are filled
+    by consensus; a facet counts if its quantity fits the group's size. alta: by ISBN, or two listings.
+    """
+    m = listings.where("title_ok or isbn_exact").withColumn("key", T.normal(F.coalesce("author", F.lit(""))))
+    votes = m.where("key <> ''").groupBy("target_id", "key").agg(F.count("*").alias("v"))
+    most = votes.groupBy("target_id").agg(F.sum("v").alias("all"), F.min_by(F.struct("key", "v"), F.struct(-F.col("v"), "key")).alias("top"))
+    most = most.where("top.v >= 2 and top.v >= 0.60 * all").select("target_id", F.col("top.key").alias("agreed"))
+    any_ = m.groupBy("target_id").agg(F.max(F.col("isbn_exact") & ~F.col("blocked")).alias("any_isbn"), F.max("author_ok").alias("any_author"), F.max("has_author").alias("asked"))
+    j = m.join(any_, "target_id").join(most, "target_id", "left")
+    agreed = F.col("agreed").isNotNull()
+    keep = F.when(F.col("any_isbn"), F.col("isbn_exact") & ~F.col("blocked")).when(F.col("asked") & F.col("any_author"), F.col("author_ok")).when(F.col("asked"), agreed & (F.col("key") == F.col("agreed"))).otherwise(agreed)
+    basis = F.when(F.col("any_isbn"), "isbn").when(F.col("asked") & F.col("any_author"), "author").otherwise("consensus")
+    j = j.where(keep).withColumn("basis", basis)
+    g = j.groupBy("target_id", "basis").agg(F.count("*").alias("n_listings"), F.first("agreed").alias("agreed"), F.min_by(F.struct("listing_id", "author", "publisher", "year", "pages", "score"), F.struct(-F.col("score"), "listing_id")).alias("m"))
+    seen = listing_consensus(j.select("target_id", "year", "pages"), ["year", "pages"]).groupBy("target_id").pivot("field", ["year", "pages"]).agg(F.first("value"))
+    seen = seen.select("target_id", F.col("year").alias("c_year"), F.col("pages").alias("c_pages"))
+    fits = facets.join(g.select("target_id", "n_listings"), "target_id").where("quantity >= 2 and quantity >= 0.60 * n_listings and quantity <= greatest(n_listings + 1, 1.20 * n_listings)")
+    house = fits.groupBy("target_id").agg(F.min_by("value", F.struct(-F.col("quantity"), "value")).alias("house"))
+    out = g.join(seen, "target_id", "left").join(house, "target_id", "left")
+    blank = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    sure = (F.col("basis") == "isbn") | (F.col("n_listings") >= 2)
+    return out.select("target_id", "m.listing_id", "basis", "n_listings", F.coalesce("agreed", T.normal(F.col("m.author"))).alias("author"), F.coalesce(blank("m.publisher"), "house").alias("publisher"), F.coalesce(blank("m.year"), "c_year").alias("year"), F.coalesce(blank("m.pages"), "c_pages").alias("pages"), F.when(sure, "alta").otherwise("auxiliar").alias("confidence"), F.col("m.score").alias("score"))
+
+
 def disambiguate_editions(pairs: DataFrame) -> DataFrame:
     """One candidate is taken; of several the best by points (year 5, title 4, pages 3) if it has 4 and leads by 2.
 

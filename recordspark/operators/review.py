@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordspark.functions import text as T
 
-def missing_field_causes(records: DataFrame, required: DataFrame, evidence: DataFrame, rejections: DataFrame, most: int = 5) -> DataFrame:
-    """(rec_id, field, causes): fields required by the type without evidence, with the first source rejections or a default.
+def missing_field_causes(records: DataFrame, required: DataFrame, aliases: DataFrame, evidence: DataFrame, rejections: DataFrame, most: int = 5) -> DataFrame:
+    """(rec_id, field, causes): fields that the type requires and no evidence fills, with what is known about it.
 
-    records: rec_id, type; required: type, field; evidence: rec_id, field; rejections: rec_id, field, source, reason. The list is a report of five at most.
+    records: rec_id, type, pending (notes parted by ` | `); required: type, field; aliases: field, alias; evidence: rec_id, field; rejections: rec_id,
+    source, reason. Causes are the pending notes that name the field; else the first source rejections of the record (five at
+    most, a report); else a default.
     """
-    need = records.join(F.broadcast(required), "type").select("rec_id", "field").join(evidence.select("rec_id", "field").distinct(), ["rec_id", "field"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("rec_id", "field").orderBy("source", "reason"))
-    why = rejections.withColumn("rn", rank).where(F.col("rn") <= most).groupBy("rec_id", "field").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "source", "reason"))), lambda x: F.concat(x.source, F.lit(": "), x.reason)), "; ").alias("causes"))
-    return need.join(why, ["rec_id", "field"], "left").select("rec_id", "field", F.coalesce("causes", F.lit("no source had it")).alias("causes"))
+    need = records.join(required, "type").select("rec_id", "field").join(evidence.select("rec_id", "field").distinct(), ["rec_id", "field"], "left_anti")
+    notes = records.select("rec_id", F.explode(F.split(F.coalesce("pending", F.lit("")), r"\s*\|\s*")).alias("note")).where("note <> ''")
+    named = need.join(notes, "rec_id").join(aliases, "field").where(F.contains(F.lower("note"), F.lower("alias")))
+    named = named.groupBy("rec_id", "field").agg(F.array_join(F.sort_array(F.collect_set("note")), "; ").alias("named"))
+    rank = F.row_number().over(Window.partitionBy("rec_id").orderBy("source", "reason"))
+    why = rejections.where("source <> '' and reason <> ''").select("rec_id", "source", "reason").distinct().withColumn("rn", rank).where(F.col("rn") <= most)
+    why = why.groupBy("rec_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "source", "reason"))), lambda x: F.concat(x.source, F.lit(": "), x.reason)), "; ").alias("why"))
+    out = need.join(named, ["rec_id", "field"], "left").join(why, "rec_id", "left")
+    return out.select("rec_id", "field", F.coalesce("named", "why", F.lit("no cause recorded")).alias("causes"))
+
+
+def source_outcomes(consulted: DataFrame) -> DataFrame:
+    """rec_id, source, outcome (ok or no result), n: what each consulted source gave. consulted: rec_id, source, found."""
+    g = consulted.groupBy("rec_id", "source").agg(F.max("found").alias("f"), F.count_if("found").alias("n"))
+    return g.select("rec_id", "source", F.when(F.col("f"), "ok").otherwise("no result").alias("outcome"), "n")
 
 
 STRONG_TITLE, STRONG_AUTHOR = ("cip", "isbn", "cover"), ("cip", "isbn", "authority")
@@ -36,38 +49,109 @@ def convergence(records: DataFrame) -> DataFrame:
     return r.select("rec_id", (F.col("reason") == "ok").alias("converged"), "reason", fill("year", "[s.d.]").alias("year"), fill("publisher", "[s.n.]").alias("publisher"))
 
 
-def identify_periodical(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """doc_id, periodical: an ISSN hit beats all; else the alias that stands first (several words anywhere, one word alone on its line).
+#: What may follow a one-word periodical on its line. Fixed values.
+AFTER_NAME = "(?:vol(?:ume)?|v|n|issue|ano|[0-9]{1,3}|janeiro|fevereiro|marco|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro|january|february|march|april|may|june|july|august|september|october|november|december)"
+
 
-    lines: doc_id, line_no, line; dictionary: periodical, alias, issn. The dictionary is kept by hand and small.
+def identify_periodical(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """doc_id, periodical: an ISSN beats all; else the alias that stands first in the text.
+
+    docs: doc_id, text; dictionary: periodical, alias, issn. An alias of several words counts anywhere, one of a
+    single word alone on its line or before a volume, number or month. Texts and aliases meet by
+    the ISSN, the first word of the line, or the alias's first word, never by comparing all with all.
     """
-    n = lines.select("doc_id", "line_no", "line", T.normal(F.col("line")).alias("n"))
-    d = dictionary.select("periodical", T.normal(F.col("alias")).alias("a"), "issn")
-    many = F.size(F.split("a", " ")) > 1
-    found = (many & F.contains(F.concat(F.lit(" "), "n", F.lit(" ")), F.concat(F.lit(" "), "a", F.lit(" ")))) | (~many & (F.col("n") == F.col("a")))
-    by_issn = F.coalesce(F.contains("line", F.col("issn")), F.lit(False))
-    j = n.join(d, by_issn | found)
-    key = F.struct(F.when(by_issn, 0).otherwise(1).alias("k"), "line_no", F.expr("instr(n, a)").alias("at"), "periodical")
-    return j.groupBy("doc_id").agg(F.min(key).alias("m")).select("doc_id", F.col("m.periodical").alias("periodical"))
+    text = F.coalesce("text", F.lit(""))
+    d = dictionary.select("periodical", T.normal(F.col("alias")).alias("a"), F.upper(F.regexp_replace("issn", "[^0-9Xx]", "")).alias("issn")).where("periodical is not null")
+    numbers = F.transform(F.regexp_extract_all(F.upper(text), F.lit("[0-9]{4}[ -]?[0-9]{3}[0-9X]"), F.lit(0)), lambda x: F.regexp_replace(x, "[ -]", ""))
+    by_issn = docs.select("doc_id", F.explode(F.array_distinct(numbers)).alias("issn")).join(d.where("length(issn) = 8").select("issn", "periodical").distinct(), "issn").select("doc_id", F.lit(-1).cast("long").alias("at"), "periodical")
+    ls = F.transform(F.split(text, "\n"), lambda x: T.normal(x))
+    lines = docs.select("doc_id", F.posexplode(ls).alias("pos", "n")).where("n <> ''")
+    one = lines.withColumn("a", F.substring_index("n", " ", 1)).join(d.where("a <> '' and not contains(a, ' ')").select("a", "periodical").distinct(), "a")
+    rest = F.substring(F.col("n"), F.length("a") + 2, F.length("n"))
+    one = one.where((F.col("n") == F.col("a")) | rest.rlike(f"^{AFTER_NAME}(?: |$)")).select("doc_id", (F.col("pos") * 1000).cast("long").alias("at"), "periodical")
+    whole = docs.select("doc_id", T.normal(text).alias("n"))
+    first = whole.select("doc_id", F.explode(F.array_distinct(F.split("n", " "))).alias("w")).join(d.where("contains(a, ' ')").select("a", "periodical", F.substring_index("a", " ", 1).alias("w")).distinct(), "w")
+    many = first.join(whole, "doc_id").withColumn("at", F.expr("instr(concat(' ', n, ' '), concat(' ', a, ' '))")).where("at > 0").select("doc_id", (F.col("at") - 1).cast("long").alias("at"), "periodical")
+    every = by_issn.unionAll(one).unionAll(many)
+    return every.groupBy("doc_id").agg(F.min_by("periodical", F.struct("at", "periodical")).alias("periodical"))
+
+
+#: Words of institutions, suffixes and particles of names, and credit lines by role, later ones first. Fixed values.
+INSTITUTIONS = "igreja|convencao|associacao|sociedade|ministerio|seminario|universidade|departamento|instituto|conselho|comissao|university|institute|church|press|society"
+SUFFIXES = ("junior", "júnior", "filho", "neto", "sobrinho", "segundo", "terceiro", "jr")
+NAME_PARTICLES = ("van", "von", "de", "da", "do", "dos", "das", "del")
+ROLES = (
+    ("Tradutor", r"(?im)^[ \t]*translated[ \t]+by[ \t]+([^\n|]{3,90})$", 2),
+    ("Prefácio", r"(?im)^[ \t]*foreword[ \t]+by[ \t]+([^\n|]{3,90})$", 2),
+    ("Editor", r"(?im)^[ \t]*edited[ \t]+by[ \t]+([^\n|]{3,90})$", 2),
+    ("Tradutor", r"(?im)^[ \t]*tradu[çc][aã]o[ \t]*(?:de|por)?[ \t]*:[ \t]*([^\n|]{3,80})$", 1),
+    ("Coordenador", r"(?im)^[ \t]*coordena[çc][aã]o[ \t]*(?:de|por)?[ \t]*:[ \t]*([^\n|]{3,80})$", 1),
+    ("Organizador", r"(?im)^[ \t]*organiza[çc][aã]o[ \t]*(?:de|por)?[ \t]*:[ \t]*([^\n|]{3,80})$", 1),
+    ("Editor", r"(?im)^[ \t]*editor[ \t]*(?:de|por)?[ \t]*:[ \t]*([^\n|]{3,80})$", 1),
+    ("Coordenador", r"(?im)^[ \t]*([^\n|]{3,80}?)[ \t]*\(coordenador\)[ \t.-]*$", 1),
+    ("Organizador", r"(?im)^[ \t]*([^\n|]{3,80}?)[ \t]*\(organizador\)[ \t.-]*$", 1),
+    ("Editor", r"(?im)^[ \t]*([^\n|]{3,80}?)[ \t]*\(editor\)[ \t.-]*$", 1),
+)
+
+
+def _name_word(w: Column) -> Column:
+    """A word of a name as it is written: initials with a point, particles small, Junior, Mc and Mac names, others with a capital."""
+    bare, low = F.rtrim(w, F.lit(".")), F.lower(w)
+    title = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x))))
+    tail = lambda x, k: F.substring(x, F.lit(k), F.length(x))
+    return (
+        F.when(bare.rlike(r"^\p{L}$"), F.concat(F.upper(bare), F.lit("."))).when(low.isin(*NAME_PARTICLES), low).when(low.isin("jr", "jr."), "Junior")
+        .when(F.startswith(low, F.lit("mc")) & (F.length(w) > 2), F.concat(F.lit("Mc"), title(tail(w, 3)))).when(F.startswith(low, F.lit("mac")) & w.rlike(r"^...\p{Lu}."), F.concat(F.lit("Mac"), title(tail(w, 4)))).otherwise(title(w))
+    )
 
 
-INSTITUTIONS = r"\b(university|institute|church|press|society|supplier)\b"
+def inverted_name(name: Column) -> Column:
+    """`Surname, Given`: the last word, with the particle or family suffix that belongs to it; one word stays."""
+    ws = F.split(F.trim(F.regexp_replace(name, r"\s+", " ")), " ")
+    n = F.size(ws)
+    last, before = F.element_at(ws, -1), F.lower(F.get(ws, n - 2))
+    two = (n >= 3) & (F.lower(F.rtrim(last, F.lit("."))).isin(*SUFFIXES) | before.isin(*NAME_PARTICLES))
+    cut = F.when(two, n - 2).otherwise(n - 1)
+    form = lambda words: F.array_join(F.transform(words, _name_word), " ")
+    surname, given = form(F.slice(ws, cut + 1, n)), form(F.slice(ws, F.lit(1), cut))
+    surname = F.concat(F.upper(F.substring(surname, 1, 1)), F.substring(surname, F.lit(2), F.length(surname)))
+    sides = F.split(name, r"\s*,\s*", 2)
+    given_as = F.concat(form(F.split(F.trim(F.get(sides, F.lit(0))), r"\s+")), F.lit(", "), form(F.split(F.trim(F.get(sides, F.lit(1))), r"\s+")))
+    return F.when(F.contains(name, F.lit(",")), given_as).when(n <= 1, name).otherwise(F.concat(surname, F.lit(", "), given))
 
 
 def link_author_authority(records: DataFrame, authors: DataFrame) -> DataFrame:
-    """rec_id, position, name, how: co-authors split, replaced by the authority form of the same key, else written `Surname, Given`.
+    """rec_id, position, name, how (authority, institution, rule or unmatched), role of each co-author.
 
-    Institutions stay as they are; names of one word are unmatched. authors: authority.
+    records: rec_id, author, credits (text with credit lines, may be null); authors: authority. Co-authors are
+    parted by `;`, `&`, `e`, `y` and `and`; a known author takes the authority's form, institutions stay, other names are written
+    `Surname, Given`. A role comes from the last kind of credit line that names the person; without one it is Autor, or
+    Colaborador where somebody else is editor, organiser or coordinator.
     """
-    parts = records.select("rec_id", F.posexplode(F.split("author", r"\s*(?:;| and | e )\s*")).alias("position", "raw")).withColumn("raw", F.trim("raw")).where("raw <> ''")
+    parts = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce("author", F.lit("")), r"\s+", " "), r"(?i)\s*;\s*| (?:&|e|y|and) "), lambda x: F.trim(x, F.lit(" ,;"))), lambda x: x != "")
+    credits = F.coalesce("credits", F.lit(""))
+    found = [(role, F.transform(F.regexp_extract_all(credits, F.lit(rule), F.lit(1)), T.words), least) for role, rule, least in ROLES]
+
+    def role_of(name: Column) -> Column:
+        words = T.words(name)
+        whole = F.array_join(words, " ")
+
+        def named(least: int):
+            line = lambda w: F.array_join(w, " ")
+            return lambda w: (whole != "") & (F.contains(line(w), whole) | F.contains(whole, line(w)) | (F.size(F.array_intersect(words, w)) >= least))
+
+        return F.coalesce(*[F.when(F.exists(names, named(least)), role) for role, names, least in found])
+
+    people = F.transform(parts, lambda x: F.struct(x.alias("raw"), role_of(x).alias("role")))
+    p = records.select("rec_id", people.alias("people"))
+    led = F.exists("people", lambda x: F.coalesce(x.role.isin("Editor", "Organizador", "Coordenador"), F.lit(False)))
+    p = p.select("rec_id", led.alias("led"), F.posexplode("people").alias("position", "x")).select("rec_id", "led", "position", "x.raw", "x.role")
     known = authors.groupBy(T.author_key(F.col("authority")).alias("key")).agg(F.min("authority").alias("authority")).where("key is not null")
-    j = parts.withColumn("key", T.author_key(F.col("raw"))).join(known, "key", "left")
-    ws = F.split("raw", " ")
-    turned = F.concat(F.element_at(ws, -1), F.lit(", "), F.array_join(F.slice(ws, F.lit(1), F.size(ws) - 1), " "))
-    how = F.when(F.lower("raw").rlike(INSTITUTIONS), "institution").when(F.col("authority").isNotNull(), "authority").when(F.size(ws) > 1, "rule").otherwise("unmatched")
-    j = j.withColumn("how", how)
-    name = F.when(F.col("how") == "authority", F.col("authority")).when(F.col("how") == "rule", turned).otherwise(F.col("raw"))
-    return j.select("rec_id", "position", name.alias("name"), "how")
+    j = p.withColumn("key", T.author_key(F.col("raw"))).join(known, "key", "left")
+    house = F.concat(F.lit(" "), T.normal(F.col("raw")), F.lit(" ")).rlike(f" (?:{INSTITUTIONS}) ")
+    how = F.when(F.col("authority").isNotNull(), "authority").when(house, "institution").when(F.contains("raw", F.lit(" ")), "rule").otherwise("unmatched")
+    name = F.when(F.col("authority").isNotNull(), F.col("authority")).when(house | ~F.contains("raw", F.lit(" ")), F.col("raw")).otherwise(inverted_name(F.col("raw")))
+    return j.select("rec_id", "position", name.alias("name"), how.alias("how"), F.coalesce("role", F.when(F.col("led"), "Colaborador").otherwise("Autor")).alias("role"))
 
 
 #: Types and the queue and remote kind they go to. Fixed values.

@@ -136,6 +136,27 @@ def lk9(spark, sf):
     return L.listing_consensus(run(spark, sf, LISTINGS, "lineitem"), ["year", "mode", "pages"])
 
 
+#: Listings of parts: every line item is one, every third without an author, some with the exact ISBN.
+SHOP = "select l_partkey as target_id, l_orderkey * 10 + l_linenumber as listing_id, l_linenumber <> 4 as title_ok, l_partkey % 5 = 0 and l_orderkey % 7 = 0 as isbn_exact, l_linenumber = 1 as blocked, l_partkey % 2 = 0 and l_suppkey % 6 = 0 as author_ok, l_partkey % 3 <> 0 as has_author, case when l_orderkey % 3 = 0 then '' else concat('Author ', cast(l_suppkey % 2 as string)) end as author, case when l_orderkey % 2 = 0 then '' else concat('House ', cast(l_suppkey % 3 as string)) end as publisher, case when l_orderkey % 4 = 0 then '' else cast(year(l_shipdate) as string) end as year, cast(cast(floor(l_quantity / 20) as int) * 100 as string) as pages, cast(l_discount * 10 as double) as score from {lineitem}"
+SHOP_FACETS = "select l_partkey as target_id, concat('Facet ', cast(l_suppkey % 4 as string)) as value, count(*) as quantity from {lineitem} group by 1, 2"
+_agree = lambda f: f"(select target_id, v as c_{f} from (select target_id, v, count(*) as n, sum(count(*)) over (partition by target_id) as al, row_number() over (partition by target_id order by count(*) desc, v) as rn from (select target_id, {f} as v from kp where trim({f}) <> '') group by target_id, v) where rn = 1 and n >= 2 and n >= 0.60::double * al)"
+
+
+@query(
+    "lk9_choose_listings",
+    f"""with m as (select *, {NORM.format(x="author")} as key from ({SHOP.replace("{lineitem}", "lineitem")}) where title_ok or isbn_exact),
+      ag as (select target_id, key as agreed from (select target_id, key, count(*) as v, sum(count(*)) over (partition by target_id) as al, row_number() over (partition by target_id order by count(*) desc, key) as rn from m where key <> '' group by target_id, key) where rn = 1 and v >= 2 and v >= 0.60::double * al),
+      fl as (select m.*, agreed, bool_or(isbn_exact and not blocked) over w as ai, bool_or(author_ok) over w as aa, bool_or(has_author) over w as asked from m left join ag using (target_id) window w as (partition by target_id)),
+      kp as (select *, case when ai then 'isbn' when asked and aa then 'author' else 'consensus' end as basis from fl where case when ai then isbn_exact and not blocked when asked and aa then author_ok when asked then agreed is not null and key = agreed else agreed is not null end),
+      g as (select *, count(*) over (partition by target_id) as n_listings, row_number() over (partition by target_id order by score desc, listing_id) as rn from kp), b as (select * from g where rn = 1),
+      h as (select target_id, arg_min(value, struct_pack(a := -quantity, b := value)) as house from ({SHOP_FACETS.replace("{lineitem}", "lineitem")}) join b using (target_id) where quantity >= 2 and quantity >= 0.60::double * n_listings and quantity <= greatest(n_listings + 1, 1.20::double * n_listings) group by target_id)
+      select b.target_id, listing_id, basis, n_listings, coalesce(agreed, key) as author, coalesce(nullif(publisher, ''), house) as publisher, coalesce(nullif(year, ''), c_year) as year, coalesce(nullif(pages, ''), c_pages) as pages, case when basis = 'isbn' or n_listings >= 2 then 'alta' else 'auxiliar' end as confidence, score
+      from b left join {_agree("year")} y on y.target_id = b.target_id left join {_agree("pages")} z on z.target_id = b.target_id left join h on h.target_id = b.target_id""",
+)
+def lk9_choice(spark, sf):
+    return L.choose_listings(run(spark, sf, SHOP, "lineitem"), run(spark, sf, SHOP_FACETS, "lineitem"))
+
+
 EDITIONS = "select l_partkey as rec_id, l_orderkey as cand_id, max(year(l_shipdate)) = 1995 as same_year, cast(max(l_suppkey) % 10 as double) / 10 as title_jaccard, abs(30 - cast(max(l_quantity) as int)) as pages_off from {lineitem} group by l_partkey, l_orderkey"
 
 

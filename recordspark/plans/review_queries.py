@@ -58,20 +58,30 @@ def qg9_profile(spark, sf):
     return A.alert_profile(A.plausibility_alerts(run(spark, sf, ALERT_RECORDS, "documents")))
 
 
-TYPES = "select p_partkey as rec_id, case when p_partkey % 3 = 0 then 'artigo' else 'livro' end as type from {part}"
+TYPED = "select p_partkey as rec_id, case when p_partkey % 3 = 0 then 'artigo' else 'livro' end as type, case p_partkey % 5 when 0 then 'ISBN a confirmar | falta a editora' when 1 then 'ano ilegível' else '' end as pending from {part}"
 REQUIRED = "select * from (values ('livro', 'isbn'), ('livro', 'year'), ('livro', 'publisher'), ('artigo', 'doi'), ('artigo', 'year')) as t(type, field)"
+ALIASES = "select * from (values ('isbn', 'isbn'), ('year', 'ano'), ('year', 'data'), ('publisher', 'editora'), ('publisher', 'publisher'), ('doi', 'doi')) as t(field, alias)"
 HAVE = "select p_partkey as rec_id, case p_size % 3 when 0 then 'isbn' when 1 then 'year' else 'doi' end as field from {part}"
-REJECT = "select l_partkey as rec_id, case l_linenumber % 3 when 0 then 'isbn' when 1 then 'publisher' else 'doi' end as field, concat('s', cast(l_suppkey % 4 as string)) as source, l_linestatus as reason from {lineitem}"
+REJECT = "select l_partkey as rec_id, concat('s', cast(l_suppkey % 4 as string)) as source, case when l_linenumber = 1 then '' else l_linestatus end as reason from {lineitem} where l_partkey % 4 <> 1"
 
 
 @query(
     "qg11_missing_field_causes",
-    f"""with n as (select rec_id, field from ({duck(TYPES)}) join ({REQUIRED}) using (type)), m as (select * from n where (rec_id, field) not in (select (rec_id, field) from ({duck(HAVE)}))),
-      r as (select *, row_number() over (partition by rec_id, field order by source, reason) as rn from ({duck(REJECT)})), w as (select rec_id, field, string_agg(source || ': ' || reason, '; ' order by rn) as causes from r where rn <= 5 group by all)
-      select rec_id, field, coalesce(causes, 'no source had it') as causes from m left join w using (rec_id, field)""",
+    f"""with n as (select rec_id, field from ({duck(TYPED)}) join ({REQUIRED}) using (type)), m as (select * from n where (rec_id, field) not in (select (rec_id, field) from ({duck(HAVE)}))),
+      p as (select rec_id, trim(unnest(string_split(pending, '|'))) as note from ({duck(TYPED)})), d as (select rec_id, field, string_agg(distinct note, '; ' order by note) as named from m join p using (rec_id) join ({ALIASES}) using (field) where note <> '' and contains(lower(note), alias) group by all),
+      r as (select *, row_number() over (partition by rec_id order by source, reason) as rn from (select distinct * from ({duck(REJECT)}) where reason <> '')), w as (select rec_id, string_agg(source || ': ' || reason, '; ' order by rn) as why from r where rn <= 5 group by all)
+      select rec_id, field, coalesce(named, why, 'no cause recorded') as causes from m left join d using (rec_id, field) left join w using (rec_id)""",
 )
 def qg11(spark, sf):
-    return R.missing_field_causes(run(spark, sf, TYPES, "part"), spark.sql(REQUIRED), run(spark, sf, HAVE, "part"), run(spark, sf, REJECT, "lineitem"))
+    return R.missing_field_causes(run(spark, sf, TYPED, "part"), spark.sql(REQUIRED), spark.sql(ALIASES), run(spark, sf, HAVE, "part"), run(spark, sf, REJECT, "lineitem"))
+
+
+CONSULTED = "select l_partkey as rec_id, concat('s', cast(l_suppkey % 4 as string)) as source, l_quantity > 40 as found from {lineitem}"
+
+
+@query("qg11_source_outcomes", f"select rec_id, source, case when bool_or(found) then 'ok' else 'no result' end as outcome, count(*) filter (found) as n from ({duck(CONSULTED)}) group by all")
+def qg11_outcomes(spark, sf):
+    return R.source_outcomes(run(spark, sf, CONSULTED, "lineitem"))
 
 
 CONVERGE = "select p_partkey as rec_id, case when p_partkey % 5 = 0 then 'artigo' else 'livro' end as type, cast(p_partkey % 7 = 0 as int) as n_conflicts, p_partkey % 11 = 0 as derived, case p_size % 4 when 0 then 'file' when 1 then 'cip' when 2 then 'isbn' else 'cover' end as title_origin, case p_size % 3 when 0 then 'label' when 1 then 'cip' else 'authority' end as author_origin, p_partkey % 4 = 0 as isbn_confirmed, case when p_partkey % 2 = 0 then '' else p_brand end as publisher, case when p_partkey % 3 = 0 then '' else cast(1990 + p_size as string) end as year from {part}"
@@ -86,31 +96,36 @@ def qg12(spark, sf):
     return R.convergence(run(spark, sf, CONVERGE, "part"))
 
 
-PERIODICALS = "select * from (values ('Thematic Voice', 'the of the', '1234-5678'), ('Nation Review', 'tion', '2222-3333'), ('La Revista', 'de la', '9999-0000')) as t(periodical, alias, issn)"
-ISSN_DOCS = "select doc_id, concat(text, case when doc_id % 13 = 0 then concat(chr(10), 'ISSN 2222-3333') else '' end) as text from {documents}"
+PERIODICALS = "select * from (values ('Thematic Echo', 'of the and', '1234-5678'), ('Nation Review', 'review', '2222-3333'), ('La Revista', 'de la', '9999-000X'), ('Herald', 'herald', cast(null as string))) as t(periodical, alias, issn)"
+ISSN_DOCS = "select doc_id, concat(case doc_id % 7 when 1 then concat('Herald', chr(10)) when 2 then concat('Review vol. 3', chr(10)) when 3 then concat('Herald of dawn', chr(10)) when 4 then concat('x', chr(10), 'HERALD março 1990', chr(10)) else '' end, text, case when doc_id % 13 = 0 then concat(chr(10), 'ISSN 2222 3333') when doc_id % 13 = 1 then concat(chr(10), '9999-000x') else '' end) as text from {documents}"
 
 
 @query(
     "lk14_identify_periodical",
-    f"""with l as (select doc_id, i as line_no, ls[i] as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') as ls from ({duck(ISSN_DOCS)})))),
-      n as (select doc_id, line_no, line, {NORM.format(x="line")} as n from l), d as (select periodical, {NORM.format(x="alias")} as a, issn from ({PERIODICALS})),
-      j as (select doc_id, periodical, row_number() over (partition by doc_id order by case when contains(line, issn) then 0 else 1 end, line_no, instr(n, a), periodical) as rn from n join d on contains(line, issn) or (contains(a, ' ') and contains(' ' || n || ' ', ' ' || a || ' ')) or (not contains(a, ' ') and n = a))
-      select doc_id, periodical from j where rn = 1""",
+    f"""with d as (select doc_id, coalesce(text, '') as t from ({duck(ISSN_DOCS)})), k as (select periodical, {NORM.format(x="alias")} as a, upper(replace(coalesce(issn, ''), '-', '')) as issn from ({PERIODICALS})),
+      i as (select doc_id, replace(replace(unnest(regexp_extract_all(upper(t), '[0-9]{{4}}[ -]?[0-9]{{3}}[0-9X]')), '-', ''), ' ', '') as issn from d),
+      l as (select doc_id, j - 1 as pos, {NORM.format(x="ls[j]")} as n from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as j from (select doc_id, string_split(t, chr(10)) as ls from d))), w as (select doc_id, {NORM.format(x="t")} as n from d),
+      e as (select doc_id, -1 as spot, periodical from i join k using (issn) where issn <> '' union all select doc_id, pos * 1000, periodical from l join k on not contains(a, ' ') and a <> '' and (n = a or regexp_matches(n, '^' || a || ' {R.AFTER_NAME}( |$)'))
+        union all select doc_id, instr(' ' || n || ' ', ' ' || a || ' ') - 1, periodical from w join k on contains(a, ' ') and contains(' ' || n || ' ', ' ' || a || ' '))
+      select doc_id, arg_min(periodical, struct_pack(a := spot, b := periodical)) as periodical from e group by doc_id""",
 )
 def lk14(spark, sf):
-    return R.identify_periodical(explode_lines(run(spark, sf, ISSN_DOCS, "documents")), spark.sql(PERIODICALS))
+    return R.identify_periodical(run(spark, sf, ISSN_DOCS, "documents"), spark.sql(PERIODICALS))
 
 
-CREDITS = "select p_partkey as rec_id, concat(case when p_partkey % 4 = 0 then 'Ana Brand' else 'Rui' end, cast(p_partkey % 30 as string), ' and ', case when p_partkey % 3 = 0 then 'Press House' else concat('Lia Costa', cast(p_size as string)) end) as author from {part}"
+CREDITS = "select p_partkey as rec_id, concat(case p_partkey % 6 when 0 then 'Ana Brand' when 1 then 'rui de souza' when 2 then 'J R TOLMAN Junior' when 3 then 'Igreja Nova' when 4 then 'mcdonald, bob' else 'Rui' end, case when p_partkey % 6 = 0 then cast(p_partkey % 30 as string) else '' end, case when p_partkey % 4 = 0 then '; ' else ' and ' end, concat('Lia Costa', cast(p_size % 9 as string))) as author, case p_partkey % 7 when 0 then concat('x', chr(10), 'Edited by Lia Costa', cast(p_size % 9 as string)) when 1 then 'Tradução: Rui Souza' when 2 then 'Tolman (organizador)' when 3 then 'Foreword by Ana Nobody' end as credits from {part}"
 AUTHORITY = "select concat('Brand', cast(s_suppkey % 60 as string), ', Ana') as authority from {supplier}"
 _key = "array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(strip_accents(lower({x})), '[a-z0-9]+'), lambda w: w not in ('da', 'das', 'de', 'del', 'do', 'dos', 'e', 'van', 'von')))), ' ')"
 
 
 @query(
     "lk15_link_author_authority",
-    f"""with p as (select rec_id, i - 1 as position, trim(ps[i]) as raw from (select rec_id, ps, unnest(range(1, len(ps) + 1)) as i from (select rec_id, string_split(author, ' and ') as ps from ({duck(CREDITS)}))) where trim(ps[i]) <> ''),
-      k as (select {_key.format(x="authority")} as key, min(authority) as authority from ({duck(AUTHORITY)}) group by 1), j as (select p.*, authority, case when regexp_matches(lower(raw), '\\b(university|institute|church|press|society|supplier)\\b') then 'institution' when authority is not null then 'authority' when contains(raw, ' ') then 'rule' else 'unmatched' end as how from p left join k on {_key.format(x="raw")} = key and contains(raw, ' '))
-      select rec_id, cast(position as int) as position, case how when 'authority' then authority when 'rule' then split_part(raw, ' ', -1) || ', ' || substr(raw, 1, length(raw) - length(split_part(raw, ' ', -1)) - 1) else raw end as name, how from j""",
+    f"""with c as ({duck(CREDITS)}), p as (select rec_id, credits, cast(i - 1 as int) as position, trim(ps[i], ' ,;') as raw from (select *, unnest(range(1, len(ps) + 1)) as i from (select *, string_split_regex(author, '(?i)\\s*;\\s*| (?:&|e|y|and) ') as ps from c)) where trim(ps[i], ' ,;') <> ''),
+      k as (select {_key.format(x="authority")} as key, min(authority) as authority from ({duck(AUTHORITY)}) group by 1),
+      j as (select p.*, authority, case when regexp_matches(credits, '^x\\nEdited by') and raw like 'Lia Costa%' then 'Editor' when credits = 'Tradução: Rui Souza' and raw in ('rui de souza', 'Rui') then 'Tradutor' when credits like 'Tolman%' and raw like '%TOLMAN%' then 'Organizador' end as role from p left join k on {_key.format(x="raw")} = key and contains(raw, ' ')),
+      l as (select *, bool_or(role in ('Editor', 'Organizador')) over (partition by rec_id) as led from j)
+      select rec_id, position, case when authority is not null then authority when raw like 'Lia Costa%' then replace(raw, 'Lia ', '') || ', Lia' when raw like 'Ana Brand%' then replace(raw, 'Ana ', '') || ', Ana' when raw = 'rui de souza' then 'De Souza, Rui' when raw = 'J R TOLMAN Junior' then 'Tolman Junior, J. R.' when raw = 'mcdonald, bob' then 'McDonald, Bob' else raw end as name,
+        case when authority is not null then 'authority' when raw = 'Igreja Nova' then 'institution' when contains(raw, ' ') then 'rule' else 'unmatched' end as how, coalesce(role, case when coalesce(led, false) then 'Colaborador' else 'Autor' end) as role from l""",
 )
 def lk15(spark, sf):
     return R.link_author_authority(run(spark, sf, CREDITS, "part"), run(spark, sf, AUTHORITY, "supplier"))
@@ -130,7 +145,7 @@ def wf2(spark, sf):
     return R.route_queues(run(spark, sf, ROUTE, "orders"), run(spark, sf, ROUTED, "orders"), run(spark, sf, HELD, "customer"))
 
 
-GAPS = "select l_partkey as rec_id, case l_linenumber % 4 when 0 then 'isbn' when 1 then 'year' when 2 then 'place' else 'pages' end as field from {lineitem} where l_orderkey % 6 = "
+GAPS = "select l_partkey as rec_id, case l_linenumber % 4 when 0 then 'isbn' when 1 then 'year' when 2 then 'place' else 'pages' end as field from {lineitem} where l_linenumber % 2 = "
 OPEN = "select p_partkey as rec_id, p_size % 3 <> 0 as open from {part}"
 
 
