@@ -19,13 +19,23 @@ def fuse_fields(evidence: DataFrame, priority: DataFrame) -> DataFrame:
     return best.select("rec_id", "field", "m.value", "m.source")
 
 
-def merge_catalog_cards(a: DataFrame, b: DataFrame, c: DataFrame, fields: list[str]) -> DataFrame:
-    """Field by field the first non-empty value of three readers in order; an author at the end of the title is cut off."""
+def merge_catalog_cards(header: DataFrame, signals: DataFrame, simple: DataFrame, fields: list[str]) -> DataFrame:
+    """rec_id and fields: per field the first non-empty value of the card with header, the card found by signals, the simple card.
+
+    The title ends at its first `/`, an author in front of it goes (the signals' author first), and an implausible title is dropped.
+    """
     empty = lambda t, f: F.nullif(F.trim(F.col(f"{t}.{f}")), F.lit(""))
-    j = a.alias("a").join(b.alias("b"), "rec_id", "full").join(c.alias("c"), "rec_id", "full")
-    out = j.select("rec_id", *[F.coalesce(*[empty(t, f) for t in "abc"]).alias(f) for f in fields])
-    cut = F.expr("if(author is not null and endswith(title, author), trim(substring(title, 1, length(title) - length(author))), title)")
-    return out.withColumn("title", F.nullif(cut, F.lit("")))
+    j = header.alias("a").join(signals.alias("b"), "rec_id", "full").join(simple.alias("c"), "rec_id", "full")
+    out = j.select("rec_id", *[F.coalesce(*[empty(t, f) for t in "abc"]).alias(f) for f in fields], F.coalesce(empty("b", "author"), *[empty(t, "author") for t in "ac"]).alias("strong"))
+    strip = lambda x: F.trim(x, F.lit(" .,:;-"))
+    title = strip(F.substring_index("title", "/", 1))
+    out = out.withColumn("title", title).withColumn("who", T.normal(F.col("strong")))
+    ws = F.split("title", r"\s+")
+    n = F.size(F.split("who", " "))
+    rest = strip(F.array_join(F.slice(ws, n + 1, F.size(ws)), " "))
+    cut = F.when((F.col("who") != "") & F.startswith(F.concat(T.normal(F.col("title")), F.lit(" ")), F.concat("who", F.lit(" "))), rest).otherwise(F.col("title"))
+    out = out.withColumn("title", cut)
+    return out.select("rec_id", *[F.when(plausible_title(F.col("title")), F.col("title")).alias("title") if f == "title" else F.col(f) for f in fields])
 
 
 def reconcile_listings(primary: DataFrame, secondary: DataFrame, local: DataFrame) -> DataFrame:
@@ -57,17 +67,21 @@ def consolidate_sources(prepared: DataFrame, sent: DataFrame, revised: DataFrame
 
 
 def apply_revisions(records: DataFrame, revisions: DataFrame) -> DataFrame:
-    """rec_id, title, how: the revision of the same file and hash, else of the same hash; a file whose stored hash differs gets none.
+    """rec_id, title, conflicts, pending, how: the revision of the same file and hash, else of the same hash; a file whose stored hash differs gets none.
 
-    records: rec_id, file, hash, title; revisions: file, hash, title.
+    records: rec_id, file, hash, title, conflicts, pending; revisions: file, hash, title, approved, conflicts, pending.
+    An approved revision clears conflicts and pending notes; another replaces those that it has itself.
     """
-    by_name = revisions.groupBy("file").agg(F.min(F.struct("hash", "title")).alias("n"))
-    by_hash = revisions.groupBy("hash").agg(F.min(F.struct("file", "title")).alias("h"))
+    fields = ("title", "approved", "conflicts", "pending")
+    by_name = revisions.groupBy("file").agg(F.min(F.struct("hash", *fields)).alias("n"))
+    by_hash = revisions.groupBy("hash").agg(F.min(F.struct("file", *fields)).alias("h"))
     j = records.join(by_name, "file", "left").join(by_hash, "hash", "left")
     same = F.col("n.hash") == F.col("hash")
     how = F.when(same, "file and hash").when(F.col("n").isNotNull(), "hash differs").when(F.col("h").isNotNull(), "hash").otherwise("none")
-    value = F.when(same, F.col("n.title")).when(F.col("n").isNull(), F.col("h.title"))
-    return j.select("rec_id", F.coalesce(F.nullif(value, F.lit("")), "title").alias("title"), how.alias("how"))
+    value = lambda f: F.when(same, F.col(f"n.{f}")).when(F.col("n").isNull(), F.col(f"h.{f}"))
+    approved = F.coalesce(value("approved"), F.lit(False))
+    notes = lambda f: F.when(approved, "").otherwise(F.coalesce(value(f), F.col(f))).alias(f)
+    return j.select("rec_id", F.coalesce(F.nullif(value("title"), F.lit("")), "title").alias("title"), notes("conflicts"), notes("pending"), how.alias("how"))
 
 
 def merge_dictionary(local: DataFrame, remote: DataFrame, key: str = "key") -> DataFrame:
@@ -76,14 +90,22 @@ def merge_dictionary(local: DataFrame, remote: DataFrame, key: str = "key") -> D
     return local.withColumn("added", F.lit(False)).unionByName(add)
 
 
-def rejection_log(candidates: DataFrame, most: int = 30) -> DataFrame:
-    """rec_id, cand_id, reason (first that holds), n: why candidates were not used; the report shows at most 30 per record."""
-    reason = (
-        F.when(~F.col("approved"), "not approved").when(F.col("title").isNull() | (F.col("title") == ""), "no metadata").when(F.col("isbn_differs"), "different isbn").when(F.col("score") < 0.72, "low score")
-    )
-    c = candidates.withColumn("reason", reason).where("reason is not null")
-    w = Window.partitionBy("rec_id").orderBy(F.desc("score"), "cand_id")
-    return c.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("rec_id", "cand_id", "reason", "n")
+def rejection_log(candidates: DataFrame, unresolved: DataFrame, most: int = 30) -> DataFrame:
+    """rec_id, source, cand_id, reason, n: why consulted candidates were not used; the report shows at most 30 per record.
+
+    candidates: rec_id, cand_id, source, approved, motives (of the rejection, may be empty), confidence, has_metadata, isbn_differs, score
+    (0: not scored); unresolved: rec_id, source, n_found of sources whose candidates gave no safe choice. All
+    reasons of a candidate are named; candidates come by source order and score, unresolved sources last.
+    """
+    motive = F.coalesce(F.nullif("motives", F.lit("")), F.lit("not approved"))
+    said = F.array_compact(F.array(
+        F.when(~F.col("approved"), motive), F.when(F.coalesce(F.nullif("confidence", F.lit("")), F.lit("alta")) != "alta", F.concat(F.lit("confidence "), "confidence")), F.when(F.col("isbn_differs"), "different isbn"),
+        F.when((F.col("score") > 0) & (F.col("score") < 0.72), "low score"), F.when(~F.col("has_metadata"), "no metadata"),
+    ))
+    c = candidates.select("rec_id", "source", "cand_id", F.array_join(said, "; ").alias("reason"), F.lit(0).alias("late"), (-F.col("score")).alias("order")).where("reason <> ''")
+    u = unresolved.where("n_found > 0").select("rec_id", "source", F.lit(None).cast("long").alias("cand_id"), F.concat(F.col("n_found").cast("string"), F.lit(" candidates without a safe choice")).alias("reason"), F.lit(1).alias("late"), F.lit(0.0).alias("order"))
+    w = Window.partitionBy("rec_id").orderBy("late", "source", "order", "cand_id")
+    return c.unionByName(u).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("rec_id", "source", "cand_id", "reason", "n")
 
 
 #: Weights of fields that a source fills.

@@ -148,3 +148,23 @@ _long = lambda n: f"list_distinct(list_filter(string_split({n}, ' '), lambda w:
 )
 def fu9(spark, sf):
     return fuse_title(run(spark, sf, TITLES, "documents"))
+
+
+_FIRST = "array_to_string(string_split(split_part(text, chr(10), 1), ' ')[1:6], ' ')"
+CARD = "select doc_id as rec_id, case when doc_id % {m} = 0 then '' else concat(case when doc_id % 4 = 0 then 'Luz, Ana ' else '' end, a, case when doc_id % 3 = 0 then ' / by all' when doc_id % 13 = 0 then ' miolo.indd' else '' end) end as title, case when doc_id % {n} = 0 then cast(null as string) when doc_id % 2 = 0 then 'Luz, Ana' else 'Rui Reis' end as author from (select doc_id, array_join(slice(split(split_part(text, chr(10), 1), ' '), 1, 6), ' ') as a from {{documents}}) where doc_id % {k} <> 0"
+_card = lambda m, n, k: CARD.format(m=m, n=n, k=k).replace("{documents}", "documents").replace("array_join(slice(split(split_part(text, chr(10), 1), ' '), 1, 6), ' ')", _FIRST)
+
+
+@query(
+    "fu2_merge_catalog_cards",
+    f"""with a as ({_card(3, 5, 7)}), b as ({_card(5, 2, 3)}), c as ({_card(11, 13, 1000000)}),
+      j as (select c.rec_id, coalesce(nullif(trim(a.title), ''), nullif(trim(b.title), ''), nullif(trim(c.title), '')) as title, coalesce(a.author, b.author, c.author) as author, coalesce(b.author, a.author, c.author) as strong from c left join a using (rec_id) left join b on b.rec_id = c.rec_id),
+      t as (select *, trim(string_split(title, '/')[1], ' .,:;-') as t1, {NORM.format(x="strong")} as who from j), u as (select *, case when who <> '' and starts_with({NORM.format(x="t1")} || ' ', who || ' ') then trim(array_to_string(string_split_regex(t1, '\\s+')[len(string_split(who, ' ')) + 1:], ' '), ' .,:;-') else t1 end as t2 from t),
+      v as (select rec_id, coalesce(t2, '') as title, author from u)
+      select v.rec_id, case when length(title) >= 3 and not bad_title then title end as title, author from v join {_ok("title", "v")} using (rec_id)""",
+)
+def fu2(spark, sf):
+    from recordspark.operators.fusion import merge_catalog_cards
+
+    cards = [run(spark, sf, CARD.format(m=m, n=n, k=k), "documents") for m, n, k in ((3, 5, 7), (5, 2, 3), (11, 13, 1000000))]
+    return merge_catalog_cards(*cards, ["title", "author"])
