@@ -92,10 +92,11 @@ def segment_articles(pages: DataFrame, overrides: DataFrame | None = None) -> Da
     return a
 
 
-def issue_summary(articles: DataFrame, topics: DataFrame, decisions: DataFrame, n: int = 8) -> DataFrame:
-    """Per issue: n_articles, topics and authors in order of first appearance (n at most), decisions (7 at most).
+def issue_summary(articles: DataFrame, topics: DataFrame, decisions: DataFrame, cautions: DataFrame | None = None, n: int = 8) -> DataFrame:
+    """Per issue: n_articles, topics and authors in order of first appearance (n at most), decisions (7 at most), cautions, potential.
 
-    topics: issue_id, page_no, topic, rank of every article's page; decisions: topic, decision.
+    topics: issue_id, page_no, topic, rank of every article's page; decisions: topic, decision; cautions: topic, ord, caution, careful. potential is
+    `high, with caution` where a topic's caution says careful, else `high`.
     """
     def ordered(rows: DataFrame, value: str, most: int, name: str) -> DataFrame:
         firsts = rows.groupBy("issue_id", value).agg(F.min(F.struct("page_no", "rank")).alias("at"))
@@ -103,24 +104,43 @@ def issue_summary(articles: DataFrame, topics: DataFrame, decisions: DataFrame,
         return top.groupBy("issue_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", value))), lambda x: x[value]), "; ").alias(name))
 
     t = topics.join(articles.select("issue_id", "page_no").distinct(), ["issue_id", "page_no"])
-    d = t.join(F.broadcast(decisions), "topic").select("issue_id", "decision", "page_no", "rank")
+    d = t.join(decisions, "topic").select("issue_id", "decision", "page_no", "rank")
     who = articles.select("issue_id", "author", "page_no", F.col("position").alias("rank"))
     out = articles.groupBy("issue_id").agg(F.count("*").alias("n_articles"))
     for rows, value, most, name in ((t, "topic", n, "topics"), (d, "decision", 7, "decisions"), (who, "author", n, "authors")):
         out = out.join(ordered(rows, value, most, name), "issue_id", "left")
+    if cautions is not None:
+        c = t.select("issue_id", "topic").distinct().join(cautions, "topic")
+        c = c.groupBy("issue_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("ord", "caution"))), lambda x: x.caution), "; ").alias("cautions"), F.max("careful").alias("careful"))
+        out = out.join(c, "issue_id", "left").withColumn("cautions", F.coalesce("cautions", F.lit(""))).withColumn("potential", F.when(F.col("careful"), "high, with caution").otherwise("high")).drop("careful")
     return out
 
 
-def author_topics(articles: DataFrame, topics: DataFrame, n: int = 4) -> DataFrame:
-    """author, topics: the first n distinct topics of an author's articles, in (issue, page, rank) order."""
+DEFAULT_DECISION = "examinar o testemunho e seu contexto"
+
+
+def author_topics(articles: DataFrame, topics: DataFrame, decisions: DataFrame, n: int = 4) -> DataFrame:
+    """author, topics, decision: the first n distinct topics of an author's articles, in (issue, page, rank) order, and what the first one suggests."""
     t = articles.select("issue_id", "page_no", "author").join(topics, ["issue_id", "page_no"])
     f = t.groupBy("author", "topic").agg(F.min(F.struct("issue_id", "page_no", "rank")).alias("at"))
     f = f.withColumn("rn", F.row_number().over(Window.partitionBy("author").orderBy("at", "topic"))).where(F.col("rn") <= n)
-    return f.groupBy("author").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "topic"))), lambda x: x.topic), "; ").alias("topics"))
+    g = f.groupBy("author").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "topic"))), lambda x: x.topic), "; ").alias("topics"), F.min_by("topic", "rn").alias("topic"))
+    return g.join(decisions, "topic", "left").select("author", "topics", F.coalesce("decision", F.lit(DEFAULT_DECISION)).alias("decision"))
+
+
+def topic_index(articles: DataFrame, topics: DataFrame, decisions: DataFrame) -> DataFrame:
+    """kind (topic or decision), term, issue_id, people, n_articles: the inverted index, one row for each issue a term is found in.
+
+    people: the authors of its articles there, in page order; an issue has nine articles at most, so rows stay small.
+    """
+    t = articles.select("issue_id", "page_no", "position", "author").join(topics.select("issue_id", "page_no", "topic"), ["issue_id", "page_no"])
+    rows = t.select(F.lit("topic").alias("kind"), F.col("topic").alias("term"), "issue_id", "position", "author").unionByName(t.join(decisions, "topic").select(F.lit("decision").alias("kind"), F.col("decision").alias("term"), "issue_id", "position", "author")).distinct()
+    g = rows.groupBy("kind", "term", "issue_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("position", "author"))), lambda x: x.author)).alias("who"), F.count("*").alias("n_articles"))
+    return g.select("kind", "term", "issue_id", F.array_join("who", "; ").alias("people"), "n_articles")
 
 
-def topic_index(articles: DataFrame, topics: DataFrame) -> DataFrame:
-    """topic, n_issues, n_people, n_articles: the inverted index as counts (join it back for the lists)."""
+def topic_index_totals(articles: DataFrame, topics: DataFrame) -> DataFrame:
+    """topic, n_issues, n_people, n_articles."""
     t = articles.join(topics.select("issue_id", "page_no", "topic"), ["issue_id", "page_no"])
     return t.groupBy("topic").agg(F.countDistinct("issue_id").alias("n_issues"), F.countDistinct("author").alias("n_people"), F.count("*").alias("n_articles"))
 
@@ -182,13 +202,28 @@ def type_signals(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.array_join("s", "; ").alias("signals"), F.array_join(against, "; ").alias("contradictions"), F.array_join("a", "; ").alias("academic"), (F.col("type").isin(*ACADEMIC_TYPES) | package | many).alias("consult"), package.alias("becomes_article"))
 
 
-def issue_records(files: DataFrame, first_year: int = 1952) -> DataFrame:
-    """file_id, code, title, month, year, volume, estimated, skip from names like `Voice-1993-05-v41.pdf`.
+def issue_records(files: DataFrame, periods: DataFrame, organisation: str, first_year: int = 1952, least_words: int = 50) -> DataFrame:
+    """file_id, code, title, date, month, year, volume, estimated, author, notes, skip from names like `Name-1993-05-v41.pdf` or `Name-1993-05-06.pdf`.
 
-    Without a volume it is the year minus first_year, marked estimated; names without year and month are skipped with a reason.
+    files: file_id, name, n_pages, n_words; periods: ord, first_year, last_year, holder (editors). Without a volume it is the year minus
+    first_year, marked estimated. The editor of the year is the author, else the organisation. Skipped: names without year and month (no pattern),
+    months that are none (invalid), files with less than least_words words (too little text).
     """
     get = lambda rule: F.nullif(F.regexp_extract("name", rule, 1), F.lit(""))
-    f = files.select("file_id", get(r"^([A-Za-z]+)-").alias("title"), get(r"-((?:1[5-9]|20)[0-9]{2})-").cast("int").alias("year"), get(r"-[0-9]{4}-([0-9]{2})").cast("int").alias("month"), get(r"-v([0-9]+)").cast("int").alias("given"))
-    skip = F.when(F.col("title").isNull() | F.col("year").isNull() | F.col("month").isNull(), "no pattern").when(~F.col("month").between(1, 12), "invalid")
-    code = F.when(skip.isNull(), F.format_string("%s-%04d-%02d", "title", "year", "month"))
-    return f.select("file_id", code.alias("code"), "title", "month", "year", F.coalesce("given", F.col("year") - first_year).alias("volume"), F.col("given").isNull().alias("estimated"), F.coalesce(skip, F.lit("")).alias("skip"))
+    by_year = periods.select("ord", "holder", F.explode(F.sequence("first_year", "last_year")).alias("year")).groupBy("year").agg(F.min_by("holder", "ord").alias("editor"))
+    f = files.select("file_id", "n_pages", "n_words", get(r"^([A-Za-z]+)-").alias("series"), get(r"-((?:1[5-9]|20)[0-9]{2})-").cast("int").alias("year"), get(r"-[0-9]{4}-([0-9]{2})").cast("int").alias("month"), get(r"-[0-9]{4}-[0-9]{2}-([0-9]{2})(?:-|\.|$)").cast("int").alias("month2"), get(r"-v([0-9]+)").cast("int").alias("given"), get(r"-n([0-9]+)").alias("number"))
+    bad = ~F.col("month").between(1, 12) | F.coalesce(~F.col("month2").between(1, 12), F.lit(False))
+    skip = F.when(F.col("series").isNull() | F.col("year").isNull() | F.col("month").isNull(), "no pattern").when(bad, "invalid").when(F.col("n_words") < least_words, "too little text")
+    f = f.withColumn("skip", F.coalesce(skip, F.lit(""))).withColumn("volume", F.coalesce("given", F.col("year") - first_year)).join(by_year, "year", "left")
+    ok = F.col("skip") == ""
+    two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
+    months = F.concat_ws("/", two("month"), two("month2"))
+    code = F.concat_ws("-", "series", F.col("year").cast("string"), two("month"), two("month2"))
+    notes = F.concat_ws(" ", F.concat(F.lit("v."), F.col("volume").cast("string"), F.when(F.col("given").isNull(), " (estimated)").otherwise("")), F.concat(months, F.lit("/"), F.col("year").cast("string")), F.concat(F.lit("n."), "number"), F.when(F.col("n_pages") > 0, F.concat(F.col("n_pages").cast("string"), F.lit(" p."))), F.concat(F.lit("Editor: "), "editor", F.lit(".")))
+    only = lambda c: F.when(ok, c)
+    return f.select("file_id", only(code).alias("code"), only(F.concat("series", F.lit(", "), months, F.lit("/"), F.col("year").cast("string"))).alias("title"), only(F.concat(two("month"), F.lit("/"), F.col("year").cast("string"))).alias("date"), "month", "year", "volume", F.col("given").isNull().alias("estimated"), only(F.coalesce("editor", F.lit(organisation))).alias("author"), only(notes).alias("notes"), "skip")
+
+
+def skip_counts(records: DataFrame) -> DataFrame:
+    """skip, n of the files that gave no record."""
+    return records.where("skip <> ''").groupBy("skip").agg(F.count("*").alias("n"))

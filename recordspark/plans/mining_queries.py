@@ -37,6 +37,9 @@ TAXONOMY = "select * from (values ('rivers', 'tion'), ('rivers', 'ation'), ('hil
 DECISIONS = "select * from (values ('rivers', 'build bridges'), ('hills', 'plant vines'), ('coasts', 'keep lights'), ('woods', 'cut paths')) as t(topic, decision)"
 
 
+CAUTIONS = "select * from (values ('rivers', 1, 'check numbers', false), ('coasts', 2, 'no advice', true), ('coasts', 3, 'ask outside', false), ('woods', 1, 'check numbers', false)) as t(topic, ord, caution, careful)"
+
+
 def topics_sql(rows: str, keys: str, k: int) -> str:
     return f"""tx as ({TAXONOMY}), tn as (select {keys}, topic, sum((length(low) - length(replace(low, keyword, ''))) // length(keyword)) as score from (select {keys}, lower(coalesce(text, '')) as low from {rows}) join tx on contains(low, keyword) group by all),
       tr as (select *, row_number() over (partition by {keys} order by score desc, topic desc) as rank from tn),
@@ -81,43 +84,63 @@ def _ordered(rows: str, value: str, most: int, name: str) -> str:
 
 @query(
     "mi4_issue_summary",
-    f"""with {ARTICLES}, {TOPICS}, dc as ({DECISIONS}), dt as (select issue_id, decision, page_no, rank from tp join dc using (topic)), wh as (select issue_id, author, page_no, position as rank from ar)
-      select issue_id, n_articles, topics, decisions, authors from (select issue_id, count(*) as n_articles from ar group by 1)
-      left join {_ordered("tp", "topic", 8, "topics")} using (issue_id) left join {_ordered("dt", "decision", 7, "decisions")} using (issue_id) left join {_ordered("wh", "author", 8, "authors")} using (issue_id)""",
+    f"""with {ARTICLES}, {TOPICS}, dc as ({DECISIONS}), dt as (select issue_id, decision, page_no, rank from tp join dc using (topic)), wh as (select issue_id, author, page_no, position as rank from ar),
+      ca as (select issue_id, string_agg(caution, '; ' order by ord, caution) as cautions, bool_or(careful) as careful from (select issue_id, ord, caution, bool_or(careful) as careful from (select distinct issue_id, topic from tp) join ({CAUTIONS}) using (topic) group by all) group by 1)
+      select issue_id, n_articles, topics, decisions, authors, coalesce(cautions, '') as cautions, case when careful then 'high, with caution' else 'high' end as potential from (select issue_id, count(*) as n_articles from ar group by 1)
+      left join {_ordered("tp", "topic", 8, "topics")} using (issue_id) left join {_ordered("dt", "decision", 7, "decisions")} using (issue_id) left join {_ordered("wh", "author", 8, "authors")} using (issue_id) left join ca using (issue_id)""",
 )
 def mi4(spark, sf):
     found = articles(spark, sf)
-    return M.issue_summary(found, article_topics(spark, found), spark.sql(DECISIONS))
+    return M.issue_summary(found, article_topics(spark, found), spark.sql(DECISIONS), spark.sql(CAUTIONS))
 
 
 @query(
     "mi5_author_topics",
     f"""with {ARTICLES}, {TOPICS}, f as (select author, topic, min(struct_pack(a := issue_id, b := page_no, c := rank)) as spot from ar join tp using (issue_id, page_no) group by all),
-      r as (select *, row_number() over (partition by author order by spot, topic) as rn from f) select author, string_agg(topic, '; ' order by rn) as topics from r where rn <= 4 group by author""",
+      r as (select *, row_number() over (partition by author order by spot, topic) as rn from f), g as (select author, string_agg(topic, '; ' order by rn) as topics, arg_min(topic, rn) as topic from r where rn <= 4 group by author)
+      select author, topics, coalesce(decision, '{M.DEFAULT_DECISION}') as decision from g left join ({DECISIONS}) using (topic)""",
 )
 def mi5(spark, sf):
     found = articles(spark, sf)
-    return M.author_topics(found, article_topics(spark, found))
+    return M.author_topics(found, article_topics(spark, found), spark.sql(DECISIONS))
 
 
-@query("mi6_topic_index", f"with {ARTICLES}, {TOPICS} select topic, count(distinct issue_id) as n_issues, count(distinct author) as n_people, count(*) as n_articles from ar join tp using (issue_id, page_no) group by topic")
+@query(
+    "mi6_topic_index",
+    f"""with {ARTICLES}, {TOPICS}, t as (select issue_id, position, author, topic from ar join tp using (issue_id, page_no)), r as (select distinct * from (select 'topic' as kind, topic as term, issue_id, position, author from t union all select 'decision', decision, issue_id, position, author from t join ({DECISIONS}) using (topic))),
+      w as (select kind, term, issue_id, author, min(position) as p from r group by all)
+      select kind, term, issue_id, people, n_articles from (select kind, term, issue_id, string_agg(author, '; ' order by p) as people from w group by all) join (select kind, term, issue_id, count(*) as n_articles from r group by all) using (kind, term, issue_id)""",
+)
 def mi6(spark, sf):
     found = articles(spark, sf)
-    return M.topic_index(found, article_topics(spark, found))
+    return M.topic_index(found, article_topics(spark, found), spark.sql(DECISIONS))
+
+
+@query("mi6_topic_index_totals", f"with {ARTICLES}, {TOPICS} select topic, count(distinct issue_id) as n_issues, count(distinct author) as n_people, count(*) as n_articles from ar join tp using (issue_id, page_no) group by topic")
+def mi6_totals(spark, sf):
+    found = articles(spark, sf)
+    return M.topic_index_totals(found, article_topics(spark, found))
 
 
 PROGRESS = "select o_orderkey as issue_id, year(o_orderdate) as year, month(o_orderdate) as month, o_orderpriority as name from {orders}"
 
 
+_STATES = f"select *, case when issue_id % 5 = 0 then 'done' when issue_id % 3 = 0 then 'waiting' else 'no text' end as state from ({PROGRESS.replace('{orders}', 'orders')})"
+
+
+@query("mi7_mining_progress", f"select issue_id, year, month, name, state from ({_STATES})")
+def mi7(spark, sf):
+    i = run(spark, sf, PROGRESS, "orders")
+    return M.mining_progress(i, i.where("issue_id % 3 = 0"), i.where("issue_id % 5 = 0"))
+
+
 @query(
-    "mi7_mining_progress",
-    f"""with p as (select *, case when issue_id % 5 = 0 then 'done' when issue_id % 3 = 0 then 'waiting' else 'no text' end as state from ({PROGRESS.replace("{orders}", "orders")}))
-      select count(*) filter (state = 'done') as n_done, count(*) filter (state = 'waiting') as n_waiting, count(*) filter (state = 'no text') as n_no_text,
+    "mi7_progress_totals",
+    f"""with p as ({_STATES}) select count(*) filter (state = 'done') as n_done, count(*) filter (state = 'waiting') as n_waiting, count(*) filter (state = 'no text') as n_no_text,
         (max(struct_pack(a := year, b := month, c := name, d := issue_id)) filter (state = 'done')).d as last_done, (min(struct_pack(a := year, b := month, c := name, d := issue_id)) filter (state = 'waiting')).d as next_waiting from p""",
 )
-def mi7(spark, sf):
-    i = run(spark, sf, PROGRESS, "orders")
-    return M.progress_totals(M.mining_progress(i, i.where("issue_id % 3 = 0"), i.where("issue_id % 5 = 0")))
+def mi7_totals(spark, sf):
+    return M.progress_totals(mi7(spark, sf))
 
 
 #: Texts planted on the first page of documents, one for most rows of the rule table; the others keep their own pages.
@@ -167,14 +190,19 @@ def mi9(spark, sf):
     return M.type_signals(run(spark, sf, SIGNAL_DOCS, "documents"))
 
 
-FILES = "select o_orderkey as file_id, case when o_orderkey % 11 = 0 then concat('Voice_', cast(o_orderkey as string)) else concat('Voice-', cast(year(o_orderdate) as string), '-', lpad(cast(o_custkey % 14 as string), 2, '0'), case when o_orderkey % 3 = 0 then concat('-v', cast(o_orderkey % 50 as string)) else '' end, '.pdf') end as name from {orders}"
+FILES = "select o_orderkey as file_id, case when o_orderkey % 11 = 0 then concat('Herald_', cast(o_orderkey as string)) else concat('Herald-', cast(year(o_orderdate) as string), '-', lpad(cast(o_custkey % 14 as string), 2, '0'), case when o_orderkey % 7 = 0 then '-06' else '' end, case when o_orderkey % 3 = 0 then concat('-v', cast(o_orderkey % 50 as string)) else '' end, case when o_orderkey % 5 = 0 then '-n4' else '' end, '.pdf') end as name, cast(o_orderkey % 90 as int) as n_pages, cast(o_orderkey % 1000 as int) as n_words from {orders}"
+EDITORS = "select * from (values (1, 1992, 1993, 'Ana Luz'), (2, 1993, 1995, 'Rui Reis')) as t(ord, first_year, last_year, holder)"
+_ISSUES = f"""f as (select file_id, n_pages, n_words, nullif(regexp_extract(name, '^([A-Za-z]+)-', 1), '') as series, cast(nullif(regexp_extract(name, '-((?:1[5-9]|20)[0-9]{{2}})-', 1), '') as int) as year, cast(nullif(regexp_extract(name, '-[0-9]{{4}}-([0-9]{{2}})', 1), '') as int) as month, nullif(regexp_extract(name, '-[0-9]{{4}}-[0-9]{{2}}-([0-9]{{2}})(?:-|\\.|$)', 1), '') as m2, cast(nullif(regexp_extract(name, '-v([0-9]+)', 1), '') as int) as given, nullif(regexp_extract(name, '-n([0-9]+)', 1), '') as number from ({FILES.replace("{orders}", "orders")})),
+  s as (select *, case when series is null or year is null or month is null then 'no pattern' when month not between 1 and 12 then 'invalid' when n_words < 50 then 'too little text' else '' end as skip, coalesce(given, year - 1952) as volume, case when year between 1992 and 1993 then 'Ana Luz' when year between 1994 and 1995 then 'Rui Reis' end as editor, printf('%02d', month) || coalesce('/' || m2, '') as months from f),
+  ir as (select file_id, case when skip = '' then series || '-' || year || '-' || printf('%02d', month) || coalesce('-' || m2, '') end as code, case when skip = '' then series || ', ' || months || '/' || year end as title, case when skip = '' then printf('%02d', month) || '/' || year end as date, month, year, volume, given is null as estimated, case when skip = '' then coalesce(editor, 'Society') end as author,
+    case when skip = '' then concat_ws(' ', 'v.' || volume || case when given is null then ' (estimated)' else '' end, months || '/' || year, 'n.' || number, case when n_pages > 0 then n_pages || ' p.' end, 'Editor: ' || editor || '.') end as notes, skip from s)"""
 
 
-@query(
-    "mi10_issue_records",
-    f"""with f as (select file_id, nullif(regexp_extract(name, '^([A-Za-z]+)-', 1), '') as title, cast(nullif(regexp_extract(name, '-((?:1[5-9]|20)[0-9]{{2}})-', 1), '') as int) as year, cast(nullif(regexp_extract(name, '-[0-9]{{4}}-([0-9]{{2}})', 1), '') as int) as month, cast(nullif(regexp_extract(name, '-v([0-9]+)', 1), '') as int) as given from ({FILES.replace("{orders}", "orders")})),
-      s as (select *, case when title is null or year is null or month is null then 'no pattern' when month not between 1 and 12 then 'invalid' else '' end as skip from f)
-      select file_id, case when skip = '' then printf('%s-%04d-%02d', title, year, month) end as code, title, month, year, coalesce(given, year - 1952) as volume, given is null as estimated, skip from s""",
-)
+@query("mi10_issue_records", f"with {_ISSUES} select * from ir")
 def mi10(spark, sf):
-    return M.issue_records(run(spark, sf, FILES, "orders"))
+    return M.issue_records(run(spark, sf, FILES, "orders"), spark.sql(EDITORS), "Society")
+
+
+@query("mi10_skip_counts", f"with {_ISSUES} select skip, count(*) as n from ir where skip <> '' group by skip")
+def mi10_skips(spark, sf):
+    return M.skip_counts(mi10(spark, sf))

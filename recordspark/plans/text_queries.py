@@ -82,23 +82,31 @@ def src4(spark, sf):
     return P.select_edge_pages(doc_pages(spark, sf), 3, 2)
 
 
-#: Every seventh page gets a citation title, every fifth a date, every eleventh a PDF address.
-META = """select page_id, url, replace(html, '<head>', '<head>' || case when page_id % 7 = 0 then '<meta name="citation_title" content="Record ' || page_id || '">' else '' end || case when page_id % 5 = 0 then '<meta name="citation_date" content="' || (1950 + page_id % 70) || '/03">' else '' end || case when page_id % 11 = 0 then '<meta name="citation_pdf_url" content="/pdf/' || page_id || '.pdf">' else '' end) as html from pages"""
+#: Every seventh page gets a citation title, every fifth a date, every eleventh a PDF address, in several orders and quotes; every third links to records.
+META = """select page_id, url, concat(replace(html, '<head>', concat('<head>', case when page_id % 7 = 0 then case when page_id % 2 = 0 then concat('<meta name="citation_title" content="Record ', cast(page_id as string), '">') else concat('<meta content=', chr(39), 'Record ', cast(page_id as string), chr(39), ' name=', chr(39), 'citation_title', chr(39), '>') end else '' end, case when page_id % 5 = 0 then concat('<meta name="citation_date" content="', cast(1950 + page_id % 70 as string), '/03">') else '' end, case when page_id % 11 = 0 then concat('<meta content="/pdf/', cast(page_id as string), '.pdf" name="citation_pdf_url">') else '' end)),
+  case when page_id % 3 = 0 then concat('<a href="/rec/', cast(page_id % 40 as string), '">x</a><a href="/rec/7/">y</a><a href=', chr(39), '/rec/', cast(page_id % 9 as string), chr(39), '>z</a><a href="/rec/7/">y</a>') else '' end) as html from {pages}"""
+_META = META.replace("{pages}", "pages")
+_dq = lambda n: f"coalesce(nullif(regexp_extract(html, '(?is)<meta\\s+name=\"{n}\"\\s+content=\"([^\"]*)\"', 1), ''), nullif(regexp_extract(html, '(?is)<meta\\s+content=\"([^\"]*)\"\\s+name=\"{n}\"', 1), ''), nullif(regexp_extract(html, '(?is)<meta\\s+content=~([^~]*)~\\s+name=~{n}~', 1), ''))".replace("~", "''")
 
 
 @query(
     "src5_html_record_metadata",
-    f"""with m as ({META}), t as (
-      select page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<meta\\s+name="citation_title"\\s+content="([^"]*)"', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<meta\\s+property="og:title"\\s+content="([^"]*)"', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '')) as title,
-        nullif(trim(regexp_extract(html, '(?is)<meta\\s+name="citation_pdf_url"\\s+content="([^"]*)"', 1)), '') as pdf_url,
-        nullif(regexp_extract(html, '(?is)<meta\\s+name="citation_date"\\s+content="[^"]*?((?:1[5-9]|20)[0-9]{{2}})', 1), '') as my,
-        len(list_distinct(regexp_extract_all(html, 'href="([^"#]+)"', 1))) as n_links from m)
-      select page_id, title, pdf_url, cast(coalesce(my, nullif(regexp_extract(title, '\\b((?:1[5-9]|20)[0-9]{{2}})\\b', 1), '')) as int) as year,
-        substr(regexp_replace(coalesce(title, ''), '[^A-Za-z0-9]+', '_', 'g'), 1, 80) as safe_name, n_links from t""",
+    f"""with m as ({_META}), t as (
+      select page_id, coalesce(trim({_dq("citation_title")}), nullif(trim(regexp_extract(html, '(?is)<meta\\s+property="og:title"\\s+content="([^"]*)"', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '')) as title, {_dq("citation_pdf_url")} as pdf_url, nullif(regexp_extract({_dq("citation_date")}, '((?:1[5-9]|20)[0-9]{{2}})', 1), '') as my,
+        len(list_distinct(regexp_extract_all(html, 'href=["'']([^"''#]+)["'']', 1))) as n_links from m)
+      select page_id, title, pdf_url, cast(coalesce(my, nullif(regexp_extract(title, '\\b((?:1[5-9]|20)[0-9]{{2}})\\b', 1), '')) as int) as year, substr(regexp_replace(coalesce(title, ''), '[^A-Za-z0-9]+', '_', 'g'), 1, 80) as safe_name, n_links from t""",
 )
 def src5(spark, sf):
-    pages = table(spark, sf, "pages")
-    return P.html_record_metadata(spark.sql(META.replace("from pages", "from {pages}"), pages=pages))
+    return P.html_record_metadata(run(spark, sf, META, "pages"))
+
+
+@query(
+    "src5_record_links",
+    f"""with m as ({_META}), l as (select distinct page_id, unnest(regexp_extract_all(html, 'href=["'']([^"''#?]*[0-9])/?["'']', 1)) as link from m), k as (select *, cast(regexp_extract(link, '([0-9]{{1,18}})$', 1) as bigint) as number from l)
+      select page_id, cast(row_number() over (partition by page_id order by number, link) as int) as place, link, number from k""",
+)
+def src5_links(spark, sf):
+    return P.record_links(run(spark, sf, META, "pages"))
 
 
 @query("qg1_page_quality", f"with {TOKENS} select doc_id, page_no, n_tokens, n_candidates, n_good, n_short, score from qs")

@@ -349,6 +349,16 @@ def src9(spark, sf):
     return merge_manifest(run(spark, sf, MANIFEST + "0", "events"), run(spark, sf, MANIFEST + "1", "events"))
 
 
+@query(
+    "src9_manifest_totals",
+    f"""with b as (select *, 0 as side from ({duck(MANIFEST + '0')}) union all select *, 1 from ({duck(MANIFEST + '1')})), m as (select *, row_number() over (partition by record_url order by side desc, updated_at desc, status) as rn from b) select status, count(*) as n, cast(sum(bytes) as bigint) as bytes from m where rn = 1 group by status""",
+)
+def src9_totals(spark, sf):
+    from recordspark.sources.pages import manifest_totals
+
+    return manifest_totals(src9(spark, sf))
+
+
 @query("st2_journal_state", "select user_id as rec_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) as state, count(*) as n_attempts from events group by user_id")
 def st2(spark, sf):
     from recordspark.streaming.journal import journal_state

@@ -34,16 +34,31 @@ def select_edge_pages(pages: DataFrame, first: int = 30, last: int = 12) -> Data
     return pages.withColumn("n", n).where((F.col("page_no") <= first) | (F.col("page_no") > F.col("n") - last)).drop("n")
 
 
+def _meta(*names: str) -> Column:
+    """Content of the first meta tag with one of the names, whatever the order of its attributes and the kind of its quotes."""
+    tags = F.regexp_extract_all("html", F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+    value = lambda tag, rule: F.coalesce(*[F.nullif(F.regexp_extract(tag, rf"(?is)\b(?:{rule})\s*=\s*{q}([^{q}]*){q}", 1), F.lit("")) for q in "\"'"])
+    own = lambda name: F.get(F.filter(F.transform(F.filter(tags, lambda t: F.lower(value(t, "name|property")) == name), lambda t: F.trim(value(t, "content"))), lambda v: v != ""), F.lit(0))
+    return F.coalesce(*[own(n) for n in names])
+
+
 def html_record_metadata(pages: DataFrame) -> DataFrame:
     """page_id, title (meta, og, title tag), pdf_url, year (meta, else title), safe_name, n_links."""
-    get: Column = lambda rule: F.nullif(F.trim(F.regexp_extract("html", rule, 1)), F.lit(""))
-    title = F.coalesce(get(r'(?is)<meta\s+name="citation_title"\s+content="([^"]*)"'), get(r'(?is)<meta\s+property="og:title"\s+content="([^"]*)"'), get(r"(?is)<title>(.*?)</title>"))
-    p = pages.select("page_id", title.alias("title"), get(r'(?is)<meta\s+name="citation_pdf_url"\s+content="([^"]*)"').alias("pdf_url"), get(r'(?is)<meta\s+name="citation_date"\s+content="[^"]*?((?:1[5-9]|20)[0-9]{2})').alias("meta_year"), F.size(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"#]+)"'), F.lit(1)))).alias("n_links"))
+    title = F.coalesce(_meta("citation_title"), _meta("og:title"), F.nullif(F.trim(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)), F.lit("")))
+    year = F.nullif(F.regexp_extract(F.coalesce(_meta("citation_date", "citation_publication_date", "dc.date"), F.lit("")), r"((?:1[5-9]|20)[0-9]{2})", 1), F.lit(""))
+    p = pages.select("page_id", title.alias("title"), _meta("citation_pdf_url").alias("pdf_url"), year.alias("meta_year"), F.size(F.array_distinct(F.regexp_extract_all("html", F.lit(r"""href=["']([^"'#]+)["']"""), F.lit(1)))).alias("n_links"))
     year = F.coalesce("meta_year", F.nullif(F.regexp_extract("title", r"\b((?:1[5-9]|20)[0-9]{2})\b", 1), F.lit(""))).try_cast("int")
     safe = F.substring(F.regexp_replace(F.coalesce("title", F.lit("")), r"[^A-Za-z0-9]+", "_"), 1, 80)
     return p.select("page_id", "title", "pdf_url", year.alias("year"), safe.alias("safe_name"), "n_links")
 
 
+def record_links(pages: DataFrame) -> DataFrame:
+    """page_id, place (from 1), link, number: the distinct links of a page that end in a number, sorted by it and then by the link."""
+    links = F.array_distinct(F.regexp_extract_all("html", F.lit(r"""href=["']([^"'#?]*[0-9])/?["']"""), F.lit(1)))
+    keyed = F.transform(links, lambda x: F.struct(F.regexp_extract(x, "([0-9]{1,18})$", 1).cast("long").alias("number"), x.alias("link")))
+    return pages.select("page_id", F.posexplode(F.array_sort(keyed)).alias("pos", "x")).select("page_id", (F.col("pos") + 1).alias("place"), "x.link", "x.number")
+
+
 def labelled_fields(texts: DataFrame, spec: dict[str, str], key: str = "page_id", text: str = "text") -> DataFrame:
     """(key, field, value) for each `Label: value` that a pattern of the spec finds; empty values give no row."""
     pairs = [F.struct(F.lit(f).alias("field"), F.trim(F.regexp_extract(text, rule, 1)).alias("value")) for f, rule in spec.items()]

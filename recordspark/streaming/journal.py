@@ -21,19 +21,26 @@ def journal_state(attempts: DataFrame, watermark: str | None = None) -> DataFram
 
 
 def register_batch(batch: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(file, hash, state) of new files: known hashes, and all but the first of a hash within the batch, are duplicates."""
-    h = batch.select("file", F.sha2("content", 256).alias("hash"))
-    first = h.groupBy("hash").agg(F.min("file").alias("first"))
-    j = h.join(first, "hash").join(catalogue.select("hash", F.lit(True).alias("known")).distinct(), "hash", "left")
-    state = F.when(F.col("known") | (F.col("first") != F.col("file")), "duplicado").otherwise("registrado")
-    return j.select("file", "hash", F.coalesce(state, F.lit("registrado")).alias("state"))
+    """(file, hash, state) of new files: known hashes, and all but the first of a hash within the batch, are duplicates.
+
+    A row without content, or one that could not be read (a non-null _corrupt_record), is registered in
+    state erro without a hash: no row is lost.
+    """
+    bad = F.col("content").isNull()
+    if "_corrupt_record" in batch.columns:
+        bad = bad | F.col("_corrupt_record").isNotNull()
+    h = batch.select("file", F.when(~bad, F.sha2("content", 256)).alias("hash"))
+    first = h.where("hash is not null").groupBy("hash").agg(F.min("file").alias("first"))
+    j = h.join(first, "hash", "left").join(catalogue.where("hash is not null").select("hash", F.lit(True).alias("known")).distinct(), "hash", "left")
+    state = F.when(F.col("hash").isNull(), "erro").when(F.coalesce("known", F.lit(False)) | ~F.col("first").eqNullSafe(F.col("file")), "duplicado").otherwise("registrado")
+    return j.select("file", "hash", state.alias("state"))
 
 
 def ingest_landing(spark: SparkSession, path: str, schema: str, catalogue: str, checkpoint: str, sink: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Takes new files of (file, content) rows from a folder into the catalogue table (parquet at a path), once each.
 
-    The checkpoint makes it resume; a batch that is repeated after a failure writes the same folder
-    again, so the catalogue gets each batch once.
+    Malformed rows are registered in state erro. The checkpoint makes it resume; a batch that is repeated after a
+    failure writes the same folder again, so the catalogue gets each batch once.
     """
     def write(batch: DataFrame, number: int) -> None:
         held = spark.read.schema("file string, hash string, state string").option("recursiveFileLookup", True).parquet(catalogue).where(~F.col("_metadata.file_path").contains(f"/batch-{number}/"))
@@ -42,5 +49,5 @@ def ingest_landing(spark: SparkSession, path: str, schema: str, catalogue: str,
         if sink:
             sink(out)
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).json(path)
+    stream = spark.readStream.schema(schema + ", _corrupt_record string").option("maxFilesPerTrigger", 100).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
