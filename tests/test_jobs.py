@@ -1,5 +1,7 @@
 """Edge rows of the jobs that the SQL comparison cannot show."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from recordspark.operators import linkage as L
 from recordspark.operators import mining as M
 from recordspark.operators import quality as Q
 from recordspark.operators import workflow as W
+from recordspark.operators.confirm import common_length, confirm_duplicates
 from recordspark.sources import pages as P
 
 
@@ -86,9 +89,12 @@ def test_consensus_and_margins(spark):
     rows = [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "a"), (2, "a"), (2, "b"), (2, "b"), (3, "a"), (3, "a"), (3, "b"), (3, "b"), (4, "a"), (5, " ")]
     got = {r.target_id: r.value for r in L.listing_consensus(spark.createDataFrame(rows, "target_id long, city string"), ["city"]).collect()}
     assert got == {1: "a", 2: "a"}
-    pairs = spark.createDataFrame([(1, 1, 1.0, 1.0), (1, 2, 0.9, 0.9), (2, 1, 0.8, 0.8), (3, 1, 1.0, 1.0), (3, 2, 0.95, 1.0)], "rec_id long, cand_id long, title_sim double, author_sim double")
-    got = {r.rec_id: r.accepted for r in L.match_with_margin(pairs, "books").collect()}
-    assert got == {1: True, 2: True, 3: False}
+    rows = [(1, 1, 1.0, 1.0, "a"), (1, 2, 0.9, 0.9, "b"), (2, 1, 0.8, 0.8, "a"), (3, 1, 1.0, 1.0, "a"), (3, 2, 0.95, 1.0, "b"), (4, 1, 1.0, 1.0, "a"), (4, 2, 1.0, 1.0, "a")]
+    pairs = spark.createDataFrame([(*r, r[0] == 3, r[1] == 1) for r in rows], "rec_id long, cand_id long, title_sim double, author_sim double, meta string, same_doi boolean, type_ok boolean")
+    accepted = lambda profile: {r.rec_id: r.accepted for r in L.match_with_margin(pairs, profile).collect()}
+    assert accepted("books") == {1: True, 2: True, 3: False, 4: True}
+    assert accepted("articles") == {1: True, 2: True, 3: True, 4: False}
+    assert accepted("academic") == {1: True, 2: True, 3: True, 4: True}
 
 
 def test_articles_cap_and_dedupe(spark):
@@ -106,12 +112,14 @@ def test_language_ties(spark):
 
 
 def test_title_and_revisions(spark):
-    t = spark.createDataFrame([(1, "Roses Roses"), (2, "Main: Sub, 3rd edition"), (3, None)], "rec_id long, title string")
-    got = {r.rec_id: (r.main, r.subtitle, r.edition) for r in X.split_title(t).collect()}
-    assert got == {1: ("Roses", None, None), 2: ("Main", "Sub", 3), 3: (None, None, None)}
-    rec = spark.createDataFrame([(1, "f", "h1", "t"), (2, "g", "h9", "t"), (3, "k", "h1", "t")], "rec_id long, file string, hash string, title string")
-    rev = spark.createDataFrame([("f", "h1", "A"), ("g", "h2", "B")], "file string, hash string, title string")
-    assert {r.rec_id: (r.title, r.how) for r in U.apply_revisions(rec, rev).collect()} == {1: ("A", "file and hash"), 2: ("t", "hash differs"), 3: ("A", "hash")}
+    rows = [(1, "Roses Roses", None), (2, "Main: Sub, 3rd edition", None), (3, None, None), (4, "The Long Road by Ana Luz", None), (5, "Ana Luz - Road 12", "Ana Luz")]
+    got = {r.rec_id: (r.main, r.subtitle, r.edition, r.key_words) for r in X.split_title(spark.createDataFrame(rows, "rec_id long, title string, author string")).collect()}
+    assert got[1] == ("Roses", None, None, "Roses") and got[2] == ("Main", "Sub", 3, "Main") and got[3][:3] == (None, None, None)
+    assert got[4][0] == "The Long Road" and got[4][3] == "Long Road" and got[5][0] == "Road"
+    rec = spark.createDataFrame([(1, "f", "h1", "t", "c", "p"), (2, "g", "h9", "t", "c", "p"), (3, "k", "h1", "t", "c", "p"), (4, "m", "h4", "t", "c", "p")], "rec_id long, file string, hash string, title string, conflicts string, pending string")
+    rev = spark.createDataFrame([("f", "h1", "A", True, None, None), ("g", "h2", "B", True, None, None), ("m", "h4", "", False, None, "only")], "file string, hash string, title string, approved boolean, conflicts string, pending string")
+    got = {r.rec_id: (r.title, r.conflicts, r.pending, r.how) for r in U.apply_revisions(rec, rev).collect()}
+    assert got == {1: ("A", "", "", "file and hash"), 2: ("t", "c", "p", "hash differs"), 3: ("A", "", "", "hash"), 4: ("t", "c", "only", "file and hash")}
 
 
 def test_queue_is_idempotent(spark):
@@ -131,23 +139,40 @@ def test_learned_tables(spark):
     assert sorted(map(tuple, A.learn_publisher_city(rows, known).collect())) == [("casa a", "X", 2, "media"), ("k", "Q", 1, "conhecida")]
 
 
-def test_confirm_duplicates_equals_plain(spark):
-    from difflib import SequenceMatcher
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_common_length_equals_plain():
+    rng = random.Random(1)
+    for _ in range(400):
+        a = rng.choices("abcd", k=rng.randint(0, 14))
+        b = rng.choices("abcd", k=rng.randint(0, 14)) if rng.random() < 0.5 else [x for x in a if rng.random() < 0.8]
+        want = common(a, b)
+        changes = len(a) + len(b) - 2 * want
+        for most in {changes, changes + 3, max(0, changes - 1)}:
+            assert common_length(a, b, most) == (want if most >= changes else -1), (a, b, most)
 
-    from recordspark.operators.confirm import confirm_duplicates
 
+def test_confirm_duplicates_equals_plain(spark):
     base = ["w%d" % k for k in range(200)]
-    texts = {1: base, 2: base, 3: [*base[:-5], "x", "y", "z", "u", "v"], 4: base[::-1], 5: base[:150]}
-    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
-    pairs = [(1, 2), (1, 3), (2, 3), (1, 4), (1, 5)]
+    texts = {1: base, 2: base, 3: [*base[:-5], "x", "y", "z", "u", "v"], 4: base[::-1], 5: base[:150], 6: [*base[:50], "new", *base[50:]]}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()] + [(7, None), (8, "")], "doc_id long, text string")
+    pairs = [(1, 2), (1, 3), (2, 3), (1, 4), (1, 5), (3, 6), (7, 8)]
     got = {r.b: (r.a, round(r.ratio, 9), r.verdict) for r in confirm_duplicates(spark.createDataFrame(pairs, "a long, b long"), docs).collect()}
-    ratio = lambda a, b: round(SequenceMatcher(None, texts[b], texts[a]).ratio(), 9)
-    assert got == {2: (1, 1.0, "confirmed"), 3: (1, ratio(1, 3), "review")}
+    ratio = lambda a, b: round(2 * common(texts[a], texts[b]) / (len(texts[a]) + len(texts[b])), 9)
+    assert got == {2: (1, 1.0, "confirmed"), 3: (1, ratio(1, 3), "review"), 6: (3, ratio(3, 6), "review")}
 
 
 def test_isbns_set_apart_by_blanks(spark):
     texts = ["ref 972 662 905 5 end", "9 7 2 6 6 2 9 0 5 5", "978 972 662 905 4", "12 345 678"]
-    lines = spark.createDataFrame(list(enumerate(texts)), "doc_id long, line string")
+    lines = spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "doc_id long, page_no int, text string")
     got = {r.doc_id: r.isbn13 for r in X.extract_isbns(lines).collect()}
     plain = lambda d, s: sum(int(c) * w for c, w in zip(d, s))
     assert plain("9726629055", range(10, 0, -1)) % 11 == 0 and plain("9789726629054", [1, 3] * 7) % 10 == 0
@@ -155,10 +180,6 @@ def test_isbns_set_apart_by_blanks(spark):
 
 
 def test_long_texts_are_compared_whole(spark):
-    from difflib import SequenceMatcher
-
-    from recordspark.operators.confirm import confirm_duplicates
-
     base = ["w%d" % k for k in range(40_000)]
     other = [*base[:11_000], *["x%d" % k for k in range(1_500)], *base[12_500:]]  # differs outside of start, middle and end
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(base * 2))], "doc_id long, text string")
@@ -166,5 +187,25 @@ def test_long_texts_are_compared_whole(spark):
     assert [sig[k].n_words for k in (1, 2, 3)] == [40_000, 40_000, 80_000]
     assert len({sig[k].text_hash for k in (1, 2, 3)}) == 3
     got = confirm_duplicates(spark.createDataFrame([(1, 2)], "a long, b long"), docs).collect()
-    want = SequenceMatcher(None, other, base).ratio()
-    assert [(r.a, r.b, r.verdict) for r in got] == [(1, 2, "review")] and got[0].ratio == pytest.approx(want)
+    assert [(r.a, r.b, r.verdict) for r in got] == [(1, 2, "review")] and got[0].ratio == pytest.approx(38_500 / 40_000)
+
+
+def test_one_title_many_copies_costs_no_pairs(spark):
+    rows = [(k, "Same Title", "Ana Luz", None) for k in range(3000)] + [(9001, "Other", "Ana Luz", None), (9002, "other!", "Luz, Ana; Rui", None)]
+    t = spark.createDataFrame(rows, "rec_id long, title string, author string, isbn string")
+    assert sorted((r.rec_id, r.other_id, r["class"]) for r in L.link_by_title_author(t, t).collect()) == [(9001, 9002, "titulo_autor"), (9002, 9001, "titulo_autor")]
+
+
+def test_prefix_filter_equals_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(1, 5))), "Ana", None, 2000, 100, 1, 1) for k in range(60)]
+    side = lambda name: spark.createDataFrame(rows, f"{name} long, title string, author string, isbn string, year int, pages int, edition int, volume int")
+    got = {(r.target_id, r.cand_id) for r in L.score_matches(side("target_id"), side("cand_id")).collect()}
+
+    def alike(a, b):
+        x, y = set(a.split()), set(b.split())
+        c, least = len(x & y), min(len(x), len(y))
+        return max(c / len(x | y), c / least * (0.95 if least >= 2 else 0.70)) >= 0.60
+
+    assert got == {(a[0], b[0]) for a in rows for b in rows if alike(a[1], b[1])}

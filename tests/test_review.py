@@ -1,14 +1,18 @@
 """Edge rows of the review jobs and of the fused and dispatched records."""
 
+from recordspark.operators import alerts as A
 from recordspark.operators import fusion as U
 from recordspark.operators import review as R
 from recordspark.operators import workflow as W
 
 
 def test_alerts_and_convergence(spark):
-    rows = [(1, "A Song of", "Ann Lee", "House"), (2, "Ann Lee", "ann LEE", "Ann Lee"), (3, None, None, None), (4, "Life by Ann Lee", "Ann Lee", ""), (5, "x.PDF", "", "")]
-    got = {r.rec_id: r.alerts for r in R.plausibility_alerts(spark.createDataFrame(rows, "rec_id long, title string, author string, publisher string")).collect()}
-    assert got == {1: "title cut off", 2: "title is author; publisher is author", 3: "", 4: "author in title", 5: "file name"}
+    rows = [(1, "A song that went on and on to the", "Ann Lee", "House"), (2, "Ann Lee", "ann LEE", "Ann Lee"), (3, None, None, None), (4, "Life by Ann Lee", "Ann Lee", ""), (5, "x.PDF", "", "")]
+    got = {r.rec_id: r.alerts for r in A.plausibility_alerts(spark.createDataFrame(rows, "rec_id long, title string, author string, publisher string")).collect()}
+    assert got == {1: "cut off", 2: "author in title; publisher is author", 3: "", 4: "author in title", 5: "layout file"}
+    noise = spark.createDataFrame([(3, "title", "stamp"), (5, "author", "scanner")], "rec_id long, field string, reason string")
+    got = {r.rec_id: r.alerts for r in A.plausibility_alerts(spark.createDataFrame(rows, "rec_id long, title string, author string, publisher string"), noise).collect()}
+    assert got[3] == "title noise: stamp" and got[5] == "author noise: scanner; layout file"
     rows = [(1, "livro", 0, False, "cip", "isbn", False, "", "1999"), (2, "livro", 0, False, "cip", "isbn", False, "", "19"), (3, "livro", 0, False, "cip", "isbn", True, None, None)]
     schema = "rec_id long, type string, n_conflicts int, derived boolean, title_origin string, author_origin string, isbn_confirmed boolean, publisher string, year string"
     got = {r.rec_id: (r.reason, r.year, r.publisher) for r in R.convergence(spark.createDataFrame(rows, schema)).collect()}
@@ -16,10 +20,13 @@ def test_alerts_and_convergence(spark):
 
 
 def test_authorities(spark):
-    rec = spark.createDataFrame([(1, "Maria da Silva; Rui"), (2, "Press House and João Reis")], "rec_id long, author string")
+    rows = [(1, "Maria da Silva; Rui", None), (2, "Press House and João Reis", "Edited by João Reis"), (3, "ana de souza y J MCDONALD Junior", "Tradução: Ana Souza"), (4, "reis, joão", None), (5, None, None)]
     known = spark.createDataFrame([("Silva, Maria",)], "authority string")
-    got = sorted((r.rec_id, r.position, r.name, r.how) for r in R.link_author_authority(rec, known).collect())
-    assert got == [(1, 0, "Silva, Maria", "authority"), (1, 1, "Rui", "unmatched"), (2, 0, "Press House", "institution"), (2, 1, "Reis, João", "rule")]
+    got = sorted((r.rec_id, r.position, r.name, r.how, r.role) for r in R.link_author_authority(spark.createDataFrame(rows, "rec_id long, author string, credits string"), known).collect())
+    assert got == [
+        (1, 0, "Silva, Maria", "authority", "Autor"), (1, 1, "Rui", "unmatched", "Autor"), (2, 0, "Press House", "institution", "Colaborador"), (2, 1, "Reis, João", "rule", "Editor"),
+        (3, 0, "De Souza, Ana", "rule", "Tradutor"), (3, 1, "McDonald Junior, J.", "rule", "Autor"), (4, 0, "Reis, João", "rule", "Autor"),
+    ]
 
 
 def test_dispatch_limit_is_global(spark):

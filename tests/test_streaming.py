@@ -24,5 +24,9 @@ def test_landing_registers_each_content_once(spark, tmp_path):
     put(2, [("d", "two"), ("e", "three")])
     (tmp_path / "in" / "3.json").write_text("not json\n")
     run()
-    rows = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "cat")).where("file is not null").collect()
+    put(4, [("f", None)])
+    run()
+    every = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "cat")).collect()
+    assert sorted((r.file or "", r.hash) for r in every if r.state == "erro") == [("", None), ("f", None)]  # no row is lost
+    rows = [r for r in every if r.state != "erro"]
     assert {r.file: r.state for r in rows} == {"a": "registrado", "b": "duplicado", "c": "registrado", "d": "duplicado", "e": "registrado"}
