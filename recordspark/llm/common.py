@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,35 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function over batches; at its end the worker, which Spark keeps for later tasks, gives freed memory back to the system."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+#: Tables whose rows are long texts.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. A table of texts that is one file, which as few tasks read as it has row groups, is dealt out to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXTS and len(df.inputFiles()) == 1:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:
@@ -254,7 +284,7 @@ def contracted(edges: DataFrame) -> DataFrame:
                 yield stars()
         yield stars()
 
-    return edges.mapInArrow(run, "u long, v long")
+    return edges.mapInArrow(tidy(run), "u long, v long")
 
 
 def _with_least(ends: DataFrame, least: DataFrame, total: int) -> DataFrame:
@@ -275,7 +305,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Self edges and repeated edges are allowed; null nodes are ignored; no edges give no rows.
     """
     e = edges.selectExpr("cast(a as long) a", "cast(b as long) b").where("a is not null and b is not null and a <> b")
-    e = written(contracted(e).distinct(), name)
+    if edges not in _PATHS:  # Python made them in this stage: a second worker beside each of its own would double the memory
+        e = written(e, name)
+    raw, e = e, written(contracted(e).distinct(), name)
+    drop(raw)
     while True:
         n = e.count()
         ends = e.selectExpr("u n", "1 up", "0 down").unionAll(e.selectExpr("v", "0", "1")).groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))

@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordspark.llm.common import prepare
+from recordspark.llm.common import prepare, tidy
 
 #: Longest q-grams, those of short items, share of an item's characters that may be edited, characters in a block of items.
 Q, SHORT_Q, EDIT_SHARE, BLOCK_CHARS = 8, 5, 0.1, 4_000_000
 #: A q-gram with more places than this in a block of items is frequent; what an item's bound must keep without its frequent ones.
 FREQUENT, KEEP_BOUND = 64, 8
 #: Text places hashed, and shared places held, at a time.
-WINDOW, HELD = 2_000_000, 1_000_000
+WINDOW, HELD = 1_000_000, 1_000_000
 _OUTSIDE = np.uint32(0xFFFFFFFF)
 
 
@@ -46,6 +46,8 @@ def qgrams(points: np.ndarray, q: int = Q) -> np.ndarray:
     places = len(folded) - q + 1
     if places <= 0:
         return np.zeros(0, np.uint64)
+    if q == 8:
+        return np.ndarray((places,), "<u8", folded, strides=(1,)).copy()
     folded = np.concatenate((folded, np.zeros(8 - q, np.uint8)))
     return np.ndarray((places,), "<u8", folded, strides=(1,)) & np.uint64((1 << 8 * q) - 1)
 
@@ -173,29 +175,26 @@ class GramIndex:
         if not len(doc):
             return []
         low, span = -self.longest - 2, max(len(p) for p in points) + self.longest + 4
-        seen, shared = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for code, _ in self._entries(doc, at, key, low, span):
-            own, count = np.unique(code, return_counts=True)
-            seen, place = np.unique(np.concatenate((seen, own)), return_inverse=True)
-            shared = np.bincount(place, weights=np.concatenate((shared, count)), minlength=len(seen)).astype(np.int64)
-        # a band is two strips wide: strip b with strip b + 1, so a band may begin one strip before any that is seen
-        bands = np.unique(np.concatenate((seen, seen - 1)))
-        total = self._of(seen, shared, bands) + self._of(seen, shared, bands + 1)
-        bound = self.bound[bands // span % len(self.points)]
-        good = total >= bound
-        bands, total, bound = bands[good], total[good], bound[good]
-        if not len(bands):
+        seen, shared = self._strips(code for code, _ in self._entries(doc, at, key, low, span))
+        # a band is two strips wide: strip b with strip b + 1; they lie side by side in seen
+        total = shared.copy()
+        total[:-1] += np.where(seen[1:] == seen[:-1] + 1, shared[1:], 0)
+        good = total >= self.bound[seen // span % len(self.points)]
+        if not good.any():
             return []
+        bands, total = seen[good], total[good]
         # repeated text meets the same place of an item again and again: places count once in a strip
         strips = np.unique(np.concatenate((bands, bands + 1)))
         width = self.longest + 1
-        once = np.zeros(0, np.int64)
-        for code, place in self._entries(doc, at, key, low, span):
+        near = np.isin(doc, bands // span // len(self.points))
+        once = [np.zeros(0, np.int64)]
+        for code, place in self._entries(doc[near], at[near], key[near], low, span):
             which = np.minimum(np.searchsorted(strips, code), len(strips) - 1)
-            near = strips[which] == code
-            once = np.union1d(once, which[near] * width + place[near])
-        strip, count = np.unique(once // width, return_counts=True)
+            own = strips[which] == code
+            once.append(np.unique(which[own] * width + place[own]))
+        strip, count = np.unique(np.unique(np.concatenate(once)) // width, return_counts=True)
         places = self._of(strips[strip], count, bands) + self._of(strips[strip], count, bands + 1)
+        bound = self.bound[bands // span % len(self.points)]
         best: dict[tuple[int, int], tuple[int, int, int, int, int, int]] = {}
         for c, count in zip(bands[places >= bound].tolist(), total[places >= bound].tolist()):
             d, i = divmod(c // span, len(self.points))
@@ -205,6 +204,18 @@ class GramIndex:
                     best[d, i] = (d, int(self.numbers[i]), *hit, count)
         return list(best.values())
 
+    @staticmethod
+    def _strips(codes: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct codes and how often each occurs."""
+        seen, shared = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for code in codes:
+            own, count = np.unique(code, return_counts=True)
+            if len(seen):
+                own, place = np.unique(np.concatenate((seen, own)), return_inverse=True)
+                count = np.bincount(place, weights=np.concatenate((shared, count)), minlength=len(own)).astype(np.int64)
+            seen, shared = own, count
+        return seen, shared
+
     @staticmethod
     def _of(sorted_codes: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(sorted_codes, wanted), len(sorted_codes) - 1)
@@ -277,7 +288,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                 columns += [pa.array([f[k] for f in found], pa.int64()) for k in (2, 3, 4, 5)]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "item_id", "edits", "start", "end", "shared_qgrams"])
 
-        part = rows.mapInArrow(run, f"`{key}` {kind}, item_id long, edits long, start long, end long, shared_qgrams long")
+        part = rows.mapInArrow(tidy(run), f"`{key}` {kind}, item_id long, edits long, start long, end long, shared_qgrams long")
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -298,5 +309,5 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", edit
                 found = {f[0] for f in index.search([t or "" for t in batch.column(columns.index(text)).to_pylist()])}
                 yield batch.filter(pa.array([k not in found for k in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
