@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordspark.llm.common import CHUNK, OTHER_VALUES, VALUES, fresh, mix, powers, prepare
+from recordspark.llm.common import CHUNK, OTHER_VALUES, VALUES, fresh, mix, powers, prepare, tidy
 
 #: Letters of Latin-1 but for the signs that double as letters, which are foreign here.
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -35,7 +35,7 @@ APOSTROPHE = re.compile(f"(?<![{LETTER}])'(?=[{LETTER}])")
 #: White space that ends in another blank than the space: its last blank may stand alone before a letter.
 BLANKS = re.compile(f"\\s[^\\S ](?=[{LETTER}])")
 #: Runs that a worker remembers in each of two generations, and the longest of them in bytes.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: Bytes of letters in the UTF-8 of Latin-1: A-Z, a-z, and after 0xC3 all but the signs of times and division.
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
@@ -313,7 +313,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
         return out
 
     size = F.length(body)
-    short = rows.where(size <= piece_chars).mapInArrow(whole, schema)
+    short = rows.where(size <= piece_chars).mapInArrow(tidy(whole), schema)
     halvings = F.ceil(F.log2(size / piece_chars))
     long = rows.where(size > piece_chars).withColumn(row_no, F.monotonically_increasing_id()).withColumn(count_, F.pow(F.lit(2.0), halvings).cast("long"))
     cut = long.withColumn(no, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count_) - 1)))
@@ -321,5 +321,5 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     begin, end = bound(F.col(no)), bound(F.col(no) + 1)
     cut = cut.select(*carried, row_no, no, F.substring(F.col(body), begin + 1, end - begin).alias(piece))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number: pieces are small but take long
-    pieces = cut.repartition(tasks, row_no, no).mapInArrow(halves, f"{head}, `{row_no}` long, `{no}` long, `{piece}` string, `{ids_}` binary, `{at_}` binary")
+    pieces = cut.repartition(tasks, row_no, no).mapInArrow(tidy(halves), f"{head}, `{row_no}` long, `{no}` long, `{piece}` string, `{ids_}` binary, `{at_}` binary")
     return short.unionByName(pieces.groupBy(row_no).applyInPandas(together, schema))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordspark.llm.common import TOKENS, fresh, mix, prepare, sliced, summed, text_buffer, word_hashes, written
+from recordspark.llm.common import TOKENS, fresh, mix, prepare, sliced, summed, text_buffer, tidy, word_hashes, written
 
 #: Labelled rows that the target model, and as many again that the calibration, is fitted to at most.
 FIT_ROWS = 20_000
@@ -73,7 +73,7 @@ def count_buckets(texts: DataFrame) -> np.ndarray:
             total += np.bincount(ngram_buckets(*text_buffer(batch.column(0)))[0], minlength=BUCKETS)
         yield sliced(total, SLICES)
 
-    return summed(texts.mapInArrow(run, "slice long, blob binary"), BUCKETS)
+    return summed(texts.mapInArrow(tidy(run), "slice long, blob binary"), BUCKETS)
 
 
 @dataclass(frozen=True)
@@ -145,7 +145,7 @@ def fit_importance(docs: DataFrame, labels: DataFrame, text: str = "text", key:
             yield pa.RecordBatch.from_arrays([pa.array(plain.means(*text_buffer(batch.column(0)))), batch.column(1)], names=["m", "y"])
 
     judged = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(first(best.where(half == 1))), key).select("_text", "_y")
-    rows = judged.mapInArrow(measure, "m double, y int").collect()  # fit_rows labels at most
+    rows = judged.mapInArrow(tidy(measure), "m double, y int").collect()  # fit_rows labels at most
     y = np.array([r["y"] for r in rows], bool)
     if y.all() or not y.any():
         return Importance(ratio, line=(math.log((good + 1) / (every - good + 1)), 0.0), temperature=temperature)
@@ -169,7 +169,7 @@ def weigh(docs: DataFrame, model: Importance, text: str = "text", key: str = "do
                 yield batch.select(list(range(n))).filter(pa.array(keys >= above))
 
     head = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:n]]
-    return rows.mapInArrow(run, ", ".join(head + ["log_weight double", "sample_key double"] * (above is None)))
+    return rows.mapInArrow(tidy(run), ", ".join(head + ["log_weight double", "sample_key double"] * (above is None)))
 
 
 def kth_largest(values: DataFrame, k: int, bins: int = 4096, small: int = 10_000) -> float:

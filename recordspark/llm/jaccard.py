@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordspark.llm.common import components, drop, fresh, mix, prepare, sliced, summed, text_buffer, word_hashes, written
+from recordspark.llm.common import components, drop, fresh, mix, prepare, sliced, summed, text_buffer, tidy, word_hashes, written
 
 #: Counters of the frequency sketch that orders elements; slices it is summed in.
 SKETCH, SLICES = 1 << 22, 16
@@ -115,7 +115,7 @@ def describe(docs: DataFrame, text: str, key: str, words: int) -> tuple[DataFram
         part = sliced(total, SLICES)
         yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), *part.columns], names=names)
 
-    out = written(rows.mapInArrow(run, "id long, n long, parity binary, slice long, blob binary"), "jaccard-sets")
+    out = written(rows.mapInArrow(tidy(run), "id long, n long, parity binary, slice long, blob binary"), "jaccard-sets")
     counts = summed(out.where("slice is not null").select("slice", "blob"), SKETCH)
     rarity = np.minimum(255, np.floor(8 * np.log2(1 + counts))).astype(np.uint8)
     return out.where("slice is null").select("id", "n", "parity"), rarity, counts > LONG_LIST
@@ -192,7 +192,7 @@ def entries(docs: DataFrame, text: str, key: str, words: int, rarity: np.ndarray
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["kind", "k1", "k2", "id"])
 
-    return written(rows.mapInArrow(run, "kind long, k1 long, k2 long, id long"), "jaccard-entries")
+    return written(rows.mapInArrow(tidy(run), "kind long, k1 long, k2 long, id long"), "jaccard-entries")
 
 
 def _forest(count: int, near) -> list[tuple[int, int]]:
@@ -301,7 +301,7 @@ def list_edges(lists: DataFrame, info: DataFrame, num: int, den: int) -> DataFra
                 yield unseen([(int(ids[s + x]), int(ids[s + y])) for x, y in edges])
 
     together = dealt.repartition("k1", "i", "j").sortWithinPartitions("k1", "i", "j", "id")
-    near = written(together.mapInArrow(run, "a long, b long"), "jaccard-near")
+    near = written(together.mapInArrow(tidy(run), "a long, b long"), "jaccard-near")
     drop(many)
     return near
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordspark.llm.common import drop, fresh, prepare, written
+from recordspark.llm.common import drop, fresh, prepare, tidy, written
 
 #: Labelled rows that terms, contexts and weights are learned from, at most; what is learned has no bound of its own.
 FIT_ROWS = 20_000
@@ -46,7 +46,7 @@ NEAR_LIFT = 2.0
 #: Words hold a letter; starting only where no word goes on keeps long numbers linear.
 WORD = re.compile(r"(?<![^\W_])\d*+[^\W\d_][^\W_]*")
 LETTERS = re.compile(r"[^\W\d_]+")
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 FEATURES = 6
 
 
@@ -255,7 +255,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
         yield from tallied(tally)
 
     def classes(f) -> DataFrame:
-        return rows.mapInArrow(f, "kind string, term string, y long, n long").groupBy("kind", "term").agg(
+        return rows.mapInArrow(tidy(f), "kind string, term string, y long, n long").groupBy("kind", "term").agg(
             F.coalesce(F.sum(F.expr("if(y = 1, n, 0)")), F.lit(0)).alias("bad"), F.coalesce(F.sum(F.expr("if(y = 1, 0, n)")), F.lit(0)).alias("good")
         )
 
@@ -300,7 +300,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
             xs = [model.features(t)[0].tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    data = rows.mapInArrow(measure, "x array<double>, y int").collect()  # fit_rows labels at most
+    data = rows.mapInArrow(tidy(measure), "x array<double>, y int").collect()  # fit_rows labels at most
     drop(rows)
     model.weights = logistic(np.array([r["x"] for r in data]), np.array([r["y"] for r in data], float))
     return model
@@ -345,7 +345,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, text: str = "text", keep: t
                 yield batch.select(list(range(n))).filter(pa.array(np.array(scores, float) < below))
 
     head = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:n]]
-    return rows.mapInArrow(run, ", ".join(head + ["score double", "n_terms long", "terms array<string>"] * (below is None)))
+    return rows.mapInArrow(tidy(run), ", ".join(head + ["score double", "n_terms long", "terms array<string>"] * (below is None)))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, below: float = 0.5) -> DataFrame:
