@@ -2,7 +2,12 @@
 
 STAGES: (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All but the last return the columns of
-documents.
+documents, whatever else these have.
+
+Nulls and empty tables: a null id or text is a row like others (sampled, scored as without hits, linked with nothing, free of
+benchmark passages, encoded as no ids). Repeated rows stay or go together, but for copies under different
+ids, of which one stays. Without labels, or without labels of both kinds, every document is worth the same and the seed
+terms decide on toxicity; an empty benchmark removes nothing; an empty documents table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from recordspark.llm.queries import tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Importance resampling towards documents labelled good."""
+    """Importance resampling towards documents labelled good; as many stay as are expected to be good."""
     return importance.keep_sampled(docs, common.table(spark, sf_dir, "labels"))
 
 
@@ -24,7 +29,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of 5-word shingle sets that are 0.8 or more alike."""
+    """One document, the smallest id, of each group of 5-word shingle sets that are 0.8 or more alike; ids are whole numbers, null ids stay."""
     return jaccard.keep_one(docs, words=5, num=80, den=100)
 
 
@@ -46,7 +51,8 @@ STAGES = [
     ("BPE encoding", encoding),
 ]
 
-#: Sampling, learned scores and tokenizers are beyond SQL; tests/llm/test_pipeline.py has brute force.
+#: Sampling, learned scores and tokenizers are beyond SQL: each stage's operator is tested against a plain version of its own,
+#: and tests/llm/test_pipeline.py tests the stages together on planted rows and against their plain composition.
 ORACLE_SQL = None
 
 
