@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes per Arrow batch sent to Python, so that a worker's memory stays bounded; one longer text is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 20
 
