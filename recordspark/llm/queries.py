@@ -102,6 +102,27 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(common.table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordspark.llm.infill import fill_in_middle, restored
+
+    out = fill_in_middle(common.table(spark, sf_dir, "documents"))
+    hashes = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashes)
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordspark.llm.syncmers import edited_prints
+
+    out = edited_prints(common.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordspark.llm.whitening import whiten
+
+    return whiten(common.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
@@ -113,6 +134,9 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filters": op10_url_filters,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 #: Host rules and the host-word fallback, restated as LIKE and regular expressions.
@@ -199,8 +223,67 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from j
 """
 
+_INFILL_SQL = """
+with units as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') as u,
+    sha256('7:' || coalesce(cast(doc_id as varchar), '')) as hex
+  from documents
+), drawn as (
+  select doc_id, t, u, cast(len(u) as bigint) as n,
+    cast('0x' || substr(hex, 1, 8) as bigint) % (len(u) + 1) as a, cast('0x' || substr(hex, 9, 8) as bigint) % (len(u) + 1) as b,
+    t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') as plain,
+    cast('0x' || substr(hex, 25, 8) as bigint) % 100 < 50 as spm
+  from units
+), parts as (
+  select doc_id, t, n, case when plain then 'plain' when spm then 'spm' else 'psm' end as form,
+    coalesce(array_to_string(u[1:least(a, b)], ''), '') as prefix, coalesce(array_to_string(u[least(a, b) + 1:greatest(a, b)], ''), '') as middle,
+    coalesce(array_to_string(u[greatest(a, b) + 1:n], ''), '') as suffix
+  from drawn
+)
+select doc_id, n, form,
+  case when form <> 'plain' then cast(length(prefix) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(middle) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(t) as restored_sha256
+from parts
+"""
+
+#: Anchors of five words whose least run of two words is their first or last, as digit and hash.
+_PRINTS = """
+{name}_w as (
+  select rid, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') as w from seen
+), {name}_h as (
+  select rid, w, list_transform(range(1, len(w)), lambda i: left(md5(w[i] || ' ' || w[i + 1]), 8)) as h from {name}_w
+), {name}_p as (
+  select rid, w, list_filter(range(1, len(h) - 2), lambda i: least(h[i], h[i + 3]) <= least(h[i + 1], h[i + 2])) as p from {name}_h
+), {name} as (
+  select rid, case
+    when len(p) > 0 then list_transform(range(1, len(p) + 1), lambda j: (p[j] - case when j = 1 then 1 else p[j - 1] end) || left(md5(array_to_string(w[p[j]:p[j] + 4], ' ')), 8))
+    when len(w) > 0 then ['9' || left(md5(array_to_string(w, ' ')), 8)] else cast([] as varchar[]) end as a
+  from {name}_p
+)"""
+
+_SYNCMER_SQL = f"""
+with docs as (
+  select row_number() over (order by doc_id desc nulls last, coalesce(text, '') desc) as rid, doc_id, coalesce(text, '') as text from documents
+), seen as (
+  select rid, doc_id, text, length(text) as n, case when rid < max(rid) over () then rid + 1 else 1 end as next_rid,
+    left(text, length(text) - length(text) // 3) || left(coalesce(lead(text) over (order by rid), first_value(text) over (order by rid)), length(text) // 3) as edited
+  from docs
+), {_PRINTS.format(name="own", text="text")}, {_PRINTS.format(name="other", text="edited")}, three as (
+  select doc_id, n, edited, array_to_string(own.a, '') as fingerprint, array_to_string(other.a, '') as edited_fingerprint,
+    list_distinct(own.a) as a, list_distinct(other.a) as b, list_distinct(x.a) as c
+  from seen join own using (rid) join other using (rid) join own x on x.rid = next_rid
+)
+select doc_id, cast(n as bigint) as n_chars, sha256(edited) as edited_sha256, fingerprint, edited_fingerprint,
+  case when len(a) + len(b) = 0 then 1.0 else 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) end as near_edited,
+  case when len(a) + len(c) = 0 then 1.0 else 2.0 * len(list_intersect(a, c)) / (len(a) + len(c)) end as near_next
+from three
+"""
+
 ORACLE_SQL = {
     "op2_chat_formatting": _CHAT_SQL,
     "op5_quality_rules": _RULES_SQL,
     "op10_url_filters": _URL_SQL,
+    "op11_fill_in_middle": _INFILL_SQL,
+    "op12_fingerprints": _SYNCMER_SQL,
 }
