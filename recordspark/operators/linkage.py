@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import md5
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,23 +11,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordspark.functions import text as T
+from recordspark.functions.tables import new_path, written
+from recordspark.operators.graph import components
+from recordspark.operators.hamming import near_points
+from recordspark.operators.joins import heavy_join
 
 #: Near duplicates: word ratio, Hamming distance, shortest text with a signature.
 WORD_RATIO, MAX_HAMMING, LEAST_WORDS = 0.82, 10, 120
 NGRAM = 5
-#: SimHash blocks: 64 bits in 13 blocks; a distance of at most 10 leaves at least three of them equal.
-BLOCKS, EQUAL = 13, 3
 
 
 def exact_duplicates(items: DataFrame, content: str = "text", order: str = "doc_id") -> DataFrame:
     """doc_id, hash, state (registrado or duplicado) and the first registered id of the same content.
 
-    The first of each hash comes from an aggregation with partial minima, then an equi-join: a
+    The first of each hash comes from an aggregation with partial minima and goes back by a heavy join: a
     content with very many copies is never gathered in one task.
     """
     h = items.select(F.col(order), F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("hash"))
     first = h.groupBy("hash").agg(F.min(order).alias("duplicate_of"))
-    j = h.join(first, "hash")
+    j = heavy_join(h, first, ["hash"])
     own = F.col("duplicate_of") == F.col(order)
     return j.select(order, "hash", F.when(own, "registrado").otherwise("duplicado").alias("state"), F.when(~own, F.col("duplicate_of")).alias("duplicate_of"))
 
@@ -60,31 +61,49 @@ def _simhash(words: list[str], block: int = 50_000) -> str:
     return np.packbits((2 * ones >= n)).tobytes().hex()
 
 
+def _points(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Different texts (id: their smallest, point, n, sim), and the points they share: a SimHash and a number of words, named by the smallest id."""
+    s = signatures.where("simhash is not null").groupBy("text_hash").agg(F.min("doc_id").alias("id"), F.first("n_words").alias("n"), F.first("simhash").alias("sim"))
+    half = lambda a: F.conv(F.substring("sim", a, 8), 16, 10).cast("long")
+    s = s.select("text_hash", "id", "n", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("sim"))
+    points = s.groupBy("sim", "n").agg(F.min("id").alias("point"), F.count("*").alias("c"))
+    return s, points
+
+
 def near_duplicate_candidates(signatures: DataFrame) -> DataFrame:
     """Pairs (a < b) of different texts with a word ratio of at least 0.82 and a SimHash distance of at most 10.
 
-    Equal texts are one representative (the smallest id). A pair that close has three of its 13
-    blocks equal, so representatives meet by an equi-join on triples of blocks (about 15 bits) and a
-    length bucket, the shorter text looking in its own and the next one; nothing is capped and no cross join is made.
+    Equal texts are one representative (the smallest id), and texts with the same SimHash and length one point of the
+    Hamming index, which finds every pair of points (see hamming.near_points); nothing is capped and no
+    cross join is made. The pairs of c texts that are all alike are c squared: near_duplicate_groups() doesn't list them.
     """
-    s = signatures.where("simhash is not null").groupBy("text_hash").agg(F.min("doc_id").alias("id"), F.first("n_words").alias("n"), F.first("simhash").alias("sim"))
-    half = lambda a: F.conv(F.substring("sim", a, 8), 16, 10).cast("long")
-    s = s.select("id", "n", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("sim"), F.floor(F.log("n") / F.log(F.lit(1 / WORD_RATIO)) + 1e-9).cast("int").alias("bucket"))
-    cuts = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
-    part = lambda k: F.shiftrightunsigned("sim", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
-    keys = []
-    for number, chosen in enumerate(combinations(range(BLOCKS), EQUAL)):
-        key = F.lit(number).cast("long")
-        for k in chosen:
-            key = F.shiftleft(key, 5).bitwiseOR(part(k))
-        keys.append(key)
-    keyed = s.withColumn("key", F.explode(F.array(*keys)))
-    left = keyed.withColumn("near", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
-    r = keyed.select("key", F.col("bucket").alias("near"), *[F.col(c).alias(f"r_{c}") for c in ("id", "n", "sim")])
-    j = left.join(r, ["key", "near"]).where("id <> r_id and (bucket < near or id < r_id)")
-    apart = F.bit_count(F.col("sim").bitwiseXOR(F.col("r_sim")))
-    j = j.withColumn("distance", apart).where((F.least("n", "r_n") / F.greatest("n", "r_n") >= WORD_RATIO) & (F.col("distance") <= MAX_HAMMING))
-    return j.select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b"), "distance").distinct()
+    texts, points = _points(signatures)
+    pairs = near_points(points.select(F.col("point").alias("id"), "n", "sim"), MAX_HAMMING, WORD_RATIO)
+    shared = points.where("c > 1").select("sim", "n", "point")
+    members = lambda name, of: heavy_join(texts, shared, ["sim", "n"], "left").select(F.coalesce("point", "id").alias(of), F.col("id").alias(name))
+    across = pairs.join(members("p", "x"), "x").join(members("q", "y"), "y").select("p", "q", "distance")
+    inside = members("p", "x").join(shared.select(F.col("point").alias("x")), "x").join(members("q", "x"), "x").where("p < q").select("p", "q", F.lit(0).alias("distance"))
+    return across.unionAll(inside).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
+
+
+def near_duplicate_groups(signatures: DataFrame) -> DataFrame:
+    """doc_id, group, n_links: the smallest id reachable by links of near_duplicate_candidates, and the number of different texts linked with.
+
+    Equal texts are in one group and count as one text. Links are counted between points and kept as stars, so a
+    group of c texts costs c rows. Texts without a SimHash are left out.
+    """
+    texts, points = _points(signatures)
+    pairs = near_points(points.select(F.col("point").alias("id"), "n", "sim"), MAX_HAMMING, WORD_RATIO)
+    spark = signatures.sparkSession
+    pairs = written(pairs, new_path(spark, "near-points"))
+    c = points.select(F.col("point").alias("y"), "c")
+    ends = pairs.select("x", "y").unionAll(pairs.selectExpr("y x", "x y"))
+    linked = heavy_join(ends, c, ["y"]).groupBy("x").agg(F.sum("c").alias("linked"))
+    groups = components(pairs, "x", "y").select(F.col("node").alias("x"), F.col("group"))
+    known = points.select("sim", "n", F.col("point").alias("x"), "c").join(linked, "x", "left").join(groups, "x", "left")
+    known = known.select("sim", "n", F.coalesce("group", "x").alias("group"), (F.col("c") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    by_text = heavy_join(texts, known, ["sim", "n"]).select("text_hash", "group", "n_links")
+    return heavy_join(signatures.where("simhash is not null").select("doc_id", "text_hash"), by_text, ["text_hash"]).select("doc_id", "group", "n_links")
 
 
 def link_by_identifier(pending: DataFrame, confirmed: DataFrame) -> DataFrame:
