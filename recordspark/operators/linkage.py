@@ -107,12 +107,18 @@ def near_duplicate_groups(signatures: DataFrame) -> DataFrame:
 
 
 def link_by_identifier(pending: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """Pending rows (rec_id, isbn) with the first confirmed row (source_order, remote_id) of the same canonical ISBN, never themselves."""
+    """Pending rows (rec_id, isbn) with the first confirmed row (source_order, remote_id) of the same canonical ISBN, never themselves.
+
+    Of each ISBN only the first two confirmed rows meet pending ones, as a row can be its own match once.
+    """
     p = pending.select("rec_id", T.canonical_isbn(F.col("isbn")).alias("isbn13")).where("isbn13 is not null")
     c = confirmed.select(F.col("rec_id").alias("c_rec"), T.canonical_isbn(F.col("isbn")).alias("isbn13"), "remote_id", "source_order").where("isbn13 is not null")
-    j = p.join(c, "isbn13").where("rec_id <> c_rec")
-    best = F.min_by(F.struct("c_rec", "remote_id"), F.struct("source_order", "c_rec"))
-    return j.groupBy("rec_id", "isbn13").agg(best.alias("m")).select("rec_id", "isbn13", F.col("m.c_rec").alias("linked_rec"), F.col("m.remote_id").alias("remote_id"))
+    row = F.struct("source_order", "c_rec", "remote_id")
+    first = c.groupBy("isbn13").agg(F.min(row).alias("one"))
+    second = heavy_join(c, first, ["isbn13"]).where("c_rec <> one.c_rec").groupBy("isbn13").agg(F.min(row).alias("two"))
+    j = heavy_join(p, first.join(second, "isbn13", "left"), ["isbn13"])
+    j = j.withColumn("m", F.when(F.col("one.c_rec") != F.col("rec_id"), F.col("one")).otherwise(F.col("two"))).where("m is not null")
+    return j.select("rec_id", "isbn13", F.col("m.c_rec").alias("linked_rec"), F.col("m.remote_id").alias("remote_id"))
 
 
 def _first_two(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
@@ -124,20 +130,20 @@ def link_by_title_author(a: DataFrame, b: DataFrame) -> DataFrame:
 
     Rows: rec_id, title, author, isbn. class: isbn (the same), titulo_autor (an author with the same
     words) or aproximado. Matches are counted by title, and by title and ISBN, before anything is
-    joined: a title with k copies costs k rows, not k squared. Ids are unique within a and b.
+    joined: a title with k copies costs k rows, not k squared, and a frequent title goes to no single task. Ids are unique within a and b.
     """
     norm = lambda d, p: d.select(F.col("rec_id").alias(f"{p}id"), T.normal(F.col("title")).alias("t"), T.author_keys(F.col("author")).alias(f"{p}authors"), T.canonical_isbn(F.col("isbn")).alias(f"{p}isbn")).where("t <> ''")
     x, o = norm(a, ""), norm(b, "o_")
     every = _first_two(o, ["t"], "e_")
     open_ = _first_two(o.where("o_isbn is null"), ["t"], "n_")
     same = _first_two(o.where("o_isbn is not null").withColumnRenamed("o_isbn", "isbn"), ["t", "isbn"], "s_")
-    j = x.join(every, "t").join(open_, "t", "left").join(same, ["t", "isbn"], "left")
+    j = heavy_join(heavy_join(x, every.join(open_, "t", "left"), ["t"]), same, ["t", "isbn"], "left")
     pick = lambda f, c: F.when(F.col("isbn").isNull(), F.col(f"e_{c}")).otherwise(f(F.col(f"n_{c}"), F.col(f"s_{c}")))
     plus = lambda u, v: F.coalesce(u, F.lit(0)) + F.coalesce(v, F.lit(0))
     j = j.select("id", "authors", "isbn", pick(plus, "n").alias("n"), pick(F.least, "lo").alias("lo"), pick(F.greatest, "hi").alias("hi"))
     own = (F.col("lo") == F.col("id")) | (F.col("hi") == F.col("id"))
     other = F.when(F.col("n") == 1, F.when(~own, F.col("lo"))).when((F.col("n") == 2) & own, F.when(F.col("lo") == F.col("id"), F.col("hi")).otherwise(F.col("lo")))
-    one = j.withColumn("o_id", other).where("o_id is not null").join(o.select("o_id", "o_authors", "o_isbn"), "o_id")
+    one = heavy_join(j.withColumn("o_id", other).where("o_id is not null"), o.select("o_id", "o_authors", "o_isbn"), ["o_id"])
     kind = F.when(F.col("isbn") == F.col("o_isbn"), "isbn").when(F.arrays_overlap("authors", "o_authors"), "titulo_autor").otherwise("aproximado")
     return one.select(F.col("id").alias("rec_id"), F.col("o_id").alias("other_id"), kind.alias("class"))
 
@@ -371,8 +377,9 @@ def find_existing_issue(new: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def cooperative_lookup(items: DataFrame, shared: DataFrame) -> DataFrame:
-    """Items with what the shared store has for their hash (one row per hash there)."""
-    return items.join(shared, "hash", "left")
+    """Items with what the shared store has for their hash (one row per hash there); a hash that very many items have is no single task's work."""
+    j = heavy_join(items, shared, ["hash"], "left")
+    return j.select("hash", *[c for c in j.columns if c != "hash"])
 
 
 def period_lookup(issues: DataFrame, periods: DataFrame) -> DataFrame:

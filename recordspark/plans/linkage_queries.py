@@ -43,6 +43,18 @@ def lk3(spark, sf):
     return L.near_duplicate_candidates(L.text_signature(table(spark, sf, "documents")))
 
 
+@query(
+    "lk3_near_duplicate_groups",
+    f"""with recursive {SIGNATURE}, r as (select text_hash, min(doc_id) as id, any_value(n_words) as n, any_value(hi) as hi, any_value(lo) as lo from sh where hi is not null group by text_hash),
+      e as (select x.id as a, y.id as b from r x join r y on x.id <> y.id where least(x.n, y.n) / greatest(x.n, y.n) >= 0.82 and bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) <= 10),
+      reach as (select id as a, id as b from r union select reach.a, e.b from reach join e on reach.b = e.a),
+      g as (select a, min(b) as grp from reach group by a), k as (select a, count(*) as links from e group by a)
+      select doc_id, grp as "group", coalesce(links, 0) as n_links from sh join r using (text_hash) join g on g.a = r.id left join k on k.a = r.id where sh.hi is not null""",
+)
+def lk3_groups(spark, sf):
+    return L.near_duplicate_groups(L.text_signature(table(spark, sf, "documents")))
+
+
 def _check(x: str) -> str:
     return "cast((10 - (" + " + ".join(f"cast(substr({x}, {k + 1}, 1) as int) * {3 if k % 2 else 1}" for k in range(12)) + ") % 10) % 10 as string)"
 
