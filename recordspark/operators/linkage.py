@@ -15,6 +15,7 @@ from recordspark.functions.tables import new_path, written
 from recordspark.operators.graph import components
 from recordspark.operators.hamming import near_points
 from recordspark.operators.joins import heavy_join
+from recordspark.operators.keywords import first_rule
 
 #: Near duplicates: word ratio, Hamming distance, shortest text with a signature.
 WORD_RATIO, MAX_HAMMING, LEAST_WORDS = 0.82, 10, 120
@@ -342,16 +343,11 @@ def publisher_city_lookup(records: DataFrame, table: DataFrame) -> DataFrame:
 def noise_match(values: DataFrame, dictionary: DataFrame) -> DataFrame:
     """value_id, reason of the first dictionary row (ord) that a value equals, starts with or contains.
 
-    dictionary: ord, text, mode (exato, prefixo, contem), reason. Equal texts and beginnings of three
-    letters or more meet by an equi-join; what a value may contain anywhere is compared with every value, and is for
-    reviewers to keep short.
+    dictionary: ord, text, mode (exato, prefixo, contem), reason. All its texts are looked for in one
+    pass over each value (see keywords.py), however many there are.
     """
     v = values.select("value_id", T.normal(F.col("value")).alias("v"))
-    d = dictionary.select("ord", T.normal(F.col("text")).alias("n"), "mode", "reason")
-    exact = v.join(d.where("mode = 'exato'"), F.col("v") == F.col("n"))
-    begins = v.join(d.where("mode = 'prefixo' and length(n) >= 3"), F.substring("v", 1, 3) == F.substring("n", 1, 3)).where(F.startswith("v", F.col("n")))
-    rest = v.join(d.where("mode = 'contem' or (mode = 'prefixo' and length(n) < 3)"), ((F.col("mode") == "contem") & F.contains("v", F.col("n"))) | ((F.col("mode") == "prefixo") & F.startswith("v", F.col("n"))))
-    return exact.unionByName(begins).unionByName(rest).groupBy("value_id").agg(F.min_by("reason", "ord").alias("reason"))
+    return first_rule(v, "value_id", "v", dictionary.withColumn("text", T.normal(F.col("text"))))
 
 
 def repair_truncated_names(names: DataFrame, docs: DataFrame) -> DataFrame:

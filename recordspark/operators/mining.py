@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordspark.functions import text as T
+from recordspark.operators.keywords import keyword_scores
 
 #: Stop words and phrases by language, in the order that decides ties. Fixed values.
 LANGUAGE_WORDS = {
@@ -20,21 +21,21 @@ DEFAULT_TOPIC = "fé e vida cristã"
 def detect_language(docs: DataFrame, profiles: dict[str, list[str]] = LANGUAGE_WORDS) -> DataFrame:
     """doc_id, detected, hits: the language with most stop words and phrases (ties: first listed), empty without any.
 
-    Words are counted by an equi-join with the small word list, whose size the profiles fix; a phrase
-    is looked for as it stands, its words parted by one blank. A caller's profiles may add languages.
+    Counted inside the row: words in any list are kept first, and each language counts its own among these; a phrase
+    is looked for as it stands, its words parted by one blank. A caller's profiles may add languages. Nothing is shuffled.
     """
-    items = [(k, lang, w) for k, (lang, ws) in enumerate(profiles.items()) for w in ws]
-    low = F.lower(F.coalesce("text", F.lit("")))
-    phrases = [i for i in items if " " in i[2]]
-    marks = [F.struct(F.lit(k).alias("rank"), F.lit(lang).alias("detected"), F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){w}(?![\p{{L}}\p{{N}}_])")).cast("long").alias("hits")) for k, lang, w in phrases]
-    table = docs.sparkSession.createDataFrame([i for i in items if " " not in i[2]], "rank int, detected string, word string")
-    w = docs.select("doc_id", F.explode(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("word"))
-    n = w.join(F.broadcast(table), "word").groupBy("doc_id", "rank", "detected").agg(F.count("*").alias("hits"))
-    if marks:
-        n = n.unionByName(docs.select("doc_id", F.explode(F.array(*marks)).alias("x")).select("doc_id", "x.*").where("hits > 0"))
-    n = n.groupBy("doc_id", "rank", "detected").agg(F.sum("hits").alias("hits"))
-    top = n.groupBy("doc_id").agg(F.min_by(F.struct("detected", "hits"), F.struct(-F.col("hits"), "rank")).alias("m"))
-    return docs.select("doc_id").join(top, "doc_id", "left").select("doc_id", F.coalesce("m.detected", F.lit("")).alias("detected"), F.coalesce("m.hits", F.lit(0)).alias("hits"))
+    low, edge = F.lower(F.coalesce("text", F.lit(""))), r"[\p{L}\p{N}_]"
+    every = sorted({w for ws in profiles.values() for w in ws if " " not in w})
+    among = lambda words: lambda x: x.isin(words)
+    kept = docs.select("doc_id", low.alias("low_"), F.filter(F.regexp_extract_all(low, F.lit(edge + "+"), F.lit(0)), among(every)).alias("stop_"))
+    counts = []
+    for rank, (name, ws) in enumerate(profiles.items()):
+        single = [w for w in ws if " " not in w]
+        hits = F.size(F.filter("stop_", among(single))) if single else F.lit(0)
+        phrases = (F.regexp_count("low_", F.lit(rf"(?<!{edge}){w}(?!{edge})")) for w in ws if " " in w)
+        counts.append(F.struct((-sum(phrases, hits)).cast("long").alias("less"), F.lit(rank).alias("rank"), F.lit(name).alias("name")))
+    best = kept.select("doc_id", F.array_min(F.array(*counts)).alias("m"))
+    return best.select("doc_id", F.when(F.col("m.less") < 0, F.col("m.name")).otherwise("").alias("detected"), (-F.col("m.less")).alias("hits"))
 
 
 def language_confusion(detected: DataFrame, given: DataFrame) -> DataFrame:
@@ -45,17 +46,15 @@ def language_confusion(detected: DataFrame, given: DataFrame) -> DataFrame:
 def topic_scores(texts: DataFrame, taxonomy: DataFrame, k: int = 5, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys, topic, score, rank: the k topics with most non-overlapping keyword occurrences (ties: later topic name first).
 
-    taxonomy (topic, keyword) is kept by hand; it is joined to every text, so Spark broadcasts it
-    under its size threshold. Texts without any keyword get the default topic with score 0.
+    taxonomy: topic, keyword. All keywords are looked for in one pass over each text (see keywords.py), and ranked inside the
+    row; nothing is shuffled, and each row of texts has its own topics. Texts without any keyword get the default topic with score 0.
     """
-    low = F.lower(F.coalesce(text, F.lit("")))
-    body = texts.select(*keys, low.alias("low"))
-    n = (F.length("low") - F.length(F.replace("low", "keyword", F.lit("")))) / F.length("keyword")
-    s = body.join(taxonomy, F.col("low").contains(F.col("keyword"))).select(*keys, "topic", n.cast("long").alias("n"))
-    s = s.groupBy(*keys, "topic").agg(F.sum("n").alias("score"))
-    s = s.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("topic")))).where(F.col("rank") <= k)
-    none = texts.select(*keys).join(s.select(*keys).distinct(), list(keys), "left_anti")
-    return s.unionByName(none.select(*keys, F.lit(DEFAULT_TOPIC).alias("topic"), F.lit(0).cast("long").alias("score"), F.lit(1).alias("rank")))
+    body = texts.select(*keys, F.lower(F.coalesce(text, F.lit(""))).alias("low_"))
+    scored = keyword_scores(body, "low_", taxonomy, "keyword", "topic", "found_").drop("low_")
+    order = F.sort_array(F.transform("found_", lambda x: F.struct(x.n.alias("score"), x.label.alias("topic"))), asc=False)
+    none = F.array(F.struct(F.lit(0).cast("long").alias("score"), F.lit(DEFAULT_TOPIC).alias("topic")))
+    top = scored.select(*keys, F.posexplode(F.when(F.size("found_") == 0, none).otherwise(F.slice(order, 1, k))).alias("place_", "top_"))
+    return top.select(*keys, "top_.topic", "top_.score", (F.col("place_") + 1).alias("rank"))
 
 
 #: A byline's author: two to five capitalised words or initials.
