@@ -62,7 +62,7 @@ def _simhash(words: list[str], block: int = 50_000) -> str:
     return np.packbits((2 * ones >= n)).tobytes().hex()
 
 
-def _points(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _text_points(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Different texts (id: their smallest, point, n, sim), and the points they share: a SimHash and a number of words, named by the smallest id."""
     s = signatures.where("simhash is not null").groupBy("text_hash").agg(F.min("doc_id").alias("id"), F.first("n_words").alias("n"), F.first("simhash").alias("sim"))
     half = lambda a: F.conv(F.substring("sim", a, 8), 16, 10).cast("long")
@@ -78,7 +78,7 @@ def near_duplicate_candidates(signatures: DataFrame) -> DataFrame:
     Hamming index, which finds every pair of points (see hamming.near_points); nothing is capped and no
     cross join is made. The pairs of c texts that are all alike are c squared: near_duplicate_groups() doesn't list them.
     """
-    texts, points = _points(signatures)
+    texts, points = _text_points(signatures)
     pairs = near_points(points.select(F.col("point").alias("id"), "n", "sim"), MAX_HAMMING, WORD_RATIO)
     shared = points.where("c > 1").select("sim", "n", "point")
     members = lambda name, of: heavy_join(texts, shared, ["sim", "n"], "left").select(F.coalesce("point", "id").alias(of), F.col("id").alias(name))
@@ -93,7 +93,7 @@ def near_duplicate_groups(signatures: DataFrame) -> DataFrame:
     Equal texts are in one group and count as one text. Links are counted between points and kept as stars, so a
     group of c texts costs c rows. Texts without a SimHash are left out.
     """
-    texts, points = _points(signatures)
+    texts, points = _text_points(signatures)
     pairs = near_points(points.select(F.col("point").alias("id"), "n", "sim"), MAX_HAMMING, WORD_RATIO)
     spark = signatures.sparkSession
     pairs = written(pairs, new_path(spark, "near-points"))
@@ -153,67 +153,166 @@ def link_by_title_author(a: DataFrame, b: DataFrame) -> DataFrame:
 POSSIBLE, SIMILAR = 0.60, 0.68
 
 
-def score_matches(targets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Scored pairs that share an ISBN or have a title similarity of at least 0.60.
+def _editions(rows: DataFrame, key: str, p: str) -> DataFrame:
+    """key, the set of main title words and its name, surname, author, isbn, year, pages, edition, volume, all but the key with the prefix p."""
+    surname = F.when(F.contains("author", F.lit(",")), F.substring_index("author", ",", 1)).otherwise(F.element_at(F.split(F.trim("author"), r"\s+"), -1))
+    fields = [F.col(c).alias(f"{p}{c}") for c in ("year", "pages", "edition", "volume")]
+    d = rows.select(F.col(key), F.array_sort(F.array_distinct(T.words(T.main_title(F.col("title"))))).alias(f"{p}w"), T.normal(surname).alias(f"{p}surname"), T.normal(F.col("author")).alias(f"{p}author"), T.canonical_isbn(F.col("isbn")).alias(f"{p}isbn"), *fields)
+    return d.withColumn(f"{p}set", F.md5(F.concat_ws(" ", f"{p}w")))
 
-    Rows: id (target_id, cand_id), title, author, isbn, year, pages, edition, volume. Returns target_id,
-    cand_id, title_sim, author_ok, isbn_exact, score, blocked, approved, confirmations, rejections (lists of reasons).
+
+def _title_pairs(t: DataFrame, c: DataFrame) -> DataFrame:
+    """t_set, c_set, title_sim of the different titles of both sides that reach 0.60.
 
     A similarity of 0.60 needs 0.60 / 0.95 of the shorter title's words, so the pair shares one of the
     first words of the shorter title, rarest first, that are left when one less than so many are
-    taken away: only these meet all words of the other side, and frequent words meet nothing.
+    taken away: only these meet all words of the other side, and frequent words meet nothing. However often a title
+    occurs, it is one row here.
     """
-    def prep(d: DataFrame, k: str, p: str) -> DataFrame:
-        surname = F.when(F.contains("author", F.lit(",")), F.substring_index("author", ",", 1)).otherwise(F.element_at(F.split(F.trim("author"), r"\s+"), -1))
-        fields = [F.col(c).alias(f"{p}{c}") for c in ("year", "pages", "edition", "volume")]
-        return d.select(F.col(k), F.array_distinct(T.words(T.main_title(F.col("title")))).alias(f"{p}w"), T.normal(surname).alias(f"{p}surname"), T.normal(F.col("author")).alias(f"{p}author"), T.canonical_isbn(F.col("isbn")).alias(f"{p}isbn"), *fields)
-
-    t, c = prep(targets, "target_id", "t_"), prep(candidates, "cand_id", "c_")
-    words = lambda d, k, p: d.select(F.col(k).alias("id"), F.size(f"{p}w").alias("size"), F.explode(f"{p}w").alias("word"))
-    tw, cw = words(t, "target_id", "t_"), words(c, "cand_id", "c_")
+    sets = lambda d, p: d.select(F.col(f"{p}set").alias("id"), F.col(f"{p}w").alias("w")).dropDuplicates(["id"])
+    ts, cs = sets(t, "t_"), sets(c, "c_")
+    words = lambda d: d.select("id", F.size("w").alias("size"), F.explode("w").alias("word"))
+    tw, cw = words(ts), words(cs)
     often = tw.select("word").unionAll(cw.select("word")).groupBy("word").agg(F.count("*").alias("often"))
     order = Window.partitionBy("id").orderBy("often", "word")
     needed = F.ceil(F.col("size") * (POSSIBLE / 0.95) - 1e-9)
     ranked = lambda d: d.join(often, "word").withColumn("rank", F.row_number().over(order)).withColumn("first", F.col("rank") <= F.col("size") - needed + 1)
     rt, rc = ranked(tw), ranked(cw)
-    meet = lambda x, y: x.select(F.col("id").alias("target_id"), F.col("size").alias("ts"), "word").join(y.select(F.col("id").alias("cand_id"), F.col("size").alias("cs"), "word"), "word")
-    pairs = meet(rt.where("first"), rc).where("ts <= cs").unionAll(meet(rt, rc.where("first")).where("ts > cs")).select("target_id", "cand_id")
-    by_isbn = t.where("t_isbn is not null").select("target_id", F.col("t_isbn").alias("i")).join(c.select("cand_id", F.col("c_isbn").alias("i")), "i").select("target_id", "cand_id")
-    j = pairs.unionAll(by_isbn).distinct().join(t, "target_id").join(c, "cand_id")
-    agree = lambda x: F.coalesce(F.col(f"t_{x}") == F.col(f"c_{x}"), F.lit(False))
-    differ = lambda x: F.coalesce(F.col(f"t_{x}") != F.col(f"c_{x}"), F.lit(False))
-    flag = lambda x, v: F.when(x, v).otherwise(0.0)
-    j = j.withColumn("title_sim", T.title_similarity(F.col("t_w"), F.col("c_w"))).withColumn("isbn_exact", agree("isbn")).where((F.col("title_sim") >= POSSIBLE) | F.col("isbn_exact"))
-    author = (F.col("t_surname") != "") & F.contains("c_author", F.col("t_surname"))
-    close = F.coalesce(F.abs(F.col("t_pages") - F.col("c_pages")) / F.greatest("t_pages", "c_pages") <= 0.12, F.lit(False))
-    j = j.withColumns({"author_ok": F.coalesce(author, F.lit(False)), "close": close, "no_author": F.coalesce("t_surname", F.lit("")) == ""})
-    points = 0.52 * F.col("title_sim") + flag(F.col("author_ok"), 0.38) + flag(F.col("title_sim") >= 0.90, 0.04) + flag(agree("year"), 0.08) + flag(F.col("close"), 0.06) + 0.03 * (agree("edition").cast("int") + agree("volume").cast("int"))
+    meet = lambda x, y: x.select(F.col("id").alias("t_set"), F.col("size").alias("ts"), "word").join(y.select(F.col("id").alias("c_set"), F.col("size").alias("cs"), "word"), "word")
+    pairs = meet(rt.where("first"), rc).where("ts <= cs").unionAll(meet(rt, rc.where("first")).where("ts > cs")).select("t_set", "c_set").distinct()
+    both = pairs.join(ts.select(F.col("id").alias("t_set"), F.col("w").alias("tw")), "t_set").join(cs.select(F.col("id").alias("c_set"), F.col("w").alias("cw")), "c_set")
+    return both.select("t_set", "c_set", T.title_similarity(F.col("tw"), F.col("cw")).alias("title_sim")).where(F.col("title_sim") >= POSSIBLE)
+
+
+def _agree(x: str) -> Column:
+    return F.coalesce(F.col(f"t_{x}") == F.col(f"c_{x}"), F.lit(False))
+
+
+def _differ(x: str) -> Column:
+    return F.coalesce(F.col(f"t_{x}") != F.col(f"c_{x}"), F.lit(False))
+
+
+def _flag(x: Column, value: float) -> Column:
+    return F.when(x, value).otherwise(0.0)
+
+
+def _author_ok() -> Column:
+    return F.coalesce((F.col("t_surname") != "") & F.contains("c_author", F.col("t_surname")), F.lit(False))
+
+
+def _close() -> Column:
+    return F.coalesce(F.abs(F.col("t_pages") - F.col("c_pages")) / F.greatest("t_pages", "c_pages") <= 0.12, F.lit(False))
+
+
+def _points(year: Column, close: Column) -> Column:
+    return 0.52 * F.col("title_sim") + _flag(F.col("author_ok"), 0.38) + _flag(F.col("title_sim") >= 0.90, 0.04) + _flag(year, 0.08) + _flag(close, 0.06) + 0.03 * (_agree("edition").cast("int") + _agree("volume").cast("int"))
+
+
+def _score(points: Column) -> Column:
+    return F.round(F.least(F.lit(1.15), points), 3)
+
+
+def _scored(j: DataFrame) -> DataFrame:
+    """Pairs with t_ and c_ columns and title_sim, and: isbn_exact, author_ok, close, no_author, score, blocked, approved."""
+    j = j.withColumns({"isbn_exact": _agree("isbn"), "author_ok": _author_ok(), "close": _close(), "no_author": F.coalesce("t_surname", F.lit("")) == ""})
+    points = _points(_agree("year"), F.col("close"))
     points = F.when(F.col("isbn_exact"), F.greatest(F.lit(1.0), points)).otherwise(points)
-    j = j.withColumn("score", F.round(F.least(F.lit(1.15), points), 3)).withColumn("blocked", differ("isbn") | differ("edition") | differ("volume"))
+    j = j.withColumn("score", _score(points)).withColumn("blocked", _differ("isbn") | _differ("edition") | _differ("volume"))
     ok = ~F.col("blocked") & (F.col("isbn_exact") | ((F.col("title_sim") >= SIMILAR) & (F.col("author_ok") | F.col("no_author")) & (F.col("score") >= SIMILAR)))
-    j = j.withColumn("approved", ok)
+    return j.withColumn("approved", ok)
+
+
+def _by_isbn(t: DataFrame, c: DataFrame) -> DataFrame:
+    """Pairs with the same ISBN and their similarity."""
+    j = t.join(c, F.col("t_isbn") == F.col("c_isbn"))
+    return j.withColumn("title_sim", T.title_similarity(F.col("t_w"), F.col("c_w")))
+
+
+def score_matches(targets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Scored pairs that share an ISBN or have a title similarity of at least 0.60.
+
+    Rows: id (target_id, cand_id), title, author, isbn, year, pages, edition, volume. Returns target_id,
+    cand_id, title_sim, author_ok, isbn_exact, score, blocked, approved, confirmations, rejections (lists of reasons).
+    Titles are compared once for all their copies (see _title_pairs), which meet only then; Spark splits the partitions of
+    a frequent title (adaptive skew joins).
+    """
+    t, c = _editions(targets, "target_id", "t_"), _editions(candidates, "cand_id", "c_")
+    by_title = t.join(_title_pairs(t, c), "t_set").join(c, "c_set")
+    by_isbn = _by_isbn(t, c).where(F.col("title_sim") < POSSIBLE)
+    j = _scored(by_title.unionByName(by_isbn))
     said = lambda *rules: F.array_join(F.array_compact(F.array(*[F.when(r, m) for r, m in rules])), "; ")
-    equal = F.array_sort("t_w") == F.array_sort("c_w")
-    confirmations = said((F.col("isbn_exact"), "isbn"), (equal, "title"), (~equal & (F.col("title_sim") >= SIMILAR), "title cut or other subtitle"), (F.col("author_ok"), "author"), (agree("edition"), "edition"), (agree("volume"), "volume"), (agree("year"), "year"), (F.col("close"), "pages"))
+    equal = F.col("t_set") == F.col("c_set")
+    confirmations = said((F.col("isbn_exact"), "isbn"), (equal, "title"), (~equal & (F.col("title_sim") >= SIMILAR), "title cut or other subtitle"), (F.col("author_ok"), "author"), (_agree("edition"), "edition"), (_agree("volume"), "volume"), (_agree("year"), "year"), (F.col("close"), "pages"))
     other_title, no_title, has_author = F.col("title_sim") < SIMILAR, F.size("c_w") == 0, F.coalesce("c_author", F.lit("")) != ""
     reasons = (other_title & ~no_title, "other title"), (other_title & no_title, "no title"), (~F.col("author_ok") & ~F.col("no_author") & has_author, "author not found"), (~F.col("author_ok") & ~F.col("no_author") & ~has_author, "no author")
     clean = ~(other_title | (~F.col("author_ok") & ~F.col("no_author")))
     weak = ~F.col("approved") & ~F.col("blocked")
-    rejections = said(*reasons, (weak, "not enough"), (differ("isbn"), "other isbn"), (differ("edition"), "other edition"), (differ("volume"), "other volume"))
+    rejections = said(*reasons, (weak, "not enough"), (_differ("isbn"), "other isbn"), (_differ("edition"), "other edition"), (_differ("volume"), "other volume"))
     return j.select("target_id", "cand_id", "title_sim", "author_ok", "isbn_exact", "score", "blocked", "approved", confirmations.alias("confirmations"), F.when(F.col("approved") & clean, "").otherwise(rejections).alias("rejections"))
 
 
-def best_match(scored: DataFrame, targets: DataFrame, candidates: DataFrame) -> DataFrame:
+#: What year and pages can add to a score, and all that a title's similarity leaves open; a little more, for rounding.
+LATE, OPEN = 0.14 + 1e-6, 0.58 + 1e-6
+
+
+def _best_scored(t: DataFrame, pairs: DataFrame, coarse: DataFrame, fine: DataFrame, least: DataFrame | None) -> DataFrame:
+    """target_id, best (score and candidate of the best approved), top (highest score): of the title pairs given, of those whose bounds reach `least`.
+
+    Two bounds: a title pair is taken up if its similarity and all else agreeing could reach the target's best so far, and a
+    kind of candidate (coarse: title, author, edition, volume, whether with an ISBN) if year and pages agreeing could.
+    """
+    tc = t.join(pairs, "t_set")
+    if least is not None:
+        could = _score(0.52 * F.col("title_sim") + _flag(F.col("title_sim") >= 0.90, 0.04) + OPEN)
+        tc = tc.join(least, "target_id", "left").where((could >= F.coalesce("best_low", F.lit(0.0))) | (could >= F.coalesce("top_low", F.lit(0.0)))).drop("best_low", "top_low")
+    k = tc.join(coarse, "c_set")
+    k = k.withColumns({"author_ok": _author_ok(), "no_author": F.coalesce("t_surname", F.lit("")) == ""})
+    k = k.withColumn("blocked", (F.col("t_isbn").isNotNull() & F.col("c_has_isbn")) | _differ("edition") | _differ("volume"))
+    k = k.withColumn("able", ~F.col("blocked") & (F.col("title_sim") >= SIMILAR) & (F.col("author_ok") | F.col("no_author")))
+    sure = _score(_points(F.lit(False), F.lit(False)))
+    k = k.withColumn("sure", sure).withColumn("could", _score(_points(F.lit(False), F.lit(False)) + LATE))
+    own = Window.partitionBy("target_id")
+    k = k.withColumn("any_low", F.max("sure").over(own)).withColumn("able_low", F.max(F.when(F.col("able") & (F.col("sure") >= SIMILAR), F.col("sure"))).over(own))
+    k = k.where((F.col("could") >= F.col("any_low")) | (F.col("able") & (F.col("could") >= F.coalesce("able_low", F.lit(0.0)))))
+    j = k.drop("any_low", "able_low", "sure", "could", "c_author").join(fine, "kind")
+    j = j.withColumn("score", _score(_points(_agree("year"), _close())))
+    best = F.when(F.col("able") & (F.col("score") >= SIMILAR), F.struct((-F.col("score")).alias("less"), F.col("cand_id"), F.lit(False).alias("isbn_exact")))
+    return j.groupBy("target_id").agg(F.min(best).alias("best"), F.max("score").alias("top"))
+
+
+def top_matches(targets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """target_id, cand_id, score, isbn_exact, top: the highest approved candidate of each target (ties: smallest id) and its highest score of all.
+
+    What best_match() needs of score_matches(), without its pairs: candidates are put into kinds, equal titles are scored
+    first, and other titles, and kinds, only where their upper bound reaches what a target has already. Pairs with the same ISBN are scored by themselves.
+    """
+    t, c = _editions(targets, "target_id", "t_"), _editions(candidates, "cand_id", "c_").withColumn("c_has_isbn", F.col("c_isbn").isNotNull())
+    kind = F.md5(F.to_json(F.struct("c_set", "c_author", "c_edition", "c_volume", "c_has_isbn")))
+    fine = c.withColumn("kind", kind).groupBy("c_set", "c_author", "c_edition", "c_volume", "c_has_isbn", "kind", "c_year", "c_pages").agg(F.min("cand_id").alias("cand_id"))
+    spark = targets.sparkSession
+    path = new_path(spark, "kinds")
+    fine = written(fine, path)
+    coarse = fine.select("c_set", "c_author", "c_edition", "c_volume", "c_has_isbn", "kind").distinct()
+    pairs = written(_title_pairs(t, c), new_path(spark, "title-pairs"))
+    slim, fine = t.drop("t_w"), fine.select("kind", "c_year", "c_pages", "cand_id")
+    first = written(_best_scored(slim, pairs.where("t_set = c_set"), coarse, fine, None), new_path(spark, "first-matches"))
+    least = first.select("target_id", (-F.col("best.less")).alias("best_low"), F.col("top").alias("top_low"))
+    second = _best_scored(slim, pairs.where("t_set <> c_set"), coarse, fine, least)
+    exact = _scored(_by_isbn(t, c))
+    best = F.when(F.col("approved"), F.struct((-F.col("score")).alias("less"), F.col("cand_id"), F.lit(True).alias("isbn_exact")))
+    exact = exact.groupBy("target_id").agg(F.min(best).alias("best"), F.max("score").alias("top"))
+    every = first.unionByName(second).unionByName(exact).groupBy("target_id").agg(F.min("best").alias("m"), F.max("top").alias("top")).where("m is not null")
+    return every.select("target_id", F.col("m.cand_id").alias("cand_id"), (-F.col("m.less")).alias("score"), F.col("m.isbn_exact").alias("isbn_exact"), "top")
+
+
+def best_match(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     """target_id, cand_id, score, reliable: the highest approved candidate of each target (ties: smallest id).
 
     reliable: no other candidate scores higher; a target with a confirmed ISBN is matched by it; and
-    without the ISBN, the candidate names the edition and the volume if the target does. targets: target_id, isbn,
-    isbn_confirmed, edition, volume; candidates: cand_id, edition, volume.
+    without the ISBN, the candidate names the edition and the volume if the target does. Rows as in score_matches(), targets with isbn_confirmed.
     """
-    best = scored.groupBy("target_id").agg(
-        F.min_by(F.struct("cand_id", "score", "isbn_exact"), F.when(F.col("approved"), F.struct(-F.col("score"), "cand_id"))).alias("m"), F.max("score").alias("top"), F.max("approved").alias("any")
-    ).where("any")
-    j = best.select("target_id", "m.*", "top").join(targets.select("target_id", F.col("isbn").isNotNull().alias("has_isbn"), "isbn_confirmed", F.col("edition").alias("t_edition"), F.col("volume").alias("t_volume")), "target_id")
+    best = top_matches(targets, candidates)
+    j = best.join(targets.select("target_id", F.col("isbn").isNotNull().alias("has_isbn"), "isbn_confirmed", F.col("edition").alias("t_edition"), F.col("volume").alias("t_volume")), "target_id")
     j = j.join(candidates.select("cand_id", "edition", "volume"), "cand_id")
     named = lambda f: F.col(f"t_{f}").isNull() | F.col(f).isNotNull()
     reliable = (F.col("score") >= F.col("top")) & ~(F.col("has_isbn") & F.col("isbn_confirmed") & ~F.col("isbn_exact")) & (F.col("isbn_exact") | (named("edition") & named("volume")))

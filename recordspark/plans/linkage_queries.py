@@ -132,7 +132,7 @@ def lk7(spark, sf):
       select * from f""",
 )
 def lk8(spark, sf):
-    return L.best_match(scored(spark, sf), run(spark, sf, TARGETS, "documents"), run(spark, sf, CANDS, "documents"))
+    return L.best_match(run(spark, sf, TARGETS, "documents"), run(spark, sf, CANDS, "documents"))
 
 
 LISTINGS = "select l_partkey as target_id, cast(year(l_shipdate) as string) as year, l_shipmode as mode, cast(cast(floor(l_quantity / 10) as int) as string) as pages from {lineitem}".replace("l_shipmode", "l_linestatus")
