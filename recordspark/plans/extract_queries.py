@@ -95,27 +95,36 @@ def ex5(spark, sf):
 
 
 #: Lines planted by rules on the id: anchored years, birth years, excluded words, edition phrases, © before an ISBN, Roman numerals.
-YEAR_DOCS = "select doc_id, concat(case doc_id % 8 when 0 then concat('Seen in ', cast(1900 + doc_id % 120 as string), chr(10), 'Published here', chr(10)) when 1 then concat('Silva, Ana, 1962-', chr(10), 'Copyright ', cast(1960 + doc_id % 60 as string), chr(10)) when 2 then concat('Bible edition ', cast(1900 + doc_id % 120 as string), chr(10)) when 3 then concat('First edição: ', cast(1980 + doc_id % 40 as string), chr(10)) when 4 then concat('© 1990 A', chr(10), 'x', chr(10), '© ', cast(1991 + doc_id % 30 as string), ' B', chr(10), 'ISBN 1', chr(10), '© 2020', chr(10)) when 5 then concat('© MCM', case when doc_id % 2 = 0 then 'XCIV' else 'LXXX' end, chr(10)) else '' end, text) as text from {documents}"
+YEAR_DOCS = "select doc_id, concat(case doc_id % 8 when 0 then concat('Seen in ', cast(1900 + doc_id % 120 as string), chr(10), 'Published here', chr(10)) when 1 then concat('Silva, Ana, 1962-', chr(10), 'Copyright ', cast(1960 + doc_id % 60 as string), chr(10)) when 2 then concat('Bible edition ', cast(1900 + doc_id % 120 as string), chr(10)) when 3 then concat('First edição: ', cast(1980 + doc_id % 40 as string), chr(10)) when 4 then concat('© 1990 A', chr(10), 'x', chr(10), '© ', cast(1991 + doc_id % 30 as string), ' B', chr(10), 'ISBN 1', chr(10), '© 2020', chr(10)) when 5 then concat('© MCM', case when doc_id % 2 = 0 then 'XCIV' else 'LXXX' end, chr(10)) when 6 then case doc_id % 5 when 0 then concat('Entered according to Act of Congress, in the year ', cast(1850 + doc_id % 60 as string), ', by A', chr(10)) when 1 then concat('London: House and Sons, ', cast(1860 + doc_id % 90 as string), chr(10)) when 2 then concat('Copyright da tradução © Casa Nova ', cast(1960 + doc_id % 60 as string), chr(10)) when 3 then concat('2ª edição em português ©', chr(10), cast(1990 + doc_id % 40 as string), ' A', chr(10)) else concat('Edição eletrônica publicada em ', cast(2000 + doc_id % 40 as string), chr(10)) end when 7 then concat('Primeira impressão ', cast(1970 + doc_id % 50 as string), chr(10)) else '' end, text) as text from {documents}"
+#: The forms of editions again: what each class of words is, and what dates an edition.
+EDITION_SQL = """el as (select doc_id, i, case when regexp_matches(line, '(^|[^0-9])(1[5-9]|20)[0-9][0-9]([^0-9]|$)') then line else concat_ws(' ', line, next) end as u from (select doc_id, i, ls[i] as line, ls[i + 1] as next from (select doc_id, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from d))),
+  et as (select doc_id, i, regexp_extract_all(strip_accents(lower(u)), '[a-z]+|[0-9]+|©|:') as ts from el where regexp_matches(u, '(^|[^0-9])(1[5-9]|20)[0-9][0-9]([^0-9]|$)')),
+  ec as (select doc_id, i, ts, array_to_string(list_transform(ts, lambda t: case when t in ('edicao', 'edicion', 'edition') then 'E' when t in ('impressao', 'impresion', 'printing') then 'P' when t in ('primeira', 'primera', 'first', 'premiere') then 'O'
+    when t in ('ebook', 'digital', 'eletronica', 'electronica') then 'B' when t in ('publicacao', 'publicacion', 'publication', 'publicado', 'published') then 'U' when t in ('©', 'copyright') then 'C' when t in ('traducao', 'traduccion', 'translation', 'traduction') then 'T'
+    when t = 'congress' then 'A' when t in ('london', 'edinburgh', 'boston', 'york', 'oxford', 'cambridge', 'philadelphia') then 'L' when regexp_full_match(t, '(1[5-9]|20)[0-9]{2}') then 'Y' when regexp_full_match(t, '[0-9]{1,2}') then 'N' when t = ':' then 'K' else 'x' end), '') as c from et),
+  ey as (select doc_id, k, i, try_cast(ts[length(m)] as int) as y from (select doc_id, i, ts, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]) as k, unnest([regexp_extract(c, '^.*?C[^Y]{0,3}T[^Y]{0,15}Y'), regexp_extract(c, '^.*?OE[^Y]{0,4}Y'), regexp_extract(c, '^.*?N[^Y]?E[^Y]{0,2}Y'), regexp_extract(c, '^.*?[ON][^Y]?P[^Y]{0,2}Y'), regexp_extract(c, '^.*?B[^Y]{0,3}[EU][^Y]{0,3}Y'),
+    regexp_extract(c, '^.*?[EU][^Y]{0,3}B[^Y]{0,3}Y'), regexp_extract(c, '^.*?E[^Y]{0,6}C[^Y]?Y'), regexp_extract(c, '^.*?A[^Y]{0,8}Y'), regexp_extract(c, '^.*?LK[^Y]{1,8}Y')]) as m from ec) where m <> ''),
+  e1 as (select doc_id, arg_min(y, struct_pack(k := k, i := i)) as edition from ey where y <= 2026 group by doc_id)"""
 
 
 @query(
     "ex6_publication_year",
-    f"""with d as (select doc_id, coalesce(text, '') as text from ({YEAR_DOCS.replace('{documents}', 'documents')})), e as (select doc_id, coalesce({', '.join(f"nullif(regexp_extract(lower(text), '{p}', 1), '')" for p in X.EDITION_YEARS)}) as edition, regexp_extract(text, '(?i)(?:copyright|©)\\s+([MDCLXVI]{{6,12}})\\b', 1) as numeral from d),
+    f"""with d as (select doc_id, coalesce(text, '') as text from ({YEAR_DOCS.replace('{documents}', 'documents')})), {EDITION_SQL}, e as (select d.doc_id, edition, regexp_extract(text, '(?i)(?:copyright|©)\\s+([MDCLXVI]{{6,12}})\\b', 1) as numeral from d left join e1 using (doc_id)),
       l as (select doc_id, i, ls[i] as line, concat_ws(' ', case when i > 1 then ls[i - 1] end, ls[i], ls[i + 1]) as around from (select doc_id, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from d)),
       g as (select *, regexp_matches(lower(around), '{X.YEAR_EXCLUDED}') as out, min(case when regexp_matches(line, '(?i)\\bISBN\\b') then i end) over (partition by doc_id) as isbn_at from l),
       c as (select doc_id, max(struct_pack(i := i, y := regexp_extract_all(lower(line), '(?:©|copyright)\\s*((?:19|20)[0-9]{{2}})', 1)[-1])).y as credit from g where i < isbn_at and not out and regexp_matches(lower(line), '(?:©|copyright)\\s*(?:19|20)[0-9]{{2}}') group by doc_id),
-      y as (select doc_id, i, list_filter(list_transform(regexp_extract_all(' ' || regexp_replace(regexp_replace(around, ',\\s*[0-9]{{4}}\\s*[-–]', ' ', 'g'), '([^0-9])', '\\1 ', 'g') || ' ', '[^0-9]((?:1[6-9]|20)[0-9]{{2}})[^0-9]', 1), lambda v: cast(v as int)), lambda v: v <= year(current_date)) as ys from g where not out and regexp_matches(lower(around), '{X.YEAR_ANCHORS}')),
+      y as (select doc_id, i, list_filter(list_transform(regexp_extract_all(' ' || regexp_replace(regexp_replace(around, ',\\s*[0-9]{{4}}\\s*[-–]', ' ', 'g'), '([^0-9])', '\\1 ', 'g') || ' ', '[^0-9]((?:1[6-9]|20)[0-9]{{2}})[^0-9]', 1), lambda v: cast(v as int)), lambda v: v <= 2026) as ys from g where not out and regexp_matches(lower(around), '{X.YEAR_ANCHORS}')),
       a as (select doc_id, min(struct_pack(i := i, y := ys[1])).y as anchored from y where len(ys) > 0 group by doc_id),
       r as (select doc_id, case when numeral <> '' then list_sum(list_transform(range(1, length(numeral) + 1), lambda k: case when v[k] < list_max(v[k + 1:]) then -v[k] else v[k] end)) end as roman from (select doc_id, numeral, list_transform(string_split(upper(numeral), ''), lambda x: case x when 'I' then 1 when 'V' then 5 when 'X' then 10 when 'L' then 50 when 'C' then 100 when 'D' then 500 when 'M' then 1000 else 0 end) as v from e)),
-      j as (select doc_id, cast(edition as int) as edition, cast(credit as int) as credit, anchored, case when roman between 1500 and year(current_date) then cast(roman as int) end as roman from e left join c using (doc_id) left join a using (doc_id) left join r using (doc_id))
+      j as (select doc_id, cast(edition as int) as edition, cast(credit as int) as credit, anchored, case when roman between 1500 and 2026 then cast(roman as int) end as roman from e left join c using (doc_id) left join a using (doc_id) left join r using (doc_id))
       select doc_id, coalesce(edition, credit, anchored, roman) as year, case when edition is not null then 'edition' when credit is not null then 'credit' when anchored is not null then 'anchored' else 'roman' end as how from j where coalesce(edition, credit, anchored, roman) is not null""",
 )
 def ex6(spark, sf):
-    return X.publication_year(run(spark, sf, YEAR_DOCS, "documents"))
+    return X.publication_year(run(spark, sf, YEAR_DOCS, "documents"), latest=2026)
 
 
 #: Pages of documents with planted cards, sheets and credit lines; the first page of each begins with one.
-_PLANTS = ["Title: The Long Road\nAuthor(s): Luz, Ana\nPublisher: House Press\nYear: 1999", "Copyright © 2001 Editora Nova\nTradução: Rui de Souza\n2ª edição\nSão Paulo", "Ficha catalográfica\nLuz, Ana, 1950-\nA casa verde / Ana Luz. – Lisboa : Editora Mar, 1988.\n210 p.\nISBN 978-85-1234-567-8\nCDD 230.1", "Tese apresentada à\nUniversidade de Faro\n2010", "Série Pequenos Guias\nPor Ana Luz\nISSN 1234-5678 http://site.org/a", "© 1998 Ana Luz\nPublished by House of Words", "Catalogação interna da publicação\nDisciplina: Grego\nProfessor: Rui Reis", "12 de março de 2004\nwww.site.org", "Luz, Ana\n120 p.\nISBN 85 123 4567 8\nCDU 27"]
+_PLANTS = ["Title: The Long Road\nAuthor(s): Luz, Ana\nPublisher: House Press\nYear: 1999", "Copyright © 2001 Editora Nova\nTradução: Rui de Souza\n2ª edição\nSão Paulo", "Título original: A Long Road\nCopyright © Ediciones Sol 1987\nTraducido\nTranslated by\nAna Maria Luz\nEdición en castellano – El Camino © 1999\nEditora Mar Azul.", "Todos os direitos reservados por Casa Norte, 2003\nThis is the 3rd edition of it", "Ficha catalográfica\nLuz, Ana, 1950-\nA casa verde / Ana Luz. – Lisboa : Editora Mar, 1988.\n210 p.\nISBN 978-85-1234-567-8\nCDD 230.1", "Tese apresentada à\nUniversidade de Faro\n2010", "Série Pequenos Guias\nPor Ana Luz\nISSN 1234-5678 http://site.org/a", "© 1998 Ana Luz\nPublished by House of Words", "Catalogação interna da publicação\nDisciplina: Grego\nProfessor: Rui Reis", "12 de março de 2004\nwww.site.org", "Luz, Ana\n120 p.\nISBN 85 123 4567 8\nCDU 27"]
 CARD_PAGES = "select doc_id, page_no, case when page_no = 1 then concat(case doc_id % 12 " + " ".join(f"when {k} then concat('{m.replace(chr(10), "', chr(10), '")}', chr(10))" for k, m in enumerate(_PLANTS)) + " else '' end, text) else text end as text from {pg}"
 _q = lambda x: x.replace("'", "''")
 _scope = lambda c: f"coalesce(string_agg(text, chr(10) order by page_no) filter ({c}), '')"
@@ -129,13 +138,42 @@ def _read(r) -> str:
     return f"select doc_id, '{r.field}' as field, '{r.source}' as source, value, {_ranks[r.field, r.source]} as rank from (select doc_id, {value} as value" + (f", regexp_matches({r.scope}, '{_q(r.needs)}') as needed" if r.needs else "") + f" from sc) where {' and '.join(tests)}"
 
 
+def _labelled(field: str, labels: str, stops: str, low: int, high: int, shape: str, begins: bool) -> str:
+    """First fitting value after a label of a credit line, which may stand on the next line."""
+    rule = f"^({'' if begins else '(?:.*?[^a-z0-9])?'}(?:{labels}))(?:[^a-z0-9]|$)"
+    return f"""select doc_id, '{field}' as field, 'copyright' as source, arg_min(value, i) as value, 1 as rank from (
+      select doc_id, i, rtrim(trim(regexp_extract(ltrim(case when trim(rest, ' :–—-' || chr(9)) = '' then nraw else rest end, ' :–—-' || chr(9)), '^[^{stops}]*')), ' .,;:') as value
+      from (select doc_id, i, nraw, substr(raw, length(regexp_extract(p, '{rule}', 1)) + 1) as rest from cl where regexp_matches(p, '{rule}')))
+      where length(value) between {low} and {high} and regexp_matches(value, '{shape}') group by doc_id"""
+
+
+_PERSON = r"^\p{Lu}[\p{L}''.-]*,?(?: (?:(?:de|da|do|das|dos|del|van|von|e)|\p{Lu}[\p{L}''.-]*,?)){1,5}$"
+_HOUSES = "editora|editorial|edicoes|ediciones|publicacoes|casa publicadora"
+_NTH = "[0-9]{1,2} ?(?:ª|º|a|o|st|nd|rd|th)?[.]? ?(?:edicao|edicion|edition)"
+_lines_of = lambda scope: f"select doc_id, i, trim(ls[i], ' ' || chr(9) || chr(13)) as raw, strip_accents(lower(trim(ls[i], ' ' || chr(9) || chr(13)))) as p, coalesce(trim(ls[i + 1], ' ' || chr(9) || chr(13)), '') as nraw from (select doc_id, string_split({scope}, chr(10)) as ls, unnest(range(1, len(string_split({scope}, chr(10))) + 1)) as i from sc)"
+_nth = lambda rows, rank: f"""select doc_id, 'edition', 'copyright', arg_min(value, i), {rank} from (select doc_id, i, substr(raw, length(h) + 1, length(regexp_extract(substr(p, length(h) + 1), '^{_NTH}'))) as value
+      from (select *, regexp_extract(p, '^((?:.*?[^a-z0-9])?){_NTH}(?:[^a-z]|$)', 1) as h from {rows} where regexp_matches(p, '^((?:.*?[^a-z0-9])?){_NTH}(?:[^a-z]|$)'))) where length(value) between 6 and 40 group by doc_id"""
+CREDIT_SQL = f"""cl as ({_lines_of("credit")}), cl3 as ({_lines_of("first3")}),
+  cr as ({_labelled("original_title", "originally published in english as|originally published as|titulo del original|titulo original|titre original|original title", "©", 3, 80, ".", True)}
+    union all {_labelled("edition_title", "edicion en castellano|edicao em portugues|edition francaise", "©", 3, 80, ".", True)}
+    union all {_labelled("translator", "traduccion por|translated by|traduccion de|traducao por|traduit par|traducao de|traduccion|tradutora|tradutor|traducao", "©,;.", 3, 50, _PERSON, True)}
+    union all {_labelled("publisher", "publicado no brasil por|reservados por|publicado por|published by|publie par", "©,.", 2, 75, "^[\\p{Lu}0-9]", False)}
+    union all select doc_id, 'publisher', 'copyright', arg_min(v, i), 2 from (select doc_id, i, case when regexp_matches(strip_accents(lower(v1)), '^(?:{_HOUSES})(?:[^a-z]|$)') then v1 else v2 end as v from (
+      select doc_id, i, rtrim(trim(regexp_extract(ltrim(rest, ' :;,.–—-©' || chr(9)), '^[^©,;.]*')), ' .,;:') as v1, rtrim(trim(regexp_extract(ltrim(regexp_extract(ahead, '^(.*?)[ ,]*(?:1[5-9]|20)[0-9]{{2}}', 1), ' :;,.–—-©' || chr(9)), '^[^©,;.]*')), ' .,;:') as v2 from (
+        select doc_id, i, case when h1 <> '' then substr(raw, length(h1) + 1) end as rest, case when h2 <> '' then substr(raw, length(h2) + 1) end as ahead from (
+          select *, regexp_extract(p, '^(.*?(?:©|copyright).*?(?:©|[^a-z])(?:1[5-9]|20)[0-9]{{2}})(?:[^0-9]|$)', 1) as h1, regexp_extract(p, '^(.*(?:©|copyright))', 1) as h2 from cl))))
+      where regexp_matches(strip_accents(lower(v)), '^(?:{_HOUSES})(?:[^a-z]|$)') and length(v) between 4 and 75 and regexp_matches(v, '^[\\p{{Lu}}0-9]') group by doc_id
+    union all select doc_id, 'publisher', 'copyright', arg_min(v, i), 3 from (select doc_id, i, rtrim(raw, ' .,;:') as v from cl where regexp_matches(p, '^(?:{_HOUSES}) ') and not regexp_matches(raw, '[©:]')) where length(v) between 5 and 60 and regexp_matches(v, '^[\\p{{Lu}}0-9]') group by doc_id
+    union all {_nth("cl", 1)} union all {_nth("cl3", 2)})"""
+
+
 @query(
     "ex7_catalog_card_fields",
     f"""with {PAGES}, cp as ({CARD_PAGES.replace("{pg}", "pg")}), cn as (select *, max(page_no) over (partition by doc_id) as n from cp),
       s0 as (select doc_id, {_scope("page_no <= 1")} as page1, {_scope("page_no <= 3")} as first3, {_scope("page_no <= 10")} as first10, {_scope("page_no <= 12")} as first12, {_scope("page_no > n - 3")} as last3, {_scope(f"(page_no <= 12 or page_no > n - 3) and regexp_matches(strip_accents(lower(text)), '{CREDIT_WORDS}')")} as credit from cn group by doc_id),
       s1 as (select *, strip_accents(lower(first12)) as low, regexp_extract(strip_accents(lower(first12)), '{CARD_HEADER}') as head from s0),
       sc as (select *, first3 || chr(10) || last3 as edges, case when head <> '' then substr(first12, instr(low, head) + length(head), 2600) else '' end as card from s1),
-      rd as ({" union all ".join(_read(r) for r in X.CARD_RULES)})
+      {CREDIT_SQL}, rd as ({" union all ".join(_read(r) for r in X.CARD_RULES)} union all select * from cr)
       select doc_id, field, source, arg_min(value, rank) as value, min(rank) as rank from rd group by doc_id, field, source""",
 )
 def ex7(spark, sf):
