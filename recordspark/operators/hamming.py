@@ -21,8 +21,8 @@ BITS, BLOCKS = 64, 6
 CUTS = [round(BITS * k / BLOCKS) for k in range(BLOCKS + 1)]
 #: Rows under one value that one task compares; a value with more is cut into so large parts that meet by twos.
 PART = 1 << 15
-#: Pairs compared in one step.
-STEP = 1 << 20
+#: Rows of whole groups that are taken up together, and pairs compared in one step.
+BUNDLE, STEP = 1 << 16, 1 << 20
 
 
 def filed(points: DataFrame) -> DataFrame:
@@ -55,57 +55,56 @@ def _first_block(x: np.ndarray) -> np.ndarray:
     return first
 
 
-def _meet(block: int, same: bool, x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], within: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs between rows x and y (id, n, sim), sorted by n; same: x and y are one list, each pair once."""
-    (xi, xn, xs), (yi, yn, ys) = x, y
-    k = 0
-    while k < len(xi):
-        stop = k
-        low = high = int(np.searchsorted(yn, xn[k] * ratio * (1 - 1e-12)))
-        while stop < len(xi) and stop - k < 4096:  # as many rows as fit a step
-            end = int(np.searchsorted(yn, xn[stop] / ratio * (1 + 1e-12), side="right"))
-            if stop > k and (stop - k + 1) * (end - low) > STEP:
-                break
-            high, stop = end, stop + 1
-        for a in range(low, high, STEP):
-            b = min(high, a + STEP)
-            apart = np.bitwise_count(xs[k:stop, None] ^ ys[None, a:b])
-            i, j = np.nonzero(apart <= within)
-            i, j = i + k, j + a
-            good = xi[i] != yi[j]
-            if same:
-                good &= i < j
-            n, m = xn[i], yn[j]
-            good &= np.minimum(n, m) / np.maximum(n, m) >= ratio
-            i, j = i[good], j[good]
-            good = _first_block(xs[i] ^ ys[j]) == block
-            i, j = i[good], j[good]
-            if len(i):
-                yield xi[i], yi[j], np.bitwise_count(xs[i] ^ ys[j]).astype(np.int32)
-        k = stop
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Sorted batches as the rows of one (key, p, q) at a time."""
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Sorted batches as columns of whole groups (key, p, q), BUNDLE rows or a little more at a time; g numbers the groups."""
     have: list[dict[str, np.ndarray]] = []
 
-    def whole() -> dict[str, np.ndarray]:
-        return {c: np.concatenate([h[c] for h in have]) for c in have[0]}
+    def whole(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        change = (np.diff(cols["key"]) != 0) | (np.diff(cols["p"]) != 0) | (np.diff(cols["q"]) != 0)
+        return cols | {"g": np.concatenate(([0], np.cumsum(change)))}
 
     for batch in batches:
-        cols = {name: batch.column(k).to_numpy(zero_copy_only=False) for k, name in enumerate(batch.schema.names)}
-        mark = (cols["key"].astype(np.int64) << 20) + (cols["p"].astype(np.int64) << 10) + cols["q"]
-        cuts = [0, *(np.flatnonzero(mark[1:] != mark[:-1]) + 1).tolist(), len(mark)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            part = {c: v[a:b] for c, v in cols.items()}
-            if have and (have[0]["key"][0], have[0]["p"][0], have[0]["q"][0]) != (part["key"][0], part["p"][0], part["q"][0]):
-                yield whole()
-                have = []
-            have.append(part)
-    if have:
-        yield whole()
+        have.append({name: batch.column(k).to_numpy(zero_copy_only=False) for k, name in enumerate(batch.schema.names)})
+        if sum(len(h["key"]) for h in have) < BUNDLE:
+            continue
+        cols = whole({c: np.concatenate([h[c] for h in have]) for c in have[0]})
+        last = int(np.searchsorted(cols["g"], cols["g"][-1]))
+        rest = {c: v[last:] for c, v in cols.items() if c != "g"}
+        if last:
+            yield {c: v[:last] for c, v in cols.items()}
+        have = [rest]
+    if have and sum(len(h["key"]) for h in have):
+        yield whole({c: np.concatenate([h[c] for h in have]) for c in have[0]})
+
+
+def _meetings(r: dict[str, np.ndarray], within: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (id, id, distance) between every row and the filed rows of its group, those of the other part where two parts meet; all groups of a bundle at once."""
+    ids, n, sim = r["id"], r["n"].astype(np.int64), r["sim"].astype(np.int64).view(np.uint64)
+    asks, one_part, side = r["asks"].astype(bool), r["p"] == r["q"], (r["own"] != r["p"]).astype(np.int64)
+    block = r["key"].astype(np.int64) >> 12
+    wide = np.int64(1) << 32
+    filed_rows = np.flatnonzero(~asks)
+    place = (2 * r["g"] + side)[filed_rows] * wide + n[filed_rows]
+    order = np.argsort(place, kind="stable")
+    y_of, place = filed_rows[order], place[order]
+    goes = np.flatnonzero(asks | one_part | (side == 0))  # of two parts, filed rows of the first look up those of the second
+    seat = (2 * r["g"] + np.where(one_part, 0, 1 - side))[goes] * wide
+    low = np.searchsorted(place, seat + np.floor(n[goes] * ratio * (1 - 1e-12)).astype(np.int64))
+    high = np.searchsorted(place, seat + np.minimum(np.ceil(n[goes] / ratio * (1 + 1e-12)).astype(np.int64), wide - 1), side="right")
+    ends = np.cumsum(high - low)
+    k = 0
+    while k < len(goes):
+        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + STEP, side="right")))
+        count = (high - low)[k:stop]
+        x = np.repeat(goes[k:stop], count)
+        y = y_of[np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[k:stop], count)]
+        apart = np.bitwise_count(sim[x] ^ sim[y])
+        good = (apart <= within) & (asks[x] | ~one_part[x] | (x < y))
+        x, y, apart = x[good], y[good], apart[good]
+        good = (np.minimum(n[x], n[y]) / np.maximum(n[x], n[y]) >= ratio) & (_first_block(sim[x] ^ sim[y]) == block[x])
+        if good.any():
+            yield ids[x[good]], ids[y[good]], apart[good].astype(np.int32)
+        k = stop
 
 
 def near_points(points: DataFrame, within: int = 10, ratio: float = 0.82) -> DataFrame:
@@ -119,31 +118,8 @@ def near_points(points: DataFrame, within: int = 10, ratio: float = 0.82) -> Dat
     placed = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[np.ndarray, ...]] = []
-        held = 0
-
-        def batch() -> pa.RecordBatch:
-            cols = [np.concatenate(c) for c in zip(*out)]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["x", "y", "distance"])
-
-        for g in _groups(batches):
-            block, same_part = int(g["key"][0]) >> 12, g["p"][0] == g["q"][0]
-            sim = g["sim"].astype(np.int64).view(np.uint64)
-            side = lambda m: (g["id"][m], g["n"][m], sim[m])  # noqa: B023, E731
-            asks, first = g["asks"].astype(bool), g["own"] == g["p"][0]
-            if same_part:
-                turns = [(True, side(~asks), side(~asks)), (False, side(asks), side(~asks))]
-            else:
-                turns = [(False, side(~asks & first), side(~asks & ~first)), (False, side(asks & first), side(~asks & ~first)), (False, side(asks & ~first), side(~asks & first))]
-            for same, x, y in turns:
-                if len(x[0]) and len(y[0]):
-                    for found in _meet(block, same, x, y, within, ratio):
-                        out.append(found)
-                        held += len(found[0])
-                        if held > 1 << 16:
-                            yield batch()
-                            out, held = [], 0
-        if out:
-            yield batch()
+        for bundle in _bundles(batches):
+            for x, y, distance in _meetings(bundle, within, ratio):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(distance, pa.int32())], names=["x", "y", "distance"])
 
     return placed.select("key", "p", "q", "own", "asks", "id", "n", "sim").mapInArrow(run, "x long, y long, distance int")

@@ -67,6 +67,7 @@ def _text_points(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
     s = signatures.where("simhash is not null").groupBy("text_hash").agg(F.min("doc_id").alias("id"), F.first("n_words").alias("n"), F.first("simhash").alias("sim"))
     half = lambda a: F.conv(F.substring("sim", a, 8), 16, 10).cast("long")
     s = s.select("text_hash", "id", "n", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("sim"))
+    s = written(s, new_path(s.sparkSession, "signatures"))  # read several times, and signing is the costly part
     points = s.groupBy("sim", "n").agg(F.min("id").alias("point"), F.count("*").alias("c"))
     return s, points
 
@@ -81,9 +82,10 @@ def near_duplicate_candidates(signatures: DataFrame) -> DataFrame:
     texts, points = _text_points(signatures)
     pairs = near_points(points.select(F.col("point").alias("id"), "n", "sim"), MAX_HAMMING, WORD_RATIO)
     shared = points.where("c > 1").select("sim", "n", "point")
-    members = lambda name, of: heavy_join(texts, shared, ["sim", "n"], "left").select(F.coalesce("point", "id").alias(of), F.col("id").alias(name))
-    across = pairs.join(members("p", "x"), "x").join(members("q", "y"), "y").select("p", "q", "distance")
-    inside = members("p", "x").join(shared.select(F.col("point").alias("x")), "x").join(members("q", "x"), "x").where("p < q").select("p", "q", F.lit(0).alias("distance"))
+    several = texts.join(shared, ["sim", "n"]).select("point", "id")
+    member = lambda of, name: several.select(F.col("point").alias(of), F.col("id").alias(name))
+    across = pairs.join(member("x", "p"), "x", "left").join(member("y", "q"), "y", "left").select(F.coalesce("p", "x").alias("p"), F.coalesce("q", "y").alias("q"), "distance")
+    inside = member("x", "p").join(member("x", "q"), "x").where("p < q").select("p", "q", F.lit(0).alias("distance"))
     return across.unionAll(inside).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
 
 
@@ -134,17 +136,18 @@ def link_by_title_author(a: DataFrame, b: DataFrame) -> DataFrame:
     joined: a title with k copies costs k rows, not k squared, and a frequent title goes to no single task. Ids are unique within a and b.
     """
     norm = lambda d, p: d.select(F.col("rec_id").alias(f"{p}id"), T.normal(F.col("title")).alias("t"), T.author_keys(F.col("author")).alias(f"{p}authors"), T.canonical_isbn(F.col("isbn")).alias(f"{p}isbn")).where("t <> ''")
-    x, o = norm(a, ""), norm(b, "o_")
+    keep = lambda d: written(d, new_path(a.sparkSession, "titles"))
+    x, o = keep(norm(a, "")), keep(norm(b, "o_"))
     every = _first_two(o, ["t"], "e_")
     open_ = _first_two(o.where("o_isbn is null"), ["t"], "n_")
     same = _first_two(o.where("o_isbn is not null").withColumnRenamed("o_isbn", "isbn"), ["t", "isbn"], "s_")
-    j = heavy_join(heavy_join(x, every.join(open_, "t", "left"), ["t"]), same, ["t", "isbn"], "left")
+    j = heavy_join(keep(heavy_join(x, every.join(open_, "t", "left"), ["t"])), same, ["t", "isbn"], "left")
     pick = lambda f, c: F.when(F.col("isbn").isNull(), F.col(f"e_{c}")).otherwise(f(F.col(f"n_{c}"), F.col(f"s_{c}")))
     plus = lambda u, v: F.coalesce(u, F.lit(0)) + F.coalesce(v, F.lit(0))
     j = j.select("id", "authors", "isbn", pick(plus, "n").alias("n"), pick(F.least, "lo").alias("lo"), pick(F.greatest, "hi").alias("hi"))
     own = (F.col("lo") == F.col("id")) | (F.col("hi") == F.col("id"))
     other = F.when(F.col("n") == 1, F.when(~own, F.col("lo"))).when((F.col("n") == 2) & own, F.when(F.col("lo") == F.col("id"), F.col("hi")).otherwise(F.col("lo")))
-    one = heavy_join(j.withColumn("o_id", other).where("o_id is not null"), o.select("o_id", "o_authors", "o_isbn"), ["o_id"])
+    one = heavy_join(keep(j.withColumn("o_id", other).where("o_id is not null")), o.select("o_id", "o_authors", "o_isbn"), ["o_id"])
     kind = F.when(F.col("isbn") == F.col("o_isbn"), "isbn").when(F.arrays_overlap("authors", "o_authors"), "titulo_autor").otherwise("aproximado")
     return one.select(F.col("id").alias("rec_id"), F.col("o_id").alias("other_id"), kind.alias("class"))
 
@@ -169,19 +172,23 @@ def _title_pairs(t: DataFrame, c: DataFrame) -> DataFrame:
     taken away: only these meet all words of the other side, and frequent words meet nothing. However often a title
     occurs, it is one row here.
     """
-    sets = lambda d, p: d.select(F.col(f"{p}set").alias("id"), F.col(f"{p}w").alias("w")).dropDuplicates(["id"])
+    spark = t.sparkSession
+    sets = lambda d, p: written(d.select(F.col(f"{p}set").alias("set"), F.col(f"{p}w").alias("w")).dropDuplicates(["set"]).withColumn("id", F.monotonically_increasing_id()), new_path(spark, "titles"))
     ts, cs = sets(t, "t_"), sets(c, "c_")
     words = lambda d: d.select("id", F.size("w").alias("size"), F.explode("w").alias("word"))
     tw, cw = words(ts), words(cs)
     often = tw.select("word").unionAll(cw.select("word")).groupBy("word").agg(F.count("*").alias("often"))
     order = Window.partitionBy("id").orderBy("often", "word")
     needed = F.ceil(F.col("size") * (POSSIBLE / 0.95) - 1e-9)
-    ranked = lambda d: d.join(often, "word").withColumn("rank", F.row_number().over(order)).withColumn("first", F.col("rank") <= F.col("size") - needed + 1)
+    ranked = lambda d: written(d.join(often, "word").withColumn("rank", F.row_number().over(order)).withColumn("first", F.col("rank") <= F.col("size") - needed + 1), new_path(spark, "title-words"))
     rt, rc = ranked(tw), ranked(cw)
-    meet = lambda x, y: x.select(F.col("id").alias("t_set"), F.col("size").alias("ts"), "word").join(y.select(F.col("id").alias("c_set"), F.col("size").alias("cs"), "word"), "word")
-    pairs = meet(rt.where("first"), rc).where("ts <= cs").unionAll(meet(rt, rc.where("first")).where("ts > cs")).select("t_set", "c_set").distinct()
-    both = pairs.join(ts.select(F.col("id").alias("t_set"), F.col("w").alias("tw")), "t_set").join(cs.select(F.col("id").alias("c_set"), F.col("w").alias("cw")), "c_set")
-    return both.select("t_set", "c_set", T.title_similarity(F.col("tw"), F.col("cw")).alias("title_sim")).where(F.col("title_sim") >= POSSIBLE)
+    meet = lambda x, y: x.select(F.col("id").alias("t_id"), F.col("size").alias("ts"), "word").join(y.select(F.col("id").alias("c_id"), F.col("size").alias("cs"), "word"), "word")
+    pairs = meet(rt.where("first"), rc).where("ts <= cs").unionAll(meet(rt, rc.where("first")).where("ts > cs")).select("t_id", "c_id").distinct()
+    both = pairs.join(ts.selectExpr("id t_id", "set t_set", "w tw"), "t_id").join(cs.selectExpr("id c_id", "set c_set", "w cw"), "c_id")
+    both = both.select("t_set", "c_set", F.size("tw").alias("n"), F.size("cw").alias("m"), F.size(F.array_intersect("tw", "cw")).alias("k"))
+    covered = F.col("k") / F.greatest(F.lit(1), F.least("n", "m")) * F.when(F.least("n", "m") >= 2, 0.95).otherwise(0.70)
+    sim = F.when(F.least("n", "m") > 0, F.greatest(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), covered)).otherwise(0.0)
+    return both.select("t_set", "c_set", sim.alias("title_sim")).where(F.col("title_sim") >= POSSIBLE)
 
 
 def _agree(x: str) -> Column:
