@@ -248,12 +248,12 @@ def count_pairs(blocks: DataFrame, words: DataFrame, uni: Unigrams, parts: int,
         place = np.empty(len(order), np.int64)
         place[order] = pair
         every, of = np.unique(s1[new], return_inverse=True)
-        sums = np.stack([np.bincount(of, weights=total * (total == r), minlength=len(every)) for r in range(1, K + 1)]).astype("<u4")
+        sums = np.stack([np.bincount(of, weights=total * (total == r), minlength=len(every)) for r in range(1, K + 1)]).astype("<i8")
         q = np.bincount(of, weights=uni.p(c2[order][new]) * (total > 0), minlength=len(every))
         out = []
         for b, at, h in zip(group["block"].to_pylist(), np.split(place, cuts), heads):
             k = np.searchsorted(every, h)
-            out.append(_row(_REPLY, part=part, block=b, a=pack(total[at].astype("<u4")), b=_join(pack(sums[:, k].ravel()), pack(q[k]))))
+            out.append(_row(_REPLY, part=part, block=b, a=pack(total[at].astype("<i8")), b=_join(pack(sums[:, k].ravel()), pack(q[k]))))
         big = np.searchsorted(every, np.unique(np.concatenate(hot)))
         out.append(_row(_REPLY, part=part, a=_counts_of_counts(total).tobytes(), b=_join(every[big].tobytes(), sums[:, big].astype("<i8").tobytes()), c=q[big].tobytes()))
         return pa.Table.from_batches(out)
@@ -323,10 +323,10 @@ def score_documents(docs: DataFrame, held: str, text: str = "text", key: str = "
             if k != 2:
                 continue
             at = order[bounds[p] : bounds[p + 1]]
-            c12[at] = unpack(x, "<u4")
+            c12[at] = unpack(x, "<i8")  # 64 bits: frequent pairs of a very large corpus pass 2^32; their empty byte planes pack away
             heads, runs = _runs(context[at])
             s, q = _split(y)
-            s, q = unpack(s, "<u4").astype(np.int64).reshape(K, -1), unpack(q, "<f8").copy()
+            s, q = unpack(s, "<i8").copy().reshape(K, -1), unpack(q, "<f8").copy()
             start = np.cumsum(runs) - runs
             for i in np.flatnonzero(hot[at][start]).tolist():
                 s[:, i], q[i] = spread[int(heads[i])]

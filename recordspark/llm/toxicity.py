@@ -32,8 +32,8 @@ SEED_TERMS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scu
 REPORTING = frozenset("called calls phrase quote quoted said says term word words wrote writes".split())
 ADDRESS = frozenset("you your you're u ur".split())
 QUOTES = frozenset("\"'“”„‘’«»`")
-#: A quotation of several words, within one line.
-QUOTATION = re.compile("\"[^\"\n]{1,400}\"|[“„][^“”\n]{1,400}[“”]|«[^«»\n]{1,400}»|»[^«»\n]{1,400}«")
+#: A quotation of several words, of any length within one line; an open mark is looked after once, so the search is linear.
+QUOTATION = re.compile("\"[^\"\n]+\"|[“„][^“”\n]+[“”]|«[^«»\n]+»|»[^«»\n]+«")
 #: Words on either side of a hit that tell its context; weights of quoted and addressed hits.
 WINDOW, QUOTED, ADDRESSED = 5, 0.25, 1.5
 STEMS = (4, 5, 6)
@@ -160,19 +160,18 @@ class Toxicity:
         return self.__dict__ | {"_known": {}, "_trie": None}
 
     def look(self, word: str) -> tuple[str, float, bool] | None:
-        """Term, weight and whether it is misspelled."""
+        """Term, weight and whether it is misspelled; of a stem and a near term the one with more weight (the stem on a tie)."""
         if word in self.terms:
             return word, self.terms[word], False
-        for k in reversed(STEMS):
-            if word[:k] in self.stems and len(word) >= k:
-                return word[:k] + "*", self.stems[word[:k]], False
+        stem = next((word[:k] for k in reversed(STEMS) if word[:k] in self.stems and len(word) >= k), None)
+        begins = (stem + "*", self.stems[stem], False) if stem else None
         if len(word) >= FUZZY_FROM - 1 and word not in self.innocent:
             if self._trie is None:
                 self._trie = FuzzyTrie([t for t in self.terms if len(t) >= FUZZY_FROM], swaps=self.swaps)
             near = self._trie.match(word)
-            if near:
+            if near and (begins is None or self.terms[near] > begins[1]):
                 return near, self.terms[near], True
-        return None
+        return begins
 
     def found(self, word: str) -> list[tuple[str, float, bool]]:
         """What a word counts as: itself, or, if it has digits, first the terms that its letters spell."""

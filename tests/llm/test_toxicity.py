@@ -137,3 +137,13 @@ def test_learned_model_equals_plain_version(spark):
         x = m.features(t)[0].tolist()
         assert [round(v, 9) for v in x] == [round(v, 9) for v in want]
         assert m.score(m.features(t)[0]) == 1 / (1 + math.exp(-min(30, max(-30, sum(a * b for a, b in zip(x, m.weights))))))
+
+
+def test_long_quotations_and_better_supported_hits():
+    m = Toxicity({t: 1.0 for t in SEED_TERMS}, {"stupi": 0.2, "idio": 2.0}, frozenset(), None)
+    factor = lambda t: [h[4] for h in m.hits(t)[0]]
+    filler = "and so it went on " * 200
+    assert factor(f'a sign: "{filler} idiot {filler}" then idiot') == [0.25, 1.0]
+    assert factor(f'an open " mark {filler} idiot\n{filler}"') == [1.0]
+    assert m.look("stupld") is not None and m.look("stupild") == ("stupid", 1.0, True)
+    assert m.look("idiott") == ("idio*", 2.0, False)
