@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordspark.functions import text as T
+from recordspark.operators import marks as K
 from recordspark.operators.scopes import all_true, document_scopes
 
 SCOPES = ("name", "producer", "periodical", "page1", "first3", "first10", "first12", "last3", "head")
@@ -17,7 +18,7 @@ SCOPES = ("name", "producer", "periodical", "page1", "first3", "first10", "first
 class TypeRule:
     """Type of a document in which all of (scope, pattern) and none of the others hold, patterns occur often enough, and the pages with text are lo..hi.
 
-    Patterns are for plain text: lower case without accents, lines kept. number: the row of the survey's table.
+    Patterns are for plain text: lower case without accents, lines kept; of a scope that ends in _c, for its lines as word classes (marks.py). number: the row of the survey's table.
     """
 
     number: int
@@ -35,12 +36,9 @@ _SIGNALS = ("first10", r"\bisbn\b|\bcopyright\b|[©℗]|dados (?:internacionais
 _MANUAL = ("page1", r"\bmanual de\b")
 _HANDED = r".{0,180}?\b(?:apresentad[ao]|submitted|presented)\b"
 _DEGREES = (("dissertação", r"(?s)\b(?:dissertacao|dissertation)\b"), ("tese", r"(?s)\b(?:tese|thesis)\b"), ("trabalho acadêmico", r"(?s)\b(?:trabalho de conclusao de curso|monografia)\b"))
-_ARTICLE = ("first3", r"\b(?:este|o presente) (?:artigo|ensaio|estudo)\b|\bobjetivo d[oe] (?:presente )?artigo\b|\b(?:this|the present) (?:article|essay|study|paper)\b|\bthe aim of (?:this )?(?:article|paper|study)\b")
-_ABSTRACT = _LINE + r"(?:resumo|abstract)[ \t]*(?::|$)"
-_NUMBERED = _LINE + r"[^\n]{2,80}\b(?:[ivxlcdm]+|[0-9]{1,3})[ ]*(?:/[ ]*[0-9]{1,3}|,?[ ]*n[.o°]*[ ]*[0-9]{1,3}|\([ ]*[0-9]{1,3}[ ]*\))[^\n]{0,60}\b(?:19|20)[0-9]{2}\b"
-_RANGE = r"[0-9]{1,4}[ ]*[-–—][ ]*[0-9]{1,4}"
-_MONTHS = "janeiro|fevereiro|marco|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro|january|february|march|april|may|june|july|august|september|october|november|december"
-_ISSN = r"\bissn\s*[:.-]?\s*[0-9]{4}[ -]?[0-9]{3}[0-9x]\b"
+_ARTICLE = ("first3_c", K.DECLARED)
+_ABSTRACT = K.ABSTRACT
+_NUMBERED = ("page1_c", K.NUMBERING)
 _SCHOOL = r"\b(?:faculdade|seminario|instituto teologico)\b"
 _MINISTRY = ("head", r"ministerio|departamento|congregacao|igreja|paroquia|pastoral|diacono|pequenos? grupos?|celula|escola biblica|\bebd\b")
 _HOUSE = ("first10", r"\bisbn\b|(?:editora|publisher)\s*:")
@@ -63,11 +61,11 @@ TYPE_RULES = (
     TypeRule(4, "apostila", (_MANUAL, ("page1", r"\b(?:metodologia|normatizacao)\b"))),
     *_handed_in(5),
     TypeRule(6, "revista", (("periodical", "."), ("first10", _LINE + r"(?:sumario|contents)[ \t]*$")), (), (("first10", _LINE + r"[^\n]{5,100}?[ ]+(?:\.{2,}[ ]*)?[0-9]{1,4}[ ]*$", 3),)),
-    TypeRule(6, "revista", (("periodical", "."), ("first10", r"\b(?:vol(?:ume)?|ano)\s*[ivxlcdm0-9]+|\bn[.o°]\s*[0-9]+|\bissue\s*[0-9]+"), ("first10", r"\b(?:19|20)[0-9]{2}\b")), (_ARTICLE, ("first3", _ABSTRACT)), (), (6, 1_000_000)),
-    TypeRule(7, "artigo", (("page1", _NUMBERED), _ARTICLE, ("page1", _ABSTRACT))),
-    TypeRule(7, "artigo", (("page1", _NUMBERED), _ARTICLE, ("page1", _RANGE))),
-    TypeRule(7, "artigo", (("periodical", "."), _ARTICLE, ("page1", _ABSTRACT))),
-    TypeRule(7, "artigo", (("page1", _NUMBERED), ("page1", _LINE + r"[a-z]+, [^\n.]{2,80}\. [^\n]{8,220}\. [a-z][^:\n]{1,80}:"), ("page1", _LINE + r"[-–—][ ]*[a-z][a-z.'-]+(?: [a-z][a-z.'-]+){1,5}[ ]*$")), (), (), (1, 5)),
+    TypeRule(6, "revista", (("periodical", "."), ("first10", r"\b(?:vol(?:ume)?|ano)\s*[ivxlcdm0-9]+|\bn[.o°]\s*[0-9]+|\bissue\s*[0-9]+"), ("first10", r"\b(?:19|20)[0-9]{2}\b")), (_ARTICLE, ("first3_c", _ABSTRACT)), (), (6, 1_000_000)),
+    TypeRule(7, "artigo", (_NUMBERED, _ARTICLE, ("page1_c", _ABSTRACT))),
+    TypeRule(7, "artigo", (_NUMBERED, _ARTICLE, ("page1_c", K.RANGE))),
+    TypeRule(7, "artigo", (("periodical", "."), _ARTICLE, ("page1_c", _ABSTRACT))),
+    TypeRule(7, "artigo", (_NUMBERED, ("page1_c", K.CITED), ("page1_c", K.SIGNATURE)), (), (), (1, 5)),
     TypeRule(8, "apostila", (("first10", r"(?s)\bapostila\b.{0,240}?\b(?:professor|prof\.)\s*:"),)),
     TypeRule(8, "apostila", (("first10", "programa de discipulado"), ("first10", "pequenos? grupos?"), ("first10", "ministerio|convencao|igreja"))),
     TypeRule(8, "apostila", (), (), (("first10", _LINE + r"aula(?: pratica)? [0-9]+[ ]*[-–—]", 4),)),
@@ -79,27 +77,28 @@ TYPE_RULES = (
     TypeRule(12, "documento", (("producer", "powerpoint|impress|keynote"),), (), (), (4, 1_000_000), 0.60),
     TypeRule(13, "documento", (("first10", _LINE + r"(?:a )?(?:research report|relatorio de pesquisa) (?:by|por) [^\n|]{3,80}$"),)),
     TypeRule(13, "documento", (("first10", _LINE + r"manual institucional[ ]*$"),)),
-    TypeRule(14, "apostila", (("first10", _LINE + r"lab[ ]*\|"), ("first10", r"\bconferencia\b\s+[a-z]*\s*(?:19|20)[0-9]{2}"))),
-    TypeRule(14, "apostila", (("first10", "plano de aula apostilado"),)),
-    TypeRule(14, "apostila", (("first10", "caderno igreja"), ("first10", "modulo|discipulado|aulas?"))),
-    TypeRule(14, "apostila", (("first10", r"unidade tematica ?[o0]?[0-9]+"), ("first10", "plano de ensino"), ("first10", "faculdade|seminario|instituto"))),
-    TypeRule(14, "apostila", (("first10", "plano de ensino"), ("first10", r"\bementa\b"), ("first10", "faculdade|seminario|instituto")), (), (("first10", r"\bunidade [0-9]+\b", 2),)),
-    TypeRule(15, "sermão", (("first10", _LINE + r"(?:texto|tema|proposito)[ ]*:"), ("first10", r"(?m)\b(?:sermao|predicacao|mensaje)\b|^[ ]*texto[ ]*:[ ]*[0-9]?[ ]*[a-z]"))),
-    TypeRule(15, "sermão", (("first10", "transcricao feita a partir do video"), ("first10", "sermao"))),
-    TypeRule(16, "dissertação", (("first10", "dissertacao apresentada"),)),
-    TypeRule(16, "tese", (("first10", "tese apresentada"),)),
-    TypeRule(16, "trabalho acadêmico", (("first10", r"trabalho de conclusao de curso|monografia apresentada|obtencao do (?:titulo|grau) de"),)),
-    TypeRule(16, "trabalho acadêmico", (("first10", _LINE + r"discente[ ]*:"),)),
-    TypeRule(16, "trabalho acadêmico", (("first10", "faculdade|universidade"), ("first10", r"disciplina\s*:|docente\s*:"))),
+    TypeRule(14, "apostila", (("first10_c", r"(?m)^L\|"), ("first10_c", "fx{0,2}Y"))),
+    TypeRule(14, "apostila", (("first10_c", "exmH"),)),
+    TypeRule(14, "apostila", (("first10_c", "wz"), ("first10_c", "[Qm]"))),
+    TypeRule(14, "apostila", (("first10_c", "WJ[N~x]"), ("first10_c", "exy"), ("first10_c", "[cC]"))),
+    TypeRule(14, "apostila", (("first10_c", "exy"), ("first10_c", "S"), ("first10_c", "[cC]")), (), (("first10_c", "WN", 2),)),
+    TypeRule(15, "sermão", (("first10_c", K.LABELLED_TEXT), ("first10_c", K.SERMON))),
+    TypeRule(15, "sermão", (("first10", "transcricao"), ("first10", "video"), ("first10_c", "s"))),
+    TypeRule(16, "dissertação", (("first10_c", "Dp"),)),
+    TypeRule(16, "tese", (("first10_c", "Ep"),)),
+    TypeRule(16, "trabalho acadêmico", (("first10_c", "Fxg|Mp|Gxl"),)),
+    TypeRule(16, "trabalho acadêmico", (("first10_c", "(?m)^q:"),)),
+    TypeRule(16, "trabalho acadêmico", (("first10_c", "c"), ("first10_c", "u:"))),
     TypeRule(17, "apostila", (("first10", _SCHOOL), ("first10", r"\b(?:medio teologia|plano de ensino|ementa)\b"))),
     TypeRule(17, "apostila", (("first10", _SCHOOL), ("name", r"\b(?:medio teologia|plano de ensino|ementa)\b"))),
-    TypeRule(18, "artigo", (("page1", r"(?s)^\s*[0-9]*\s*\n?\s*[^\n]{8,160}\n\s*[a-z][^\n]{3,80}\n.{0,500}?\b1\.\s*introducao\b"), ("first10", r"(?s)\b(?:doutor|professor)\b.{0,160}\b(?:faculdade|universidade|instituto)\b"))),
-    TypeRule(18, "artigo", (("first10", r"artigos?_print\.php|imprimir *\| *fechar"),)),
-    TypeRule(18, "artigo", (("first10", _LINE + r"article[ ]*$"), ("first3", r"https?://"))),
-    TypeRule(18, "artigo", (("first10", _LINE + r"por [^\n|]{3,80}\|[ ]*[0-9]+ (?:minutos?|horas?|dias?|semanas?|meses?|anos?) atras[ ]*$"),)),
-    TypeRule(18, "artigo", (("first10", r"\b(?:revista|journal|ciencias da religiao)\b"), ("first10", r"\bresumo\b|\babstract\b"), ("first10", r"\bvolume\s*[0-9]+|\bn[.o°]\s*[0-9]+|\bissn\b"))),
-    TypeRule(18, "artigo", (("first10", _LINE + r"abstract[ ]*$"), ("first10", _ISSN), ("first10", r"\b(?:19|20)[0-9]{2} [0-9]{1,3} ?\([0-9]+\) ?: ?[0-9]+"))),
-    TypeRule(19, "revista", (("first10", r"\b(?:revista|magazine|journal|periodico|boletim)\b"), ("first10", _ISSN + r"|\b(?:vol(?:ume)?|ano)\s*[ivxlcdm0-9]+\s*[,/-]?\s*(?:n[o°.]|numero)\s*[0-9]+"))),
+    TypeRule(18, "artigo", (("page1_c", K.OPENING), ("page1_c", K.INTRODUCTION), ("first10_c", K.AFFILIATION))),
+    TypeRule(18, "artigo", (("first10_c", r"A\|B"),)),
+    TypeRule(18, "artigo", (("first10", "_print[.]php"),)),
+    TypeRule(18, "artigo", (("first10_c", "(?m)^a$"), ("first3", "https?://"))),
+    TypeRule(18, "artigo", (("first10_c", K.BYLINE_AGO),)),
+    TypeRule(18, "artigo", (("first10_c", "j"), ("first10_c", "r"), ("first10_c", K.NUMBER))),
+    TypeRule(18, "artigo", (("first10_c", "(?m)^r$"), ("first10_c", "I"), ("first10_c", K.CITATION))),
+    TypeRule(19, "revista", (("first10", r"\b(?:revista|magazine|journal|periodico|boletim)\b"), ("first10_c", K.ISSUE))),
     TypeRule(20, "documento", (("first10", r"(?s)este livro.{0,500}?uso pessoal"), ("first10", r"(?s)nao e permitida a revenda|proibid[ao].{0,120}?revenda"), ("first10", r"consentimento (?:expresso )?do autor|proprietario dos direitos")), (_BOOK, ("page1", _LINE + r"(?:por|autor)\s*:")), (), (2, 80)),
     TypeRule(21, "trecho", (("page1", r"^\s*(?:capitulo\s+)?[0-9]{1,2}\s*\n\s*[a-z][a-z0-9 ,:'–—-]{5,100}(?:\n|$)"),), (_SIGNALS,), (), (2, 30)),
     TypeRule(22, "livro", (("first10", r"permissao do autor (?:pr\.? ?)?[a-z]"),)),
@@ -125,6 +124,7 @@ def classify_document(pages: DataFrame, files: DataFrame, rules: tuple[TypeRule,
     blank = lambda c: T.plain(F.coalesce(c, F.lit("")))
     d = document_scopes(pages).join(files, "doc_id")
     d = d.withColumn("head", F.substring("first10", 1, 2500)).withColumns({s: blank(s) for s in (*SCOPES, "edges")})
+    d = d.withColumns({f"{s}_c": K.line_classes(s) for s in ("page1", "first3", "first10")})
     kind, number = F.lit(default), F.lit(None).cast("int")
     for r in reversed(rules):
         tests = [F.col(s).rlike(p) for s, p in r.all_of] + [~F.col(s).rlike(p) for s, p in r.none_of] + [F.regexp_count(s, F.lit(p)) >= n for s, p, n in r.counts]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from recordspark.operators import classify as C
@@ -144,7 +146,7 @@ def mi7_totals(spark, sf):
 
 
 #: Texts planted on the first page of documents, one for most rows of the rule table; the others keep their own pages.
-_MARKS = ["Manual de Metodologia", "Tese apresentada à faculdade", "Dissertação apresentada", "E-book disponibilizado, totalmente gratuito, faça uma doação", "Professor: Ana, apostila do Professor: Rui", "Voluntários da igreja", "Revista do Aluno, publicação e distribuição, lição 1", "Manual Institucional", "LAB | sessão\nConferência Norte 2019", "Plano de aula apostilado", "Tema: fé\nsermão", "Discente: Ana", "Universidade X\nDocente: Rui", "Faculdade Y, ementa", "imprimir | fechar", "Por Ana Luz | 3 meses atrás", "Revista Z, resumo, volume 3", "Revista Z, ISSN 1234-5678", "Este livro é de uso pessoal; proibida a revenda; consentimento do autor", "12\nA CASA DE ANA LUZ", "com permissão do autor Ana", "Resumo de tudo", "Manual de vida, igreja", "Série de estudos da igreja", "Regimento interno da paróquia", "ISBN 1, Editora: X, manual de fé, igreja", "Aula 1 - a\nAula 2 - b\nAula 3 - c\nAula 4 - d", "Sumário\nUm texto longo ..... 3\nOutro texto longo ..... 7\nMais um texto ..... 9", "este artigo trata de tudo\nResumo: x"]
+_MARKS = ["Manual de Metodologia", "Tese apresentada à faculdade", "Dissertação apresentada", "E-book disponibilizado, totalmente gratuito, faça uma doação", "Professor: Ana, apostila do Professor: Rui", "Voluntários da igreja", "Revista do Aluno, publicação e distribuição, lição 1", "Manual Institucional", "LAB | sessão\nConferência Norte 2019", "Plano de aula apostilado", "Tema: fé\nsermão", "Discente: Ana", "Universidade X\nDocente: Rui", "Faculdade Y, ementa", "imprimir | fechar", "Por Ana Luz | 3 meses atrás", "Revista Z, resumo, volume 3", "Revista Z, ISSN 1234-5678", "Este livro é de uso pessoal; proibida a revenda; consentimento do autor", "12\nA CASA DE ANA LUZ", "com permissão do autor Ana", "Resumo de tudo", "Manual de vida, igreja", "Série de estudos da igreja", "Regimento interno da paróquia", "ISBN 1, Editora: X, manual de fé, igreja", "Aula 1 - a\nAula 2 - b\nAula 3 - c\nAula 4 - d", "Sumário\nUm texto longo ..... 3\nOutro texto longo ..... 7\nMais um texto ..... 9", "este artigo trata de tudo\nResumo: x", "Revista Sol, v. 3, n. 4, 2001\nO presente estudo\nResumo: y", "Acta Nova 12/3 (1999)\nSilva, Ana. A Casa Velha. Porto: Mar\n— Rui Reis", "3\nA casa e o rio\nAna Luz\n1. Introdução\nprofessor da Faculdade Sul", "Caderno Igreja\nmódulo 1", "Article\nhttp://a.org", "Abstract\nISSN 1234-5678\n2001 12(3): 45"]
 TYPE_PAGES = "select doc_id, page_no, case when page_no = 1 then concat(case doc_id % 40 " + " ".join(f"when {k} then concat('{m.replace(chr(10), "', chr(10), '")}', chr(10))" for k, m in enumerate(_MARKS)) + " else '' end, text) else text end as text from {pg}"
 TYPE_FILES = "select doc_id, case when doc_id % 6 = 0 then 'x_apostila.pdf' when doc_id % 7 = 0 then 'aula 03.pdf' else concat('f', cast(doc_id as string), '.pdf') end as name, case doc_id % 10 when 0 then 'Microsoft PowerPoint' when 1 then 'Microsoft Word' else '' end as producer, case when doc_id % 3 = 0 then 'Acta' end as periodical, doc_id % 20 = 0 as approved, doc_id % 4 = 1 as isbn_confirmed, doc_id % 2 = 1 as external, cast(doc_id % 100 as int) as n_pages from {documents}"
 
@@ -162,10 +164,22 @@ TYPE_SCOPES = f"""{PAGES}, tp as ({TYPE_PAGES.replace("{pg}", "pg")}), tn as (se
   ts as (select doc_id, count(*) filter (trim(text) <> '') as n_text, coalesce(count(*) filter (trim(text) <> '' and length(regexp_replace(trim(text), '\\s+', ' ', 'g')) < 700) / nullif(count(*) filter (trim(text) <> ''), 0), 0.0) as short_share, {_SCOPE("page_no <= 1")} as page1, {_SCOPE("page_no <= 3")} as first3, {_SCOPE("page_no <= 10")} as first10, {_SCOPE("page_no <= 12")} as first12, {_SCOPE("page_no > n - 3")} as last3 from tn group by doc_id)"""
 
 
+#: The classes of words again, written out.
+_LETTERS = "este esta presente this present:d artigo ensaio estudo article essay study paper:a objetivo aim:o resumo abstract:r texto:T tema proposito:t sermao predicacao mensaje:s dissertacao dissertation:D tese thesis:E monografia:M apresentada apresentado submitted presented:p conclusao:F curso:g obtencao:G titulo grau:l discente:q disciplina docente:u faculdade universidade:c seminario instituto:C doutor professor:k vol volume ano:v n no numero issue:i revista journal:j issn:I introducao:n by por:b imprimir:A fechar:B minuto minutos hora horas dia dias semana semanas mes meses anos:U atras:K lab:L conferencia:f plano:e aula:m apostilado:H ensino:y caderno:w igreja:z modulo discipulado aulas:Q unidade:W tematica:J ementa:S"
+_CASES = " ".join(f"when t in ({', '.join(repr(w) for w in ws.split())}) then '{c}'" for ws, c in re.findall(r"([a-z ]+):(.)", _LETTERS))
+
+
+def _classes(scope: str) -> str:
+    """Lines of a scope as letters of classes."""
+    one = f"case {_CASES} when regexp_full_match(t, '[ivxlcdm]{{2,}}') then 'R' when regexp_matches(t, '^[a-z]') then 'x' when regexp_full_match(t, '(19|20)[0-9]{{2}}') then 'Y' when regexp_matches(t, '^[0-9]') then case when length(t) <= 3 then 'N' else 'P' end when t in ('-', '–', '—') then 'h' when t in (':', '.', ',', '(', ')', '|', '/') then t else '~' end"
+    return f"array_to_string(list_transform(string_split({scope}, chr(10)), lambda x: array_to_string(list_transform(regexp_extract_all(x, '[a-z]+|[0-9]+|[^a-z0-9\\s]'), lambda t: {one}), '')), chr(10))"
+
+
 @query(
     "mi8_classify_document",
     f"""with {TYPE_SCOPES}, tf as ({TYPE_FILES.replace("{documents}", "documents")}), sc as (select doc_id, n_text, short_share, {", ".join(f"strip_accents(lower({c})) as {c}" for c in ("page1", "first3", "first10", "first12", "last3"))}, strip_accents(lower(substr(first10, 1, 2500))) as head, strip_accents(lower(first3 || chr(10) || last3)) as edges, lower(name) as name, lower(producer) as producer, lower(coalesce(periodical, '')) as periodical, approved, isbn_confirmed, external, n_pages from ts join tf using (doc_id)),
-      rl as (select *, case {" ".join(f"when {_rule_sql(r)} then {k}" for k, r in enumerate(C.TYPE_RULES))} else -1 end as k from sc),
+      cs as (select *, {", ".join(f"{_classes(x)} as {x}_c" for x in ("page1", "first3", "first10"))} from sc),
+      rl as (select *, case {" ".join(f"when {_rule_sql(r)} then {k}" for k, r in enumerate(C.TYPE_RULES))} else -1 end as k from cs),
       ty as (select *, case when k < 0 then 'livro' else [{", ".join(f"'{r.type}'" for r in C.TYPE_RULES)}][k + 1] end as found, case when k >= 0 then [{", ".join(str(r.number) for r in C.TYPE_RULES)}][k + 1] end as rule from rl),
       fo as (select *, case when not approved and contains(producer, 'powerpoint') then 'apresentação' when not approved and found = 'documento' and rule in (23, 24) and isbn_confirmed and external and n_pages >= 40 then 'livro' end as forced_type from ty)
       select doc_id, coalesce(forced_type, found) as type, rule, forced_type is not null as forced from fo""",
