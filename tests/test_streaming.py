@@ -30,3 +30,28 @@ def test_landing_registers_each_content_once(spark, tmp_path):
     assert sorted((r.file or "", r.hash) for r in every if r.state == "erro") == [("", None), ("f", None)]  # no row is lost
     rows = [r for r in every if r.state != "erro"]
     assert {r.file: r.state for r in rows} == {"a": "registrado", "b": "duplicado", "c": "registrado", "d": "duplicado", "e": "registrado"}
+
+
+def test_landing_is_seeded_once_and_reads_no_catalogue(spark, tmp_path):
+    for d in ("in", "cat"):
+        (tmp_path / d).mkdir()
+    earlier = spark.createDataFrame([("old", __import__("hashlib").sha256(b"one").hexdigest(), "registrado"), ("bad", None, "erro")], "file string, hash string, state string")
+    earlier.write.parquet(str(tmp_path / "cat" / "before"))
+    put = lambda n, rows: (tmp_path / "in" / f"{n}.json").write_text("".join(json.dumps({"file": f, "content": c}) + "\n" for f, c in rows))
+    plans, given = [], []
+
+    def sink(out):
+        given.append({r.file: r.state for r in out.collect()})
+
+    def run():
+        q = ingest_landing(spark, str(tmp_path / "in"), "file string, content string", str(tmp_path / "cat"), str(tmp_path / "cp"), sink)
+        q.awaitTermination(120)
+        plans.append(q._jsq.explainInternal(True) if hasattr(q._jsq, "explainInternal") else "")
+
+    put(1, [("a", "one"), ("c", "two"), ("b", "two"), ("d", "two"), ("x", None), ("y", None)])
+    run()
+    put(2, [("e", "two"), ("f", "three")])
+    run()
+    seen = {k: v for g in given for k, v in g.items()}
+    assert seen == {"a": "duplicado", "b": "registrado", "c": "duplicado", "d": "duplicado", "x": "erro", "y": "erro", "e": "duplicado", "f": "registrado"}
+    assert not any("/cat" in p for p in plans)
