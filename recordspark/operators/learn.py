@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordspark.functions import text as T
+from recordspark.functions.sequence import sequence_ratio
 
 
 def learn_publisher_city(records: DataFrame, known: DataFrame) -> DataFrame:
@@ -58,17 +59,20 @@ def state_summary(items: DataFrame) -> DataFrame:
     return items.groupBy("state").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-def evaluate_extraction(pred: DataFrame, gold: DataFrame) -> DataFrame:
+def evaluate_extraction(pred: DataFrame, gold: DataFrame, measure: str = "edits") -> DataFrame:
     """rec_id, title_sim, surname_recall, doi_ok, year_ok, title_passed, authors_passed, passed (0.90 and 0.80): gold rows without a prediction score 0.
 
-    Rows: rec_id, title, authors (array), doi, year. title_sim: 1 - edit distance / longer length of the normal forms. A surname (an
+    Rows: rec_id, title, authors (array), doi, year. title_sim of the normal forms: 1 - edit distance / longer length (edits), or by
+    matching blocks (sequence, see functions/sequence.py). A surname (an
     author's last word) is found if it stands anywhere in the predicted names; without gold authors recall is 1.
     """
     p = pred.select("rec_id", F.lit(True).alias("has"), *[F.col(c).alias(f"p_{c}") for c in ("title", "authors", "doi", "year")])
     j = gold.join(p, "rec_id", "left")
     norm = lambda c: T.normal(F.coalesce(c, F.lit("")))
     longer = F.greatest(F.length(norm("title")), F.length(norm("p_title")), F.lit(1))
-    sim = 1 - F.levenshtein(norm("title"), norm("p_title")) / longer
+    if measure not in ("edits", "sequence"):
+        raise ValueError("measure must be edits or sequence")
+    sim = sequence_ratio(norm("title"), norm("p_title")) if measure == "sequence" else 1 - F.levenshtein(norm("title"), norm("p_title")) / longer
     names = T.normal(F.array_join(F.coalesce("p_authors", F.array().cast("array<string>")), " "))
     surnames = F.filter(F.transform("authors", lambda a: F.element_at(T.words(a), -1)), lambda w: w.isNotNull())
     recall = F.when(F.size(surnames) > 0, F.size(F.filter(surnames, lambda w: F.contains(names, w))) / F.size(surnames)).otherwise(1.0)

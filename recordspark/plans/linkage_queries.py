@@ -234,7 +234,7 @@ def lk13(spark, sf):
     return L.noise_match(values, spark.sql(NOISE))
 
 
-NAMES = "select doc_id, concat('Ana ', upper(substr(text, 1, 1)), substr(text, 2, doc_id % 3)) as name from {documents} where length(text) > 40"
+NAMES = "select doc_id, concat('Ana ', upper(substr(text, 1, 1)), substr(text, 2, doc_id % 3)) as name from {documents} where text is not null"
 
 
 @query(

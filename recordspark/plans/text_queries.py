@@ -77,6 +77,17 @@ def src3(spark, sf):
     return P.explode_lines(table(spark, sf, "documents"))
 
 
+#: Lines as pages between form feeds, with blank ones.
+FED = "select doc_id, replace(replace(text, chr(10), chr(12)), '. ', concat('.', chr(12), ' ', chr(12))) as text from {documents}"
+
+
+@query("src3_explode_pages", f"select doc_id, false as dropped, i as page_no, ps[i] as text from (select doc_id, ps, unnest(range(1, len(ps) + 1)) as i from (select doc_id, string_split(coalesce(text, ''), chr(12)) as ps from ({FED.replace('{documents}', 'documents')}))) union all select doc_id, true, i, ps[i] from (select doc_id, ps, unnest(range(1, len(ps) + 1)) as i from (select doc_id, list_filter(string_split(coalesce(text, ''), chr(12)), lambda x: trim(x) <> '') as ps from ({FED.replace('{documents}', 'documents')})))")
+def src3_pages(spark, sf):
+    d = run(spark, sf, FED, "documents")
+    every = [P.explode_pages(d, drop_blank=b).select("doc_id", F.lit(b).alias("dropped"), "page_no", "text") for b in (False, True)]
+    return every[0].unionAll(every[1])
+
+
 @query("src4_select_edge_pages", f"with {PAGES} select doc_id, page_no, text from (select *, max(page_no) over (partition by doc_id) as n from pg) where page_no <= 3 or page_no > n - 2")
 def src4(spark, sf):
     return P.select_edge_pages(doc_pages(spark, sf), 3, 2)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordspark.operators import fusion as U
+from recordspark.operators import archive as V
 from recordspark.operators import workflow as W
 from recordspark.plans.registry import ORACLE_SQL, query, run, table
 
@@ -170,6 +171,35 @@ def wf4(spark, sf):
     return W.reopen_attempts(run(spark, sf, ERRORS, "orders"), run(spark, sf, ATTEMPTS, "events"))
 
 
+#: Outputs of the two reconciliations besides their queues.
+@query(
+    "wf3_retired",
+    f"""select rec_id from ({duck(QUEUE)}) q left join ({duck(ELIGIBLE)}) e using (rec_id) where state <> 'liberado' and created_at is null""",
+)
+def wf3_retired(spark, sf):
+    return V.retired(wf3(spark, sf))
+
+
+@query(
+    "wf3_archived_attempts",
+    f"""with l as (select rec_id, unnest(max(struct_pack(finished_at := finished_at, http_status := http_status))) from ({duck(JOURNAL)}) group by rec_id), q as (select rec_id, state as old, isbn as old_isbn from ({duck(QUEUE)})),
+      j as (select rec_id, case when isbn is distinct from old_isbn then 'reset' when old = 'erro' and (http_status >= 500 or http_status = 0) and changed_at > finished_at then 'reopened' end as archived_for from q join ({duck(ELIGIBLE)}) e using (rec_id) left join l using (rec_id) where old <> 'liberado' and created_at is not null)
+      select rec_id, http_status, finished_at, archived_for from ({duck(JOURNAL)}) join j using (rec_id) where archived_for is not null""",
+)
+def wf3_archived(spark, sf):
+    return V.archived_attempts(wf3(spark, sf), run(spark, sf, JOURNAL, "events")).select("rec_id", "http_status", "finished_at", "archived_for")
+
+
+@query(
+    "wf4_archived_attempts",
+    f"""with j as (select rec_id, min(case when http_status = 400 and contains(lower(answer), 'isbn obrigat') then 'withdrawn rule' when http_status is null and contains(lower(local_error), 'certificate') then 'before http' end) as reason from ({duck(ATTEMPTS)}) group by rec_id)
+      select rec_id, http_status, answer, local_error, reason as archived_for from ({duck(ATTEMPTS)}) join j using (rec_id) join ({duck(ERRORS)}) using (rec_id) where reason is not null and state = 'erro'""",
+)
+def wf4_archived(spark, sf):
+    attempts = run(spark, sf, ATTEMPTS, "events")
+    return V.archived_attempts(W.reopen_attempts(run(spark, sf, ERRORS, "orders"), attempts), attempts, "reason", ())
+
+
 SYNC_Q = "select o_orderkey as rec_id, case when o_orderkey % 3 = 0 then 'enviado' else 'erro' end as state, case when o_orderkey % 3 = 0 then o_custkey end as remote_id from {orders} where o_orderkey % 2 = 0"
 SYNC_C = "select o_orderkey as rec_id, case when o_orderkey % 6 = 0 then 'cadastrado' else 'pronto' end as state, case when o_orderkey % 12 = 0 then o_custkey end as remote_id from {orders}"
 
