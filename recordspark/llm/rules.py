@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordspark.llm.common import WORD, fresh, written
+from recordspark.operators.joins import heavy_join
 
 #: Symbols that count against a text.
 SYMBOLS = "[#*$%&|<>]"
@@ -89,11 +90,13 @@ def host_verdicts(measured: DataFrame, block_above: float = 0.5, trust_below: fl
 def host_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """All measures, n_failures, host_verdict and kept for every document.
 
-    Kept: the base rule holds, the host is not blocked, and no document rule fails (one may on a
+    Verdicts go back by a heavy join: the rows of a frequent host are dealt over tasks. Kept: the base rule holds, the host is not blocked, and no document rule fails (one may on a
     trusted host). An empty table gives no rows; columns other than the three are ignored.
     """
     measured = written(measure(docs, key, text, host).withColumn("n_failures", failures()), "rules")
-    hosts = host_verdicts(measured).select(F.col("host").alias("h"), "host_rate", "host_verdict")
-    out = measured.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
+    (by,) = fresh(measured.columns, "host_key")
+    name = F.when(F.col("host").isNull(), "").otherwise(F.concat(F.lit("="), F.col("host")))  # null hosts are one group
+    hosts = host_verdicts(measured).select(name.alias(by), "host_rate", "host_verdict")
+    out = heavy_join(measured.withColumn(by, name), hosts, [by], "left").drop(by)
     allowed = F.when(F.col("host_verdict") == "trust", 1).otherwise(0)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_verdict") != "block") & (F.col("n_failures") <= allowed))

@@ -78,6 +78,19 @@ def anchors(prints: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, F.sum("part_.gap").over(window).alias("place"), F.col("part_.hash").alias("hash"))
 
 
+def shared_places(prints: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """a, b, shift, n_anchors, first_place, last_place: what the documents of a pair (a, b) have in common, by the shift of places from a to b.
+
+    Only anchors that stand once in both documents count, so a repeated line makes no squares; they meet by pair and
+    hash, and one shift is one common passage, or several in step. Pairs without a common anchor give no rows.
+    """
+    found = anchors(prints, key).groupBy(key, "hash").agg(F.count("*").alias("n_"), F.min("place").alias("place")).where("n_ = 1")
+    side = lambda name: found.select(F.col(key).alias(name), "hash", F.col("place").alias(f"place_{name}"))
+    met = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), ["b", "hash"])
+    shifts = met.groupBy("a", "b", (F.col("place_b") - F.col("place_a")).alias("shift"))
+    return shifts.agg(F.count("*").alias("n_anchors"), F.min("place_a").alias("first_place"), F.max("place_a").alias("last_place"))
+
+
 def _numbers(values: list, kind: str = "bigint") -> Column:
     """A constant array; Spark folds the text, so that the plan has one literal."""
     return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)")

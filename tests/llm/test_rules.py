@@ -48,3 +48,12 @@ def test_hosts(spark):
 def test_key_named_like_an_inner_column(spark):
     docs = spark.createDataFrame([(1, "a b c a b c"), (2, None)], "w long, text string").withColumn("source", F.lit("s"))
     assert {r.w: r.n_repeat_words for r in measure(docs, key="w").collect()} == {1: 6, 2: 0}
+
+
+def test_a_host_with_a_third_of_all_rows_and_null_hosts(spark):
+    rows = [(k, "x", "big" if k % 3 == 0 else None if k % 3 == 1 else f"h{k}") for k in range(6000)]
+    docs = spark.createDataFrame(rows, "host_key long, text string, source string")
+    out = host_rules(docs, key="host_key")
+    assert out.columns[0] == "host_key" and out.count() == 6000 and out.where("host_verdict is null").count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "salt_" in plan and "Python" not in plan

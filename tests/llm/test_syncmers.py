@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordspark.llm import syncmers
 from recordspark.llm.syncmers import K, PIECE, S, anchors, edited_prints, fingerprints, with_pieces
@@ -59,6 +60,19 @@ def test_anchors_are_free_of_context(spark):
     assert (2, 0, plain("one two")[0][1:]) in found
 
 
+def test_shared_places(spark):
+    rng = random.Random(6)
+    words = lambda n, t: [f"{t}{rng.randrange(10**6)}" for _ in range(n)]
+    passage, line = words(120, "p"), words(8, "r")
+    texts = {1: words(30, "a") + passage + line * 20, 2: words(50, "b") + passage + words(5, "c") + line * 20, 3: words(90, "d")}
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 2)], "a long, b long")
+    out = syncmers.shared_places(fingerprints(docs), pairs).orderBy(F.desc("n_anchors")).collect()
+    top = out[0]
+    assert (top.a, top.b, top.shift) == (1, 2, 20) and top.n_anchors > 40 and top.first_place >= 30 and top.last_place <= 150
+    assert {(r.a, r.b) for r in out} == {(1, 2)} and sum(r.n_anchors for r in out) < 140
+
+
 def expected(rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
     out = []
