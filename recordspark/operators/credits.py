@@ -87,13 +87,13 @@ HOUSE_WORDS = ("editora", "editorial", "edicoes", "ediciones", "publicacoes", "c
 ORDINAL = "[0-9]{1,2} ?(?:ª|º|a|o|st|nd|rd|th)?[.]? ?"
 
 
-def _raw(line: Column) -> Column:
+def raw_line(line: Column) -> Column:
     """The trimmed line if its plain form has the same length, else the plain form: places in one are places in the other."""
     x = F.trim(line, F.lit(" \t\r"))
     return F.when(F.length(T.plain(x)) == F.length(x), x).otherwise(T.plain(x))
 
 
-def _after(line: Column, prefix: str) -> Column:
+def after_prefix(line: Column, prefix: str) -> Column:
     """What follows the prefix (a pattern of the plain line with one group), null without it."""
     head = F.regexp_extract(T.plain(line), prefix, 1)
     return F.when(head != "", F.substring(line, F.length(head) + 1, F.length(line)))
@@ -113,8 +113,8 @@ def labelled_value(lines: str, rule: Labelled) -> Column:
     prefix = f"^({'' if rule.begins else '(?:.*?[^a-z0-9])?'}(?:{names}))(?:[^a-z0-9]|$)"
 
     def one(x: Column, i: Column) -> Column:
-        rest = _after(_raw(x), prefix)
-        following = F.when(F.trim(rest, F.lit(" \t:–—-")) == "", _raw(F.get(lines, i + 1))).otherwise(rest)
+        rest = after_prefix(raw_line(x), prefix)
+        following = F.when(F.trim(rest, F.lit(" \t:–—-")) == "", raw_line(F.get(lines, i + 1))).otherwise(rest)
         return F.when(rest.isNotNull(), _value(following, rule.stops))
 
     return _first(F.transform(lines, one), rule.size, rule.shape)
@@ -126,9 +126,9 @@ def rights_holder(lines: str) -> Column:
     signs = F.lit(" \t:;,.–—-©")
 
     def one(x: Column) -> Column:
-        raw = _raw(x)
-        rest = _after(raw, "^(.*?(?:©|copyright).*?(?:©|[^a-z])(?:1[5-9]|20)[0-9]{2})(?:[^0-9]|$)")
-        before = F.regexp_extract(_after(raw, "^(.*(?:©|copyright))"), "^(.*?)[ ,]*(?:1[5-9]|20)[0-9]{2}", 1)
+        raw = raw_line(x)
+        rest = after_prefix(raw, "^(.*?(?:©|copyright).*?(?:©|[^a-z])(?:1[5-9]|20)[0-9]{2})(?:[^0-9]|$)")
+        before = F.regexp_extract(after_prefix(raw, "^(.*(?:©|copyright))"), "^(.*?)[ ,]*(?:1[5-9]|20)[0-9]{2}", 1)
         parts = F.array(F.ltrim(rest, signs), F.ltrim(before, signs))
         return F.get(F.filter(F.transform(parts, lambda p: _value(p, "©,;.")), lambda p: T.plain(p).rlike(house)), F.lit(0))
 
@@ -138,7 +138,7 @@ def rights_holder(lines: str) -> Column:
 def house_line(lines: str) -> Column:
     """Column: the first line that is a publishing house's name and nothing else."""
     house = f"^(?:{'|'.join(HOUSE_WORDS)}) "
-    return _first(F.transform(lines, lambda x: F.when(T.plain(_raw(x)).rlike(house) & ~x.rlike("[©:]"), F.rtrim(_raw(x), F.lit(" .,;:")))), (5, 60), CAPITAL)
+    return _first(F.transform(lines, lambda x: F.when(T.plain(raw_line(x)).rlike(house) & ~x.rlike("[©:]"), F.rtrim(raw_line(x), F.lit(" .,;:")))), (5, 60), CAPITAL)
 
 
 def numbered_edition(lines: str) -> Column:
@@ -147,10 +147,10 @@ def numbered_edition(lines: str) -> Column:
     prefix = f"^((?:.*?[^a-z0-9])?){ORDINAL}(?:{words})(?:[^a-z]|$)"
 
     def one(x: Column) -> Column:
-        low = T.plain(_raw(x))
+        low = T.plain(raw_line(x))
         there = low.rlike(prefix)
         at = F.length(F.regexp_extract(low, prefix, 1))
-        return F.when(there, F.substring(_raw(x), at + 1, F.length(F.regexp_extract(F.substring(low, at + 1, F.length(low)), f"^{ORDINAL}(?:{words})", 0))))
+        return F.when(there, F.substring(raw_line(x), at + 1, F.length(F.regexp_extract(F.substring(low, at + 1, F.length(low)), f"^{ORDINAL}(?:{words})", 0))))
 
     return _first(F.transform(lines, one), (6, 40), ".")
 

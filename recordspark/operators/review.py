@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordspark.functions import text as T
+from recordspark.operators.credits import after_prefix, raw_line
 
 def missing_field_causes(records: DataFrame, required: DataFrame, aliases: DataFrame, evidence: DataFrame, rejections: DataFrame, most: int = 5) -> DataFrame:
     """(rec_id, field, causes): fields that the type requires and no evidence fills, with what is known about it.
@@ -80,18 +81,27 @@ def identify_periodical(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
 INSTITUTIONS = "igreja|convencao|associacao|sociedade|ministerio|seminario|universidade|departamento|instituto|conselho|comissao|university|institute|church|press|society"
 SUFFIXES = ("junior", "júnior", "filho", "neto", "sobrinho", "segundo", "terceiro", "jr")
 NAME_PARTICLES = ("van", "von", "de", "da", "do", "dos", "das", "del")
-ROLES = (
-    ("Tradutor", r"(?im)^[ \t]*translated[ \t]+by[ \t]+([^\n|]{3,90})$", 2),
-    ("Prefácio", r"(?im)^[ \t]*foreword[ \t]+by[ \t]+([^\n|]{3,90})$", 2),
-    ("Editor", r"(?im)^[ \t]*edited[ \t]+by[ \t]+([^\n|]{3,90})$", 2),
-    ("Tradutor", r"(?im)^[ \t]*tradu[çc][aã]o[ \t]*(?:de|por)?[ \t]*:[ \t]*([^\n|]{3,80})$", 1),
-    ("Coordenador", r"(?im)^[ \t]*coordena[çc][aã]o[ \t]*(?:de|por)?[ \t]*:[ \t]*([^\n|]{3,80})$", 1),
-    ("Organizador", r"(?im)^[ \t]*organiza[çc][aã]o[ \t]*(?:de|por)?[ \t]*:[ \t]*([^\n|]{3,80})$", 1),
-    ("Editor", r"(?im)^[ \t]*editor[ \t]*(?:de|por)?[ \t]*:[ \t]*([^\n|]{3,80})$", 1),
-    ("Coordenador", r"(?im)^[ \t]*([^\n|]{3,80}?)[ \t]*\(coordenador\)[ \t.-]*$", 1),
-    ("Organizador", r"(?im)^[ \t]*([^\n|]{3,80}?)[ \t]*\(organizador\)[ \t.-]*$", 1),
-    ("Editor", r"(?im)^[ \t]*([^\n|]{3,80}?)[ \t]*\(editor\)[ \t.-]*$", 1),
-)
+ROLE_LABELS = (
+    ("Tradutor", "translated by", "", 2), ("Prefácio", "foreword by", "", 2), ("Editor", "edited by", "", 2),
+    ("Tradutor", "traducao", ":", 1), ("Coordenador", "coordenacao", ":", 1), ("Organizador", "organizacao", ":", 1), ("Editor", "editor", ":", 1),
+    ("Coordenador", "coordenador", "()", 1), ("Organizador", "organizador", "()", 1), ("Editor", "editor", "()", 1),
+)
+
+
+def credited(lines: str, label: str, sign: str) -> Column:
+    """Column: the names that lines give with a label (plain words): after it, and a colon where the sign is one, or before it in brackets."""
+
+    def one(x: Column) -> Column:
+        raw = raw_line(x)
+        if sign == "()":
+            value = F.substring(raw, 1, F.length(F.regexp_extract(T.plain(raw), rf"^(.+)\({label}\)[ \t.-]*$", 1)))
+        else:
+            particle = f"(?: de| por)?[ \t]*{sign}" if sign else ""
+            value = after_prefix(raw, f"^({label}{particle})(?:[^a-z0-9]|$)")
+        return F.trim(F.coalesce(value, F.lit("")), F.lit(" \t"))
+
+    return F.filter(F.transform(lines, one), lambda v: F.length(v).between(3, 90) & ~F.contains(v, F.lit("|")))
+
 
 
 def _name_word(w: Column) -> Column:
@@ -129,8 +139,7 @@ def link_author_authority(records: DataFrame, authors: DataFrame) -> DataFrame:
     Colaborador where somebody else is editor, organiser or coordinator.
     """
     parts = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce("author", F.lit("")), r"\s+", " "), r"(?i)\s*;\s*| (?:&|e|y|and) "), lambda x: F.trim(x, F.lit(" ,;"))), lambda x: x != "")
-    credits = F.coalesce("credits", F.lit(""))
-    found = [(role, F.transform(F.regexp_extract_all(credits, F.lit(rule), F.lit(1)), T.words), least) for role, rule, least in ROLES]
+    found = [(role, F.transform(credited("lines_", label, sign), T.words), least) for role, label, sign, least in ROLE_LABELS]
 
     def role_of(name: Column) -> Column:
         words = T.words(name)
@@ -143,7 +152,7 @@ def link_author_authority(records: DataFrame, authors: DataFrame) -> DataFrame:
         return F.coalesce(*[F.when(F.exists(names, named(least)), role) for role, names, least in found])
 
     people = F.transform(parts, lambda x: F.struct(x.alias("raw"), role_of(x).alias("role")))
-    p = records.select("rec_id", people.alias("people"))
+    p = records.withColumn("lines_", F.split(F.coalesce("credits", F.lit("")), "\n")).select("rec_id", people.alias("people"))
     led = F.exists("people", lambda x: F.coalesce(x.role.isin("Editor", "Organizador", "Coordenador"), F.lit(False)))
     p = p.select("rec_id", led.alias("led"), F.posexplode("people").alias("position", "x")).select("rec_id", "led", "position", "x.raw", "x.role")
     known = authors.groupBy(T.author_key(F.col("authority")).alias("key")).agg(F.min("authority").alias("authority")).where("key is not null")
