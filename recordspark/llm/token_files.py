@@ -28,8 +28,8 @@ from recordspark.llm.bpe import encoder
 from recordspark.llm.common import mix, prepare
 
 MAGIC, INDEX_MAGIC = b"TOKIDS01", b"TOKMPH02"
-#: Keys in one part of the index.
-PART_KEYS = 100_000
+#: Keys in one part of the index, and bytes of text in one shard where the session's shuffle partitions are fewer.
+PART_KEYS, SHARD_BYTES = 100_000, 1 << 30
 #: Bits per remaining key on each level; levels that an index file's head has room for.
 GAMMA, LEVELS = 2.0, 62
 #: A part is read whole when a lookup asks for more than one in WHOLE of its keys.
@@ -219,7 +219,7 @@ class TokenFiles:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Encodes every text (null: empty), appends end_id and writes shards and index under path.
 
-    Records stand in ascending key order over the shards; rows with the same key follow each other
+    A shard has about SHARD_BYTES of text at most. Records stand in ascending key order over the shards; rows with the same key follow each other
     (by text hash, over several shards if they are many) and share an index slot; null keys come
     first and are in no index. An empty table gives an index without parts. path is a URI that
     pyarrow's file systems and Spark both reach. Files are written under a name of their own attempt
@@ -230,7 +230,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, k
     filesystem, name = _file(path)
     filesystem.create_dir(name, recursive=True)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("key", "h").sortWithinPartitions("key", "h").drop("h")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "key", "h").sortWithinPartitions("key", "h").drop("h")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, coder = TaskContext.get(), encoder(tokenizer)

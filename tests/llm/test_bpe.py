@@ -111,3 +111,17 @@ def test_lookup_reads_constant_bytes(tmp_path):
             spent.append(part.bytes_read - had)
         most.append(sum(spent) / len(spent))
     assert all(x < 3 * 72 + 16 for x in most) and abs(most[0] - most[1]) < 40
+
+
+def test_shards_follow_the_bytes(spark, tmp_path, monkeypatch):
+    from recordspark.llm import token_files as files
+    from recordspark.llm.queries import tokenizer_file
+
+    monkeypatch.setattr(files, "SHARD_BYTES", 500)
+    docs = spark.createDataFrame([(k, "some words of a text " * 10) for k in range(40)] + [(None, None)], "doc_id long, text string")
+    path = "file://" + str(tmp_path / "t")
+    files.write_token_files(docs, path, tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    rows = spark.read.parquet(path + "/keys").collect()
+    assert len(rows) == 41 and len({r.shard for r in rows}) > 10
+    order = [r.key for r in sorted(rows, key=lambda r: (r.shard, r.record))]
+    assert order[0] is None and order[1:] == sorted(order[1:])
