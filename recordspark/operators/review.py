@@ -190,6 +190,23 @@ def review_packets(records: DataFrame, gaps: DataFrame, conflicts: DataFrame, mo
     return j.select("rec_id", F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"), F.coalesce("gaps", F.lit("")).alias("gaps"), F.coalesce("conflicts", F.lit("")).alias("conflicts"), action.alias("action")).orderBy(F.desc("n_gaps"), "rec_id").limit(most)
 
 
+def full_packets(records: DataFrame, causes: DataFrame, conflicts: DataFrame, pages: DataFrame, contradictions: DataFrame, most: int = 100) -> DataFrame:
+    """rec_id, n_gaps, gaps (field: causes), conflicts, pages, contradictions, action: the packets with why, where to look, and what speaks against the type.
+
+    causes: rec_id, field, causes, as missing_field_causes() gives them; pages: rec_id, page_no of review_pages(); contradictions: rec_id,
+    contradictions of type_signals(). The items are chosen first, so only theirs, `most` at the most, are gathered from the other tables.
+    """
+    chosen = F.broadcast(review_packets(records, causes, conflicts, most).select("rec_id", "n_gaps", "conflicts", "action"))  # at most `most` rows
+    own = lambda d: d.join(chosen.select("rec_id"), "rec_id", "left_semi")
+    told = own(causes).groupBy("rec_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(": ", "field", "causes"))), " | ").alias("gaps"))
+    where = own(pages).groupBy("rec_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set("page_no")), lambda n: n.cast("string")), ", ").alias("pages"))
+    against = own(contradictions).where("contradictions <> ''").groupBy("rec_id").agg(F.array_join(F.sort_array(F.collect_set("contradictions")), "; ").alias("contradictions"))
+    j = chosen.join(told, "rec_id", "left").join(where, "rec_id", "left").join(against, "rec_id", "left")
+    action = F.when((F.col("action") == "approve") & F.col("contradictions").isNotNull(), "check type").otherwise(F.col("action"))
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return j.select("rec_id", "n_gaps", blank("gaps"), "conflicts", blank("pages"), blank("contradictions"), action.alias("action"))
+
+
 def reprocess_targets(catalogue: DataFrame, revisions: DataFrame, fields: list[str]) -> DataFrame:
     """rec_id, why: open items, and items not closed whose approved revision differs in a field; duplicates are left out.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recordspark.operators import alerts as A
 from recordspark.operators import review as R
 from recordspark.plans.linkage_queries import NORM
-from recordspark.plans.registry import query, run, table
+from recordspark.plans.registry import ORACLE_SQL, QUERIES, query, run, table
 from recordspark.plans.workflow_queries import duck
 from recordspark.sources.pages import catalogue_report, explode_lines, labelled_fields
 
@@ -158,6 +158,20 @@ def wf14(spark, sf):
     return R.review_packets(run(spark, sf, OPEN, "part"), run(spark, sf, GAPS + "0", "lineitem"), run(spark, sf, GAPS + "1", "lineitem").where("rec_id % 2 = 0"))
 
 
+@query(
+    "wf14_full_packets",
+    f"""with qg as ({ORACLE_SQL["qg11_missing_field_causes"]}), ex as ({ORACLE_SQL["ex13_review_pages"]}), mi as ({ORACLE_SQL["mi9_type_signals"]}),
+      g as (select rec_id, count(*) as n_gaps, string_agg(field || ': ' || causes, ' | ' order by field || ': ' || causes) as gaps from qg group by 1), c as (select rec_id, string_agg(distinct field, ', ' order by field) as conflicts from ({duck(GAPS + '1')}) where rec_id % 2 = 0 group by 1),
+      p as (select doc_id as rec_id, string_agg(cast(page_no as varchar), ', ' order by page_no) as pages from (select distinct doc_id, page_no from ex) group by 1), m as (select doc_id as rec_id, string_agg(distinct contradictions, '; ' order by contradictions) as contradictions from mi where contradictions <> '' group by 1),
+      t as (select rec_id, coalesce(n_gaps, 0) as n_gaps, coalesce(gaps, '') as gaps, coalesce(conflicts, '') as conflicts from ({duck(OPEN)}) left join g using (rec_id) left join c using (rec_id) where open order by coalesce(n_gaps, 0) desc, rec_id limit 100)
+      select rec_id, n_gaps, gaps, conflicts, coalesce(pages, '') as pages, coalesce(contradictions, '') as contradictions, case when conflicts <> '' then 'decide' when n_gaps > 0 then 'complete' when contradictions is not null then 'check type' else 'approve' end as action from t left join p using (rec_id) left join m using (rec_id)""",
+)
+def wf14_full(spark, sf):
+    pages = QUERIES["ex13_review_pages"](spark, sf).select(F.col("doc_id").alias("rec_id"), "page_no")
+    against = QUERIES["mi9_type_signals"](spark, sf).select(F.col("doc_id").alias("rec_id"), "contradictions")
+    return R.full_packets(run(spark, sf, OPEN, "part"), qg11(spark, sf), run(spark, sf, GAPS + "1", "lineitem").where("rec_id % 2 = 0"), pages, against)
+
+
 CATALOGUE = "select c_custkey as rec_id, concat('f', cast(c_custkey as string)) as file, case c_custkey % 5 when 0 then 'cadastrado' when 1 then 'analisado' when 2 then 'duplicado' else 'pronto' end as state, c_name as title, c_mktsegment as city from {customer}"
 REVISED = "select concat('f', cast(c_custkey as string)) as file, c_custkey % 4 <> 0 as approved, case when c_custkey % 3 = 0 then 'new' else c_name end as title, case when c_custkey % 7 = 0 then cast(null as string) else c_mktsegment end as city from {customer} where c_custkey % 2 = 0"
 
