@@ -37,8 +37,6 @@ SCALE, SHIFT = 64, 1_000_000
 #: A product this far from orthogonal to earlier left vectors is formed again; what is this small against the largest value is zero.
 AGAIN, ZERO = 1e-10, 1e-12
 
-Blocks = Callable[[np.ndarray], dict[int, float]]
-
 
 @dataclass
 class Whitening:
