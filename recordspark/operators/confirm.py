@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordspark.functions import text as T
+from recordspark.functions.tables import delete, new_path, written
 
 CONFIRM, SURE = 0.94, 0.99
+#: Words of one part of a text; words of an anchor.
+PART, GRAM = 1 << 15, 4
+#: Changes of a gap that needs more than its pair may have.
+BEYOND = 1 << 50
 
 
 class _Reach:
@@ -42,18 +49,30 @@ class _Reach:
         return low
 
 
-def common_length(a: list[str], b: list[str], most: int) -> int:
-    """Length of the longest common subsequence if at most `most` words are added or left out, else -1.
+def changes(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Words to leave out of a and of b until the same sequence is left, if at most `most`, else -1. Words are numbers.
 
-    The greedy search by number of changes d: for every diagonal the farthest place that d changes
-    reach, all diagonals at once. The work grows with the changes, not with the product of lengths.
+    Words that the other side lacks are counted and dropped. For the rest the greedy search by number of changes d: for
+    every diagonal the farthest place that d changes reach, all diagonals at once. The work grows
+    with the changes, not with the product of lengths.
     """
+    if not len(a) or not len(b):
+        alone, x, y = len(a) + len(b), a[:0], b[:0]
+    else:
+        x, y = a[np.isin(a, b)], b[np.isin(b, a)]
+        alone = len(a) - len(x) + len(b) - len(y)
+    if alone > most or not len(x):
+        return alone if alone <= most else -1
+    d = _search(x, y, min(most - alone, len(x) + len(y)))
+    return -1 if d < 0 else alone + d
+
+
+def _search(a: np.ndarray, b: np.ndarray, most: int) -> int:
     n, m = len(a), len(b)
-    number = {w: k for k, w in enumerate(dict.fromkeys(a + b))}
-    code = lambda x: (np.array([number[w] for w in x], np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
-    reach = _Reach(code(a), code(b))
     if abs(n - m) > most:
         return -1
+    code = (np.unique(np.concatenate((a, b)), return_inverse=True)[1].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
+    reach = _Reach(code[:n], code[n:])
     far = np.full(2 * most + 3, -1, np.int64)  # farthest place in a on diagonal k - most - 1
     middle = most + 1
     far[middle + 1] = 0
@@ -67,32 +86,185 @@ def common_length(a: list[str], b: list[str], most: int) -> int:
         far[middle + k] = np.where(inside, x, -(1 << 40))
         at = n - m
         if abs(at) <= d and (at - d) % 2 == 0 and far[middle + at] >= n:
-            return (n + m - d) // 2
+            return d
     return -1
 
 
-def confirm_duplicates(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """b (the newer), a (its best match), ratio, verdict (confirmed from 0.99, else review) of pairs that reach 0.94.
+def chain(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs (first place in a, in b, anchors) that follow each other in both texts: of the most anchors together, then cut where they overlap."""
+    keys, best, ends, before, order = [], [], [], [-1] * len(i), np.lexsort((j, i)).tolist()
+    i, j, c = i.tolist(), j.tolist(), c.tolist()
+    for k in order:
+        at = bisect_left(keys, j[k])
+        before[k] = ends[at - 1] if at else -1
+        weight = (best[at - 1] if at else 0) + c[k]
+        stop = at
+        while stop < len(keys) and best[stop] <= weight:
+            stop += 1
+        if stop > at or at == len(keys) or keys[at] != j[k]:
+            keys[at:stop], best[at:stop], ends[at:stop] = [j[k]], [weight], [k]
+    taken, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        taken.append(k)
+        k = before[k]
+    runs, end_i, end_j = [], 0, 0
+    for k in reversed(taken):
+        cut = max(0, end_i - i[k], end_j - j[k])
+        if cut < c[k]:
+            runs.append((i[k] + cut, j[k] + cut, c[k] - cut))
+            end_i, end_j = (x + c[k] - cut + GRAM - 1 for x in runs[-1][:2])
+    return runs
+
+
+def safe_runs(d: list[int], v: list[int]) -> list[bool]:
+    """Which runs some shortest way passes: d are the changes of gaps 0 to R, v the least changes that passing by run 1 to R costs.
+
+    A way that passes by all runs between two that it keeps pays at least the sum of their v there; the chain
+    pays the d of the gaps. A run is safe if the chain is no worse between any two runs around it.
+    """
+    left, right = [-d[0]], [-d[-1]]
+    for k in range(1, len(v)):
+        left.append(min(0, v[k - 1] + left[-1]) - d[k])
+        right.append(min(0, v[-k] + right[-1]) - d[-1 - k])
+    return [x + y + z >= 0 for x, y, z in zip(left, v, reversed(right))] if v else []
+
+
+def _text_parts(docs: DataFrame, part: int) -> DataFrame:
+    """doc_id, n, part, h (hashes of its words), next (the GRAM - 1 words after it)."""
+    hashed = docs.select("doc_id", F.transform(T.words(F.coalesce("text", F.lit(""))), lambda x: F.xxhash64(x)).alias("h"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.lit(part))
+    piece = lambda s: F.struct((s / part).cast("int").alias("part"), F.slice("h", s + 1, F.lit(part)).alias("h"), F.slice("h", s + 1 + part, F.lit(GRAM - 1)).alias("next"))
+    return hashed.select("doc_id", F.size("h").alias("n"), F.explode(F.transform(starts, piece)).alias("p")).select("doc_id", "n", "p.*")
+
+
+def _anchor_runs(pairs: DataFrame, parts: DataFrame, part: int) -> DataFrame:
+    """a, b, na, nb, i, j, c: c anchors one after the other in both texts from places i and j on; one row of nulls for a pair without any.
+
+    An anchor is a run of GRAM words that stands once in each text.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    whole = F.concat("h", "next")
+    grams = F.transform(F.sequence(F.lit(1), F.size(whole) - GRAM + 1), lambda k: F.xxhash64(F.slice("w", k, F.lit(GRAM))))
+    rows = parts.join(ids, "doc_id").withColumn("w", whole).where(F.size("w") >= GRAM).select("doc_id", "part", F.posexplode(grams).alias("at", "g"))
+    once = rows.groupBy("doc_id", "g").agg(F.count("*").alias("times"), F.min(F.col("part") * part + F.col("at")).alias("at")).where("times = 1")
+    both = pairs.join(once.selectExpr("doc_id a", "g", "at i"), "a").join(once.selectExpr("doc_id b", "g", "at j"), ["b", "g"])
+    order = Window.partitionBy("a", "b").orderBy("i")
+    follows = (F.col("i") == F.lag("i").over(order) + 1) & (F.col("j") == F.lag("j").over(order) + 1)
+    runs = both.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    runs = runs.groupBy("a", "b", "run").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count("*").alias("c"))
+    return pairs.join(runs.drop("run"), ["a", "b"], "left")
+
+
+def _aligned(blocks: DataFrame, parts: DataFrame, part: int) -> DataFrame:
+    """blocks with d: the changes of each of a block's gaps. Only the parts of the texts that a block covers come to it."""
+    side = lambda s, doc, lo, hi: blocks.where(f"{hi} > {lo}").selectExpr("a", "b", "block", f"{s} side", f"{doc} doc_id", f"{lo} lo", f"{hi} hi")
+    asked = side(0, "a", "i0", "i1").unionAll(side(1, "b", "j0", "j1")).withColumn("part", F.explode(F.expr(f"sequence(cast(lo div {part} as int), cast((hi - 1) div {part} as int))")))
+    low = F.greatest(F.col("lo") - F.col("part") * part, F.lit(0)).cast("int")
+    size = F.least(F.col("hi") - F.col("part") * part, F.lit(part)).cast("int") - low
+    got = asked.join(parts.select("doc_id", "part", "h"), ["doc_id", "part"]).select("a", "b", "block", "side", "part", F.slice("h", low + 1, size).alias("h"))
+    of = lambda s: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("part", "h")))), lambda x: x["h"]))
+    words = got.groupBy("a", "b", "block").agg(of(0).alias("x"), of(1).alias("y"))
+    rows = blocks.join(words, ["a", "b", "block"], "left").select(*blocks.columns, F.coalesce("x", F.array().cast("array<long>")).alias("x"), F.coalesce("y", F.array().cast("array<long>")).alias("y"))
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = {n: batch.column(n) for n in batch.schema.names}
+            found = []
+            for k in range(batch.num_rows):
+                x, y = (col[n][k].values.to_numpy(zero_copy_only=False) for n in "xy")
+                most, i0, j0 = (col[n][k].as_py() for n in ("most", "i0", "j0"))
+                one = [changes(x[g[0] - i0 : g[1] - i0], y[g[2] - j0 : g[3] - j0], most) for g in np.reshape(col["gaps"][k].as_py(), (-1, 4)).tolist()]
+                found.append([d if d >= 0 else BEYOND for d in one])
+            out = [c for n, c in col.items() if n not in "xy"]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(found, pa.list_(pa.int64()))], names=[*(n for n in col if n not in "xy"), "d"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema)
+    return rows.mapInArrow(align, f"{fields}, d array<bigint>")
+
+
+def _long_changes(pairs: DataFrame, parts: DataFrame, part: int) -> DataFrame:
+    """a, b, d for pairs (a, b, na, nb, most) with a long text; d is beyond most where the pair has more changes.
+
+    Common anchors make a chain that cuts both texts into gaps. Blocks of gaps are aligned by different tasks. Where the
+    changes found don't prove that a shortest way passes an anchor (see safe_runs), the gaps around it are
+    aligned again as one. One task a pair sees numbers of its runs and gaps, never its words.
+    """
+    spark = pairs.sparkSession
+    kind = {n: pairs.schema[n].dataType.simpleString() for n in "ab"}
+    cells = f"a {kind['a']}, b {kind['b']}, most long, block int, i0 long, i1 long, j0 long, j1 long, gaps array<bigint>, v array<bigint>"
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        r = rows.dropna(subset=["i"])
+        runs = chain(*(r[n].to_numpy(np.int64) for n in ("i", "j", "c")))
+        out, gaps, v, i, j = [], [], [], 0, 0
+        for x, y, c in [*runs, (int(first["na"]), int(first["nb"]), 0)]:
+            gaps += [i, x, j, y]
+            v.append((c + GRAM - 1) // GRAM if c else 0)
+            i, j = x + c + GRAM - 1, y + c + GRAM - 1
+            if not c or x - gaps[0] + y - gaps[2] >= 2 * part:
+                out.append((first["a"], first["b"], first["most"], len(out), gaps[0], x, gaps[2], y, gaps, v))
+                gaps, v = [], []
+        return pd.DataFrame(out, columns=["a", "b", "most", "block", "i0", "i1", "j0", "j1", "gaps", "v"])
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        flat = lambda n: np.concatenate([np.asarray(x, np.int64) for x in rows[n]])
+        gaps, v, d = flat("gaps").reshape(-1, 4), flat("v").tolist()[:-1], flat("d").tolist()
+        ends = [k for k, ok in enumerate(safe_runs(d, v)) if ok] + [len(d) - 1]
+        first, known, start, out = rows.iloc[0], 0, 0, []
+        for end in ends:
+            if end == start:
+                known += d[end]
+            else:
+                g = [int(gaps[start][0]), int(gaps[end][1]), int(gaps[start][2]), int(gaps[end][3])]
+                out.append((first["a"], first["b"], first["most"], len(out) + 1, *g, g, [0], [-1]))
+            start = end + 1
+        out.append((first["a"], first["b"], first["most"], 0, 0, 0, 0, 0, [], [], [known]))
+        return pd.DataFrame(out, columns=["a", "b", "most", "block", "i0", "i1", "j0", "j1", "gaps", "v", "d"])
+
+    paths = [new_path(spark, n) for n in ("confirm-blocks", "confirm-merged", "confirm-long")]
+    blocks = written(_anchor_runs(pairs, parts, part).groupBy("a", "b").applyInPandas(cut, cells), paths[0])
+    merged = written(_aligned(blocks, parts, part).groupBy("a", "b").applyInPandas(merge, f"{cells}, d array<bigint>"), paths[1])
+    again = _aligned(merged.where("block > 0").drop("d"), parts, part)
+    every = merged.where("block = 0").select("a", "b", F.col("d")[0].alias("d")).unionAll(again.select("a", "b", F.col("d")[0].alias("d")))
+    out = written(every.groupBy("a", "b").agg(F.sum("d").alias("d")), paths[2])
+    for path in paths[:2]:
+        delete(spark, path)
+    return out
+
+
+def confirm_duplicates(pairs: DataFrame, docs: DataFrame, least: float = CONFIRM, part: int = PART) -> DataFrame:
+    """b (the newer), a (its best match), ratio, verdict (confirmed from 0.99, else review) of pairs that reach `least`.
 
     pairs: a, b. ratio: twice the longest common subsequence of the two word streams over all words, of whole texts.
-    Lengths bound it first, in the join; the search stops at the number of changes that 0.94
-    allows. Pairs are read once, and a text meets only the pairs that its length can serve.
+    Lengths bound it first. Words are 64-bit hashes; each text that a pair names is cut into parts once, a table
+    in the shared folder. Two texts of one part meet whole; longer ones part by part (see _long_changes), with
+    the same result. A stretch of a long text without anchors is one task's work, and its search stops
+    at the number of changes that `least` allows. Null and empty texts match nothing; an empty table gives no rows; repeated
+    pairs count once. doc_id is unique.
     """
-    w = docs.select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w")).select("doc_id", F.size("w").alias("n"), F.array_join("w", " ").alias("t"))
-    both = pairs.select("a", "b").join(w.selectExpr("doc_id a", "n na", "t ta"), "a").join(w.selectExpr("doc_id b", "n nb", "t tb"), "b")
-    able = both.where(2 * F.least("na", "nb") >= CONFIRM * (F.col("na") + F.col("nb")))
+    pairs = pairs.select("a", "b").distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    parts = written(_text_parts(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), part), new_path(pairs.sparkSession, "confirm-parts"))
+    n = parts.where("part = 0").select("doc_id", "n")
+    total = F.col("na") + F.col("nb")
+    able = pairs.join(n.selectExpr("doc_id a", "n na"), "a").join(n.selectExpr("doc_id b", "n nb"), "b").where((2 * F.least("na", "nb") >= least * total) & (total > 0))
+    able = able.withColumn("most", F.floor(F.round((1 - least) * total, 9)).cast("long"))
+    one = parts.where("part = 0").select("doc_id", "h")
+    short = able.where(F.greatest("na", "nb") <= part).join(one.selectExpr("doc_id a", "h x"), "a").join(one.selectExpr("doc_id b", "h y"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ratios = []
-            for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
-                x, y = ta.split(), tb.split()
-                total = len(x) + len(y)
-                found = common_length(x, y, int(round((1 - CONFIRM) * total, 9)))
-                ratios.append(2 * found / total if total and found >= 0 else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ratios, pa.float64())], names=["a", "b", "ratio"])
-
-    kind = able.schema["a"].dataType.simpleString()
-    r = able.select("a", "b", "ta", "tb").mapInArrow(compare, f"a {kind}, b {kind}, ratio double").where(F.col("ratio") >= CONFIRM)
+            x, y, most = batch.column("x"), batch.column("y"), batch.column("most").to_pylist()
+            d = [changes(x[k].values.to_numpy(), y[k].values.to_numpy(), most[k]) for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([v if v >= 0 else BEYOND for v in d], pa.int64())], names=["a", "b", "d"])
+
+    kind = pairs.schema["a"].dataType.simpleString(), pairs.schema["b"].dataType.simpleString()
+    found = short.select("a", "b", "most", "x", "y").mapInArrow(compare, f"a {kind[0]}, b {kind[1]}, d long")
+    long = able.where(F.greatest("na", "nb") > part)
+    if long.limit(1).count():
+        found = found.unionAll(_long_changes(long, parts, part))
+    r = able.join(found, ["a", "b"]).where("d <= most").select("a", "b", ((total - F.col("d")) / total).alias("ratio"))
     best = r.groupBy("b").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "a")).alias("m"))
     return best.select("b", F.col("m.a").alias("a"), (-F.col("m.r")).alias("ratio"), F.when(-F.col("m.r") >= SURE, "confirmed").otherwise("review").alias("verdict"))

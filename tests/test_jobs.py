@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from recordspark.operators import linkage as L
 from recordspark.operators import mining as M
 from recordspark.operators import quality as Q
 from recordspark.operators import workflow as W
-from recordspark.operators.confirm import common_length, confirm_duplicates
+from recordspark.operators.confirm import chain, changes, confirm_duplicates, safe_runs
 from recordspark.sources import pages as P
 
 
@@ -149,15 +150,40 @@ def common(a, b):
     return row[-1]
 
 
-def test_common_length_equals_plain():
+def test_changes_equal_plain():
     rng = random.Random(1)
     for _ in range(400):
         a = rng.choices("abcd", k=rng.randint(0, 14))
         b = rng.choices("abcd", k=rng.randint(0, 14)) if rng.random() < 0.5 else [x for x in a if rng.random() < 0.8]
-        want = common(a, b)
-        changes = len(a) + len(b) - 2 * want
-        for most in {changes, changes + 3, max(0, changes - 1)}:
-            assert common_length(a, b, most) == (want if most >= changes else -1), (a, b, most)
+        want = len(a) + len(b) - 2 * common(a, b)
+        x, y = (np.array([ord(w) for w in t], np.int64) for t in (a, b))
+        for most in {want, want + 3, max(0, want - 1)}:
+            assert changes(x, y, most) == (want if most >= want else -1), (a, b, most)
+
+
+def test_runs_of_a_chain():
+    at = lambda *runs: [np.array(x) for x in zip(*runs)]
+    assert chain(*at((0, 0, 5), (8, 20, 2), (12, 9, 6), (40, 18, 1))) == [(0, 0, 5), (12, 9, 6), (40, 18, 1)]
+    assert chain(*at((0, 0, 5), (9, 7, 3))) == [(0, 0, 5), (10, 8, 2)]  # eight words, so the second starts at the ninth of b
+    assert safe_runs([2, 2, 9, 0], [3, 1, 4]) == [False, False, False] and safe_runs([0, 2, 0], [3, 3]) == [True, True]
+    assert safe_runs([1, 3, 0], [1, 9]) == [False, True]
+
+
+def test_parts_of_long_texts_equal_plain(spark):
+    rng, texts, pairs = random.Random(5), {}, []
+    for k in range(60):
+        words = ["w%d" % rng.randrange(rng.choice([6, 40, 400])) for _ in range(rng.randint(20, 150))]
+        other = [w if rng.random() > 0.06 else "w%d" % rng.randrange(400) for w in words if rng.random() > 0.04]
+        if k % 3 == 0:  # a moved passage
+            i, j = sorted(rng.sample(range(len(other)), 2))
+            other = other[:i] + other[j:] + other[i:j] if k % 2 else other[:i] + other[j:] + other[: j - i] + other[i:j]
+        texts[2 * k], texts[2 * k + 1] = words, other
+        pairs.append((2 * k, 2 * k + 1))
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()] + [(900, None), (901, "")], "doc_id long, text string")
+    p = spark.createDataFrame([*pairs, (900, 901), (900, 1)], "a long, b long")
+    got = {(r.a, r.b): r.ratio for r in confirm_duplicates(p, docs, least=0.5, part=8).collect()}
+    want = {(a, b): 2 * common(texts[a], texts[b]) / (len(texts[a]) + len(texts[b])) for a, b in pairs}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.5}) and len(got) > 40
 
 
 def test_confirm_duplicates_equals_plain(spark):
