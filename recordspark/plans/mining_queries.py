@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from recordspark.operators import classify as C
+from recordspark.operators import generic as D
 from recordspark.operators import mining as M
 from recordspark.plans.registry import query, run, table
 from recordspark.plans.text_queries import PAGES, doc_pages
@@ -188,6 +189,34 @@ def mi8(spark, sf):
     return C.classify_document(spark.sql(TYPE_PAGES, pg=doc_pages(spark, sf)), run(spark, sf, TYPE_FILES, "documents"))
 
 
+#: Addresses, dates, labels and marks planted on the first page of documents, and file names.
+_NOTES = ["Título: Estudo da casa\nAutor: Ana Luz\nhttp://a.org/2011/casa.", "Fonte: www.b.org/um,www.b.org/dois", "Publicado em 3/4/2015\nPor: Rui Reis", "12 de março de 2009\nwww.c.org", "Editora: Mar\nhttp://d.org", "Questionário da turma", "curso de grego", "Autor: Eva Sol", "veja http://e.org/lon-\ngo/1999/x)", "© Ana\nFonte: livro"]
+GENERIC_PAGES = "select doc_id, page_no, case when page_no = 1 then concat(case doc_id % 14 " + " ".join(f"when {k} then concat('{m.replace(chr(10), "', chr(10), '")}', chr(10))" for k, m in enumerate(_NOTES)) + " else '' end, text) else text end as text from {pg}"
+GENERIC_FILES = "select doc_id, case doc_id % 9 when 0 then concat('Apostila ', cast(doc_id as string), '.doc') when 1 then 'resumo-geral.v2.pdf' when 2 then cast(null as string) else concat('f_', cast(doc_id as string), '.pdf') end as name, doc_id % 5 = 0 as word from {documents}"
+
+
+@query(
+    "mi8_generic_documents",
+    f"""with {PAGES}, gp as ({GENERIC_PAGES.replace("{pg}", "pg")}), gn as (select *, max(page_no) over (partition by doc_id) as n from gp),
+      gs as (select doc_id, {_SCOPE("page_no <= 1")} as page1, {_SCOPE("page_no <= 3")} as first3, {_SCOPE("page_no <= 10")} as first10, {_SCOPE("page_no > n - 3")} as last3 from gn group by doc_id),
+      gf as ({GENERIC_FILES.replace("{documents}", "documents").replace("cast(doc_id as string)", "cast(doc_id as varchar)")}),
+      g0 as (select doc_id, page1, first3, first10, last3, first3 || chr(10) || last3 as edges, strip_accents(lower(regexp_replace(coalesce(name, ''), '\\.[^.]*$', ''))) as stem, word from gs join gf using (doc_id)),
+      g1 as (select *, strip_accents(lower(edges)) as low, trim(regexp_extract(edges, '(?im)^[ \\t]*(?:autora?|author|por)[ \\t]*:[ \\t]*([^\\n]{{3,120}})$', 1)) as author, trim(regexp_extract(page1, '(?im)^[ \\t]*(?:t[ií]tulo|title)[ \\t]*:[ \\t]*([^\\n]{{3,120}})$', 1)) as labelled,
+          list_filter(list_transform(string_split(page1, chr(10)), lambda x: trim(x)), lambda x: length(x) between 4 and 120 and regexp_matches(x, '\\p{{L}}') and not regexp_matches(lower(x), '^(http://|https://|www[.])') and not regexp_matches(x, '^[^\\s:]+[ \\t]*:')) as lines,
+          list_transform(regexp_extract_all(regexp_replace(regexp_replace(edges, '([\\p{{L}}0-9_])-[ \\t]*\\n\\s*([\\p{{L}}0-9_])', '\\1-\\2', 'g'), ',(http://|https://|www[.])', ' \\1', 'gi'), '(?i)(?:http://|https://|www[.])[^\\s<>()]+'), lambda u: rtrim(u, '.,;:)]}}')) as found from g0),
+      g2 as (select *, list_filter(found, lambda u, i: list_position(found, u) = i) as urls, case when labelled <> '' then labelled else coalesce(lines[1], '') end as title from g1),
+      g3 as (select *, coalesce(nullif(regexp_extract(low, 'publicado\\s+em\\s+[0-9][0-9]?/[0-9][0-9]?/((19|20)[0-9][0-9])', 1), ''), nullif(regexp_extract(strip_accents(lower(first3)), '(?m)^[ \\t]*[0-9][0-9]? de (?:janeiro|fevereiro|marco|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro) de ((19|20)[0-9][0-9])[ \\t]*$', 1), ''), nullif(regexp_extract(coalesce(urls[1], ''), '/((19|20)[0-9][0-9])/', 1), ''), '') as year,
+          list_has_any(regexp_extract_all(stem || ' ' || strip_accents(lower(title)), '[a-z0-9]+'), ['resumo', 'questionario']) as bad, strip_accents(lower(first10 || chr(10) || last3)) as body from g2),
+      g4 as (select *, regexp_matches(body, '\\b(isbn|copyright|tradutor)\\b') or contains(body, '©') or contains(body, '℗') or regexp_matches(body, 'dados (internacionais )?de catalogacao|ficha catalografica') or regexp_matches(body, '(editora|publisher|publicado por)\\s*:') as published,
+          regexp_matches(low, '\\b(fonte|autor)\\s*:') or regexp_matches(low, 'publicado em [0-9]') or regexp_matches(low, 'blogspot[.]|geocities[.]|artigos?_print[.]php') or regexp_matches(low, '\\bcurso de\\b') as marked from g3)
+      select doc_id, case when bad then 'arquivo inválido' when list_contains(regexp_extract_all(stem, '[a-z0-9]+'), 'apostila') then 'apostila' else 'documento' end as kind, title, case when bad then '' else author end as author, year, array_to_string(urls, ' ') as sources,
+        case when bad then 'descarte' when author <> '' and (len(urls) > 0 or year <> '') then 'alta' when len(urls) > 0 or author <> '' then 'media' else 'baixa' end as confidence
+      from g4 where bad or (not published and title <> '' and (word or len(urls) > 0 or marked))""",
+)
+def mi8_generic(spark, sf):
+    return D.generic_documents(spark.sql(GENERIC_PAGES, pg=doc_pages(spark, sf)), run(spark, sf, GENERIC_FILES, "documents"))
+
+
 #: Documents with planted words of several kinds of material.
 SIGNAL_DOCS = "select doc_id, concat(text, case doc_id % 8 when 0 then ' ISBN 12, copyright' when 1 then ' Revista X, resumo e palavras-chave, 10.1234/abc, ISSN 1234-5678' when 2 then ' Tese, orientador' when 3 then ' plano de aula, Lição 4' when 4 then ' sermão' when 5 then ' doi 10.5555/x.y references' else '' end) as text, case doc_id % 5 when 0 then 'livro' when 1 then 'documento' when 2 then 'revista' when 3 then 'artigo' end as type, case when doc_id % 3 = 0 then '978' end as isbn, cast(doc_id % 150 as int) as n_pages from {documents}"
 

@@ -9,6 +9,7 @@ from recordspark.operators import classify as C
 from recordspark.operators import cover as V
 from recordspark.operators import extract as X
 from recordspark.operators import fusion as U
+from recordspark.operators import generic as D
 from recordspark.operators import linkage as L
 from recordspark.operators import mining as M
 from recordspark.operators import quality as Q
@@ -117,6 +118,26 @@ def test_document_types(spark):
     assert got == {k: (t[2], t[3]) for k, t in texts.items()} | {8: ("apresentação", 12)}
 
 
+def test_generic_documents(spark):
+    texts = {
+        1: ("Estudo da casa\nAutor: Ana Luz\nhttp://a.org/2011/x.", "f.pdf", False, ("documento", "Estudo da casa", "Ana Luz", "2011", "http://a.org/2011/x", "alta")),
+        2: ("Estudo\nwww.a.org,www.b.org", "f.pdf", False, ("documento", "Estudo", "", "", "www.a.org www.b.org", "media")),
+        3: ("curso de grego", "minha apostila.doc", True, ("apostila", "curso de grego", "", "", "", "baixa")),
+        4: ("Questionário\nAutor: Eva", "f.pdf", False, ("arquivo inválido", "Questionário", "", "", "", "descarte")),
+        5: ("Estudo\nFonte: x\nISBN 1", "f.pdf", True, None),
+        6: ("um texto comum", "f.pdf", False, None),
+        7: ("Carta\nAutora: Eva Sol\n3 de março de 1999", None, None, ("documento", "Carta", "Eva Sol", "1999", "", "alta")),
+        8: (None, "resumo.pdf", False, ("arquivo inválido", "", "", "", "", "descarte")),
+        9: ("", "f.pdf", True, None),
+    }
+    texts[7] = (texts[7][0] + "\nFonte: casa", *texts[7][1:])
+    pages = rows(spark, [(k, 1, t[0]) for k, t in texts.items()], "doc_id long, page_no int, text string")
+    files = rows(spark, [(k, t[1], t[2]) for k, t in texts.items()], "doc_id long, name string, word boolean")
+    got = {r.doc_id: tuple(r[1:]) for r in D.generic_documents(pages, files).collect()}
+    assert got == {k: t[3] for k, t in texts.items() if t[3]}
+    assert D.generic_documents(pages.limit(0), files).count() == 0
+
+
 def test_cover_titles(spark):
     b = lambda c, text, left, top, w, h, area, mean, author: (c, text, author, left, top, w, h, area, mean)
     data = [
