@@ -359,3 +359,31 @@ _SPELL = "case {c} % 7 when 0 then 'Português' when 1 then 'portugues' when 2 t
 )
 def ag7(spark, sf):
     return A.language_name_profile(table(spark, sf, "customer").select(F.expr(_SPELL.format(c="c_custkey")).alias("language")))
+
+
+#: Cards and parts of cards planted on the second page of documents.
+_SIGN_CARDS = ["S586c Silva, Ana de\nA casa do rio / Ana de Silva. - São José\ndos Campos : Mar Alto, 2011.\n214 p.\nISBN 978-85-7742-123-4\nCDD 869.3", "Reis, Rui, 1950-\nO rio / Rui Reis.- Porto: Norte, 1998\n90p", "Editora: Mar\nISBN: 85 7742 123 X\n300 pp.\n2001", "ISBN 9788577421234\n12 p.\nCDU: 2-23\n1999", "texto - lugar: casa, 1999", "Luz, Eva;\nEditora: Sul\n1980, 1985"]
+SIGN_PAGES = "select doc_id, page_no, case when page_no = 2 then concat(case doc_id % 9 " + " ".join(f"when {k} then concat('{m.replace(chr(10), "', chr(10), '")}', chr(10))" for k, m in enumerate(_SIGN_CARDS)) + " else '' end, text) else text end as text from {pg}"
+_TIDY = lambda x: f"nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
+_STATED = "'^\\s*([^:;]{2,90}):[ \\t]*([^,;:\\n]{2,80}),[ \\t]*\\[?((19|20)[0-9][0-9])\\b'"
+_CREDITED = "'([^\\n/]{2,300})[ \\t]/[ \\t]+([^\\n/.]{3,150})[. \\t\\n]*$'"
+
+
+@query(
+    "ex7_cards_by_signs",
+    f"""with {PAGES}, sp as ({SIGN_PAGES.replace("{pg}", "pg")}), s0 as (select doc_id, page_no, text as t, regexp_split_to_array(text, '(^|[\\s.])[-–—]') as parts from sp where page_no <= 10),
+      s1 as (select *, list_filter(range(1, len(parts)), lambda k: regexp_matches(parts[k + 1], {_STATED}))[1] as spot from s0),
+      s2 as (select doc_id, page_no, {_TIDY("regexp_extract(t, '(?im)^[ \\t]*(?:editora|editorial|publisher)[ \\t]*:[ \\t]*([^\\n]{2,80})$', 1)")} as house, upper(regexp_replace(regexp_extract(t, '(?i)\\bisbn[: \\t-]*([0-9][0-9X -]{{8,16}}[0-9X])', 1), '[^0-9Xx]', '', 'g')) as digits,
+        cast(nullif(regexp_extract(t, '(?i)\\b([0-9]{{1,5}}) ?pp?\\b', 1), '') as int) as n_pages, nullif(trim(regexp_extract(t, '\\b(CDD|CDU)[ :.-]*([0-9][0-9.]*)', 1) || ' ' || regexp_extract(t, '\\b(CDD|CDU)[ :.-]*([0-9][0-9.]*)', 2)), '') as class,
+        {_TIDY("regexp_extract(t, '(?m)^[ \\t]*(?:[A-Z][0-9]{2,5}[a-z]?[ \\t]+)?(\\p{Lu}[\\p{L}''’-]+, \\p{Lu}[\\p{L}''’. -]{1,60}?)(?:, [0-9]{4}-[0-9]{0,4})?[.;]?[ \\t]*$', 1)")} as heading,
+        coalesce({_TIDY(f"regexp_extract(parts[spot + 1], {_STATED}, 3)")}, list_max(regexp_extract_all(t, '\\b((?:19|20)[0-9][0-9])\\b', 1))) as year, {_TIDY(f"regexp_extract(parts[spot + 1], {_STATED}, 1)")} as city, {_TIDY(f"regexp_extract(parts[spot + 1], {_STATED}, 2)")} as stated,
+        {_TIDY(f"regexp_extract(parts[spot], {_CREDITED}, 1)")} as title, {_TIDY(f"regexp_extract(parts[spot], {_CREDITED}, 2)")} as credit from s1),
+      s3 as (select *, case when length(digits) in (10, 13) then digits end as isbn from s2),
+      s4 as (select *, len(list_filter([house, isbn, cast(n_pages as varchar), class, heading, year, stated, title, credit], lambda x: x is not null)) as n_signs from s3)
+      select doc_id, page_no, cast(n_signs as int) as n_signs, title, coalesce(heading, credit) as author, city, coalesce(stated, house) as publisher, year, n_pages, isbn, class from s4
+      where n_signs >= 4 and coalesce(heading, house, stated) is not null qualify row_number() over (partition by doc_id order by page_no) = 1""",
+)
+def ex7_signs(spark, sf):
+    from recordspark.operators.cards import cards_by_signs
+
+    return cards_by_signs(spark.sql(SIGN_PAGES, pg=doc_pages(spark, sf)))

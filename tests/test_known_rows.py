@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from recordspark.operators import cards as N
 from recordspark.operators import classify as C
 from recordspark.operators import cover as V
 from recordspark.operators import extract as X
@@ -118,6 +119,24 @@ def test_document_types(spark):
     assert got == {k: (t[2], t[3]) for k, t in texts.items()} | {8: ("apresentação", 12)}
 
 
+def test_cards_by_signs(spark):
+    texts = {
+        1: ["", "S586c Silva, Ana de\nA casa do rio / Ana de Silva. - São José\ndos Campos : Mar Alto, 2011.\n214 p.\nISBN 978-85-7742-123-4\nCDD 869.3"],
+        2: ["Editora: Mar\nISBN: 85 7742 123 X\n300 pp.\n2001"],
+        3: ["ISBN 9788577421234\n12 p.\nCDU: 22\n1999"],  # four signs, none of them a name or a house
+        4: ["Luz, Eva\n1980", None, "Luz, Eva;\nEditora: Sul\n1980, 1985\n30 p."],
+        5: ["um texto"] * 10 + ["Editora: Mar\nISBN: 857742123X\n300 p.\n2001"],  # beyond the tenth page
+    }
+    pages = rows(spark, [(k, n, t) for k, ts in texts.items() for n, t in enumerate(ts, 1)], "doc_id long, page_no int, text string")
+    got = {r[0]: tuple(r[1:]) for r in N.cards_by_signs(pages).collect()}
+    assert got == {
+        1: (2, 8, "A casa do rio", "Silva, Ana de", "São José dos Campos", "Mar Alto", "2011", 214, "9788577421234", "CDD 869.3"),
+        2: (1, 4, None, None, None, "Mar", "2001", 300, "857742123X", None),
+        4: (3, 4, None, "Luz, Eva", None, "Sul", "1985", 30, None, None),
+    }
+    assert N.cards_by_signs(pages.limit(0)).count() == 0
+
+
 def test_generic_documents(spark):
     texts = {
         1: ("Estudo da casa\nAutor: Ana Luz\nhttp://a.org/2011/x.", "f.pdf", False, ("documento", "Estudo da casa", "Ana Luz", "2011", "http://a.org/2011/x", "alta")),
