@@ -20,13 +20,13 @@ _YEAR = r"(?:19|20)[0-9]{2}"
 
 def addresses(x: Column) -> Column:
     """Distinct web addresses in order: a word cut by a hyphen at the end of a line is whole again, a comma before the next address ends one, closing signs go."""
-    whole = F.regexp_replace(F.regexp_replace(x, r"(\w)-[ \t]*\n\s*(\w)", "$1-$2"), r"(?i),(https?://|www\.)", " $1")
+    whole = F.regexp_replace(F.regexp_replace(x, r"([\p{L}0-9_])-[ \t]*\n\s*([\p{L}0-9_])", "$1-$2"), r"(?i),(https?://|www\.)", " $1")
     return F.array_distinct(F.transform(F.regexp_extract_all(whole, F.lit(_ADDRESS), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,;:)\]}]+$", "")))
 
 
 def _label(scope: str, names: str) -> Column:
     """What follows a label on its line, 3 to 120 characters; empty without one."""
-    return F.trim(F.regexp_extract(scope, rf"(?im)^[ \t]*(?:{names})[ \t]*:[ \t]*([^\n]{{3,120}})$", 1))
+    return F.trim(F.regexp_extract(scope, rf"(?imu)^[ \t]*(?:{names})[ \t]*:[ \t]*([^\n]{{3,120}})$", 1))
 
 
 def generic_documents(pages: DataFrame, files: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def generic_documents(pages: DataFrame, files: DataFrame) -> DataFrame:
     """
     name = T.plain(F.regexp_replace(F.coalesce("name", F.lit("")), r"\.[^.]*$", ""))
     d = document_scopes(pages).join(files.select("doc_id", name.alias("stem"), F.coalesce("word", F.lit(False)).alias("word")), "doc_id")
-    line = F.filter(F.transform(F.split("page1", "\n"), F.trim), lambda x: F.length(x).between(4, 120) & x.rlike(r"\p{L}") & ~x.rlike(r"(?i)^(?:https?://|www\.)") & ~x.rlike(r"^[^\s:]+[ \t]*:"))
+    line = F.filter(F.transform(F.split("page1", "\n"), lambda x: F.trim(x)), lambda x: F.length(x).between(4, 120) & x.rlike(r"\p{L}") & ~x.rlike(r"(?i)^(?:https?://|www\.)") & ~x.rlike(r"^[^\s:]+[ \t]*:"))
     labelled = _label("page1", "t[ií]tulo|title")
     d = d.withColumn("title", F.when(labelled != "", labelled).otherwise(F.coalesce(F.get(line, F.lit(0)), F.lit(""))))
     d = d.withColumns({"author": _label("edges", "autora?|author|por"), "urls": addresses(F.col("edges")), "low": T.plain(F.col("edges"))})

@@ -157,6 +157,13 @@ def test_generic_documents(spark):
     assert D.generic_documents(pages.limit(0), files).count() == 0
 
 
+def test_generic_titles_are_whole_lines(spark):
+    texts = {1: "Autor: Eva Sol\nCarta 19.37.233.111", 2: "Autor: Eva Sol\n 1 casa 1 ", 3: "TÍTULO: A casa\nFonte: b", 4: "Estudo\nhttp://é-\nó.org"}
+    pages = rows(spark, [(k, 1, t) for k, t in texts.items()], "doc_id long, page_no int, text string")
+    got = {r.doc_id: (r.title, r.sources) for r in D.generic_documents(pages, pages.selectExpr("doc_id", "'f.pdf' name", "false word")).collect()}
+    assert got == {1: ("Carta 19.37.233.111", ""), 2: ("1 casa 1", ""), 3: ("A casa", ""), 4: ("Estudo", "http://é-ó.org")}
+
+
 def test_cover_titles(spark):
     b = lambda c, text, left, top, w, h, area, mean, author: (c, text, author, left, top, w, h, area, mean)
     data = [
