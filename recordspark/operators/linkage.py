@@ -161,7 +161,16 @@ def _editions(rows: DataFrame, key: str, p: str) -> DataFrame:
     surname = F.when(F.contains("author", F.lit(",")), F.substring_index("author", ",", 1)).otherwise(F.element_at(F.split(F.trim("author"), r"\s+"), -1))
     fields = [F.col(c).alias(f"{p}{c}") for c in ("year", "pages", "edition", "volume")]
     d = rows.select(F.col(key), F.array_sort(F.array_distinct(T.words(T.main_title(F.col("title"))))).alias(f"{p}w"), T.normal(surname).alias(f"{p}surname"), T.normal(F.col("author")).alias(f"{p}author"), T.canonical_isbn(F.col("isbn")).alias(f"{p}isbn"), *fields)
-    return d.withColumn(f"{p}set", F.md5(F.concat_ws(" ", f"{p}w")))
+    return d.withColumn(f"{p}set", F.xxhash64(F.concat_ws(" ", f"{p}w")))
+
+
+#: Bits of a title's mark, in numbers of 64; each word sets one of them.
+MARKS = 4
+
+
+def _mark(k: int) -> Column:
+    """The k-th 64 bits of the mark of the words w."""
+    return F.expr(f"aggregate(w, 0L, (m, x) -> m | if(pmod(shiftright(xxhash64(x), 6), {MARKS}) = {k}, shiftleft(1L, cast(pmod(xxhash64(x), 64) as int)), 0L))")
 
 
 def _title_pairs(t: DataFrame, c: DataFrame) -> DataFrame:
@@ -170,25 +179,43 @@ def _title_pairs(t: DataFrame, c: DataFrame) -> DataFrame:
     A similarity of 0.60 needs 0.60 / 0.95 of the shorter title's words, so the pair shares one of the
     first words of the shorter title, rarest first, that are left when one less than so many are
     taken away: only these meet all words of the other side, and frequent words meet nothing. However often a title
-    occurs, it is one row here.
+    occurs, it is one row here. Titles meet with marks only: a bit of the shorter title's mark that the other's lacks is a
+    word that it lacks, and pairs with too many of them go no further, so that few pairs are written and carry words.
     """
     spark = t.sparkSession
-    sets = lambda d, p: written(d.select(F.col(f"{p}set").alias("set"), F.col(f"{p}w").alias("w")).dropDuplicates(["set"]).withColumn("id", F.monotonically_increasing_id()), new_path(spark, "titles"))
+    sets = lambda d, p: written(d.select(F.col(f"{p}set").alias("set"), F.col(f"{p}w").alias("w")).dropDuplicates(["set"]), new_path(spark, "titles"))
     ts, cs = sets(t, "t_"), sets(c, "c_")
-    words = lambda d: d.select("id", F.size("w").alias("size"), F.explode("w").alias("word"))
+    words = lambda d: d.select("set", F.size("w").alias("size"), *[_mark(k).alias(f"m{k}") for k in range(MARKS)], F.explode("w").alias("word"))
     tw, cw = words(ts), words(cs)
     often = tw.select("word").unionAll(cw.select("word")).groupBy("word").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("id").orderBy("often", "word")
-    needed = F.ceil(F.col("size") * (POSSIBLE / 0.95) - 1e-9)
-    ranked = lambda d: written(d.join(often, "word").withColumn("rank", F.row_number().over(order)).withColumn("first", F.col("rank") <= F.col("size") - needed + 1), new_path(spark, "title-words"))
+    order = Window.partitionBy("set").orderBy("often", "word")
+    needed = lambda size: F.ceil(F.col(size) * (POSSIBLE / 0.95) - 1e-9)
+    ranked = lambda d: written(d.join(often, "word").withColumn("first", F.row_number().over(order) <= F.col("size") - needed("size") + 1).drop("often"), new_path(spark, "title-words"))
     rt, rc = ranked(tw), ranked(cw)
-    meet = lambda x, y: x.select(F.col("id").alias("t_id"), F.col("size").alias("ts"), "word").join(y.select(F.col("id").alias("c_id"), F.col("size").alias("cs"), "word"), "word")
-    pairs = meet(rt.where("first"), rc).where("ts <= cs").unionAll(meet(rt, rc.where("first")).where("ts > cs")).select("t_id", "c_id").distinct()
-    both = pairs.join(ts.selectExpr("id t_id", "set t_set", "w tw"), "t_id").join(cs.selectExpr("id c_id", "set c_set", "w cw"), "c_id")
-    both = both.select("t_set", "c_set", F.size("tw").alias("n"), F.size("cw").alias("m"), F.size(F.array_intersect("tw", "cw")).alias("k"))
-    covered = F.col("k") / F.greatest(F.lit(1), F.least("n", "m")) * F.when(F.least("n", "m") >= 2, 0.95).otherwise(0.70)
-    sim = F.when(F.least("n", "m") > 0, F.greatest(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), covered)).otherwise(0.0)
-    return both.select("t_set", "c_set", sim.alias("title_sim")).where(F.col("title_sim") >= POSSIBLE)
+
+    def meet(short: DataFrame, long: DataFrame, fits: Column) -> DataFrame:
+        """short, long: titles of both sides whose marks leave enough common words."""
+        x = short.where("first").select("word", F.col("set").alias("short"), F.col("size").alias("n"), *[F.col(f"m{k}").alias(f"x{k}") for k in range(MARKS)])
+        y = long.select("word", F.col("set").alias("long"), F.col("size").alias("m"), *[F.col(f"m{k}").alias(f"y{k}") for k in range(MARKS)])
+        lacking = sum((F.bit_count(F.col(f"x{k}").bitwiseAND(F.bitwise_not(F.col(f"y{k}")))) for k in range(MARKS)), F.lit(0))
+        return x.join(y, (x.word == y.word) & fits & (F.col("n") - lacking >= needed("n"))).select("short", "long").distinct()
+
+    def checked(pairs: DataFrame, short: DataFrame, long: DataFrame) -> DataFrame:
+        """short, long, title_sim: the shorter title's words come first, so that they lie sorted, and are packed well, when the pairs go to the other's."""
+        both = pairs.join(short.selectExpr("set short", "w sw"), "short").join(long.selectExpr("set long", "w lw"), "long")
+        both = both.select("short", "long", F.size("sw").alias("n"), F.size("lw").alias("m"), F.size(F.array_intersect("sw", "lw")).alias("k"))
+        covered = F.col("k") / F.greatest(F.lit(1), F.col("n")) * F.when(F.col("n") >= 2, 0.95).otherwise(0.70)
+        sim = F.when(F.col("n") > 0, F.greatest(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), covered)).otherwise(0.0)
+        return both.select("short", "long", sim.alias("title_sim")).where(F.col("title_sim") >= POSSIBLE)
+
+    one = checked(meet(rt, rc, F.col("n") <= F.col("m")), ts, cs).selectExpr("short t_set", "long c_set", "title_sim")
+    return one.unionAll(checked(meet(rc, rt, F.col("n") < F.col("m")), cs, ts).selectExpr("long t_set", "short c_set", "title_sim"))
+
+
+def _both_editions(targets: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides' editions as tables, since they are read several times; has_isbn of both."""
+    keep = lambda d, p: written(d.withColumn(f"{p}has_isbn", F.col(f"{p}isbn").isNotNull()), new_path(d.sparkSession, "editions"))
+    return keep(_editions(targets, "target_id", "t_"), "t_"), keep(_editions(candidates, "cand_id", "c_"), "c_")
 
 
 def _agree(x: str) -> Column:
@@ -232,7 +259,7 @@ def _scored(j: DataFrame) -> DataFrame:
 def _by_isbn(t: DataFrame, c: DataFrame) -> DataFrame:
     """Pairs with the same ISBN and their similarity."""
     j = t.join(c, F.col("t_isbn") == F.col("c_isbn"))
-    return j.withColumn("title_sim", T.title_similarity(F.col("t_w"), F.col("c_w")))
+    return j.withColumn("title_sim", F.coalesce(T.title_similarity(F.col("t_w"), F.col("c_w")), F.lit(0.0)))
 
 
 def score_matches(targets: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -243,7 +270,7 @@ def score_matches(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     Titles are compared once for all their copies (see _title_pairs), which meet only then; Spark splits the partitions of
     a frequent title (adaptive skew joins).
     """
-    t, c = _editions(targets, "target_id", "t_"), _editions(candidates, "cand_id", "c_")
+    t, c = _both_editions(targets, candidates)
     by_title = t.join(_title_pairs(t, c), "t_set").join(c, "c_set")
     by_isbn = _by_isbn(t, c).where(F.col("title_sim") < POSSIBLE)
     j = _scored(by_title.unionByName(by_isbn))
@@ -258,57 +285,99 @@ def score_matches(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     return j.select("target_id", "cand_id", "title_sim", "author_ok", "isbn_exact", "score", "blocked", "approved", confirmations.alias("confirmations"), F.when(F.col("approved") & clean, "").otherwise(rejections).alias("rejections"))
 
 
+def score_classes(targets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """What score_matches() says, between classes: part, of, target_id, cand_id, title_sim, author_ok, score, score_year, score_pages, score_both, blocked, able, confirmations, rejections, year, pages.
+
+    Rows as in score_matches(). A class holds the rows of a side that a score tells apart by year and pages only: the same title words, surname
+    (candidates: author), edition, volume, and an ISBN or none; its smallest id stands for it. part `pair`: two classes with a title similarity of at
+    least 0.60; score: where neither year nor pages agree, score_year, score_pages, score_both: where one or both do. A pair of rows is approved if it is able and its score reaches 0.68;
+    two ISBNs are taken as different. part `isbn`: two rows with the same ISBN, which goes before the pair of their classes; score is theirs, able says approved.
+    parts `target` and `candidate`: each row with its class (of), year and pages. Copies cost a row each, and no pairs.
+    """
+    t, c = _both_editions(targets, candidates)
+    t_same, c_same = ("t_set", "t_surname", "t_edition", "t_volume", "t_has_isbn"), ("c_set", "c_author", "c_edition", "c_volume", "c_has_isbn")
+    keep = lambda d: written(d, new_path(targets.sparkSession, "title-classes"))
+    tk, ck = keep(t.groupBy(*t_same).agg(F.min("target_id").alias("target_id"))), keep(c.groupBy(*c_same).agg(F.min("cand_id").alias("cand_id")))
+    j = _title_pairs(t, c).join(tk, "t_set").join(ck, "c_set")
+    j = j.withColumns({"author_ok": _author_ok(), "no_author": F.coalesce("t_surname", F.lit("")) == "", "blocked": (F.col("t_has_isbn") & F.col("c_has_isbn")) | _differ("edition") | _differ("volume")})
+    j = j.withColumns({"able": ~F.col("blocked") & (F.col("title_sim") >= SIMILAR) & (F.col("author_ok") | F.col("no_author")), "isbn_exact": F.lit(False), "untitled": F.lit(False), "other_isbn": F.col("t_has_isbn") & F.col("c_has_isbn")})
+    scores = {n: _score(_points(F.lit(y), F.lit(p))) for n, y, p in (("score", False, False), ("score_year", True, False), ("score_pages", False, True), ("score_both", True, True))}
+    j = j.withColumns({**scores, "part": F.lit("pair"), "same_year": F.lit(False), "close": F.lit(False)})
+    i = _scored(_by_isbn(t, c)).withColumns({"able": F.col("approved"), "untitled": F.coalesce(F.size("c_w") == 0, F.lit(False)), "other_isbn": F.lit(False), "same_year": _agree("year"), "part": F.lit("isbn")})
+    i = i.withColumns({n: F.lit(None).cast("double") for n in ("score_year", "score_pages", "score_both")})
+    said = lambda *rules: F.array_join(F.array_compact(F.array(*[F.when(r, m) for r, m in rules])), "; ")
+    equal, other_title, wanting = F.col("t_set") == F.col("c_set"), F.col("title_sim") < SIMILAR, ~F.col("author_ok") & ~F.col("no_author")
+    has_author = F.coalesce("c_author", F.lit("")) != ""
+    confirmations = said((F.col("isbn_exact"), "isbn"), (equal, "title"), (~equal & ~other_title, "title cut or other subtitle"), (F.col("author_ok"), "author"), (_agree("edition"), "edition"), (_agree("volume"), "volume"), (F.col("same_year"), "year"), (F.col("close"), "pages"))
+    rejections = said((other_title & ~F.col("untitled"), "other title"), (other_title & F.col("untitled"), "no title"), (wanting & has_author, "author not found"), (wanting & ~has_author, "no author"), (F.col("other_isbn"), "other isbn"), (_differ("edition"), "other edition"), (_differ("volume"), "other volume"))
+    none = lambda d, n: F.lit(None).cast(d.schema[n].dataType).alias(n)
+    told = lambda d: d.select("part", none(t, "target_id").alias("of"), "target_id", "cand_id", "title_sim", "author_ok", *scores, "blocked", "able", confirmations.alias("confirmations"), rejections.alias("rejections"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("int").alias("pages"))
+    rows = told(j).unionByName(told(i))
+
+    def members(d: DataFrame, classes: DataFrame, k: str, p: str, same: tuple, name: str) -> DataFrame:
+        key = F.md5(F.to_json(F.struct(*same)))
+        m = d.select(F.lit(name).alias("part"), k, key.alias("key"), F.col(f"{p}year").cast("int").alias("year"), F.col(f"{p}pages").cast("int").alias("pages"))
+        return heavy_join(m, classes.select(key.alias("key"), F.col(k).alias("of")), ["key"]).drop("key")
+
+    rows = rows.unionByName(members(t, tk, "target_id", "t_", t_same, "target"), allowMissingColumns=True)
+    return rows.unionByName(members(c, ck, "cand_id", "c_", c_same, "candidate"), allowMissingColumns=True)
+
+
 #: What year and pages can add to a score, and all that a title's similarity leaves open; a little more, for rounding.
 LATE, OPEN = 0.14 + 1e-6, 0.58 + 1e-6
 
 
 def _best_scored(t: DataFrame, pairs: DataFrame, coarse: DataFrame, fine: DataFrame, least: DataFrame | None) -> DataFrame:
-    """target_id, best (score and candidate of the best approved), top (highest score): of the title pairs given, of those whose bounds reach `least`.
+    """t_kind, best (score and candidate of the best approved), top (highest score): of the title pairs given, of those whose bounds reach `least`.
 
-    Two bounds: a title pair is taken up if its similarity and all else agreeing could reach the target's best so far, and a
+    Two bounds: a title pair is taken up if its similarity and all else agreeing could reach the kind of target's best so far, and a
     kind of candidate (coarse: title, author, edition, volume, whether with an ISBN) if year and pages agreeing could.
     """
     tc = t.join(pairs, "t_set")
     if least is not None:
         could = _score(0.52 * F.col("title_sim") + _flag(F.col("title_sim") >= 0.90, 0.04) + OPEN)
-        tc = tc.join(least, "target_id", "left").where((could >= F.coalesce("best_low", F.lit(0.0))) | (could >= F.coalesce("top_low", F.lit(0.0)))).drop("best_low", "top_low")
+        tc = tc.join(least, "t_kind", "left").where((could >= F.coalesce("best_low", F.lit(0.0))) | (could >= F.coalesce("top_low", F.lit(0.0)))).drop("best_low", "top_low")
     k = tc.join(coarse, "c_set")
     k = k.withColumns({"author_ok": _author_ok(), "no_author": F.coalesce("t_surname", F.lit("")) == ""})
-    k = k.withColumn("blocked", (F.col("t_isbn").isNotNull() & F.col("c_has_isbn")) | _differ("edition") | _differ("volume"))
+    k = k.withColumn("blocked", (F.col("t_has_isbn") & F.col("c_has_isbn")) | _differ("edition") | _differ("volume"))
     k = k.withColumn("able", ~F.col("blocked") & (F.col("title_sim") >= SIMILAR) & (F.col("author_ok") | F.col("no_author")))
     sure = _score(_points(F.lit(False), F.lit(False)))
     k = k.withColumn("sure", sure).withColumn("could", _score(_points(F.lit(False), F.lit(False)) + LATE))
-    own = Window.partitionBy("target_id")
+    own = Window.partitionBy("t_kind")
     k = k.withColumn("any_low", F.max("sure").over(own)).withColumn("able_low", F.max(F.when(F.col("able") & (F.col("sure") >= SIMILAR), F.col("sure"))).over(own))
     k = k.where((F.col("could") >= F.col("any_low")) | (F.col("able") & (F.col("could") >= F.coalesce("able_low", F.lit(0.0)))))
     j = k.drop("any_low", "able_low", "sure", "could", "c_author").join(fine, "kind")
     j = j.withColumn("score", _score(_points(_agree("year"), _close())))
     best = F.when(F.col("able") & (F.col("score") >= SIMILAR), F.struct((-F.col("score")).alias("less"), F.col("cand_id"), F.lit(False).alias("isbn_exact")))
-    return j.groupBy("target_id").agg(F.min(best).alias("best"), F.max("score").alias("top"))
+    return j.groupBy("t_kind").agg(F.min(best).alias("best"), F.max("score").alias("top"))
 
 
 def top_matches(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     """target_id, cand_id, score, isbn_exact, top: the highest approved candidate of each target (ties: smallest id) and its highest score of all.
 
-    What best_match() needs of score_matches(), without its pairs: candidates are put into kinds, equal titles are scored
+    What best_match() needs of score_matches(), without its pairs: targets and candidates are put into kinds, equal titles are scored
     first, and other titles, and kinds, only where their upper bound reaches what a target has already. Pairs with the same ISBN are scored by themselves.
     """
-    t, c = _editions(targets, "target_id", "t_"), _editions(candidates, "cand_id", "c_").withColumn("c_has_isbn", F.col("c_isbn").isNotNull())
+    t, c = _both_editions(targets, candidates)
+    spark = targets.sparkSession
+    same = ("t_set", "t_surname", "t_edition", "t_volume", "t_has_isbn", "t_year", "t_pages")
+    of_kind = F.md5(F.to_json(F.struct(*same)))
+    slim = t.select(of_kind.alias("t_kind"), *same).dropDuplicates(["t_kind"])
     kind = F.md5(F.to_json(F.struct("c_set", "c_author", "c_edition", "c_volume", "c_has_isbn")))
     fine = c.withColumn("kind", kind).groupBy("c_set", "c_author", "c_edition", "c_volume", "c_has_isbn", "kind", "c_year", "c_pages").agg(F.min("cand_id").alias("cand_id"))
-    spark = targets.sparkSession
-    path = new_path(spark, "kinds")
-    fine = written(fine, path)
+    fine = written(fine, new_path(spark, "kinds"))
     coarse = fine.select("c_set", "c_author", "c_edition", "c_volume", "c_has_isbn", "kind").distinct()
     pairs = written(_title_pairs(t, c), new_path(spark, "title-pairs"))
-    slim, fine = t.drop("t_w"), fine.select("kind", "c_year", "c_pages", "cand_id")
+    slim, fine = written(slim, new_path(spark, "kinds")), fine.select("kind", "c_year", "c_pages", "cand_id")
     first = written(_best_scored(slim, pairs.where("t_set = c_set"), coarse, fine, None), new_path(spark, "first-matches"))
-    least = first.select("target_id", (-F.col("best.less")).alias("best_low"), F.col("top").alias("top_low"))
+    least = first.select("t_kind", (-F.col("best.less")).alias("best_low"), F.col("top").alias("top_low"))
     second = _best_scored(slim, pairs.where("t_set <> c_set"), coarse, fine, least)
+    by_kind = first.unionByName(second).groupBy("t_kind").agg(F.min("best").alias("best"), F.max("top").alias("top"))
+    found = heavy_join(t.select("target_id", of_kind.alias("t_kind")), by_kind, ["t_kind"]).drop("t_kind")
     exact = _scored(_by_isbn(t, c))
     best = F.when(F.col("approved"), F.struct((-F.col("score")).alias("less"), F.col("cand_id"), F.lit(True).alias("isbn_exact")))
     exact = exact.groupBy("target_id").agg(F.min(best).alias("best"), F.max("score").alias("top"))
-    every = first.unionByName(second).unionByName(exact).groupBy("target_id").agg(F.min("best").alias("m"), F.max("top").alias("top")).where("m is not null")
+    every = found.unionByName(exact).groupBy("target_id").agg(F.min("best").alias("m"), F.max("top").alias("top")).where("m is not null")
     return every.select("target_id", F.col("m.cand_id").alias("cand_id"), (-F.col("m.less")).alias("score"), F.col("m.isbn_exact").alias("isbn_exact"), "top")
 
 
