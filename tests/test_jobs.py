@@ -235,3 +235,38 @@ def test_prefix_filter_equals_all_pairs(spark):
         return max(c / len(x | y), c / least * (0.95 if least >= 2 else 0.70)) >= 0.60
 
     assert got == {(a[0], b[0]) for a in rows for b in rows if alike(a[1], b[1])}
+
+
+def test_classes_say_what_pairs_say(spark):
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "of"]
+    isbns = [None, None, "9780801026560", "9788527501811"]
+
+    def row(k):
+        return k, " ".join(rng.choices(words, k=rng.randint(0, 6))) or None, rng.choice(["Luz, Ana", "Ana Luz", "", None]), rng.choice(isbns), rng.choice([2000, 2001, None]), rng.choice([100, 105, 300]), rng.choice([1, 2, None]), rng.choice([1, None])
+
+    fields = "title string, author string, isbn string, year int, pages int, edition int, volume int"
+    t = spark.createDataFrame([row(k) for k in range(60)], f"target_id long, {fields}")
+    c = spark.createDataFrame([row(k) for k in range(60)], f"cand_id long, {fields}")
+    want = {(r.target_id, r.cand_id): (r.title_sim, r.author_ok, r.score, r.blocked, r.approved) for r in L.score_matches(t, c).collect()}
+    got, parts = {}, {}
+    for r in L.score_classes(t, c).collect():
+        parts.setdefault(r.part, []).append(r)
+    side = lambda part, k: {of: [r for r in parts[part] if r.of == of] for of in {r.of for r in parts[part]}}
+    ts, cs = side("target", "target_id"), side("candidate", "cand_id")
+    assert sorted(r.target_id for r in parts["target"]) == sorted(r.cand_id for r in parts["candidate"]) == list(range(60))
+    for p in parts["pair"]:
+        for x in ts[p.target_id]:
+            for y in cs[p.cand_id]:
+                year, close = x.year is not None and x.year == y.year, abs(x.pages - y.pages) / max(x.pages, y.pages) <= 0.12
+                score = (p.score_both if close else p.score_year) if year else p.score_pages if close else p.score
+                assert (x.target_id, y.cand_id) not in got
+                got[x.target_id, y.cand_id] = (p.title_sim, p.author_ok, score, p.blocked, p.able and score >= 0.68)
+    got |= {(r.target_id, r.cand_id): (r.title_sim, r.author_ok, r.score, r.blocked, r.able) for r in parts["isbn"]}
+    assert got == want
+
+
+def test_classes_of_copies_cost_no_pairs(spark):
+    t = spark.range(20_000).selectExpr("id target_id", "'Same Title Here' title", "'Luz, Ana' author", "cast(null as string) isbn", "2000 + cast(id % 20 as int) year", "100 pages", "1 edition", "1 volume")
+    got = {(r.part, r.n) for r in L.score_classes(t, t.withColumnRenamed("target_id", "cand_id")).groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert got == {("pair", 1), ("target", 20_000), ("candidate", 20_000)}
