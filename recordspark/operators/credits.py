@@ -47,18 +47,29 @@ def word_class(token: Column) -> Column:
     return F.coalesce(*known, F.when(token.rlike("^(1[5-9]|20)[0-9]{2}$"), "Y"), F.when(token.rlike("^[0-9]{1,2}$"), "N"), F.when(token == ":", "K"), F.lit("x"))
 
 
-def edition_year(lines: str, latest: int) -> Column:
-    """Column: the year of the best form in an array of lines, at most `latest`; null without one. A form may go on to the next line where its own has no year."""
-    unit = F.transform(lines, lambda x, i: F.when(x.rlike(HAS_YEAR), x).otherwise(F.concat_ws(" ", x, F.get(lines, i + 1))))
-    tokens = F.transform(F.filter(unit, lambda u: u.rlike(HAS_YEAR)), lambda u: F.regexp_extract_all(T.plain(u), F.lit(TOKEN), F.lit(0)))
+def dated_unit(line: Column, following: Column) -> Column:
+    """A line, or the line with the one after it where it has no year itself."""
+    return F.when(line.rlike(HAS_YEAR), line).otherwise(F.concat_ws(" ", line, following))
+
+
+def form_year(units: Column, latest: int) -> Column:
+    """Column: the year of the best form in an array of dated_unit(), at most `latest`; null without one."""
+    tokens = F.transform(F.filter(units, lambda u: u.rlike(HAS_YEAR)), lambda u: F.regexp_extract_all(T.plain(u), F.lit(TOKEN), F.lit(0)))
     read = F.transform(tokens, lambda ts: F.struct(ts.alias("ts"), F.array_join(F.transform(ts, word_class), "").alias("c")))
 
-    def years(form: str) -> Column:
+    def years(read: Column, form: str) -> Column:
         # the prefix up to the end of the form is as long as the number of its last token
         of = F.transform(read, lambda r: F.try_element_at(r.ts, F.nullif(F.length(F.regexp_extract(r.c, "^.*?" + form, 0)), F.lit(0))).cast("int"))
         return F.filter(of, lambda y: y <= latest)
 
-    return F.get(F.flatten(F.array(*[years(f) for _, f in EDITION_FORMS])), F.lit(0))
+    # an array of one, so that all forms share what was read
+    best = F.transform(F.array(read), lambda r: F.get(F.flatten(F.array(*[years(r, f) for _, f in EDITION_FORMS])), F.lit(0)))
+    return F.get(best, F.lit(0))
+
+
+def edition_year(lines: str, latest: int) -> Column:
+    """Column: the year of the best form in an array of lines, at most `latest`; null without one. A form may go on to the next line where its own has no year."""
+    return form_year(F.transform(lines, lambda x, i: dated_unit(x, F.get(lines, i + 1))), latest)
 
 
 @dataclass(frozen=True)
