@@ -166,10 +166,8 @@ def numbered_edition(lines: str) -> Column:
     return _first(F.transform(lines, one), (6, 40), ".")
 
 
-def credit_fields(scopes, source: str = "copyright"):
-    """doc_id, field, source, value, rank of the credit lines of document_scopes(): publishers by label, then beside the rights, then alone on a line."""
-    s = scopes.select("doc_id", F.split("credit", "\n").alias("ls"), F.split("first3", "\n").alias("ls3"))
-    found = [(r.field, labelled_value("ls", r), 1) for r in CREDIT_LABELS]
-    found += [("publisher", rights_holder("ls"), 2), ("publisher", house_line("ls"), 3), ("edition", numbered_edition("ls"), 1), ("edition", numbered_edition("ls3"), 2)]
-    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(source).alias("source"), v.alias("value"), F.lit(rank).alias("rank")) for f, v, rank in found])
-    return s.select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.*").where("value is not null")
+def credit_rows(ls: str, ls3: str, source: str = "copyright") -> Column:
+    """Column: an array of field, source, value, rank of the lines of credit pages and of the first three pages; value is null where a reader finds nothing."""
+    found = [(r.field, labelled_value(ls, r), 1) for r in CREDIT_LABELS]
+    found += [("publisher", rights_holder(ls), 2), ("publisher", house_line(ls), 3), ("edition", numbered_edition(ls), 1), ("edition", numbered_edition(ls3), 2)]
+    return F.array(*[F.struct(F.lit(f).alias("field"), F.lit(source).alias("source"), v.alias("value"), F.lit(rank).alias("rank")) for f, v, rank in found])

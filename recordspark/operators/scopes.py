@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordspark.functions import text as T
@@ -21,8 +21,13 @@ def document_scopes(pages: DataFrame) -> DataFrame:
     last three are gathered, so a long document costs no more than a short one. card: what follows
     the first cataloguing header; credit: the pages of these that speak of rights. Null texts are empty.
     """
-    size = pages.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) != "").alias("n_text"), F.count_if((F.trim(F.coalesce("text", F.lit(""))) != "") & (F.length(F.regexp_replace(F.trim("text"), r"\s+", " ")) < 700)).alias("n_short"))
-    p = pages.select("doc_id", "page_no", F.coalesce("text", F.lit("")).alias("text")).join(size, "doc_id").where("page_no <= 12 or page_no > n - 3")
+    w = Window.partitionBy("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    trimmed = F.trim(text)
+    # pages are counted where they meet: counts joined to them from the side would be a table so small that one task got all texts
+    p = pages.where("doc_id is not null").select("doc_id", "page_no", text.alias("text"), (trimmed != "").alias("filled"), ((F.length(trimmed) < 700) | (F.length(F.regexp_replace(trimmed, r"\s+", " ")) < 700)).alias("short"))
+    p = p.select("doc_id", "page_no", "text", F.count("*").over(w).alias("n"), F.count_if("filled").over(w).alias("n_text"), F.count_if(F.col("filled") & F.col("short")).over(w).alias("n_short"))
+    p = p.where("page_no <= 12 or page_no > n - 3")
     got = p.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("n_text").alias("n_text"), F.first("n_short").alias("n_short"), F.sort_array(F.collect_list(F.struct("page_no", "text"))).alias("ps"))
     of = lambda test: F.array_join(F.transform(F.filter("ps", test), lambda x: x.text), "\n")
     upto = lambda k: of(lambda x: x.page_no <= k)
