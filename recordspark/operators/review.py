@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordspark.functions import text as T
+from recordspark.functions.tables import dealt
 from recordspark.operators.credits import after_prefix, raw_line
 
+
 def missing_field_causes(records: DataFrame, required: DataFrame, aliases: DataFrame, evidence: DataFrame, rejections: DataFrame, most: int = 5) -> DataFrame:
     """(rec_id, field, causes): fields that the type requires and no evidence fills, with what is known about it.
 
@@ -139,22 +141,21 @@ def link_author_authority(records: DataFrame, authors: DataFrame) -> DataFrame:
     Colaborador where somebody else is editor, organiser or coordinator.
     """
     parts = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce("author", F.lit("")), r"\s+", " "), r"(?i)\s*;\s*| (?:&|e|y|and) "), lambda x: F.trim(x, F.lit(" ,;"))), lambda x: x != "")
-    found = [(role, F.transform(credited("lines_", label, sign), T.words), least) for role, label, sign, least in ROLE_LABELS]
-
-    def role_of(name: Column) -> Column:
-        words = T.words(name)
-        whole = F.array_join(words, " ")
-
-        def named(least: int):
-            line = lambda w: F.array_join(w, " ")
-            return lambda w: (whole != "") & (F.contains(line(w), whole) | F.contains(whole, line(w)) | (F.size(F.array_intersect(words, w)) >= least))
-
-        return F.coalesce(*[F.when(F.exists(names, named(least)), role) for role, names, least in found])
-
-    people = F.transform(parts, lambda x: F.struct(x.alias("raw"), role_of(x).alias("role")))
-    p = records.withColumn("lines_", F.split(F.coalesce("credits", F.lit("")), "\n")).select("rec_id", people.alias("people"))
+    in_words = lambda x: F.transform(x, lambda v: F.struct(T.words(v).alias("words"), T.normal(v).alias("line")))
+    found = [F.struct(F.lit(role).alias("role"), in_words(credited("lines_", label, sign)).alias("names"), F.lit(least).alias("least")) for role, label, sign, least in ROLE_LABELS]
+
+    def role_of(x: Column) -> Column:
+        named = lambda f: F.exists(f.names, lambda v: F.contains(v.line, x.line) | F.contains(x.line, v.line) | (F.size(F.array_intersect(x.words, v.words)) >= f.least))
+        return F.when((F.size("found") > 0) & (x.line != ""), F.get(F.filter("found", named), F.lit(0)).role)
+
+    # what is credited is read once a record, in a projection of its own, and only where there is something
+    p = dealt(records.select("rec_id", "author", "credits")).withColumn("lines_", F.split(F.coalesce("credits", F.lit("")), "\n"))
+    p = p.select("rec_id", parts.alias("parts"), F.when(F.col("credits") != "", F.filter(F.array(*found), lambda f: F.size(f.names) > 0)).alias("found"))
+    p = p.withColumn("parts", F.transform("parts", lambda x: F.struct(x.alias("raw"), T.words(x).alias("words"), T.normal(x).alias("line"))))
+    p = p.select("rec_id", F.transform("parts", lambda x: F.struct(x.raw.alias("raw"), role_of(x).alias("role"))).alias("people"))
     led = F.exists("people", lambda x: F.coalesce(x.role.isin("Editor", "Organizador", "Coordenador"), F.lit(False)))
-    p = p.select("rec_id", led.alias("led"), F.posexplode("people").alias("position", "x")).select("rec_id", "led", "position", "x.raw", "x.role")
+    # outer: else a test of the array's size is put before it, which works out all of it again
+    p = p.select("rec_id", led.alias("led"), F.posexplode_outer("people").alias("position", "x")).where("position is not null").select("rec_id", "led", "position", "x.raw", "x.role")
     known = authors.groupBy(T.author_key(F.col("authority")).alias("key")).agg(F.min("authority").alias("authority")).where("key is not null")
     j = p.withColumn("key", T.author_key(F.col("raw"))).join(known, "key", "left")
     house = F.concat(F.lit(" "), T.normal(F.col("raw")), F.lit(" ")).rlike(f" (?:{INSTITUTIONS}) ")
@@ -190,13 +191,14 @@ def review_packets(records: DataFrame, gaps: DataFrame, conflicts: DataFrame, mo
     return j.select("rec_id", F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"), F.coalesce("gaps", F.lit("")).alias("gaps"), F.coalesce("conflicts", F.lit("")).alias("conflicts"), action.alias("action")).orderBy(F.desc("n_gaps"), "rec_id").limit(most)
 
 
-def full_packets(records: DataFrame, causes: DataFrame, conflicts: DataFrame, pages: DataFrame, contradictions: DataFrame, most: int = 100) -> DataFrame:
+def full_packets(records: DataFrame, causes: DataFrame, conflicts: DataFrame, pages: DataFrame, contradictions: DataFrame, most: int = 100, chosen: DataFrame | None = None) -> DataFrame:
     """rec_id, n_gaps, gaps (field: causes), conflicts, pages, contradictions, action: the packets with why, where to look, and what speaks against the type.
 
     causes: rec_id, field, causes, as missing_field_causes() gives them; pages: rec_id, page_no of review_pages(); contradictions: rec_id,
     contradictions of type_signals(). The items are chosen first, so only theirs, `most` at the most, are gathered from the other tables.
+    chosen: the rows of review_packets(), where the caller has them; causes, pages and contradictions then need only their items.
     """
-    chosen = F.broadcast(review_packets(records, causes, conflicts, most).select("rec_id", "n_gaps", "conflicts", "action"))  # at most `most` rows
+    chosen = F.broadcast((review_packets(records, causes, conflicts, most) if chosen is None else chosen).select("rec_id", "n_gaps", "conflicts", "action"))  # at most `most` rows
     own = lambda d: d.join(chosen.select("rec_id"), "rec_id", "left_semi")
     told = own(causes).groupBy("rec_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(": ", "field", "causes"))), " | ").alias("gaps"))
     where = own(pages).groupBy("rec_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set("page_no")), lambda n: n.cast("string")), ", ").alias("pages"))

@@ -29,6 +29,14 @@ def test_authorities(spark):
     ]
 
 
+def test_authorities_are_dealt_and_read_once(spark):
+    rows = spark.createDataFrame([(k, "Ana Luz; Rui Reis", "Edited by Rui Reis") for k in range(40)], "rec_id long, author string, credits string").coalesce(1)
+    found = R.link_author_authority(rows, spark.createDataFrame([("Luz, Ana",)], "authority string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition " in plan and "Filter (size(" not in plan and "Filter ((size(" not in plan
+    assert sorted({(r.position, r.name, r.role) for r in found.collect()}) == [(0, "Luz, Ana", "Colaborador"), (1, "Reis, Rui", "Editor")] and found.count() == 80
+
+
 def test_dispatch_limit_is_global(spark):
     rows = [("a", 1, False)] * 3 + [("a", 1, True)] + [("b", 2, False)] * 4 + [("c", 3, False)] * 2
     got = {r.queue: (r.available, r.uncertain, r.selected) for r in W.plan_dispatch(spark.createDataFrame(rows, "queue string, ord int, uncertain boolean"), 5).collect()}
