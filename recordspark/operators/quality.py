@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,19 +15,52 @@ VOWELS = "aeiouáàâãéêíóôõúü"
 CONSONANT_RUN = "[bcdfghjklmnpqrstvwxyz]{5}"
 
 
-def _word_like(p: Column) -> Column:
-    """At least three signs, more than 70 % of them letters, a vowel, no run of five consonants."""
-    s = F.lower(F.regexp_replace(p, r"""^[.,;:()\[\]«»"']+|[.,;:()\[\]«»"']+$""", ""))
-    letters = F.length(F.regexp_replace(s, r"[^\p{L}]", ""))
-    return (F.length(s) >= 3) & (letters / F.length(s) > 0.7) & s.rlike(f"[{VOWELS}]") & ~s.rlike(CONSONANT_RUN)
+#: Marks of a token: a candidate has three signs and a letter, a short one is one or two letters, a good one is word-like.
+CANDIDATE, GOOD, SHORT = 1, 2, 4
+_TOKENS = re.compile(r"[^ \t\n\x0b\f\r]+").findall
+_ENDS = "\x85\u2028\u2029"  #: line ends that are no blanks; what is asked of a token's end may stand before one
+_EDGE = ".,;:()[]«»\"'"
+#: Marks kept by a worker; texts say the same words again and again.
+KEPT = 200_000
+
+
+def _marks(token: str) -> int:
+    end = token[-1] if len(token) > 1 and token[-1] in _ENDS else ""
+    body = token[: len(token) - len(end)]
+    short = SHORT if len(body) <= 2 and body.isalpha() else 0
+    if len(token) <= 2 or not any(map(str.isalpha, token)):
+        return short
+    s = (body.strip(_EDGE) + end).lower()
+    like = len(s) >= 3 and sum(map(str.isalpha, s)) / len(s) > 0.7 and not _VOWELS.isdisjoint(s) and not _RUN.search(s)
+    return CANDIDATE | (GOOD if like else 0) | short
+
+
+_VOWELS, _RUN = frozenset(VOWELS), re.compile(CONSONANT_RUN)
+
+
+def token_counts(texts: pa.Array) -> pa.Array:
+    """Tokens, candidates, word-like (at least three signs without the punctuation around, more than 70 % of them letters, a vowel, no run of five consonants) and short ones of each text."""
+    marks: dict[str, int] = {}
+    rows = []
+    for text in texts:
+        tokens = _TOKENS(text.as_py())
+        found = [0] * 8
+        for token, n in Counter(tokens).items():
+            mark = marks.get(token)
+            if mark is None:
+                if len(marks) >= KEPT:
+                    marks.clear()
+                mark = marks[token] = _marks(token)
+            found[mark] += n
+        rows.append((len(tokens), *(sum(n for m, n in enumerate(found) if m & kind) for kind in (CANDIDATE, GOOD, SHORT))))
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int32()) for k in range(4)], names=["n_tokens", "n_candidates", "n_good", "n_short"])
 
 
 def _measured(pages: DataFrame) -> DataFrame:
     """Pages with their text, lines, and the counts and score of page_quality; one projection after the other, no join."""
-    text = F.coalesce("text", F.lit(""))
-    t = pages.select("doc_id", "page_no", text.alias("text"), F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)).alias("tok"))
-    t = t.withColumn("cand", F.filter("tok", lambda p: (F.length(p) > 2) & p.rlike(r"\p{L}")))
-    t = t.select("doc_id", "page_no", "text", F.size("tok").alias("n_tokens"), F.size("cand").alias("n_candidates"), F.size(F.filter("cand", _word_like)).alias("n_good"), F.size(F.filter("tok", lambda p: p.rlike(r"^\p{L}{1,2}$"))).alias("n_short"))
+    t = pages.select("doc_id", "page_no", F.coalesce("text", F.lit("")).alias("text"))
+    counts = F.arrow_udf(token_counts, "n_tokens int, n_candidates int, n_good int, n_short int")
+    t = t.select("doc_id", "page_no", "text", counts("text").alias("k")).select("doc_id", "page_no", "text", "k.*")
     penalty = F.greatest(F.lit(0.0), F.col("n_short") / F.col("n_tokens") - 0.22)
     score = F.when((F.col("n_tokens") >= 40) & (F.col("n_candidates") >= 20), F.greatest(F.lit(0.0), F.col("n_good") / F.col("n_candidates") - penalty)).otherwise(0.0)
     return t.withColumn("score", score)
@@ -94,7 +131,7 @@ def page_class(pages: DataFrame) -> DataFrame:
         "doc_id", "page_no", "score", F.length("text").alias("length"), F.size("lines").alias("n_lines"),
         F.length(F.regexp_replace("text", r"\s+", "")).alias("n_chars"),
         F.size(F.regexp_extract_all("text", F.lit(r"\p{L}{3,}"), F.lit(0))).alias("n_words"),
-        F.length(F.regexp_replace("text", r"[^\p{L}]", "")).alias("letters"),
+        F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).alias("letters"),
         (F.length("text") - F.length(F.replace("text", F.lit("\ufffd"), F.lit("")))).alias("broken"),
         kind("dots").alias("dotted"), kind("dots", "gap").alias("indexed"),
         F.size(F.filter("numbered", _is_link)).alias("linked"), F.size(F.filter("numbered", _is_reference)).alias("referred"),
