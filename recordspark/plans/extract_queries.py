@@ -10,7 +10,7 @@ from recordspark.operators.scopes import CARD_HEADER, CREDIT_WORDS
 from recordspark.plans.linkage_queries import BOOKS, CANON, CONFIRMED, NORM, WORDS, _check, duck
 from recordspark.plans.registry import query, run, table
 from recordspark.plans.text_queries import PAGES, doc_pages
-from recordspark.sources.pages import explode_lines
+from recordspark.sources.pages import explode_lines, lines_as_pages
 
 #: Pages of the documents; the first two get a line with the number of the part that has the document's id, in five forms.
 ISBN_PAGES = f"""select doc_id, page_no, concat(text, case when isbn is null then '' else concat(chr(10), case doc_id % 5 when 0 then concat('ISBN ', substr(isbn, 1, 3), '-', substr(isbn, 4), ' (pdf)') when 1 then concat('ISBN: ', isbn, ' vol. ', cast(1 + doc_id % 3 as string), ' brochura') when 2 then concat('see ', isbn, ' and 12345')
@@ -272,7 +272,12 @@ _REVIEWED = _PAGES.replace(duck(ISBN_PAGES).replace("{pg}", "pg"), duck(REVIEWED
       select doc_id, page_no, mark, substr(text, 1, 900) as snippet, coalesce(isbns, '') as isbns, coalesce(suspects, '') as suspects from r left join gd using (doc_id, page_no) left join bd using (doc_id, page_no)""",
 )
 def ex13(spark, sf):
-    return X.review_pages(spark.sql(REVIEWED_PAGES, pg=doc_pages(spark, sf), part=table(spark, sf, "part")))
+    return X.review_pages(reviewed_pages(spark, sf, table(spark, sf, "documents")))
+
+
+def reviewed_pages(spark, sf, docs):
+    """The pages that ex13 reviews, of the documents given."""
+    return spark.sql(REVIEWED_PAGES, pg=lines_as_pages(docs), part=table(spark, sf, "part"))
 
 
 SELLERS = "select s_name as publisher, n_name as city, l_orderkey from {lineitem} join {supplier} on l_suppkey = s_suppkey join {nation} on n_nationkey = (s_nationkey + cast(l_orderkey % 5 = 0 as int)) % 25"

@@ -230,7 +230,12 @@ SIGNAL_DOCS = "select doc_id, concat(text, case doc_id % 8 when 0 then ' ISBN 12
         array_to_string(a, '; ') as academic, type = 'artigo' or package or (type in ('documento', 'apostila') and len(a) >= 3) as consult, package as becomes_article from j""",
 )
 def mi9(spark, sf):
-    return M.type_signals(run(spark, sf, SIGNAL_DOCS, "documents"))
+    return signals_of(spark, table(spark, sf, "documents"))
+
+
+def signals_of(spark, docs):
+    """Rows of mi9, of the documents given."""
+    return M.type_signals(spark.sql(SIGNAL_DOCS, documents=docs))
 
 
 FILES = "select o_orderkey as file_id, case when o_orderkey % 11 = 0 then concat('Herald_', cast(o_orderkey as string)) else concat('Herald-', cast(year(o_orderdate) as string), '-', lpad(cast(o_custkey % 14 as string), 2, '0'), case when o_orderkey % 7 = 0 then '-06' else '' end, case when o_orderkey % 3 = 0 then concat('-v', cast(o_orderkey % 50 as string)) else '' end, case when o_orderkey % 5 = 0 then '-n4' else '' end, '.pdf') end as name, cast(o_orderkey % 90 as int) as n_pages, cast(o_orderkey % 1000 as int) as n_words from {orders}"

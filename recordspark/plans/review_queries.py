@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recordspark.functions.tables import new_path, written
 from recordspark.operators import alerts as A
+from recordspark.operators import extract as X
 from recordspark.operators import review as R
+from recordspark.plans.extract_queries import reviewed_pages
 from recordspark.plans.linkage_queries import NORM
-from recordspark.plans.registry import ORACLE_SQL, QUERIES, query, run, table
+from recordspark.plans.mining_queries import signals_of
+from recordspark.plans.registry import ORACLE_SQL, query, run, table
 from recordspark.plans.workflow_queries import duck
 from recordspark.sources.pages import catalogue_report, explode_lines, labelled_fields
 
@@ -73,7 +77,12 @@ REJECT = "select l_partkey as rec_id, concat('s', cast(l_suppkey % 4 as string))
       select rec_id, field, coalesce(named, why, 'no cause recorded') as causes from m left join d using (rec_id, field) left join w using (rec_id)""",
 )
 def qg11(spark, sf):
-    return R.missing_field_causes(run(spark, sf, TYPED, "part"), spark.sql(REQUIRED), spark.sql(ALIASES), run(spark, sf, HAVE, "part"), run(spark, sf, REJECT, "lineitem"))
+    return causes_of(spark, sf)
+
+
+def causes_of(spark, sf, own=lambda rows: rows):
+    """Rows of qg11, of the items that own() leaves."""
+    return R.missing_field_causes(own(run(spark, sf, TYPED, "part")), spark.sql(REQUIRED), spark.sql(ALIASES), own(run(spark, sf, HAVE, "part")), own(run(spark, sf, REJECT, "lineitem")))
 
 
 CONSULTED = "select l_partkey as rec_id, concat('s', cast(l_suppkey % 4 as string)) as source, l_quantity > 40 as found from {lineitem}"
@@ -167,9 +176,15 @@ def wf14(spark, sf):
       select rec_id, n_gaps, gaps, conflicts, coalesce(pages, '') as pages, coalesce(contradictions, '') as contradictions, case when conflicts <> '' then 'decide' when n_gaps > 0 then 'complete' when contradictions is not null then 'check type' else 'approve' end as action from t left join p using (rec_id) left join m using (rec_id)""",
 )
 def wf14_full(spark, sf):
-    pages = QUERIES["ex13_review_pages"](spark, sf).select(F.col("doc_id").alias("rec_id"), "page_no")
-    against = QUERIES["mi9_type_signals"](spark, sf).select(F.col("doc_id").alias("rec_id"), "contradictions")
-    return R.full_packets(run(spark, sf, OPEN, "part"), qg11(spark, sf), run(spark, sf, GAPS + "1", "lineitem").where("rec_id % 2 = 0"), pages, against)
+    records, conflicts = run(spark, sf, OPEN, "part"), run(spark, sf, GAPS + "1", "lineitem").where("rec_id % 2 = 0")
+    # the items are chosen once, and only their texts are parted into pages and searched
+    chosen = written(R.review_packets(records, qg11(spark, sf), conflicts), new_path(spark, "packets"))
+    own = lambda rows, key="rec_id": rows.join(F.broadcast(chosen.select(F.col("rec_id").alias(key))), key, "left_semi")
+    # a table of their texts: filters on what is found in them would else be tested below the join, on every text
+    docs = written(own(table(spark, sf, "documents", deal=False), "doc_id"), new_path(spark, "packet-texts"))
+    pages = X.marked_pages(reviewed_pages(spark, sf, docs)).select(F.col("doc_id").alias("rec_id"), "page_no")
+    against = signals_of(spark, docs).select(F.col("doc_id").alias("rec_id"), "contradictions")
+    return R.full_packets(records, causes_of(spark, sf, own), conflicts, pages, against, chosen=chosen)
 
 
 CATALOGUE = "select c_custkey as rec_id, concat('f', cast(c_custkey as string)) as file, case c_custkey % 5 when 0 then 'cadastrado' when 1 then 'analisado' when 2 then 'duplicado' else 'pronto' end as state, c_name as title, c_mktsegment as city from {customer}"

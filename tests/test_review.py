@@ -47,3 +47,15 @@ def test_fusion_prefers_rank_then_value(spark):
     e = spark.createDataFrame([(1, "livro", "title", "b", "z"), (1, "livro", "title", "a", " "), (1, "livro", "title", "c", "y"), (2, "livro", "title", "x", "v")], "rec_id long, type string, field string, source string, value string")
     p = spark.createDataFrame([("livro", "title", "a", 1), ("livro", "title", "b", 2), ("livro", "title", "c", 2)], "type string, field string, source string, rank int")
     assert [(r.rec_id, r.value, r.source) for r in U.fuse_fields(e, p).collect()] == [(1, "y", "c")]
+
+
+def test_packets_of_items_chosen_before(spark):
+    records = spark.createDataFrame([(k, k != 2) for k in range(1, 6)], "rec_id long, open boolean")
+    causes = spark.createDataFrame([(1, "isbn", "x"), (3, "isbn", "y"), (3, "year", "z")], "rec_id long, field string, causes string")
+    conflicts = spark.createDataFrame([(1, "title")], "rec_id long, field string")
+    pages = spark.createDataFrame([(3, 2), (3, 1), (4, 1), (5, 9)], "rec_id long, page_no int")
+    against = spark.createDataFrame([(4, "whole issue"), (1, "")], "rec_id long, contradictions string")
+    chosen = R.review_packets(records, causes, conflicts, 3).localCheckpoint()
+    got = R.full_packets(records, causes, conflicts, pages, against, chosen=chosen)
+    assert sorted(got.collect()) == sorted(R.full_packets(records, causes, conflicts, pages, against, 3).collect())
+    assert sorted((r.rec_id, r.gaps, r.pages, r.action) for r in got.collect()) == [(1, "isbn: x", "", "decide"), (3, "isbn: y | year: z", "1, 2", "complete"), (4, "", "1", "check type")]
