@@ -125,15 +125,18 @@ def classify_document(pages: DataFrame, files: DataFrame, rules: tuple[TypeRule,
     d = document_scopes(pages).join(files, "doc_id")
     d = d.withColumn("head", F.substring("first10", 1, 2500)).withColumns({s: blank(s) for s in (*SCOPES, "edges")})
     d = d.withColumns({f"{s}_c": K.line_classes(s) for s in ("page1", "first3", "first10")})
-    kind, number = F.lit(default), F.lit(None).cast("int")
-    for r in reversed(rules):
+    place = F.lit(len(rules))
+    for k, r in reversed(list(enumerate(rules))):
         tests = [F.col(s).rlike(p) for s, p in r.all_of] + [~F.col(s).rlike(p) for s, p in r.none_of] + [F.regexp_count(s, F.lit(p)) >= n for s, p, n in r.counts]
         if r.pages:
             tests.append(F.col("n_text").between(*r.pages))
         if r.short_share:
             tests.append(F.col("short_share") >= r.short_share)
-        kind, number = F.when(all_true(tests), r.type).otherwise(kind), F.when(all_true(tests), r.number).otherwise(number)
-    d = d.select("doc_id", "producer", "approved", "isbn_confirmed", "external", "n_pages", kind.alias("found"), number.alias("rule"))
+        place = F.when(all_true(tests), k).otherwise(place)
+    # the place of the first rule is found once; its type and number are read from it
+    d = d.select("doc_id", "producer", "approved", "isbn_confirmed", "external", "n_pages", place.alias("place"))
+    of = lambda values: F.get(F.array(*map(F.lit, values)), "place")
+    d = d.withColumns({"found": of([*[r.type for r in rules], default]), "rule": of([*[r.number for r in rules], None]).cast("int")})
     open_ = ~F.coalesce("approved", F.lit(False))
     shown = open_ & F.col("producer").rlike("powerpoint|impress|keynote")
     book = open_ & (F.col("found") == "documento") & F.col("rule").isin(23, 24) & F.coalesce(F.col("isbn_confirmed") & F.col("external") & (F.col("n_pages") >= 40), F.lit(False))

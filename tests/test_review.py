@@ -1,6 +1,7 @@
 """Edge rows of the review jobs and of the fused and dispatched records."""
 
 from recordspark.operators import alerts as A
+from recordspark.operators import classify as C
 from recordspark.operators import fusion as U
 from recordspark.operators import review as R
 from recordspark.operators import workflow as W
@@ -59,3 +60,11 @@ def test_packets_of_items_chosen_before(spark):
     got = R.full_packets(records, causes, conflicts, pages, against, chosen=chosen)
     assert sorted(got.collect()) == sorted(R.full_packets(records, causes, conflicts, pages, against, 3).collect())
     assert sorted((r.rec_id, r.gaps, r.pages, r.action) for r in got.collect()) == [(1, "isbn: x", "", "decide"), (3, "isbn: y | year: z", "1, 2", "complete"), (4, "", "1", "check type")]
+
+
+def test_type_rules_are_tested_once(spark):
+    pages = spark.createDataFrame([(1, 1, "Manual de Metodologia"), (2, 1, "Regimento interno da igreja"), (3, 1, None)], "doc_id long, page_no int, text string")
+    files = spark.createDataFrame([(k, "f.pdf", "", None, False, True, True, 50) for k in (1, 2, 3)], "doc_id long, name string, producer string, periodical string, approved boolean, isbn_confirmed boolean, external boolean, n_pages int")
+    found = C.classify_document(pages, files)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("main contents") == 1
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "apostila", 4, False), (2, "livro", 24, True), (3, "livro", None, False)]
