@@ -21,8 +21,8 @@ BITS, BLOCKS = 64, 6
 CUTS = [round(BITS * k / BLOCKS) for k in range(BLOCKS + 1)]
 #: Rows under one value that one task compares; a value with more is cut into so large parts that meet by twos.
 PART = 1 << 15
-#: Rows of whole groups that are taken up together, and pairs compared in one step.
-BUNDLE, STEP = 1 << 16, 1 << 20
+#: Rows of whole groups that are taken up together, and pairs compared in one step: some 10 MB a task.
+BUNDLE, STEP = 1 << 14, 1 << 17
 
 
 def filed(points: DataFrame) -> DataFrame:

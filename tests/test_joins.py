@@ -1,7 +1,9 @@
 """Heavy joins, components and the Hamming index against plain versions."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,5 +124,22 @@ def test_alike_texts_cost_rows_not_pairs(spark):
     assert (got.n, got.g, got.l) == (20_000, 0, 19_999)
 
 
+def test_a_large_group_takes_few_mb(monkeypatch):
+    n = 6000
+    rows = {"key": np.zeros(n, np.int64), "p": np.zeros(n, np.int32), "q": np.zeros(n, np.int32), "own": np.zeros(n, np.int32), "asks": np.zeros(n, bool), "id": np.arange(n), "n": np.full(n, 500, np.int32), "sim": np.zeros(n, np.int64)}
+    rows["sim"][:] = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, n)
+    tracemalloc.start()
+    found = sum(len(x) for x, _, _ in hamming._meetings(rows | {"g": np.zeros(n, np.int64)}, 10, 0.82))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 0 and most < 16e6
+
+
+def test_texts_are_signed_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = L.near_duplicate_groups(L.text_signature(docs))
+    assert "MapInArrow" not in got._jdf.queryExecution().toString()
+
+
 def test_constants():
     assert hamming.CUTS[-1] == 64 and max(b - a for a, b in zip(hamming.CUTS, hamming.CUTS[1:])) <= 12 and joins.SALTS > 1
