@@ -14,7 +14,7 @@ from recordspark.operators import linkage as L
 from recordspark.operators import mining as M
 from recordspark.operators import quality as Q
 from recordspark.operators import workflow as W
-from recordspark.operators.confirm import chain, changes, confirm_duplicates, safe_runs
+from recordspark.operators.confirm import bag, bags_apart, chain, changes, confirm_duplicates, safe_runs
 from recordspark.sources import pages as P
 
 
@@ -186,6 +186,41 @@ def test_parts_of_long_texts_equal_plain(spark):
     assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.5}) and len(got) > 40
 
 
+def test_bags_never_say_more_than_changes():
+    rng = np.random.default_rng(4)
+    for n in (0, 3, 40, 700):
+        x = rng.integers(-(1 << 62), 1 << 62, 30)[rng.integers(0, 30, n)]
+        for m in (0, 1, n // 8, n):
+            y = np.delete(x, rng.integers(0, n, m)) if n else x
+            y = np.insert(y, len(y) // 2, rng.integers(-(1 << 62), 1 << 62, m))
+            assert bags_apart(bag(x, len(x)), bag(y, len(y))) <= changes(x, y, len(x) + len(y))
+
+
+def test_confirmed_pairs_are_found_once(spark):
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[:k] + [f"x{k}"] * (k % 3) + words[k + k % 2 :]) for k in range(30)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    pairs = [(a, b) for b in range(30) for a in range(b)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got = confirm_duplicates(spark.createDataFrame(pairs, "a long, b long").mapInArrow(count, "a long, b long"), docs)
+    rows = {r.b: (r.a, r.ratio) for r in got.collect()}
+    split = [np.array([hash(w) for w in t.split()]) for t in texts]
+    want = {}
+    for a, b in pairs:
+        n = len(split[a]) + len(split[b])
+        r = (n - changes(split[a], split[b], n)) / n
+        if r >= 0.94 and (b not in want or r > want[b][1]):
+            want[b] = a, r
+    assert rows == want and len(want) > 20
+    assert seen.value == len(pairs)
+
+
 def test_confirm_duplicates_equals_plain(spark):
     base = ["w%d" % k for k in range(200)]
     texts = {1: base, 2: base, 3: [*base[:-5], "x", "y", "z", "u", "v"], 4: base[::-1], 5: base[:150], 6: [*base[:50], "new", *base[50:]]}
