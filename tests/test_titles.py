@@ -59,3 +59,20 @@ def test_pairs_of_alike_titles_are_not_shuffled(spark):
     plan = L.score_matches(_editions(spark, rng, "target_id", 50), _editions(spark, rng, "cand_id", 50))._jdf.queryExecution().executedPlan().toString()
     after = plan.split("FlatMapGroupsInArrow")[0]
     assert "Exchange" not in after and "Join" not in after
+
+
+def test_every_pair_of_rows_is_scored(spark):
+    """Not only pairs of classes, whose years, pages and approval were left to the reader."""
+    from recordspark.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["lk7_score_matches"](spark, sf)
+    assert got.columns == ["target_id", "cand_id", "title_sim", "author_ok", "isbn_exact", "score", "blocked", "approved", "confirmations", "rejections"]
+    pairs = {(r.target_id, r.cand_id): r for r in got.collect()}
+    same = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.split("text", "\n")[0].alias("title")).where("title rlike '[a-zA-Z]'").collect():
+        same.setdefault(r.title, []).append(r.doc_id)
+    assert any(len(ids) > 1 for ids in same.values())
+    for ids in same.values():
+        assert all((a, b) in pairs and "title" in pairs[a, b].confirmations.split("; ") for a in ids for b in ids)
+    assert any("year" in r.confirmations and "pages" in r.confirmations for r in pairs.values()) and any("not enough" in r.rejections for r in pairs.values())
