@@ -76,3 +76,17 @@ def test_every_pair_of_rows_is_scored(spark):
     for ids in same.values():
         assert all((a, b) in pairs and "title" in pairs[a, b].confirmations.split("; ") for a in ids for b in ids)
     assert any("year" in r.confirmations and "pages" in r.confirmations for r in pairs.values()) and any("not enough" in r.rejections for r in pairs.values())
+
+
+def test_best_matches_need_no_pairs_of_kinds(spark):
+    """All scored pairs of kinds went through windows over the kinds of targets: shuffled and sorted."""
+    rng = random.Random(4)
+    t, c = _editions(spark, rng, "target_id", 80), _editions(spark, rng, "cand_id", 80)
+    best = L.top_matches(t, c)
+    assert "Window" not in best._jdf.queryExecution().executedPlan().toString()
+    want, top = {}, {}
+    for r in L.score_matches(t, c).collect():
+        top[r.target_id] = max(top.get(r.target_id, 0.0), r.score)
+        if r.approved:
+            want[r.target_id] = min(want.get(r.target_id, (0.0, 0, False)), (-r.score, r.cand_id, r.isbn_exact))
+    assert want and {r.target_id: (-r.score, r.cand_id, r.isbn_exact, r.top) for r in best.collect()} == {k: (*v, top[k]) for k, v in want.items()}
